@@ -45,9 +45,14 @@ def fresh_dir(spark: SparkSession, label: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: computed once, survives the loss of an executor."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise ``df`` as a table in the shared folder and read it back.
+
+    Computed once, independent of executors that held it, columnar, and of a
+    size Catalyst knows when it plans the joins that follow.
+    """
+    path = fresh_dir(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def within(df: DataFrame, max_rows: int) -> bool:
