@@ -157,92 +157,82 @@ def _of_head(values: Mapping[str, float]) -> Column:
 
 
 def fit_platt(
-    df: DataFrame, iterations: int = 100, ridge: float = 1e-10
+    df: DataFrame, iterations: int = 100, ridge: float = 1e-10, halvings: int = 40
 ) -> dict[str, tuple[float, float]]:
     """Slope and intercept on the logit per head, by damped Newton steps.
 
     Targets are smoothed so that near-separable classes do not drive the slope
-    to infinity. Each iteration is two aggregates for all heads together: the
-    derivatives, then the loss at every halving of the step.
+    to infinity. One aggregate for all heads together gives the loss and the
+    derivatives at the trial point, so an accepted step costs one job.
     """
     rows = cut(merged(df).withColumn("z", S.logit(F.col("p"))))
-    totals = {
-        r["head"]: r
-        for r in rows.groupBy("head")
-        .agg(
-            F.sum("n").alias("n"),
-            F.sum("positives").alias("pos"),
-            (F.sum(F.col("n") * F.col("z")) / F.sum("n")).alias("z"),
-        )
-        .collect()
-    }
-    high = {h: (r["pos"] + 1) / (r["pos"] + 2) for h, r in totals.items()}
-    low = {h: 1 / (r["n"] - r["pos"] + 2) for h, r in totals.items()}
-    params: dict[str, tuple[float, float]] = {}
-    for head, r in totals.items():
+    totals = rows.groupBy("head").agg(
+        F.sum("n").alias("n"),
+        F.sum("positives").alias("pos"),
+        (F.sum(F.col("n") * F.col("z")) / F.sum("n")).alias("z"),
+    )
+    high, low, trial = {}, {}, {}
+    for r in totals.collect():
+        head = r["head"]
+        high[head] = (r["pos"] + 1) / (r["pos"] + 2)
+        low[head] = 1 / (r["n"] - r["pos"] + 2)
         mean = (r["pos"] * high[head] + (r["n"] - r["pos"]) * low[head]) / r["n"]
-        params[head] = (1.0, math.log(mean / (1 - mean)) - r["z"])
-    if not params:
+        trial[head] = (1.0, math.log(mean / (1 - mean)) - r["z"])
+    if not trial:
         return {}
-    target_sum = F.col("positives") * _of_head(high) + (
-        F.col("n") - F.col("positives")
-    ) * _of_head(low)
-    rows = rows.withColumn("t", target_sum)
-    z, n, t = F.col("z"), F.col("n"), F.col("t")
-    active, halvings = set(params), 40
-
-    def loss(a, b):
-        s = a * z + b
-        return F.sum(n * S.softplus(-s) + (n - t) * s)
+    z, n = F.col("z"), F.col("n")
+    t = F.col("positives") * _of_head(high) + (n - F.col("positives")) * _of_head(low)
 
-    for _ in range(iterations):
-        current = rows.filter(F.col("head").isin(*sorted(active)))
-        a = _of_head({h: v[0] for h, v in params.items()})
-        b = _of_head({h: v[1] for h, v in params.items()})
-        q = S.sigmoid(a * z + b)
+    def measure(points: Mapping[str, tuple[float, float]]) -> dict:
+        a = _of_head({h: v[0] for h, v in points.items()})
+        b = _of_head({h: v[1] for h, v in points.items()})
+        s = a * z + b
+        q = S.sigmoid(s)
         r, w = n * q - t, n * q * (1 - q)
-        steps = {}
-        for g in (
-            current.groupBy("head")
-            .agg(
-                F.sum(r * z).alias("ga"),
-                F.sum(r).alias("gb"),
-                F.sum(w * z * z).alias("aa"),
-                F.sum(w * z).alias("ab"),
-                F.sum(w).alias("bb"),
-            )
-            .collect()
-        ):
-            aa, bb = g["aa"] + ridge, g["bb"] + ridge
-            det = aa * bb - g["ab"] ** 2
-            flat = max(abs(g["ga"]), abs(g["gb"])) < 1e-9
-            if flat or not math.isfinite(det) or abs(det) < 1e-300:
-                active.discard(g["head"])
-                continue
-            steps[g["head"]] = (
-                (bb * g["ga"] - g["ab"] * g["gb"]) / det,
-                (aa * g["gb"] - g["ab"] * g["ga"]) / det,
-            )
-        if not steps:
-            break
-        da = _of_head({h: v[0] for h, v in steps.items()})
-        db = _of_head({h: v[1] for h, v in steps.items()})
-        trials = [loss(a, b).alias("now")] + [
-            loss(a - da * 0.5**i, b - db * 0.5**i).alias(f"l{i}") for i in range(halvings)
-        ]
-        stepped = current.filter(F.col("head").isin(*sorted(steps)))
-        for row in stepped.groupBy("head").agg(*trials).collect():
-            head = row["head"]
-            for i in range(halvings):
-                if math.isfinite(row[f"l{i}"]) and row[f"l{i}"] < row["now"] - 1e-12:
-                    (pa, pb), (sa, sb) = params[head], steps[head]
-                    params[head] = (pa - sa * 0.5**i, pb - sb * 0.5**i)
-                    break
+        sums = {"loss": n * S.softplus(-s) + (n - t) * s, "ga": r * z, "gb": r, "aa": w * z * z,
+                "ab": w * z, "bb": w}
+        chosen = rows.filter(F.col("head").isin(*sorted(points)))
+        table = chosen.groupBy("head").agg(*[F.sum(c).alias(k) for k, c in sums.items()])
+        return {row["head"]: row for row in table.collect()}
+
+    best = dict(trial)
+    at = measure(trial)
+    steps: dict[str, tuple[float, float, int]] = {}
+
+    def plan(head: str) -> bool:
+        """Next full step from the derivatives at the best point, if one is worth it."""
+        g = at[head]
+        aa, bb = g["aa"] + ridge, g["bb"] + ridge
+        det = aa * bb - g["ab"] ** 2
+        if max(abs(g["ga"]), abs(g["gb"])) < 1e-9 or not math.isfinite(det) or abs(det) < 1e-300:
+            return False
+        sa = (bb * g["ga"] - g["ab"] * g["gb"]) / det
+        sb = (aa * g["gb"] - g["ab"] * g["ga"]) / det
+        # Half the directional derivative is the drop Newton's model predicts.
+        if (g["ga"] * sa + g["gb"] * sb) / 2 < 1e-12:
+            return False
+        steps[head] = (sa, sb, 0)
+        return True
+
+    active = {h for h in trial if plan(h)}
+    done = dict.fromkeys(trial, 0)
+    while active:
+        trial = {
+            h: (best[h][0] - steps[h][0] * 0.5 ** steps[h][2],
+                best[h][1] - steps[h][1] * 0.5 ** steps[h][2])
+            for h in active
+        }
+        for head, row in measure(trial).items():
+            if math.isfinite(row["loss"]) and row["loss"] < at[head]["loss"] - 1e-12:
+                best[head], at[head] = trial[head], row
+                done[head] += 1
+                if done[head] >= iterations or not plan(head):
+                    active.discard(head)
+            elif steps[head][2] + 1 < halvings:
+                steps[head] = (*steps[head][:2], steps[head][2] + 1)
             else:
                 active.discard(head)
-        if not active:
-            break
-    return params
+    return best
 
 
 def fit_isotonic(df: DataFrame, head: str):

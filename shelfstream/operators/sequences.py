@@ -83,8 +83,8 @@ def time_cutoffs(
     val: float = 0.1,
     approximate: float = 0.0,
     column: str = "event_ts_unix",
-) -> tuple[int, int]:
-    """Global cutoffs (t1, t2) at exact percentiles of event time.
+) -> tuple[int, int, int]:
+    """Global cutoffs (t1, t2) at exact percentiles of event time, and the newest time.
 
     ``approximate`` > 0 trades exactness (and independence from file layout)
     for a single sketch aggregate with that relative error.
@@ -104,7 +104,7 @@ def time_cutoffs(
     t1, t2 = int(found[0]), int(found[1])
     if not low < t1 < t2 <= high:
         raise DegenerateSplit(f"cutoffs {t1}, {t2} do not split [{low}, {high}]")
-    return t1, t2
+    return t1, t2, int(high)
 
 
 def vocabulary(train_events: DataFrame) -> DataFrame:

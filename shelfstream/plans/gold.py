@@ -6,7 +6,6 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from shelfstream.functions.tokens import TokenRules
 from shelfstream.operators import cleaning as C
@@ -34,8 +33,7 @@ def labelled_events(
     if rules.consumer and "consent" in events.columns:
         events = C.consented(events, rules.consumer)
     tokened = Q.with_tokens(events, items, tokens)
-    t1, t2 = Q.time_cutoffs(tokened, rules.train, rules.val, rules.approximate)
-    newest = tokened.agg(F.max("event_ts_unix")).first()[0]
+    t1, t2, newest = Q.time_cutoffs(tokened, rules.train, rules.val, rules.approximate)
     return Q.with_return_labels(tokened, rules.return_window_days, newest), t1, t2
 
 

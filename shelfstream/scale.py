@@ -156,24 +156,29 @@ def ranked_rows(
     return running_totals(marked, groups, order, {out: "_one"}, bucket).drop("_one")
 
 
-def global_row_number(df: DataFrame, order: Sequence[Column], out: str) -> DataFrame:
-    """1-based position in a total order, without funnelling rows into one task.
+def global_row_number(
+    df: DataFrame, order: Sequence[Column], out: str, one_task_rows: int = 100_000
+) -> DataFrame:
+    """1-based position in a total order, without funnelling many rows into one task.
 
-    The sort range-partitions on the whole key, so ties on its first column do
-    not matter. The sorted rows are checkpointed before the partition sizes are
-    counted, so a retried task cannot shift the numbering.
+    The rows are materialised first, so both the numbering and its size check
+    read a table. Only a set checked to be small is numbered by one window; a
+    larger one is range-partitioned on the whole key (ties on its first column
+    do not matter), stored, and numbered from the partition sizes. Storing
+    before counting means a retried task cannot shift the numbers.
     """
+    rows = cut(df)
+    if within(rows, one_task_rows):
+        return rows.withColumn(out, F.row_number().over(Window.orderBy(*order)).cast("long"))
     ordered = cut(
-        df.orderBy(*order).withColumn("_position", F.monotonically_increasing_id())
+        rows.orderBy(*order).withColumn("_position", F.monotonically_increasing_id())
     )
     part = F.shiftright(F.col("_position"), 33)
     sizes = ordered.groupBy(part.alias("part")).count().orderBy("part").collect()
     offset, pairs = 0, []
     for row in sizes:
-        pairs += [F.lit(row["part"]), F.lit(offset)]
+        pairs += [F.lit(row["part"]), F.lit(offset).cast("long")]
         offset += row["count"]
-    if not pairs:
-        return ordered.withColumn(out, F.lit(0).cast("long")).drop("_position")
     start = F.create_map(*pairs)[part]
     local = F.col("_position").bitwiseAND(F.lit((1 << 33) - 1))
     return ordered.withColumn(out, (start + local + 1).cast("long")).drop("_position")

@@ -34,6 +34,10 @@ def with_ctes(sql: str) -> str:
     return f"WITH {', '.join(parts)} {sql.strip()}" if parts else sql.strip()
 
 
+def oracles() -> dict[str, str]:
+    return {name: with_ctes(sql) for name, sql in ORACLES.items()}
+
+
 def case(name: str, sql: str | None = None):
     """Register ``fn(view)`` under ``name``; ``view`` wraps (spark, folder)."""
 
@@ -48,7 +52,7 @@ def case(name: str, sql: str | None = None):
             raise ValueError(f"query {name!r} registered twice")
         QUERIES[name] = run
         if sql is not None:
-            ORACLES[name] = with_ctes(sql)
+            ORACLES[name] = sql
         return fn
 
     return register
