@@ -23,14 +23,18 @@ def _names_in(sql: str) -> list[str]:
 
 def with_ctes(sql: str) -> str:
     """Prefix the definitions a statement uses, directly or through others."""
-    needed: set[str] = set()
-    queue = _names_in(sql)
-    while queue:
-        name = queue.pop()
-        if name not in needed:
-            needed.add(name)
-            queue += [n for n in _names_in(CTES[name]) if n != name]
-    parts = [f"{name} AS ({CTES[name]})" for name in CTES if name in needed]
+    ordered: list[str] = []
+
+    def visit(name: str) -> None:
+        if name not in ordered:
+            for other in _names_in(CTES[name]):
+                if other != name:
+                    visit(other)
+            ordered.append(name)
+
+    for name in _names_in(sql):
+        visit(name)
+    parts = [f"{name} AS ({CTES[name]})" for name in ordered]
     return f"WITH {', '.join(parts)} {sql.strip()}" if parts else sql.strip()
 
 
