@@ -238,7 +238,7 @@ SELECT cast(p_partkey AS VARCHAR) AS sku,
 FROM part WHERE p_partkey < 100""")
 cte("request_log", """
 SELECT cast(event_id AS VARCHAR) AS request_id, cast(user_id AS VARCHAR) AS user_id,
-  ts AS served_ts, epoch_us(ts) // 1000000 AS at,
+  ts AS served_ts, epoch_us(ts) // 1000000 AS at_s,
   CASE event_type WHEN 'error' THEN 'retrieval_error' WHEN 'signup' THEN 'cold_start'
     ELSE 'model' END AS served_from,
   event_type = 'purchase' AS ranker_used, value AS latency_ms,
