@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfstream.scale import hash_uint32
+from shelfstream.scale import cut, hash_uint32
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -28,59 +26,87 @@ def pair_scores(
     return joined.withColumn(out, dot(F.col("_u"), F.col("_i"))).drop("_u", "_i")
 
 
+def _local_top(fetch: int):
+    def run(u: pd.DataFrame, i: pd.DataFrame) -> pd.DataFrame:
+        if u.empty or i.empty:
+            kinds = {"user_id": "int64", "token_id": "int64", "score": "float64"}
+            return pd.DataFrame({name: pd.Series(dtype=kind) for name, kind in kinds.items()})
+        # Items in id order, so that a stable sort settles ties by id.
+        i = i.sort_values("token_id")
+        ids = i["token_id"].to_numpy(dtype=np.int64)
+        scores = np.stack(u["vector"].to_numpy()).astype(np.float64) @ np.stack(
+            i["vector"].to_numpy()
+        ).astype(np.float64).T
+        n = min(fetch, ids.size)
+        best = np.argsort(-scores, axis=1, kind="stable")[:, :n]
+        return pd.DataFrame(
+            {
+                "user_id": np.repeat(u["user_id"].to_numpy(dtype=np.int64), n),
+                "token_id": ids[best].ravel(),
+                "score": np.take_along_axis(scores, best, axis=1).ravel(),
+            }
+        )
+
+    return run
+
+
+def _blocked_top(users: DataFrame, items: DataFrame, fetch: int, block: int) -> DataFrame:
+    """Local top lists of every (cell, user block, item block).
+
+    Both frames carry ``cell``; only equal cells meet. A cell with many rows is
+    cut into blocks of about ``block`` rows on either side, so a cell that holds
+    a third of all items is many groups of bounded size, and a group emits at
+    most ``fetch`` rows per user instead of its pairs.
+    """
+
+    def blocks(df, name):
+        n = F.greatest(F.ceil(F.count("*") / block), F.lit(1)).cast("int").alias(name)
+        return df.groupBy("cell").agg(n)
+
+    plan = cut(blocks(users, "un").join(blocks(items, "in"), "cell"))
+
+    def blocked(df, key, own, own_n, other, other_n):
+        return df.join(plan, "cell").select(
+            F.col(key).cast("long").alias(key),
+            "vector",
+            "cell",
+            F.pmod(hash_uint32(key), F.col(own_n)).cast("int").alias(own),
+            F.explode(F.sequence(F.lit(0), F.col(other_n) - 1)).alias(other),
+        )
+
+    keys = ["cell", "ub", "ib"]
+    left = blocked(users, "user_id", "ub", "un", "ib", "in")
+    right = blocked(items, "token_id", "ib", "in", "ub", "un")
+    return (
+        left.groupBy(*keys)
+        .cogroup(right.groupBy(*keys))
+        .applyInPandas(_local_top(fetch), "user_id long, token_id long, score double")
+    )
+
+
 def exact_top_k(
     users: DataFrame,
     items: DataFrame,
     k: int,
     exclude: DataFrame | None = None,
-    block: int = 4096,
+    block: int = 2048,
     max_excluded: int = 0,
 ) -> DataFrame:
     """Exact top-k items per user as a blocked matrix product.
 
-    Users (user_id, vector) and items (token_id, vector) are cut into blocks of
-    about ``block`` rows; each (user block, item block) pair is one bounded
-    group that emits only its local top-k, so no group holds a whole side and
-    the full score matrix is never written. ``exclude`` (user_id, token_id) is
-    applied after over-fetching ``max_excluded`` items, the most any user excludes.
+    Users are (user_id, vector), items (token_id, vector). The score matrix is
+    never written. ``exclude`` (user_id, token_id) is applied after fetching
+    ``max_excluded`` more, the most any user excludes.
     """
-    fetch = k + max_excluded
-    rows = {"users": users.count(), "items": items.count()}
-    user_blocks = max(1, math.ceil(rows["users"] / block))
-    item_blocks = max(1, math.ceil(rows["items"] / block))
 
-    def blocked(df, key, own, own_n, other, other_n):
-        mine = F.pmod(hash_uint32(key), F.lit(own_n)).cast("int").alias(own)
-        every = F.explode(F.sequence(F.lit(0), F.lit(other_n - 1))).alias(other)
-        return df.select(F.col(key).cast("long").alias(key), "vector", mine, every)
-
-    left = blocked(users, "user_id", "ub", user_blocks, "ib", item_blocks)
-    right = blocked(items, "token_id", "ib", item_blocks, "ub", user_blocks)
-
-    def local_top(u: pd.DataFrame, i: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"user_id": [], "token_id": [], "score": []})
-        if u.empty or i.empty:
-            return empty.astype({"user_id": "int64", "token_id": "int64", "score": "float64"})
-        a = np.stack(u["vector"].to_numpy()).astype(np.float64)
-        ids = i["token_id"].to_numpy(dtype=np.int64)
-        scores = a @ np.stack(i["vector"].to_numpy()).astype(np.float64).T
-        n = min(fetch, ids.size)
-        # Sort by (-score, id) so that ties are settled the same way everywhere.
-        order = np.argsort(ids, kind="stable")
-        scores, ids = scores[:, order], ids[order]
-        best = np.argsort(-scores, axis=1, kind="stable")[:, :n]
-        return pd.DataFrame(
-            {
-                "user_id": np.repeat(u["user_id"].to_numpy(dtype=np.int64), n),
-                "token_id": ids[best].ravel(),
-                "score": np.take_along_axis(scores, best, axis=1).ravel(),
-            }
+    def whole(df, key):
+        # Fresh aliases: both sides may come from the same table.
+        return df.select(
+            F.col(key).alias(key), F.col("vector").alias("vector"), F.lit(0).alias("cell")
         )
 
-    local = (
-        left.groupBy("ub", "ib")
-        .cogroup(right.groupBy("ub", "ib"))
-        .applyInPandas(local_top, "user_id long, token_id long, score double")
+    local = _blocked_top(
+        whole(users, "user_id"), whole(items, "token_id"), k + max_excluded, block
     )
     return _best(local, k, exclude)
 
@@ -94,39 +120,57 @@ def _best(scored: DataFrame, k: int, exclude: DataFrame | None) -> DataFrame:
     )
 
 
+def fit_cells(items: DataFrame, cells: int, seed: int = 7):
+    """Coarse centroids of the item vectors (MLlib k-means); their number is a parameter."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    vectors = items.select(array_to_vector(F.col("vector").cast("array<double>")).alias("features"))
+    return KMeans(k=cells, seed=seed, maxIter=10).fit(vectors)
+
+
+def _nearest_cells(centers: np.ndarray, key: str, n: int):
+    half = (centers * centers).sum(axis=1) / 2
+
+    def run(batches):
+        for batch in batches:
+            x = np.stack(batch["vector"].to_numpy()).astype(np.float64)
+            order = np.argsort(half - x @ centers.T, axis=1, kind="stable")[:, :n]
+            out = batch[[key, "vector"]].copy()
+            out["cell"] = list(order.astype(np.int32))
+            yield out.explode("cell").astype({"cell": "int32"})
+
+    return run
+
+
 def approximate_top_k(
     users: DataFrame,
     items: DataFrame,
     k: int,
-    tables: int = 8,
-    bucket_length: float = 0.5,
-    radius: float = 1.4,
-    seed: int = 7,
+    cells: int = 100,
+    probes: int = 10,
     exclude: DataFrame | None = None,
+    max_excluded: int = 0,
+    block: int = 2048,
+    seed: int = 7,
 ) -> DataFrame:
-    """Approximate top-k for unit vectors through random projections (MLlib).
+    """Approximate top-k: items by nearest centroid, users look into ``probes`` cells.
 
-    On unit vectors the L2 order is the inner-product order. ``bucket_length``
-    and ``tables`` set the exchange between recall and candidates: sweep them
-    with :func:`measured_recall`. Exclusions apply before the cut to ``k``.
+    ``probes`` sets the exchange between recall and work (see
+    :func:`measured_recall`); with as many probes as cells the answer is exact.
     """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
+    centers = np.stack(fit_cells(items, cells, seed).clusterCenters())
+    probes = min(probes, len(centers))
+
+    def placed(df, key, n):
+        schema = f"{key} long, vector array<float>, cell int"
+        rows = df.select(F.col(key).cast("long").alias(key), F.col("vector").cast("array<float>").alias("vector"))
+        return rows.mapInPandas(_nearest_cells(centers, key, n), schema)
 
-    def vectors(df, key):
-        return df.select(key, array_to_vector(F.col("vector").cast("array<double>")).alias("v"))
-
-    right = vectors(items, "token_id")
-    model = BucketedRandomProjectionLSH(
-        inputCol="v", outputCol="h", bucketLength=bucket_length, numHashTables=tables, seed=seed
-    ).fit(right)
-    near = model.approxSimilarityJoin(vectors(users, "user_id"), right, radius, "distance")
-    scored = near.select(
-        F.col("datasetA.user_id").alias("user_id"),
-        F.col("datasetB.token_id").alias("token_id"),
-        (1 - F.col("distance") * F.col("distance") / 2).alias("score"),
+    local = _blocked_top(
+        placed(users, "user_id", probes), placed(items, "token_id", 1), k + max_excluded, block
     )
-    return _best(scored, k, exclude)
+    return _best(local, k, exclude)
 
 
 def measured_recall(truth: DataFrame, found: DataFrame) -> DataFrame:

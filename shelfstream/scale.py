@@ -60,11 +60,6 @@ def within(df: DataFrame, max_rows: int) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
-def broadcast_within(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
-    """Hint a broadcast only after checking the size; otherwise leave it to AQE."""
-    return F.broadcast(df) if within(df, max_rows) else df
-
-
 def hash_uint32(*columns: Column | str, seed: int | str = 0) -> Column:
     """A repeatable uniform integer in [0, 2**32) from the given values.
 

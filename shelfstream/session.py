@@ -13,6 +13,8 @@ ENGINE_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Split a skewed join even where the split costs one more shuffle afterwards.
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.streaming.stateStore.providerClass": (
@@ -21,6 +23,13 @@ ENGINE_CONF = {
 }
 
 
+def tune(spark: SparkSession) -> SparkSession:
+    """Apply the settings to a session that something else created."""
+    for key, value in ENGINE_CONF.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def build_session(
     app_name: str = "shelfstream",
     master: str | None = None,

@@ -50,11 +50,17 @@ class Tails(StatefulProcessor):
             if len(kept) > 4 * self.n:
                 kept = set(sorted(kept)[-self.n :])
         newest = sorted(kept)[-self.n :]
-        self.entries.put(newest)
         if self.ttl_ms:
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
-            self.handle.registerTimer(newest[-1][0] // 1000 + self.ttl_ms)
+            expiry = newest[-1][0] // 1000 + self.ttl_ms
+            if expiry <= timerValues.getCurrentWatermarkInMs():
+                # Already past: a timer would fire in this batch and make a second row.
+                self.entries.clear()
+                yield self._row(key[0], [])
+                return
+            self.handle.registerTimer(expiry)
+        self.entries.put(newest)
         yield self._row(key[0], newest)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:

@@ -78,6 +78,9 @@ def replay(silver: DataFrame, path: str, files: int = 8) -> None:
 
     Range partitioning gives the global order without a single sorting task;
     ``maxFilesPerTrigger`` and the trigger interval set the pace of the replay.
+    A file stream takes files by modification time, and these are written in
+    parallel, so consumers must not rely on the order between files: the state
+    operators here order by event time.
     """
     messages = as_messages(silver)
     ordered = messages.repartitionByRange(files, "event_ts", "event_id").sortWithinPartitions(

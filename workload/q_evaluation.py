@@ -545,15 +545,47 @@ def _(v):
     return K.calibration_report(_cal(v)).select("head", "verdict")
 
 
-@case("cal5_platt")
+cte("platt_rows", """
+SELECT head, ln(q / (1 - q)) AS z, count(*) AS n, sum(y) AS pos FROM (SELECT head, y,
+  least(greatest(p, 1e-7), 1 - 1e-7) AS q FROM cal) GROUP BY 1, 2""")
+cte("platt_targets", """
+SELECT r.head, z, n, pos * (tp + 1) / (tp + 2) + (n - pos) / (tn - tp + 2) AS t, (tp + 1) / (tp + 2) AS hi,
+  1 / (tn - tp + 2) AS lo, tp, tn, tz FROM platt_rows r JOIN (SELECT head, sum(pos) AS tp, sum(n) AS tn,
+  sum(n * z) / sum(n) AS tz FROM platt_rows GROUP BY 1) s ON s.head = r.head""")
+
+
+def _newton(steps):
+    """Undamped Newton steps, one nested query each; it converges on this data."""
+    sql = """SELECT head, cast(1 AS DOUBLE) AS a, ln(m / (1 - m)) - tz AS b FROM (SELECT DISTINCT head, tz,
+  (tp * hi + (tn - tp) * lo) / tn AS m FROM platt_targets)"""
+    for _ in range(steps):
+        sql = f"""SELECT head, a - (bb * ga - ab * gb) / (aa * bb - ab * ab) AS a,
+  b - (aa * gb - ab * ga) / (aa * bb - ab * ab) AS b FROM (SELECT head, a, b, sum((n * q - t) * z) AS ga,
+  sum(n * q - t) AS gb, sum(n * q * (1 - q) * z * z) AS aa, sum(n * q * (1 - q) * z) AS ab,
+  sum(n * q * (1 - q)) AS bb FROM (SELECT c.head, a, b, z, n, t, 1 / (1 + exp(-(a * z + b))) AS q
+  FROM ({sql}) c JOIN platt_targets p ON p.head = c.head) GROUP BY 1, 2, 3)"""
+    return sql
+
+
+@case("cal5_platt", f"SELECT head, round(a, 4) AS a, round(b, 4) AS b FROM ({_newton(9)})")
 def _(v):
     params = K.fit_platt(_cal(v))
     return v.spark.createDataFrame(
-        [(h, round(a, 6), round(b, 6)) for h, (a, b) in params.items()], "head string, a double, b double"
+        [(h, round(a, 4), round(b, 4)) for h, (a, b) in params.items()], "head string, a double, b double"
     )
 
 
-@case("cal6_isotonic")
+cte("iso_points", """
+SELECT p, row_number() OVER (ORDER BY p) AS i, sum(n) OVER (ORDER BY p) AS w, sum(pos) OVER (ORDER BY p) AS s,
+  n, pos FROM (SELECT p, count(*) AS n, sum(y) AS pos FROM cal WHERE head = 'f' GROUP BY 1)""")
+cte("iso_fit", """
+SELECT i, max(low) AS fit FROM (SELECT j, k AS i, min(mean) OVER (PARTITION BY j ORDER BY k DESC) AS low
+  FROM (SELECT a.i AS j, b.i AS k, (b.s - a.s + a.pos) / (b.w - a.w + a.n) AS mean
+    FROM iso_points a JOIN iso_points b ON b.i >= a.i)) GROUP BY 1""")
+
+
+@case("cal6_isotonic", """
+SELECT p, round(fit, 6) AS calibrated, n FROM iso_points i JOIN iso_fit f ON f.i = i.i""")
 def _(v):
     rows = K.usable(_cal(v))
     model = K.fit_isotonic(rows, "f")
@@ -585,10 +617,10 @@ def _(v):
 
 
 def _scaled(slates, scores):
-    top = scores.agg(F.max("score").alias("m")).withColumn("_k", F.lit(1))
-    rows = slates.join(scores, "token_id").withColumn("_k", F.lit(1)).join(top, "_k")
+    top = scores.agg(F.max("score")).first()[0]
+    rows = slates.join(scores, "token_id")
     return rows.select(
-        "head", "label", (F.col("score") / F.col("m")).alias("p"),
+        "head", "label", (F.col("score") / top).alias("p"),
         F.concat_ws("-", "user_id", "token_id", "head").alias("unit"),
     )
 

@@ -34,21 +34,40 @@ def _(v):
     return top.select("user_id", "token_id", "position", r("score", 5).alias("score"))
 
 
+@case("top6_probe_every_cell", """
+SELECT user_id, token_id, position, round(score, 5) AS score FROM exact_neighbours WHERE position <= 10""")
+def _(v):
+    # With every cell probed the approximate index has to return the exact answer.
+    users, items = v.users_and_items()
+    found = R.approximate_top_k(users, items, 10, cells=12, probes=12, block=64)
+    return found.select("user_id", "token_id", "position", r("score", 5).alias("score"))
+
+
 @case("top6_approximate_neighbours")
 def _(v):
     users, items = v.users_and_items()
-    found = R.approximate_top_k(users, items, 10, tables=4, bucket_length=0.5)
+    found = R.approximate_top_k(users, items, 10, cells=16, probes=4)
     return found.select("user_id", "token_id", "position", r("score", 5).alias("score"))
 
 
-@case("top7_measured_recall")
+@case("top7_measured_recall", """
+SELECT 16 AS probes, count(DISTINCT user_id) AS queries, cast(1 AS DOUBLE) AS recall,
+  cast(1 AS DOUBLE) AS worst_query_recall FROM exact_neighbours""")
+def _(v):
+    users, items = v.users_and_items()
+    truth = cut(R.exact_top_k(users, items, 10))
+    found = R.approximate_top_k(users, items, 10, cells=16, probes=16)
+    return R.measured_recall(truth, found).withColumn("probes", F.lit(16))
+
+
+@case("top7_recall_by_probes")
 def _(v):
     users, items = v.users_and_items()
-    truth = cut(R.exact_top_k(users, items, 10, block=512))
+    truth = cut(R.exact_top_k(users, items, 10))
     table = None
-    for length in (0.1, 0.2, 0.5):
-        found = R.approximate_top_k(users, items, 10, tables=3, bucket_length=length)
-        one = R.measured_recall(truth, found).withColumn("bucket_length", F.lit(length))
+    for probes in (2, 8):
+        found = R.approximate_top_k(users, items, 10, cells=16, probes=probes)
+        one = R.measured_recall(truth, found).withColumn("probes", F.lit(probes))
         table = one if table is None else table.unionByName(one)
     return table
 

@@ -14,6 +14,7 @@ from shelfstream.operators import sequences as Q
 from shelfstream.plans import silver
 from shelfstream.plans.gold import SequenceRules, labelled_events
 from shelfstream.scale import cut
+from shelfstream.session import tune
 from workload.registry import cte
 
 RULES = TokenRules.of(
@@ -43,8 +44,7 @@ def text_of(array: Column | str, sep: str = ",") -> Column:
 
 class Retail:
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        self.spark, self.folder = tune(spark), folder.rstrip("/")
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
