@@ -208,8 +208,10 @@ def fit_platt(
             return False
         sa = (bb * g["ga"] - g["ab"] * g["gb"]) / det
         sb = (aa * g["gb"] - g["ab"] * g["ga"]) / det
-        # Half the directional derivative is the drop Newton's model predicts.
-        if (g["ga"] * sa + g["gb"] * sb) / 2 < 1e-12:
+        # Half the directional derivative is the drop Newton's model predicts. Once
+        # it is below what the summed loss can resolve, the step is the last one.
+        if (g["ga"] * sa + g["gb"] * sb) / 2 < 1e-12 * (1 + abs(g["loss"])):
+            best[head] = (best[head][0] - sa, best[head][1] - sb)
             return False
         steps[head] = (sa, sb, 0)
         return True

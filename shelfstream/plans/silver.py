@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from shelfstream.functions.privacy import key_fingerprint
 from shelfstream.operators import cleaning as C
+from shelfstream.scale import cut
 from shelfstream.sources.tables import Warehouse
 
 
@@ -46,13 +47,17 @@ def clean(
     rules: SilverRules,
     seen: dict[str, Observation] | None = None,
 ) -> DataFrame:
-    """The silver events. ``seen`` receives a row count per step, from the same pass."""
+    """The silver events. ``seen`` receives a row count per step, from the same pass.
+
+    The de-duplicated events feed both the per-user rule and the result, so they
+    are stored once in between; otherwise the widest shuffle would run twice.
+    """
     events = _counted(events, "input_events", seen)
     if rules.consumer:
         events = _counted(C.consented(events, rules.consumer), "after_consent", seen)
     events = _counted(C.deduplicated(events, ["event_id"]), "after_dedupe", seen)
     events = _counted(C.without_types(events, rules.drop_types), "after_type_filter", seen)
-    events = _counted(C.known_skus(events, items), "after_catalog_join", seen)
+    events = cut(_counted(C.known_skus(events, items), "after_catalog_join", seen))
     users = C.eligible_users(events, rules.bot_per_day, rules.min_events, rules.max_events)
     events = _counted(C.only_users(events, users), "after_user_filters", seen)
     # The length rule bounds a user's rows, so a plain per-user window is safe

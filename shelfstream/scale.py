@@ -196,9 +196,13 @@ def order_statistics(
     without ``by``.
     """
     value = F.col(column).cast("double")
-    data = df.select(
-        (F.col(by).cast("string") if by else F.lit("")).alias("_g"), value.alias("_v")
-    ).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    # Stored as two narrow columns: the passes then read those with pushed-down
+    # bounds instead of repeating whatever produced ``df``.
+    data = cut(
+        df.select(
+            (F.col(by).cast("string") if by else F.lit("")).alias("_g"), value.alias("_v")
+        ).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    )
     heads = (
         data.groupBy("_g")
         .agg(F.count("*").alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
