@@ -89,9 +89,11 @@ def test_running_totals_do_not_depend_on_the_buckets(spark):
             assert r.t == total[r.user_id]
 
 
-def test_shared_folder_comes_from_the_session(spark, tmp_path):
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
-    try:
-        assert SC.fresh_dir(spark, "x").startswith(str(tmp_path))
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
+def test_shared_folder_comes_from_the_session():
+    from unittest.mock import MagicMock
+
+    session = MagicMock()
+    session.conf.get.return_value = "hdfs:///shared"
+    session.sparkContext.getCheckpointDir.return_value = None
+    assert SC.fresh_dir(session, "x").startswith("hdfs:///shared/x-")
+    session.sparkContext.setCheckpointDir.assert_called_once_with("hdfs:///shared")
