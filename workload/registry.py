@@ -46,10 +46,10 @@ def case(name: str, sql: str | None = None):
     """Register ``fn(view)`` under ``name``; ``view`` wraps (spark, folder)."""
 
     def register(fn):
-        from workload.views import Retail
+        from workload.views import view_for
 
         def run(spark: SparkSession, folder: str) -> DataFrame:
-            return fn(Retail(spark, folder))
+            return fn(view_for(spark, folder))
 
         run.__name__ = name
         if name in QUERIES:

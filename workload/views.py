@@ -13,7 +13,7 @@ from shelfstream.operators import lists as L
 from shelfstream.operators import sequences as Q
 from shelfstream.plans import silver
 from shelfstream.plans.gold import SequenceRules, labelled_events
-from shelfstream.scale import cut
+from shelfstream.scale import cut, shared_dir
 from shelfstream.session import tune
 from workload.registry import cte
 
@@ -42,9 +42,37 @@ def text_of(array: Column | str, sep: str = ",") -> Column:
     return F.array_join(value.cast("array<string>"), sep)
 
 
+_VIEWS: dict[tuple, Retail] = {}
+
+
+def view_for(spark: SparkSession, folder: str) -> Retail:
+    """The view of a session and folder; its stored layers serve later queries too.
+
+    As in a warehouse, silver and gold are written once and read by many. A
+    new session, or a cleared scratch folder, starts from the tables again.
+    """
+    key = (spark.sparkContext.applicationId, id(spark), folder)
+    if key not in _VIEWS or not _VIEWS[key].alive():
+        _VIEWS[key] = Retail(spark, folder)
+    return _VIEWS[key]
+
+
+def forget() -> None:
+    """Drop the stored layers from memory, so that the next query rebuilds them."""
+    _VIEWS.clear()
+
+
 class Retail:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = tune(spark), folder.rstrip("/")
+        self._home = shared_dir(spark)
+
+    def alive(self) -> bool:
+        """Whether the folder that holds the stored layers still exists."""
+        from shelfstream.sources.tables import Warehouse
+
+        fs, path = Warehouse(self.spark, "")._path(self._home)
+        return fs.exists(path)
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
