@@ -1,5 +1,12 @@
 """Retail event analytics as DataFrame-to-DataFrame functions on Spark."""
 
-from shelfstream.session import build_session
+import sys
 
-__all__ = ["build_session"]
+from pyspark import cloudpickle
+
+from shelfstream.session import build_session, tune
+
+# Code used inside tasks travels with them, so workers need no installed copy.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+__all__ = ["build_session", "tune"]
