@@ -295,12 +295,12 @@ def keeps_order(rows: DataFrame, calibrators: Mapping[str, Calibrator]) -> set[s
     Neighbours are compared inside pieces of the probability range, and piece
     borders on the piece extremes, so no head is sorted in one task.
     """
-    from shelfstream.scale import range_bucket
+    from shelfstream.scale import pieces
 
     points = rows.select("head", "p").distinct()
     mapped = calibrated(points.withColumn("x", F.col("p")), calibrators)
     piece = mapped.withColumnsRenamed({"p": "y", "x": "p"})
-    piece = piece.withColumn("_b", range_bucket(points, "p"))
+    piece = pieces(piece, ["head", "p"], "_b").drop("_position")
     inside = Window.partitionBy("head", "_b").orderBy("p")
     steps = piece.withColumn("_d", F.col("y") - F.lag("y").over(inside))
     pieces = steps.groupBy("head", "_b").agg(

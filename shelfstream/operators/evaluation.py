@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from shelfstream.functions import actions as A
 from shelfstream.functions import scalars as S
 from shelfstream.operators.lists import dominant_category
-from shelfstream.scale import hash_uint32, order_statistics, range_bucket, running_totals
+from shelfstream.scale import hash_uint32, order_statistics, running_totals
 
 METRICS = ("recall", "ndcg", "hit_rate")
 
@@ -101,8 +101,7 @@ def auc(df: DataFrame, score: str, label: str, groups: Sequence[str] = ()) -> Da
         F.sum((F.col(label) > 0).cast("long")).alias("_p"),
         F.sum((F.col(label) <= 0).cast("long")).alias("_q"),
     )
-    bucket = range_bucket(distinct, "_s")
-    run = running_totals(distinct, groups, ["_s"], {"_below": "_q"}, bucket)
+    run = running_totals(distinct, groups, ["_s"], {"_below": "_q"})
     won = F.sum(F.col("_p") * (F.col("_below") - F.col("_q") + F.col("_q") / 2))
     table = run.groupBy(*groups).agg(
         won.alias("_won"), F.sum("_p").alias("positives"), F.sum("_q").alias("negatives")

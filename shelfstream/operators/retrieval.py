@@ -28,8 +28,8 @@ def pair_scores(
 
 def _local_top(fetch: int):
     def run(u: pd.DataFrame, i: pd.DataFrame) -> pd.DataFrame:
+        kinds = {"user_id": "int64", "token_id": "int64", "score": "float64"}
         if u.empty or i.empty:
-            kinds = {"user_id": "int64", "token_id": "int64", "score": "float64"}
             return pd.DataFrame({name: pd.Series(dtype=kind) for name, kind in kinds.items()})
         # Items in id order, so that a stable sort settles ties by id.
         i = i.sort_values("token_id")
@@ -37,19 +37,33 @@ def _local_top(fetch: int):
         scores = np.stack(u["vector"].to_numpy()).astype(np.float64) @ np.stack(
             i["vector"].to_numpy()
         ).astype(np.float64).T
+        barred = np.zeros(scores.shape, dtype=bool)
+        for row, tokens in enumerate(u["excluded"]):
+            if tokens is not None and len(tokens):
+                barred[row] = np.isin(ids, tokens)
+        scores = np.where(barred, -np.inf, scores)
         n = min(fetch, ids.size)
         best = np.argsort(-scores, axis=1, kind="stable")[:, :n]
+        kept = ~np.take_along_axis(barred, best, axis=1).ravel()
         return pd.DataFrame(
             {
-                "user_id": np.repeat(u["user_id"].to_numpy(dtype=np.int64), n),
-                "token_id": ids[best].ravel(),
-                "score": np.take_along_axis(scores, best, axis=1).ravel(),
+                "user_id": np.repeat(u["user_id"].to_numpy(dtype=np.int64), n)[kept],
+                "token_id": ids[best].ravel()[kept],
+                "score": np.take_along_axis(scores, best, axis=1).ravel()[kept],
             }
         )
 
     return run
 
 
+def _with_excluded(users: DataFrame, exclude: DataFrame | None) -> DataFrame:
+    """``users`` with ``excluded``, the tokens of each that may not be fetched (or null)."""
+    if exclude is None:
+        return users.withColumn("excluded", F.lit(None).cast("array<long>"))
+    lists = exclude.groupBy("user_id").agg(F.collect_set(F.col("token_id").cast("long")).alias("excluded"))
+    return users.join(lists, "user_id", "left")
+
+
 def _blocked_top(users: DataFrame, items: DataFrame, fetch: int, block: int) -> DataFrame:
     """Local top lists of every (cell, user block, item block).
 
@@ -69,6 +83,7 @@ def _blocked_top(users: DataFrame, items: DataFrame, fetch: int, block: int) ->
         return df.join(plan, "cell").select(
             F.col(key).cast("long").alias(key),
             "vector",
+            *[c for c in ("excluded",) if c in df.columns],
             "cell",
             F.pmod(hash_uint32(key), F.col(own_n)).cast("int").alias(own),
             F.explode(F.sequence(F.lit(0), F.col(other_n) - 1)).alias(other),
@@ -90,30 +105,28 @@ def exact_top_k(
     k: int,
     exclude: DataFrame | None = None,
     block: int = 2048,
-    max_excluded: int = 0,
 ) -> DataFrame:
     """Exact top-k items per user as a blocked matrix product.
 
     Users are (user_id, vector), items (token_id, vector). The score matrix is
-    never written. ``exclude`` (user_id, token_id) is applied after fetching
-    ``max_excluded`` more, the most any user excludes.
+    never written. ``exclude`` (user_id, token_id) holds inside the blocks, so
+    a list is short only where a user has fewer than ``k`` items left.
     """
+    users = _with_excluded(users, exclude)
 
     def whole(df, key):
         # Fresh aliases: both sides may come from the same table.
         return df.select(
-            F.col(key).alias(key), F.col("vector").alias("vector"), F.lit(0).alias("cell")
+            F.col(key).alias(key),
+            F.col("vector").alias("vector"),
+            *[F.col(c).alias(c) for c in ("excluded",) if c in df.columns],
+            F.lit(0).alias("cell"),
         )
 
-    local = _blocked_top(
-        whole(users, "user_id"), whole(items, "token_id"), k + max_excluded, block
-    )
-    return _best(local, k, exclude)
+    return _best(_blocked_top(whole(users, "user_id"), whole(items, "token_id"), k, block), k)
 
 
-def _best(scored: DataFrame, k: int, exclude: DataFrame | None) -> DataFrame:
-    if exclude is not None:
-        scored = scored.join(exclude, ["user_id", "token_id"], "left_anti")
+def _best(scored: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("user_id").orderBy(F.desc("score"), F.asc("token_id"))
     return scored.withColumn("position", F.row_number().over(order)).filter(
         F.col("position") <= k
@@ -136,7 +149,7 @@ def _nearest_cells(centers: np.ndarray, key: str, n: int):
         for batch in batches:
             x = np.stack(batch["vector"].to_numpy()).astype(np.float64)
             order = np.argsort(half - x @ centers.T, axis=1, kind="stable")[:, :n]
-            out = batch[[key, "vector"]].copy()
+            out = batch.copy()
             out["cell"] = list(order.astype(np.int32))
             yield out.explode("cell").astype({"cell": "int32"})
 
@@ -150,27 +163,31 @@ def approximate_top_k(
     cells: int = 100,
     probes: int = 10,
     exclude: DataFrame | None = None,
-    max_excluded: int = 0,
     block: int = 2048,
     seed: int = 7,
+    centers: np.ndarray | None = None,
 ) -> DataFrame:
     """Approximate top-k: items by nearest centroid, users look into ``probes`` cells.
 
     ``probes`` sets the exchange between recall and work (see
     :func:`measured_recall`); with as many probes as cells the answer is exact.
+    ``centers`` may be given instead of fitted.
     """
-    centers = np.stack(fit_cells(items, cells, seed).clusterCenters())
+    if centers is None:
+        centers = np.stack(fit_cells(items, cells, seed).clusterCenters())
+    users = _with_excluded(users, exclude)
     probes = min(probes, len(centers))
 
     def placed(df, key, n):
-        schema = f"{key} long, vector array<float>, cell int"
-        rows = df.select(F.col(key).cast("long").alias(key), F.col("vector").cast("array<float>").alias("vector"))
+        more = [c for c in ("excluded",) if c in df.columns]
+        schema = ", ".join([f"{key} long", "vector array<float>", *[f"{c} array<long>" for c in more], "cell int"])
+        rows = df.select(
+            F.col(key).cast("long").alias(key), F.col("vector").cast("array<float>").alias("vector"), *more
+        )
         return rows.mapInPandas(_nearest_cells(centers, key, n), schema)
 
-    local = _blocked_top(
-        placed(users, "user_id", probes), placed(items, "token_id", 1), k + max_excluded, block
-    )
-    return _best(local, k, exclude)
+    local = _blocked_top(placed(users, "user_id", probes), placed(items, "token_id", 1), k, block)
+    return _best(local, k)
 
 
 def measured_recall(truth: DataFrame, found: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfstream.scale import range_bucket, ranked_rows, running_totals
+from shelfstream.scale import pieces, ranked_rows, running_totals
 
 
 def event_rank(
@@ -17,8 +17,7 @@ def event_rank(
     size. Where a cap on events per user has been applied, a plain
     ``row_number`` is enough (see the silver plan).
     """
-    bucket = range_bucket(events, order[0])
-    ranked = ranked_rows(events, ["user_id"], order, bucket, out)
+    ranked = ranked_rows(events, ["user_id"], order, out)
     return ranked.withColumn(out, F.col(out).cast("int"))
 
 
@@ -28,8 +27,7 @@ def sessionise(events: DataFrame, gap_seconds: int = 1800) -> DataFrame:
     Needs user_id, event_ts_unix and event_id. The predecessor of the first
     event of a piece comes from the newest time of the user's previous piece.
     """
-    bucket = range_bucket(events, "event_ts_unix")
-    piece = events.withColumn("_piece", bucket)
+    piece = pieces(events, ["user_id", "event_ts_unix", "event_id"]).drop("_position")
     newest = piece.groupBy("user_id", "_piece").agg(F.max("event_ts_unix").alias("_newest"))
     chain = Window.partitionBy("user_id").orderBy("_piece")
     before = newest.select("user_id", "_piece", F.lag("_newest").over(chain).alias("_before"))
@@ -48,10 +46,10 @@ def sessionise(events: DataFrame, gap_seconds: int = 1800) -> DataFrame:
         )
     )
     numbered = running_totals(
-        marked, ["user_id"], ["event_ts_unix", "event_id"], {"_session": "_starts"}, F.col("_piece")
+        marked.drop("_piece"), ["user_id"], ["event_ts_unix", "event_id"], {"_session": "_starts"}
     )
     return numbered.withColumn("session_id", F.concat_ws("#", "user_id", "_session")).drop(
-        "_piece", "_previous", "_before", "_starts", "_session"
+        "_previous", "_before", "_starts", "_session"
     )
 
 

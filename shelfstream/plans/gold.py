@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from shelfstream.functions.tokens import TokenRules
 from shelfstream.operators import cleaning as C
 from shelfstream.operators import sequences as Q
+from shelfstream.scale import cut
 from shelfstream.sources.tables import Warehouse
 
 
@@ -46,6 +47,8 @@ def run(
     events = warehouse.read("silver.interactions")
     items = warehouse.read("silver.item_hierarchy")
     labelled, t1, t2 = labelled_events(events, items, tokens, rules)
+    # Read by the vocabulary, the three splits and the report: joined and labelled once.
+    labelled = cut(labelled)
     vocab_table, rows_table = f"gold.vocab_{variant}", f"gold.sequences_{variant}"
     # Written and read back: the ids are fixed before anything depends on them,
     # and Catalyst knows the size of the stored table when it plans the joins.

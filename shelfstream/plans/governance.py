@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame
@@ -26,52 +26,55 @@ REPORT = (
 # -- identifiers --------------------------------------------------------------
 
 
-def _string_fields(schema: T.StructType, prefix: str = "") -> list[tuple[str, str]]:
-    """(path, kind) of every string field; kind is scalar or array."""
-    found = []
+def _leaves(schema: T.StructType) -> list[tuple[str, T.DataType, Callable]]:
+    """(path, type, ask) of every plain value in the schema, however deep.
+
+    ``ask(test)`` is a column: whether any value at the path passes ``test``.
+    Arrays, map keys and map values are entered by ``exists``.
+    """
+    found: list[tuple[str, T.DataType, Callable]] = []
+
+    def enter(kind: T.DataType, path: str, ask: Callable) -> None:
+        if isinstance(kind, T.StructType):
+            for field in kind.fields:
+                enter(field.dataType, f"{path}.{field.name}", lambda test, n=field.name: ask(lambda v: test(v[n])))
+        elif isinstance(kind, T.ArrayType):
+            enter(kind.elementType, path, lambda test: ask(lambda v: F.exists(v, lambda e: test(e))))
+        elif isinstance(kind, T.MapType):
+            enter(kind.keyType, path, lambda test: ask(lambda v: F.exists(F.map_keys(v), lambda e: test(e))))
+            enter(kind.valueType, path, lambda test: ask(lambda v: F.exists(F.map_values(v), lambda e: test(e))))
+        else:
+            found.append((path, kind, lambda test: F.coalesce(ask(test), F.lit(False))))
+
     for field in schema.fields:
-        path = f"{prefix}{field.name}"
-        if isinstance(field.dataType, T.StringType):
-            found.append((path, "scalar"))
-        elif isinstance(field.dataType, T.ArrayType) and isinstance(
-            field.dataType.elementType, T.StringType
-        ):
-            found.append((path, "array"))
-        elif isinstance(field.dataType, T.StructType):
-            found += _string_fields(field.dataType, f"{path}.")
+        enter(field.dataType, field.name, lambda test, n=field.name: test(F.col(f"`{n}`")))
     return found
 
 
 def find_identifiers(df: DataFrame, names: Sequence[str] = IDENTIFIER_FIELDS) -> DataFrame:
     """(path, reason, rows) where identifiers survive: by field name or by value shape.
 
-    One aggregate over all columns.
+    Fields inside structs, arrays and maps count like top-level ones. One
+    aggregate over all columns.
     """
-    named, shaped = [], []
-    for field in df.schema.fields:
-        if field.name in names:
-            value = F.col(field.name)
-            filled = value.isNotNull()
-            if isinstance(field.dataType, (T.ArrayType, T.MapType)):
-                filled = filled & (F.size(value) > 0)
-            elif isinstance(field.dataType, T.StringType):
-                filled = filled & (value != "")
-            named.append((field.name, F.count_if(filled)))
-    for path, kind in _string_fields(df.schema):
-        if path.split(".")[-1] in names:
+    asked: dict[tuple[str, str], Column] = {}
+    for path, kind, ask in _leaves(df.schema):
+        text = isinstance(kind, T.StringType)
+        if any(part in names for part in path.split(".")):
+            key = (path, "field name")
+            hit = ask((lambda v: v.isNotNull() & (v != "")) if text else (lambda v: v.isNotNull()))
+        elif text:
+            key, hit = (path, "value shape"), ask(has_identifier_shape)
+        else:
             continue
-        value = F.col(path)
-        hit = has_identifier_shape(value)
-        if kind == "array":
-            hit = F.coalesce(F.exists(value, has_identifier_shape), F.lit(False))
-        shaped.append((path, F.count_if(hit)))
-    checks = [(p, "field name", c) for p, c in named] + [(p, "value shape", c) for p, c in shaped]
-    if not checks:
+        # A map has two leaves at one path.
+        asked[key] = asked[key] | hit if key in asked else hit
+    if not asked:
         return df.sparkSession.createDataFrame([], "path string, reason string, rows long")
-    wide = df.agg(*[c.alias(f"c{i}") for i, (_, _, c) in enumerate(checks)])
+    wide = df.agg(*[F.count_if(hit).alias(f"c{i}") for i, hit in enumerate(asked.values())])
     cells = [
         F.struct(F.lit(p).alias("path"), F.lit(r).alias("reason"), F.col(f"c{i}").alias("rows"))
-        for i, (p, r, _) in enumerate(checks)
+        for i, (p, r) in enumerate(asked)
     ]
     return wide.select(F.inline(F.array(*cells))).filter("rows > 0")
 
@@ -214,7 +217,7 @@ def retention(
 
 # -- erasure ------------------------------------------------------------------
 
-# Stores an erasure cannot reach, and what bounds them.
+# Stores an erasure cannot reach, and what bounds them.
 UNERASABLE = (
     ("event log", "append-only and not compacted by user", "topic retention of 7 days"),
     ("model weights", "parameters stay fitted to removed data", "the next training run"),
@@ -228,21 +231,16 @@ def subject_identifiers(user_id: str, key: bytes | None = None, length: int = 32
 
 
 def mentions(df: DataFrame, identifiers: Sequence[str]) -> Column:
-    """Whether any string of the row contains an identifier.
+    """Whether any string of the row, however deep, contains an identifier.
 
-    Every string column is searched, because derived columns such as a session
-    id can embed the user id.
+    Every string is searched, because derived values such as a session id can
+    embed the user id.
     """
     verdict = F.lit(False)
-    for path, kind in _string_fields(df.schema):
-        for identifier in identifiers:
-            value = F.col(path)
-            hit = (
-                F.exists(value, lambda v, i=identifier: v.contains(i))
-                if kind == "array"
-                else value.contains(identifier)
-            )
-            verdict = verdict | F.coalesce(hit, F.lit(False))
+    for _, kind, ask in _leaves(df.schema):
+        if isinstance(kind, T.StringType):
+            for identifier in identifiers:
+                verdict = verdict | ask(lambda v, i=identifier: v.contains(i))
     return verdict
 
 
@@ -270,25 +268,33 @@ def erase_raw_csv(
     warehouse: Warehouse, path: str, schema: str, identifiers: Sequence[str], dry_run: bool,
     column: str = "user_id",
 ) -> dict:
-    """Rewrite a raw CSV folder or file without the subject's rows."""
+    """Rewrite raw CSV files without the subject's rows; all other lines stay as they are.
+
+    Lines are kept as text, with columns the schema doesn't know and numbers as
+    written. The files must share a header and have one record per line.
+    """
     spark = warehouse.spark
-    df = spark.read.schema(schema).option("header", True).csv(path)
-    hits = df.filter(F.col(column).isin(*identifiers)).count()
+    header = spark.read.option("header", True).option("inferSchema", False).csv(path).columns
+    lines = spark.read.option("recursiveFileLookup", True).text(path)
+    titles = lines.limit(1).first()
+    if titles is None or column not in header:
+        return {"store": path, "status": f"no {column} column", "rows_removed": 0}
+    fields = ", ".join(f"_c{i} string" for i in range(len(header)))
+    owner = F.from_csv("value", fields)[f"_c{header.index(column)}"]
+    theirs = F.coalesce(owner.isin(*identifiers), F.lit(False))
+    hits = lines.filter(theirs).count()
     if dry_run or hits == 0:
         status = "would erase" if hits else "nothing to erase"
         return {"store": path, "status": status, "rows_removed": hits}
-    staging, old = path.rstrip("/") + "__staging", path.rstrip("/") + "__old"
-    without_subject(df, identifiers, column).write.mode("overwrite").option("header", True).csv(
-        staging
-    )
-    fs, target = warehouse._path(path)
-    _, staged = warehouse._path(staging)
-    _, aside = warehouse._path(old)
-    fs.rename(target, aside)
-    if not fs.rename(staged, target):
-        fs.rename(aside, target)
-        raise OSError(f"could not move {staging!r} into place")
-    fs.delete(aside, True)
+    staging = path.rstrip("/") + "__staging"
+    # One column whose name is the header line: each file starts with it, and
+    # with quoting and trimming off the lines pass unchanged.
+    kept = lines.filter(~theirs & (F.col("value") != titles["value"]))
+    kept.select(F.col("value").alias(titles["value"])).write.mode("overwrite").options(
+        header=True, quote="", sep="\u0001", emptyValue="",
+        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
+    ).csv(staging)
+    warehouse.swap(path, staging)
     return {"store": path, "status": "rewritten", "rows_removed": hits}
 
 
@@ -300,8 +306,9 @@ def verify_erased(
 ) -> DataFrame:
     """(where, matches) for every file set that still mentions the subject.
 
-    All files below a table's folder are read, also ones no query would list;
-    raw text is searched line by line.
+    All files below a table's folder are read, also ones no query would list,
+    with the columns that any of them has; partition values in folder names
+    are searched too. Raw text is searched line by line.
     """
     spark, found = warehouse.spark, []
     for layer in layers:
@@ -312,9 +319,13 @@ def verify_erased(
             name = status.getPath().getName()
             files = spark.read.option("recursiveFileLookup", True).option(
                 "pathGlobFilter", "*.parquet"
-            )
+            ).option("mergeSchema", True)
             df = files.parquet(f"{warehouse.root.rstrip('/')}/{layer}/{name}")
-            found.append((f"{layer}.{name}", df.filter(mentions(df, identifiers)).count()))
+            folder_of = F.url_decode(F.col("_metadata.file_path"))
+            named = F.lit(False)
+            for identifier in identifiers:
+                named = named | folder_of.contains(f"={identifier}/")
+            found.append((f"{layer}.{name}", df.filter(mentions(df, identifiers) | named).count()))
     for path in raw_paths:
         lines = spark.read.option("recursiveFileLookup", True).text(path)
         found.append((path, lines.filter(mentions(lines, identifiers)).count()))

@@ -9,31 +9,34 @@ small per-piece totals.
 from __future__ import annotations
 
 import math
+import re
 import tempfile
 from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# Largest number of rows any helper here brings to the driver.
-DRIVER_ROWS = 20_000
-
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder for checkpoints and intermediate tables.
 
-    A cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (tests, a laptop) is a scratch folder chosen here.
+    A cluster names it in ``spark.checkpoint.dir``; only a local master (tests,
+    a laptop) may leave it unset and gets a scratch folder. Elsewhere each
+    executor would write to a folder of its own, so that is refused.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir"
+    context = spark.sparkContext
+    configured = (
+        spark.conf.get("spark.checkpoint.dir", None)
+        or context.getConf().get("spark.checkpoint.dir")
+        or context.getCheckpointDir()
     )
     if not configured:
-        configured = spark.sparkContext.getCheckpointDir()
-    if not configured:
+        master = str(context.master)
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"set spark.checkpoint.dir to a shared folder (master {master})")
         configured = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(configured)
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(configured)
     return configured
 
 
@@ -55,11 +58,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def within(df: DataFrame, max_rows: int) -> bool:
-    """Whether ``df`` has at most ``max_rows`` rows (reads no further than that)."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
 def hash_uint32(*columns: Column | str, seed: int | str = 0) -> Column:
     """A repeatable uniform integer in [0, 2**32) from the given values.
 
@@ -92,91 +90,75 @@ def bin_index(value: Column, inner_edges: Sequence[float]) -> Column:
     return _threshold_index(value, sorted(inner_edges))
 
 
-def range_bucket(df: DataFrame, column: str, buckets: int = 64) -> Column:
-    """A column that splits ``df`` into about equal pieces ordered by ``column``.
+def pieces(df: DataFrame, order: Sequence[str | Column], out: str = "_piece") -> DataFrame:
+    """``df`` stored in ``order``, with the number of the stretch a row lies in.
 
-    One sketch aggregate fixes the split points; they become literals, so every
-    evaluation of the plan assigns the same bucket.
+    Rows are range-partitioned on the whole sort key, so neither a hot group
+    nor rows that tie on the first columns gather in one piece, and the number
+    of pieces follows the data. The numbers are stored with the rows: a
+    retried task can't change them. They never fall along ``order``.
     """
-    probabilities = [i / buckets for i in range(1, buckets)]
-    row = df.agg(
-        F.percentile_approx(F.col(column).cast("double"), probabilities, 2000).alias("q")
-    ).first()
-    splits = sorted({float(v) for v in (row["q"] or [])})
-    return F.coalesce(bin_index(F.col(column).cast("double"), splits), F.lit(0))
+    keys = [F.col(c) if isinstance(c, str) else c for c in order]
+    sorted_rows = df.orderBy(*keys).withColumn("_position", F.monotonically_increasing_id())
+    return cut(sorted_rows).withColumn(out, F.shiftright("_position", 33))
 
 
 def running_totals(
-    df: DataFrame,
-    groups: Sequence[str],
-    order: Sequence[str],
-    sums: dict[str, str],
-    bucket: Column,
+    df: DataFrame, groups: Sequence[str], order: Sequence[str], sums: dict[str, str]
 ) -> DataFrame:
     """Inclusive running sums per group in ``order``; ``sums`` maps output to input.
 
-    ``bucket`` must not decrease along ``order``. Work per task is one
-    (group, bucket) piece; the per-group window runs over bucket totals only.
+    Work per task is one (group, piece); the per-group window runs over the
+    totals of pieces only.
     """
     groups = list(groups)
-    piece = df.withColumn("_bucket", bucket)
-    totals = piece.groupBy(*groups, "_bucket").agg(
+    piece = pieces(df, [*groups, *order]).drop("_position")
+    totals = piece.groupBy(*groups, "_piece").agg(
         *[F.sum(source).alias(f"_t_{out}") for out, source in sums.items()]
     )
-    before = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(
+    before = Window.partitionBy(*groups).orderBy("_piece").rowsBetween(
         Window.unboundedPreceding, -1
     )
     offsets = totals.select(
         *groups,
-        "_bucket",
+        "_piece",
         *[F.coalesce(F.sum(f"_t_{out}").over(before), F.lit(0)).alias(f"_o_{out}") for out in sums],
     )
-    inside = Window.partitionBy(*groups, "_bucket").orderBy(*order).rowsBetween(
+    inside = Window.partitionBy(*groups, "_piece").orderBy(*order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
     joined = piece.select(
         "*", *[F.sum(source).over(inside).alias(f"_i_{out}") for out, source in sums.items()]
-    ).join(offsets, [*groups, "_bucket"])
+    ).join(offsets, [*groups, "_piece"])
     for out in sums:
         joined = joined.withColumn(out, F.col(f"_i_{out}") + F.col(f"_o_{out}"))
-    drop = ["_bucket"] + [f"_i_{o}" for o in sums] + [f"_o_{o}" for o in sums]
+    drop = ["_piece"] + [f"_i_{o}" for o in sums] + [f"_o_{o}" for o in sums]
     return joined.drop(*drop)
 
 
-def ranked_rows(
-    df: DataFrame, groups: Sequence[str], order: Sequence[str], bucket: Column, out: str
-) -> DataFrame:
-    """``row_number`` per group that splits a hot group by ``bucket``."""
+def ranked_rows(df: DataFrame, groups: Sequence[str], order: Sequence[str], out: str) -> DataFrame:
+    """``row_number`` per group that splits a hot group."""
     marked = df.withColumn("_one", F.lit(1).cast("long"))
-    return running_totals(marked, groups, order, {out: "_one"}, bucket).drop("_one")
+    return running_totals(marked, groups, order, {out: "_one"}).drop("_one")
 
 
-def global_row_number(
-    df: DataFrame, order: Sequence[Column], out: str, one_task_rows: int = 100_000
-) -> DataFrame:
-    """1-based position in a total order, without funnelling many rows into one task.
+def global_row_number(df: DataFrame, order: Sequence[Column], out: str) -> DataFrame:
+    """1-based position in a total order, without funnelling rows into one task.
 
-    The rows are materialised first, so both the numbering and its size check
-    read a table. Only a set checked to be small is numbered by one window; a
-    larger one is range-partitioned on the whole key (ties on its first column
-    do not matter), stored, and numbered from the partition sizes. Storing
-    before counting means a retried task cannot shift the numbers.
+    Each stored piece is numbered from its rows' positions in it and from the
+    sizes of the pieces before (one row per piece, joined and not listed).
     """
-    rows = cut(df)
-    if within(rows, one_task_rows):
-        return rows.withColumn(out, F.row_number().over(Window.orderBy(*order)).cast("long"))
-    ordered = cut(
-        rows.orderBy(*order).withColumn("_position", F.monotonically_increasing_id())
+    ordered = pieces(df, order)
+    before = Window.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ordered.groupBy("_piece").agg(F.count("*").alias("_size")).select(
+        "_piece", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start")
     )
-    part = F.shiftright(F.col("_position"), 33)
-    sizes = ordered.groupBy(part.alias("part")).count().orderBy("part").collect()
-    offset, pairs = 0, []
-    for row in sizes:
-        pairs += [F.lit(row["part"]), F.lit(offset).cast("long")]
-        offset += row["count"]
-    start = F.create_map(*pairs)[part]
     local = F.col("_position").bitwiseAND(F.lit((1 << 33) - 1))
-    return ordered.withColumn(out, (start + local + 1).cast("long")).drop("_position")
+    return (
+        ordered.join(starts, "_piece")
+        .withColumn(out, (F.col("_start") + local + 1).cast("long"))
+        .drop("_piece", "_position", "_start")
+    )
 
 
 def order_statistics(
@@ -184,89 +166,33 @@ def order_statistics(
     column: str,
     ranks: Callable[[int], Iterable[int]],
     by: str | None = None,
-    bins: int = 1024,
 ) -> dict:
     """Exact values at 0-based ranks of ``column``; ``ranks`` maps a group's row count to them.
 
     ``F.percentile`` keeps every distinct value of a group in one task. Here
-    each pass counts rows in ``bins`` equal slices of the intervals that still
-    hold a wanted rank, so a pass shuffles only bin totals and the answer is
-    exact whatever the layout or skew. ``by`` names a column with few distinct
-    values. Returns ``{group: (n, {rank: value})}``; the group is ``None``
-    without ``by``.
+    all values are numbered once in (group, value) order and the wanted
+    positions are looked up. Rows get a number as last sort key, so a value
+    that many rows share is no obstacle either. What reaches the driver is a
+    row per group and per wanted rank, of every group. Null and NaN are left
+    out, infinities are values. Returns ``{group: (n, {rank: value})}``; the
+    group is ``None`` without ``by``.
     """
-    value = F.col(column).cast("double")
-    # Stored as two narrow columns: the passes then read those with pushed-down
-    # bounds instead of repeating whatever produced ``df``.
     data = cut(
         df.select(
-            (F.col(by).cast("string") if by else F.lit("")).alias("_g"), value.alias("_v")
+            (F.col(by).cast("string") if by else F.lit("")).alias("_g"),
+            F.col(column).cast("double").alias("_v"),
+            F.monotonically_increasing_id().alias("_tie"),
         ).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
     )
-    heads = (
-        data.groupBy("_g")
-        .agg(F.count("*").alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
-        .limit(DRIVER_ROWS)
-        .collect()
-    )
-    # Wanted rank -> (lowest, highest, rows below, rows inside) of the interval that holds it.
-    wanted = {
-        (h["_g"], rank): (h["lo"], h["hi"], 0, h["n"]) for h in heads for rank in ranks(h["n"])
-    }
-    found: dict[tuple[str, int], float] = {}
-    while True:
-        for key in [k for k, interval in wanted.items() if interval[0] == interval[1]]:
-            found[key] = wanted.pop(key)[0]
-        if not wanted:
-            break
-        spans = sorted({(key[0], *interval) for key, interval in wanted.items()})
-        members = {
-            i: [k for k, interval in wanted.items() if (k[0], *interval) == span]
-            for i, span in enumerate(spans)
-        }
-        number = F.coalesce(
-            *[
-                F.when((F.col("_g") == g) & F.col("_v").between(lo, hi), F.lit(i))
-                for i, (g, lo, hi, _, _) in enumerate(spans)
-            ]
-        )
-        inside = data.withColumn("_s", number).filter(F.col("_s").isNotNull())
-        if sum(span[4] for span in spans) <= DRIVER_ROWS:
-            values: dict[int, list[float]] = {}
-            for row in inside.select("_s", "_v").collect():
-                values.setdefault(row["_s"], []).append(row["_v"])
-            for i, span in enumerate(spans):
-                ordered = sorted(values[i])
-                for key in members[i]:
-                    found[key] = ordered[key[1] - span[3]]
-                    del wanted[key]
-            continue
-        lo = F.create_map(*[x for i, s in enumerate(spans) for x in (F.lit(i), F.lit(s[1]))])
-        hi = F.create_map(*[x for i, s in enumerate(spans) for x in (F.lit(i), F.lit(s[2]))])
-        low, high = lo[F.col("_s")], hi[F.col("_s")]
-        cell = F.floor((F.col("_v") - low) / (high - low) * F.lit(float(bins)))
-        cells: dict[int, list] = {}
-        for row in (
-            inside.groupBy("_s", F.least(cell, F.lit(bins - 1)).alias("cell"))
-            .agg(F.count("*").alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
-            .collect()
-        ):
-            cells.setdefault(row["_s"], []).append(row)
-        for i, span in enumerate(spans):
-            for key in members[i]:
-                reached = span[3]
-                for c in sorted(cells[i], key=lambda r: r["cell"]):
-                    if key[1] < reached + c["n"]:
-                        wanted[key] = (c["lo"], c["hi"], reached, c["n"])
-                        break
-                    reached += c["n"]
-    return {
-        (h["_g"] if by else None): (
-            h["n"],
-            {rank: v for (g, rank), v in found.items() if g == h["_g"]},
-        )
-        for h in heads
-    }
+    numbered = global_row_number(data, [F.col(c) for c in ("_g", "_v", "_tie")], "_n")
+    heads = numbered.groupBy("_g").agg(F.count("*").alias("n"), F.min("_n").alias("first")).collect()
+    wanted = [(h["first"] + rank, h["_g"], rank) for h in heads for rank in set(ranks(h["n"]))]
+    found: dict = {h["_g"]: (h["n"], {}) for h in heads}
+    if wanted:
+        places = df.sparkSession.createDataFrame(wanted, "_n long, _group string, _rank long")
+        for row in numbered.join(places, "_n").select("_group", "_rank", "_v").collect():
+            found[row["_group"]][1][row["_rank"]] = row["_v"]
+    return {(group if by else None): value for group, value in found.items()}
 
 
 def exact_quantiles(

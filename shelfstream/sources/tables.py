@@ -80,6 +80,9 @@ class Warehouse:
                 table
             ) else writer.createOrReplace()
             return
+        if parts:
+            # A task then writes few partitions, and AQE splits a large one.
+            df = df.hint("rebalance", *parts)
         writer = df.write.format(self.fmt).mode(mode)
         (writer.partitionBy(*parts) if parts else writer).save(self.location(table))
 
@@ -96,28 +99,44 @@ class Warehouse:
             path = keyed[0].getPath()
         return names
 
+    def swap(self, target: str, staging: str) -> None:
+        """Put the folder ``staging`` in the place of ``target``.
+
+        Two renames: between them readers find no folder, and on an object
+        store a rename copies; a table format has neither fault. What an
+        interrupted swap left behind is put right first: with the table gone
+        its old copy comes back, with the table there the old copy goes.
+        """
+        fs, path = self._path(target)
+        _, staged = self._path(staging)
+        _, aside = self._path(target.rstrip("/") + "__old")
+        if fs.exists(aside):
+            if fs.exists(path):
+                fs.delete(aside, True)
+            elif not fs.rename(aside, path):
+                raise OSError(f"could not restore {target!r}")
+        if not fs.rename(path, aside):
+            raise OSError(f"could not set {target!r} aside")
+        if not fs.rename(staged, path):
+            fs.rename(aside, path)
+            raise OSError(f"could not move {staging!r} into place")
+        fs.delete(aside, True)
+
     def rewrite(self, table: str, df: DataFrame) -> None:
         """Replace a table by a frame that was derived from it.
 
-        The new rows are written beside the table and moved into place, so no
-        reader loses its input and an executor lost midway costs a retry, not data.
+        The new rows are written beside the table and then take its place (see
+        :meth:`swap`), so the frame may read the table it replaces.
         """
         if self.fmt == "iceberg":
             self.write(table, df)
             return
         parts = self.observed_partitions(table)
         target = self.location(table)
-        staging, old = target + "__staging", target + "__old"
+        staging = target + "__staging"
         writer = df.write.format(self.fmt).mode("overwrite")
         (writer.partitionBy(*parts) if parts else writer).save(staging)
-        fs, path = self._path(target)
-        _, staged = self._path(staging)
-        _, aside = self._path(old)
-        fs.rename(path, aside)
-        if not fs.rename(staged, path):
-            fs.rename(aside, path)
-            raise OSError(f"could not move {staging!r} into place")
-        fs.delete(aside, True)
+        self.swap(target, staging)
         self.spark.catalog.refreshByPath(target)
 
 

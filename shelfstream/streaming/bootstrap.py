@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import SparkSession
 
 from shelfstream.functions.tokens import TokenRules
+from shelfstream.operators.cleaning import split_valid
 from shelfstream.streaming import sinks, state
 from shelfstream.streaming.topics import read_topic
 
@@ -22,7 +23,8 @@ def bootstrap(
     """Run catalogue, price and stock to completion, then the interactions.
 
     ``topics`` maps topic names to paths. Results are version tables below
-    ``out``: catalog, prices, stock, tails. Returns what was observed.
+    ``out``: catalog, prices, stock, tails; messages that break the topic
+    rules go to ``rejected`` with their reasons. Returns what was observed.
     """
     totals: dict[str, int] = {}
     dimensions = (
@@ -36,6 +38,9 @@ def bootstrap(
         totals.update(sinks.finish(query))
     catalog = sinks.current_rows(spark, f"{out}/catalog", ["sku"])
     events = read_topic(spark, "interactions.v1", topics["interactions.v1"], fmt)
+    events, rejected = split_valid(events)
+    query = sinks.append_stream(rejected, f"{out}/rejected", f"{out}/_checkpoints/rejected")
+    totals.update(sinks.finish(query))
     tails = state.user_tails(state.resolved(events, catalog, rules), tail_length)
     query = sinks.write_versions(tails, f"{out}/tails", f"{out}/_checkpoints/tails")
     totals.update(sinks.finish(query))

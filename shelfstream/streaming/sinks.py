@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,6 +43,7 @@ def append_stream(
     df: DataFrame, path: str, checkpoint: str, partition_by: Sequence[str] = (), **trigger
 ):
     """Append to Parquet; the file sink's log makes a retried batch harmless."""
+    _watch(df.sparkSession)
     writer = df.writeStream.format("parquet").outputMode("append")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -56,6 +58,8 @@ def append_stream(
 def write_versions(df: DataFrame, path: str, checkpoint: str, mode: str = "update", **trigger):
     """Write each batch's changed rows to its own folder; a retried batch replaces it."""
 
+    _watch(df.sparkSession)
+
     def save(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
@@ -73,12 +77,16 @@ def current_rows(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFra
     return last_per_key(spark.read.parquet(path), list(keys), "batch").drop("batch")
 
 
-def finish(query) -> dict[str, int]:
-    """Wait for a bounded run and add up what it observed."""
+def finish(query, patience: float = 60.0) -> dict[str, int]:
+    """Wait for a bounded run started here and add up what all its batches observed.
+
+    A query itself remembers its last batches only; the session's listener
+    hears of every one.
+    """
     query.awaitTermination()
     if query.exception() is not None:
         raise query.exception()
-    return observed(query.recentProgress)
+    return _RUNS.totals(str(query.runId), patience)
 
 
 def observed(progress) -> dict[str, int]:
@@ -91,6 +99,51 @@ def observed(progress) -> dict[str, int]:
     return total
 
 
+class _Runs(StreamingQueryListener):
+    """Totals of observed metrics per run, complete once the run has ended."""
+
+    def __init__(self):
+        self._runs: dict[str, dict[str, int]] = {}
+        self._ended: set[str] = set()
+        self._news = threading.Condition()
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        with self._news:
+            run = self._runs.setdefault(str(event.progress.runId), {})
+            for key, value in observed([event.progress]).items():
+                run[key] = run.get(key, 0) + value
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        with self._news:
+            self._ended.add(str(event.runId))
+            self._news.notify_all()
+
+    def totals(self, run: str, patience: float) -> dict[str, int]:
+        with self._news:
+            if not self._news.wait_for(lambda: run in self._ended, patience):
+                raise TimeoutError(f"no report that run {run} has ended")
+            self._ended.discard(run)
+            return self._runs.pop(run, {})
+
+
+_RUNS = _Runs()
+_WATCHED: set[str] = set()
+
+
+def _watch(spark: SparkSession) -> None:
+    """Attach the listener once per application."""
+    application = spark.sparkContext.applicationId
+    if application not in _WATCHED:
+        _WATCHED.add(application)
+        spark.streams.addListener(_RUNS)
+
+
 class Counters(StreamingQueryListener):
     """Running totals of observed metrics of all queries of a session."""
 

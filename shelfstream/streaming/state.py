@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from shelfstream.functions.tokens import TokenRules, token
+from shelfstream.operators.sessions import last_per_key
 
 EVENT = "user_id string, event_us long, event_id string, sku string, token string, action string, session_id string"
 ENTRY = "event_us long, event_id string, sku string, token string, action string, session_id string"
@@ -98,9 +99,11 @@ def user_tails(
     Before the shuffle every Arrow batch is cut to its newest ``n`` rows per
     user, so a very active user sends little to the one task that owns it. The
     tail is in event order, whatever the arrival order. Expiry follows event
-    time: the watermark has to pass the last event by ``ttl_ms``.
+    time: the watermark has to pass the last event by ``ttl_ms``. Rows without
+    a user or a readable time have no place in a tail and are left out; the
+    bootstrap sends them to its dead letter table.
     """
-    shaped = events.select(
+    shaped = events.where("user_id is not null and event_ts is not null").select(
         "user_id",
         F.unix_micros(F.col("event_ts").cast("timestamp")).alias("event_us"),
         "event_id",
@@ -119,10 +122,12 @@ def user_tails(
 
 
 def latest(changes: DataFrame, keys: list[str]) -> DataFrame:
-    """Streaming upsert: newest change per key (partial aggregates before the shuffle)."""
-    rest = [c for c in changes.columns if c not in keys]
-    newest = F.max_by(F.struct(*rest), "change_ts")
-    return changes.groupBy(*keys).agg(newest.alias("r")).select(*keys, "r.*")
+    """Streaming upsert: newest change per key (partial aggregates before the shuffle).
+
+    Changes with equal times are settled by their other values, so every run
+    keeps the same one.
+    """
+    return last_per_key(changes, keys)
 
 
 def prices(changes: DataFrame) -> DataFrame:

@@ -12,6 +12,10 @@ from shelfstream.scale import hash_uint32
 from shelfstream.sources.schemas import MESSAGE_COLUMNS, TOPICS
 
 
+# JSON keeps times to the microsecond; Spark's default form ends at the millisecond.
+TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+
+
 def read_topic(
     spark: SparkSession,
     topic: str,
@@ -32,7 +36,7 @@ def read_topic(
         return decode(raw.select(F.col("value").cast("string").alias("value")), topic)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.schema(schema).load(path)
+    return reader.options(**TIMES).schema(schema).load(path)
 
 
 def encode(df: DataFrame, topic: str) -> DataFrame:
@@ -40,12 +44,12 @@ def encode(df: DataFrame, topic: str) -> DataFrame:
     keys = TOPICS[topic][0]
     return df.select(
         F.concat_ws("#", *keys).alias("key"),
-        F.to_json(F.struct(*[c for c in df.columns])).alias("value"),
+        F.to_json(F.struct(*[c for c in df.columns]), TIMES).alias("value"),
     )
 
 
 def decode(df: DataFrame, topic: str) -> DataFrame:
-    return df.select(F.from_json("value", TOPICS[topic][2]).alias("m")).select("m.*")
+    return df.select(F.from_json("value", TOPICS[topic][2], TIMES).alias("m")).select("m.*")
 
 
 def as_messages(silver: DataFrame) -> DataFrame:
@@ -73,20 +77,25 @@ def as_messages(silver: DataFrame) -> DataFrame:
     return silver.select(*[made[name].alias(name) for name in MESSAGE_COLUMNS])
 
 
-def replay(silver: DataFrame, path: str, files: int = 8) -> None:
+def write_messages(messages: DataFrame, path: str) -> None:
+    """Append messages as JSON files of a file topic, times to the microsecond."""
+    messages.write.mode("append").options(**TIMES).json(path)
+
+
+def replay(silver: DataFrame, path: str, files: int | None = None) -> None:
     """Write messages in event-time order as numbered files for a file stream.
 
     Range partitioning gives the global order without a single sorting task;
+    without ``files`` their number follows the data.
     ``maxFilesPerTrigger`` and the trigger interval set the pace of the replay.
     A file stream takes files by modification time, and these are written in
     parallel, so consumers must not rely on the order between files: the state
     operators here order by event time.
     """
+    keys = ("event_ts", "event_id")
     messages = as_messages(silver)
-    ordered = messages.repartitionByRange(files, "event_ts", "event_id").sortWithinPartitions(
-        "event_ts", "event_id"
-    )
-    ordered.write.mode("append").json(path)
+    dealt = messages.repartitionByRange(files, *keys) if files else messages.repartitionByRange(*keys)
+    write_messages(dealt.sortWithinPartitions(*keys), path)
 
 
 def newest_first_limit(silver: DataFrame, n: int) -> DataFrame:

@@ -18,8 +18,7 @@ def skewed(spark, n=6000):
     ).withColumn("event_ts", F.timestamp_seconds("event_ts_unix"))
 
 
-def test_exact_quantiles_match_numpy(spark, monkeypatch):
-    monkeypatch.setattr(SC, "DRIVER_ROWS", 20)
+def test_exact_quantiles_match_numpy(spark):
     rng = np.random.default_rng(0)
     values = np.concatenate([rng.normal(size=400), np.full(300, 0.25), rng.exponential(size=300) * 1e6])
     df = spark.createDataFrame([(float(v), "a" if i % 3 else "b") for i, v in enumerate(values)], "v double, g string")
@@ -37,6 +36,19 @@ def test_order_statistics_ignore_missing_values(spark):
     assert SC.order_statistics(df, "v", lambda n: {0, n - 1})[None] == (2, {0: 1.0, 1: 3.0})
 
 
+def test_order_statistics_take_infinite_values_and_ties(spark):
+    values = [1.0, 2.0, 2.0, 2.0, 5.0, float("inf"), float("-inf")]
+    df = spark.createDataFrame([(v,) for v in values], "v double").repartition(3)
+    n, found = SC.order_statistics(df, "v", range)[None]
+    assert n == 7 and [found[k] for k in range(7)] == sorted(values)
+
+
+def test_order_statistics_keep_every_group(spark):
+    df = spark.range(60_000).select((F.col("id") % 25_000).alias("g"), F.col("id").alias("v"))
+    found = SC.order_statistics(df, "v", lambda n: {0}, by="g")
+    assert len(found) == 25_000 and all(found[str(g)][1][0] == g for g in range(0, 25_000, 997))
+
+
 def test_event_rank_with_a_hot_user(spark):
     df = skewed(spark)
     got = {(r.user_id, r.event_id): r.event_rank for r in SE.event_rank(df).collect()}
@@ -67,26 +79,35 @@ def test_gap_exactly_at_the_limit_stays_in_the_session(spark):
     assert got == {"a": "u#1", "b": "u#1", "c": "u#2"}
 
 
-def test_global_row_number_both_ways(spark):
+def test_global_row_number(spark):
     df = skewed(spark, 900).select("event_id", "event_ts_unix")
     order = [F.desc("event_ts_unix"), F.asc("event_id")]
-    small = {r.event_id: r.n for r in SC.global_row_number(df, order, "n").collect()}
-    large = {r.event_id: r.n for r in SC.global_row_number(df, order, "n", one_task_rows=10).collect()}
+    got = {r.event_id: r.n for r in SC.global_row_number(df, order, "n").collect()}
     expected = sorted(df.collect(), key=lambda r: (-r.event_ts_unix, r.event_id))
-    assert small == large == {r.event_id: i + 1 for i, r in enumerate(expected)}
+    assert got == {r.event_id: i + 1 for i, r in enumerate(expected)}
 
 
-def test_running_totals_do_not_depend_on_the_buckets(spark):
+def test_running_totals_with_a_hot_group(spark):
     df = skewed(spark, 500).withColumn("x", F.col("event_id").cast("long"))
-    for buckets in (2, 64):
-        run = SC.running_totals(
-            df, ["user_id"], ["event_ts_unix", "event_id"], {"t": "x"},
-            SC.range_bucket(df, "event_ts_unix", buckets),
-        )
-        total: dict = {}
-        for r in sorted(run.collect(), key=lambda r: (r.user_id, r.event_ts_unix, r.event_id)):
-            total[r.user_id] = total.get(r.user_id, 0) + r.x
-            assert r.t == total[r.user_id]
+    run = SC.running_totals(df, ["user_id"], ["event_ts_unix", "event_id"], {"t": "x"})
+    total: dict = {}
+    for r in sorted(run.collect(), key=lambda r: (r.user_id, r.event_ts_unix, r.event_id)):
+        total[r.user_id] = total.get(r.user_id, 0) + r.x
+        assert r.t == total[r.user_id]
+
+
+def test_a_cluster_must_name_the_shared_folder():
+    from unittest.mock import MagicMock
+
+    import pytest
+
+    session = MagicMock()
+    session.conf.get.return_value = None
+    session.sparkContext.getConf.return_value.get.return_value = None
+    session.sparkContext.getCheckpointDir.return_value = None
+    session.sparkContext.master = "yarn"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        SC.shared_dir(session)
 
 
 def test_shared_folder_comes_from_the_session():

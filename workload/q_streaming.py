@@ -74,9 +74,8 @@ def _(v):
 def _changes(v, columns):
     """Change messages from the events: every event changes its SKU."""
     path = fresh_dir(v.spark, "changes")
-    v.interactions().select(
-        "sku", *columns, F.col("event_ts").alias("change_ts")
-    ).write.json(path)
+    changes = v.interactions().select("sku", *columns, F.col("event_ts").alias("change_ts"))
+    topics.write_messages(changes, path)
     return path
 
 
@@ -108,7 +107,7 @@ def _stream_table(v, topic, path, shape, keys):
 cte("last_price", """
 SELECT sku, round(coalesce(CASE WHEN event_type <> 'error' THEN price * 0.9e0 END, price), 6) AS price,
   price AS list_price, CASE WHEN event_type = 'click' THEN 'p' END AS promo_id FROM (SELECT *, row_number()
-  OVER (PARTITION BY sku ORDER BY date_trunc('millisecond', event_ts) DESC) AS rn FROM interactions) WHERE rn = 1""")
+  OVER (PARTITION BY sku ORDER BY event_ts DESC) AS rn FROM interactions) WHERE rn = 1""")
 
 
 @case("str4_price_state", "SELECT sku, price, list_price, promo_id FROM last_price")
@@ -119,7 +118,7 @@ def _(v):
 
 
 cte("last_stock", """
-SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sku, loc ORDER BY date_trunc('millisecond', event_ts)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sku, loc ORDER BY event_ts
   DESC) AS rn FROM (SELECT sku, event_ts, cast(floor(price) AS INTEGER) AS stock, CASE event_type
   WHEN 'view' THEN 'A' WHEN 'click' THEN 'B' ELSE 'default' END AS loc FROM interactions)) WHERE rn = 1""")
 
@@ -141,13 +140,14 @@ def _(v):
 
 @case("str6_catalogue_state", """
 SELECT i.sku, style_color_id, event_type AS category FROM (SELECT *, row_number() OVER (PARTITION BY sku
-  ORDER BY date_trunc('millisecond', event_ts) DESC) AS rn FROM interactions) i JOIN catalogue c ON c.sku = i.sku
+  ORDER BY event_ts DESC) AS rn FROM interactions) i JOIN catalogue c ON c.sku = i.sku
 WHERE rn = 1""")
 def _(v):
     path = fresh_dir(v.spark, "changes")
-    v.interactions().select(
+    changes = v.interactions().select(
         "sku", F.col("event_type").alias("category"), F.col("event_ts").alias("change_ts")
-    ).join(v.catalogue().drop("category", "list_price"), "sku").write.json(path)
+    )
+    topics.write_messages(changes.join(v.catalogue().drop("category", "list_price"), "sku"), path)
     table = _stream_table(v, "catalog.cdc.v1", path, lambda d: state.latest(d, ["sku"]), ["sku"])
     return table.select("sku", "style_color_id", "category")
 
@@ -155,13 +155,13 @@ def _(v):
 @case("str7_counters", """
 SELECT 'received.n' AS name, count(*) AS n FROM duplicated UNION ALL
 SELECT 'written.n', count(*) FROM interactions UNION ALL
-SELECT 'lookup.unknown_skus', count(*) FROM interactions WHERE cast(sku AS INTEGER) >= 90 UNION ALL
-SELECT 'lookup.tokens_resolved', count(*) FROM interactions WHERE cast(sku AS INTEGER) < 90""")
+SELECT 'lookup.unknown_skus', count(*) FROM interactions WHERE cast(sku AS INTEGER) % 10 = 9 UNION ALL
+SELECT 'lookup.tokens_resolved', count(*) FROM interactions WHERE cast(sku AS INTEGER) % 10 <> 9""")
 def _(v):
     root = fresh_dir(v.spark, "counted")
     stream = topics.read_topic(v.spark, "interactions.v1", _replayed(v, v.duplicated()))
     once = sinks.bronze_stream(stream, "60 days")
-    resolved = state.resolved(once, v.catalogue(90), RULES)
+    resolved = state.resolved(once, v.catalogue(10), RULES)
     query = sinks.append_stream(resolved, f"{root}/t", f"{root}/checkpoint")
     return v.spark.createDataFrame(list(sinks.finish(query).items()), "name string, n long")
 
@@ -192,9 +192,10 @@ SELECT count(DISTINCT user_id) AS users, count(*) AS entries, (SELECT count(*) F
 def _(v):
     out = fresh_dir(v.spark, "online")
     catalog = fresh_dir(v.spark, "changes")
-    v.catalogue().drop("list_price").withColumn(
-        "change_ts", F.lit("2024-01-01").cast("timestamp")
-    ).write.json(catalog)
+    topics.write_messages(
+        v.catalogue().drop("list_price").withColumn("change_ts", F.lit("2024-01-01").cast("timestamp")),
+        catalog,
+    )
     paths = {
         "catalog.cdc.v1": catalog,
         "pricing.cdc.v1": _changes(v, _price_columns()),
@@ -245,7 +246,7 @@ def _(v):
 SELECT count(DISTINCT user_id) AS users, 0 AS differing FROM tail_rows""")
 def _(v):
     streamed = _tails(v)
-    events = v.interactions().withColumn("event_ts", F.date_trunc("millisecond", "event_ts")).join(
+    events = v.interactions().join(
         v.catalogue().select("sku", v.token.alias("token")), "sku"
     )
     batch = REC.user_tails(events, 20)

@@ -77,6 +77,16 @@ class Retail:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    @cached_property
+    def parts(self) -> int:
+        return self.table("part").count()
+
+    def sku_of_event(self) -> Column:
+        """A part for each event, any of the table; lower numbers are bought more often."""
+        k = F.get_json_object("props", "$.k").cast("long")
+        u = (F.col("event_id") * 7919 + k * 104729) % (10 * self.parts)
+        return F.floor(u * u / F.lit(100 * self.parts)).cast("long").cast("string")
+
     def interactions(self) -> DataFrame:
         user = F.col("user_id").cast("string")
         turn = F.col("user_id") % 10
@@ -91,7 +101,7 @@ class Retail:
             user.alias("user_id"),
             F.concat_ws("#", user, F.to_date("ts").cast("string")).alias("session_id"),
             "event_type",
-            F.get_json_object("props", "$.k").alias("sku"),
+            self.sku_of_event().alias("sku"),
             F.col("ts").cast("timestamp").alias("event_ts"),
             F.unix_timestamp("ts").alias("event_ts_unix"),
             F.col("value").alias("price"),
@@ -106,8 +116,12 @@ class Retail:
         rows = self.interactions()
         return rows.unionByName(rows.filter(F.col("event_id").cast("long") % 50 == 0))
 
-    def catalogue(self, below: int = 100) -> DataFrame:
-        return self.table("part").filter(F.col("p_partkey") < below).select(
+    def catalogue(self, without: int | None = None) -> DataFrame:
+        """All parts; with ``without`` one in that many is missing, as unknown to the shop."""
+        part = self.table("part")
+        if without:
+            part = part.filter(F.col("p_partkey") % without != without - 1)
+        return part.select(
             F.col("p_partkey").cast("string").alias("sku"),
             F.col("p_name").alias("style_color_id"),
             F.split("p_name", " ").getItem(1).alias("product_id"),
@@ -139,7 +153,7 @@ class Retail:
 
     def item_states(self) -> DataFrame:
         k = F.col("p_partkey")
-        return self.table("part").filter(k < 100).select(
+        return self.table("part").select(
             k.cast("string").alias("sku"),
             (F.col("p_retailprice") * (0.7 + (k % 4) / 10)).alias("price"),
             F.col("p_retailprice").alias("list_price"),
@@ -186,7 +200,7 @@ class Retail:
 
     @cached_property
     def items(self) -> DataFrame:
-        return silver.hierarchy(self.catalogue(90))
+        return silver.hierarchy(self.catalogue(10))
 
     @cached_property
     def silver(self) -> DataFrame:
@@ -229,13 +243,14 @@ class Retail:
 cte("interactions", """
 SELECT cast(event_id AS VARCHAR) AS event_id, cast(user_id AS VARCHAR) AS user_id,
   cast(user_id AS VARCHAR) || '#' || strftime(ts, '%Y-%m-%d') AS session_id, event_type,
-  regexp_extract(props, '([0-9]+)', 1) AS sku, ts AS event_ts,
+  cast(u * u // (100 * n) AS VARCHAR) AS sku, ts AS event_ts,
   epoch_us(ts) // 1000000 AS event_ts_unix, value AS price, 1 AS quantity, '' AS order_id,
   '' AS return_reason,
   CASE user_id % 10 WHEN 0 THEN NULL WHEN 1 THEN 'service' WHEN 2 THEN 'service, analytics'
     ELSE 'service,analytics,personalisation' END AS consent,
   cast(ts AS DATE) AS event_date
-FROM events""")
+FROM (SELECT *, (event_id * 7919 + cast(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) * 104729) % (10 * n) AS u
+  FROM events, (SELECT count(*) AS n FROM part))""")
 cte("duplicated", """
 SELECT * FROM interactions UNION ALL
 SELECT * FROM interactions WHERE cast(event_id AS BIGINT) % 50 = 0""")
@@ -243,7 +258,7 @@ cte("catalogue", """
 SELECT cast(p_partkey AS VARCHAR) AS sku, p_name AS style_color_id,
   split_part(p_name, ' ', 2) AS product_id, lower(p_type) AS category, p_brand AS brand,
   cast(p_size AS VARCHAR) AS size, p_retailprice AS list_price, p_partkey
-FROM part WHERE p_partkey < 100""")
+FROM part""")
 cte("token_items", """
 SELECT *, CASE category WHEN 'economy' THEN style_color_id WHEN 'standard' THEN product_id
   WHEN 'promo' THEN product_id || '|size=' || size ELSE sku END AS token FROM catalogue""")
@@ -263,7 +278,7 @@ SELECT cast(p_partkey AS VARCHAR) AS sku,
   p_retailprice AS list_price,
   CASE WHEN p_partkey % 7 = 0 THEN 'promo' || p_partkey END AS promo_id,
   p_size % 3 AS stock_a, p_size % 5 AS stock_b, p_partkey % 11 <> 0 AS available
-FROM part WHERE p_partkey < 100""")
+FROM part""")
 cte("request_log", """
 SELECT cast(event_id AS VARCHAR) AS request_id, cast(user_id AS VARCHAR) AS user_id,
   ts AS served_ts, epoch_us(ts) // 1000000 AS at_s,
@@ -283,7 +298,7 @@ cte("s_consent", "SELECT * FROM duplicated WHERE consent LIKE '%analytics%'")
 cte("s_once", "SELECT DISTINCT * FROM s_consent")
 cte("s_typed", "SELECT * FROM s_once WHERE event_type <> 'signup'")
 cte("s_known", """
-SELECT * FROM s_typed WHERE sku IN (SELECT sku FROM catalogue WHERE p_partkey < 90)""")
+SELECT * FROM s_typed WHERE sku IN (SELECT sku FROM catalogue WHERE p_partkey % 10 <> 9)""")
 cte("s_users", """
 SELECT user_id FROM (SELECT user_id, event_date, count(*) AS n FROM s_known GROUP BY ALL)
 GROUP BY user_id HAVING max(n) <= 6 AND sum(n) BETWEEN 35 AND 58""")
@@ -294,7 +309,7 @@ FROM s_known WHERE user_id IN (SELECT user_id FROM s_users)""")
 # Gold.
 cte("tokened", """
 SELECT s.*, t.token, t.category FROM silver s
-JOIN (SELECT sku AS tsku, token, category FROM token_items WHERE p_partkey < 90) t
+JOIN (SELECT sku AS tsku, token, category FROM token_items WHERE p_partkey % 10 <> 9) t
   ON s.sku = t.tsku
 WHERE consent = 'service,analytics,personalisation'""")
 cte("cutoffs", """
