@@ -30,8 +30,8 @@ THRESHOLD = 0.3
 # Labelled rows that the grammar is fitted on at most (half for the lexicon, half for the layer).
 SAMPLE = 24_000
 # Lexicon entries kept at most, and the least lower bound of an entry's log odds.
-ENTRIES, LEAST_WEIGHT, LEAST_DOCS = 4_000, 1.0, 4
-STEMS = range(3, 9)
+ENTRIES, LEAST_WEIGHT, LEAST_DOCS = 4_000, 1.5, 3
+STEMS = range(4, 9)
 
 CLAUSE = re.compile(rb"[.!?;:\n]+")
 # Seed classes of the grammar; words of the four languages, lower case.
@@ -220,7 +220,7 @@ def distinct_sample(docs: DataFrame, labels: DataFrame, sample: int) -> DataFram
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Grammar:
     """Lexicon from one half of the sample, layer from the other.
 
-    An entry is a whole word or a stem of 3 to 8 bytes; its weight is the lower
+    An entry is a whole word or a stem of 4 to 8 bytes; its weight is the lower
     bound of its log odds between toxic and other documents.
     """
     rows = distinct_sample(docs, labels, sample)
