@@ -24,12 +24,13 @@ from shelfstream.scale import cut
 
 # Domains of the labelled table, and their shares of the mixed tokens.
 DOMAINS = ("good", "low", "toxic")
-TARGETS = {"good": 0.90, "low": 0.08, "toxic": 0.02}
+TARGETS = {"good": 0.88, "low": 0.07, "toxic": 0.05}
 # Labelled rows the classifier is fitted on at most, and hashed features.
-SAMPLE, FEATURES = 12_000, 1 << 15
+SAMPLE, FEATURES = 6_000, 1 << 15
+PACE, RIDGE = 1.0, 3e-5
 # Weight of staying near the rate 1 against meeting the targets; a document appears MOST times at most.
-PULL, MOST = 1e-3, 8.0
-STEPS, TOLERANCE = 30, 1e-4
+PULL, MOST = 2e-3, 8.0
+STEPS, TOLERANCE = 30, 1e-5
 
 
 SYMBOLS = bytes(b for b in range(0x21, 0x7F) if not chr(b).isalnum())
@@ -57,39 +58,43 @@ def stems() -> Memo:
 
 @dataclass
 class Classifier:
-    weights: np.ndarray  # FEATURES x domains
+    weights: np.ndarray  # domains x FEATURES
     bias: np.ndarray
 
-    def posterior(self, rows: list[np.ndarray]) -> np.ndarray:
-        if not rows:
+    def posterior(self, flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Posteriors of documents whose feature numbers lie one after another in ``flat``."""
+        begins = np.cumsum(sizes) - sizes
+        if not len(sizes):
             return np.zeros((0, len(self.bias)))
-        sizes = np.array([len(r) for r in rows])
-        flat = np.concatenate(rows)
-        sums = np.add.reduceat(self.weights[flat], np.cumsum(sizes) - sizes, axis=0)
-        z = sums / np.sqrt(sizes)[:, None] + self.bias
+        z = np.stack([np.add.reduceat(w[flat], begins) for w in self.weights], axis=1)
+        z = z / np.sqrt(sizes)[:, None] + self.bias
         z = np.exp(z - z.max(axis=1, keepdims=True))
         return z / z.sum(axis=1, keepdims=True)
 
+    def of_texts(self, texts: list[bytes], memo: Memo) -> np.ndarray:
+        rows = [features(t, memo) for t in texts]
+        sizes = np.array([len(r) for r in rows], np.int64)
+        return self.posterior(np.concatenate(rows) if rows else np.zeros(0, np.int64), sizes)
 
-def fit_softmax(rows: list[np.ndarray], y: np.ndarray, classes: int, steps: int = 80) -> Classifier:
-    """Softmax regression by full-batch gradient steps with momentum and a small ridge."""
-    model = Classifier(np.zeros((FEATURES, classes)), np.zeros(classes))
-    if not rows:
+
+def fit_softmax(flat: np.ndarray, sizes: np.ndarray, y: np.ndarray, classes: int, steps: int = 150) -> Classifier:
+    """Softmax regression by full-batch gradient steps, scaled per feature, with a small ridge."""
+    model = Classifier(np.zeros((classes, FEATURES)), np.zeros(classes))
+    if not len(sizes):
         return model
-    sizes = np.array([len(r) for r in rows])
-    flat, owner = np.concatenate(rows), np.repeat(np.arange(len(rows)), sizes)
-    scale = 1 / np.sqrt(sizes)
     truth = np.eye(classes)[y]
     model.bias = np.log(truth.mean(axis=0) + 1e-3)
-    speed, drift = np.zeros_like(model.weights), np.zeros(classes)
+    seen, drift = np.full_like(model.weights, 1e-8), np.full(classes, 1e-8)
     for _ in range(steps):
-        error = (model.posterior(rows) - truth) / len(rows)
-        scaled = error * scale[:, None]
-        gradient = np.stack(
-            [np.bincount(flat, weights=scaled[owner, k], minlength=FEATURES) for k in range(classes)], axis=1
-        ) + 1e-5 * model.weights
-        speed, drift = 0.9 * speed - 8.0 * gradient, 0.9 * drift - 0.5 * error.sum(axis=0)
-        model.weights, model.bias = model.weights + speed, model.bias + drift
+        error = (model.posterior(flat, sizes) - truth) / len(sizes)
+        for k in range(classes):
+            pushed = np.repeat(error[:, k] / np.sqrt(sizes), sizes)
+            gradient = np.bincount(flat, weights=pushed, minlength=FEATURES) + RIDGE * model.weights[k]
+            seen[k] += gradient**2
+            model.weights[k] -= PACE * gradient / np.sqrt(seen[k])
+        slope = error.sum(axis=0)
+        drift += slope**2
+        model.bias = model.bias - 0.1 * slope / np.sqrt(drift)
     return model
 
 
@@ -122,8 +127,10 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
         .dropDuplicates(["doc_id"]).select("domain", "text")
         .mapInArrow(describe, "domain int, x array<int>").toArrow()
     )
-    rows = [np.asarray(x.values, dtype=np.int64) for x in table["x"]]
-    return fit_softmax(rows, table["domain"].to_numpy(), len(DOMAINS))
+    lists = table["x"].combine_chunks()
+    flat = lists.flatten().to_numpy()
+    sizes = np.diff(lists.offsets.to_numpy()) if len(lists) else np.zeros(0, np.int64)
+    return fit_softmax(flat, sizes, table["domain"].to_numpy(), len(DOMAINS))
 
 
 def memberships(docs: DataFrame, model: Classifier) -> DataFrame:
@@ -134,7 +141,7 @@ def memberships(docs: DataFrame, model: Classifier) -> DataFrame:
         memo = stems()
         for batch in batches:
             texts = raw_texts(batch.column("text"))
-            p = held.value.posterior([features(t, memo) for t in texts])
+            p = held.value.of_texts(texts, memo)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("row"), batch.column("doc_id"), batch.column("source"),
                  pa.array([len(words(t)) for t in texts], pa.int64()),
@@ -148,33 +155,23 @@ def memberships(docs: DataFrame, model: Classifier) -> DataFrame:
     ).mapInArrow(classify, "row long, doc_id long, source string, n_tokens long, p array<double>")
 
 
-def rate_column(path: list[np.ndarray]):
-    """The rate after the gradient steps ``path``: projected on [0, MOST] after each, from 1.
-
-    The step of a document depends on its posterior alone, so the whole
-    history is a fold over a short literal array and no rate is stored.
-    """
-    rate = F.lit(1.0)
-    if not path:
-        return rate
-    steps = F.array(*[F.array(*[F.lit(float(v)) for v in g]) for g in path])
-    own = F.col("p")
-
-    def step(r, g):
-        push = sum((own[k] * g[k] for k in range(1, len(DOMAINS))), own[0] * g[0])
-        return F.greatest(F.lit(0.0), F.least(F.lit(MOST), r - push - F.lit(PULL) * (r - 1.0)))
-
-    return F.aggregate(steps, rate, step)
+def rate_column(push: np.ndarray):
+    """The rate of a document: 1 less the push on its domains, projected on [0, MOST]."""
+    along = F.lit(0.0)
+    for k in range(len(DOMAINS)):
+        along = along + F.col("p")[k] * F.lit(float(push[k]))
+    return F.greatest(F.lit(0.0), F.least(F.lit(MOST), 1.0 - along))
 
 
 def fit_rates(members: DataFrame, targets: Mapping[str, float] = TARGETS, steps: int = STEPS):
-    """(gradient steps, expected token shares after them, target shares).
-
-    Minimises |A r - T|^2 / 2 (A: tokens times posterior, in shares of all
-    tokens) with a pull to 1. The gradient lies in the span of the posteriors,
-    and its step is scaled by their Gram matrix over the documents that are not
-    at a bound (summed in the same pass), so few steps suffice.
-    A target whose domain has no expected tokens can't be met and stays so.
+    """(push per domain, expected token shares under it, target shares).
+
+    Minimises |s(r) - w|^2 / 2 + PULL |r - 1|^2 / 2 over rates r in [0, MOST],
+    where s are the expected domain tokens and the second norm weighs rows by
+    their tokens. The gradient lies in the span of the posteriors, so every
+    iterate is 1 - p . push, projected, and only ``push`` is kept. A step is the
+    gradient scaled by the Gram matrix of the rows that are not at a bound; a
+    pass sums both. Shares miss the targets by PULL * push.
     """
     n = len(DOMAINS)
     tokens, p = F.col("n_tokens").cast("double"), F.col("p")
@@ -182,25 +179,33 @@ def fit_rates(members: DataFrame, targets: Mapping[str, float] = TARGETS, steps:
     wanted = np.array([targets.get(d, 0.0) for d in DOMAINS], np.float64)
     wanted = wanted / wanted.sum()
     total = float(members.agg(F.sum(tokens)).first()[0] or 0.0)
-    path: list[np.ndarray] = []
-    shares = np.zeros(n)
-    while total > 0:
-        rate = rate_column(path)
-        rated = members.select(tokens.alias("t"), "p", rate.alias("r"))
+    push, shares = np.zeros(n), np.zeros(n)
+    best = (np.inf, push, shares)
+    stride = 1.0
+    for _ in range(steps if total > 0 else 0):
+        rated = members.select(tokens.alias("t"), "p", rate_column(push).alias("r"))
         free = F.when((F.col("r") > 0) & (F.col("r") < MOST), F.col("t")).otherwise(0.0)
         got = rated.agg(
             *[F.sum(F.col("t") * p[k] * F.col("r")) for k in range(n)],
             *[F.sum(free * p[i] * p[j]) for i, j in pairs],
         ).first()
-        before, shares = shares, np.array(got[:n]) / total
-        still = np.abs(shares - wanted).max() < TOLERANCE or np.abs(shares - before).max() < TOLERANCE
-        if still or len(path) == steps:
+        shares = np.array(got[:n]) / total
+        gradient = shares - wanted - PULL * push
+        size = float(np.abs(gradient).max())
+        if size < best[0]:
+            best, stride = (size, push, shares), min(1.0, 2 * stride)
+        else:  # overshot: back to the best point with half the stride
+            push, stride = best[1], stride / 2
+            push = push + stride * step
+            continue
+        if size < TOLERANCE:
             break
         gram = np.zeros((n, n))
         for (i, j), value in zip(pairs, got[n:], strict=True):
             gram[i, j] = gram[j, i] = value / total
-        path.append(np.linalg.solve(gram + 1e-4 * np.eye(n), shares - wanted))
-    return path, shares, wanted
+        step = np.linalg.solve(gram + PULL * np.eye(n), gradient)
+        push = push + stride * step
+    return best[1], best[2], wanted
 
 
 def mix(
@@ -215,8 +220,8 @@ def mix(
     columns are ignored.
     """
     members = cut(memberships(docs, fit_classifier(docs, labels, sample)))
-    path, _, _ = fit_rates(members, targets)
-    rate = rate_column(path)
+    push, _, _ = fit_rates(members, targets)
+    rate = rate_column(push)
     coin = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1e6
     return members.withColumn("rate", rate).select(
         "row", "doc_id", "source", "n_tokens",
@@ -228,17 +233,15 @@ def mix(
 def apply_mix(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGETS) -> DataFrame:
     """``docs`` with each row as often as its ``copies`` say: none, once or more."""
     model = fit_classifier(docs, labels)
-    path, _, _ = fit_rates(cut(memberships(docs, model)), targets)
-    held = docs.sparkSession.sparkContext.broadcast((model, path))
+    push, _, _ = fit_rates(cut(memberships(docs, model)), targets)
+    held = docs.sparkSession.sparkContext.broadcast((model, push))
     text, doc_id = docs.columns.index("text"), docs.columns.index("doc_id")
 
     def repeat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, (model, path) = stems(), held.value
+        memo, (model, push) = stems(), held.value
         for batch in batches:
-            p = model.posterior([features(t, memo) for t in raw_texts(batch.column(text))])
-            rate = np.ones(len(p))
-            for g in path:
-                rate = np.clip(rate - p @ g - PULL * (rate - 1.0), 0.0, MOST)
+            p = model.of_texts(raw_texts(batch.column(text)), memo)
+            rate = np.clip(1.0 - p @ push, 0.0, MOST)
             coin = np.array([xxhash.xxh64_intdigest(str(i).encode()) for i in batch.column(doc_id).to_pylist()])
             copies = np.floor(rate) + (coin % 1_000_000 / 1e6 < rate - np.floor(rate))
             yield batch.take(pa.array(np.repeat(np.arange(len(p)), copies.astype(int))))
