@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from shelfstream.scale import cut
 
-# Entries a task's local dictionary may hold before it is handed on or cleared.
-LOCAL_ENTRIES = 1_000_000
+# Entries a task's local dictionary may hold before it is handed on or cleared (some 200 bytes each).
+LOCAL_ENTRIES = 250_000
 
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -126,6 +126,83 @@ def postings(counted: list[Counter]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), items)
 
 
+CHUNK = 1 << 14
+
+
+def merged(rows: DataFrame, length: int, kind, add: Callable) -> np.ndarray:
+    """One array of ``length`` from (chunk int, part binary) rows, chunks combined by ``add``.
+
+    Parts are zlib-compressed arrays of CHUNK values. Chunks are combined as
+    they stream in, so a task holds each of its chunks once, however many
+    tasks sent it; the driver gets the finished array, whose length is fixed.
+    """
+
+    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                part = np.frombuffer(zlib.decompress(packed), kind)
+                held[k] = add(held[k], part) if k in held else part
+        for k, part in held.items():
+            yield chunk_rows(k, part)
+
+    out = np.zeros(length, kind)
+    whole = rows.repartition("chunk").mapInArrow(combine, "chunk int, part binary")
+    for row in whole.collect():
+        part = np.frombuffer(zlib.decompress(row["part"]), kind)
+        out[row["chunk"] * CHUNK : row["chunk"] * CHUNK + len(part)] = part
+    return out
+
+
+def chunk_rows(k: int, part: np.ndarray) -> pa.RecordBatch:
+    packed = zlib.compress(np.ascontiguousarray(part).tobytes(), 1)
+    return pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([packed])], ["chunk", "part"])
+
+
+def chunks_of(values: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The non-zero chunks of an array as rows for :func:`merged`."""
+    for k in range(-(-len(values) // CHUNK)):
+        part = values[k * CHUNK : (k + 1) * CHUNK]
+        if part.any():
+            yield chunk_rows(k, part)
+
+
+# Bits of the sieve (4 MB, broadcast).
+SIEVE_BITS = 25
+
+
+def sieve_places(ids: np.ndarray) -> np.ndarray:
+    return mix(ids.astype(np.uint64)) >> np.uint64(64 - SIEVE_BITS)
+
+
+def sifted(df: DataFrame, column: str, ids: DataFrame, name: str) -> DataFrame:
+    """The rows of ``df`` (long ``column``) that may be in ``ids`` (long ``name``); none of these is lost.
+
+    A bitmap of fixed size goes to the tasks, so a join that follows shuffles
+    few rows besides those that match. It only saves work: once it is full,
+    more rows pass.
+    """
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(1 << SIEVE_BITS, bool)
+        for batch in batches:
+            seen[sieve_places(batch.column(0).to_numpy())] = True
+        yield from chunks_of(np.packbits(seen))
+
+    bits = merged(
+        ids.select(name).mapInArrow(mark, "chunk int, part binary"), 1 << (SIEVE_BITS - 3), np.uint8, np.bitwise_or
+    )
+    held, place = df.sparkSession.sparkContext.broadcast(bits), df.columns.index(column)
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = sieve_places(batch.column(place).fill_null(0).to_numpy())
+            hit = (held.value[at >> np.uint64(3)] >> (7 - (at & np.uint64(7))).astype(np.uint8)) & 1
+            yield batch.filter(pa.array(hit.astype(bool)))
+
+    return df.mapInArrow(pick, df.schema)
+
+
 POSTINGS = "array<struct<token:binary,n:long>>"
 
 
@@ -145,7 +222,7 @@ def components(edges: DataFrame) -> DataFrame:
         both = edges.union(edges.select("b", "a"))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b")
-        large = cut(large.where("a < b").distinct())
+        large = large.where("a < b").distinct()
         # Small star: hang a node and its smaller neighbours below the least of them.
         least = large.groupBy("b").agg(F.min("a").alias("m"))
         down = large.join(least, "b")
@@ -154,9 +231,11 @@ def components(edges: DataFrame) -> DataFrame:
         )
         edges = cut(small.where("a < b").distinct())
         # Done when every node hangs below one other, and that below none.
-        below = edges.groupBy("b").agg(F.count("*").alias("n"))
-        above = edges.select(F.col("a").alias("b")).distinct()
-        if below.where("n > 1").isEmpty() and below.join(above, "b", "left_semi").isEmpty():
+        ends = edges.select(F.col("b").alias("node"), F.lit(1).alias("below"), F.lit(0).alias("above")).union(
+            edges.select("a", F.lit(0), F.lit(1))
+        )
+        roles = ends.groupBy("node").agg(F.sum("below").alias("below"), F.max("above").alias("above"))
+        if roles.where("below > 1 or (below = 1 and above = 1)").isEmpty():
             break
     top = edges.select(F.col("b").alias("node"), F.col("a").alias("component"))
     return top.union(top.select(F.col("component").alias("node"), "component").distinct())

@@ -1,18 +1,18 @@
 """N-gram Jaccard join: prefix filtering over rare-first ordered shingles, verified once per pair.
 
 The join runs over distinct shingle sets. Each set sends its prefix (its
-rarest shingles) to the lists of those shingles; within a list, pairs that
-survive the length, positional and suffix filters are candidates. A list hands
-on a spanning forest of its candidates, not the pairs: sets that may be linked,
-directly or through others, end in one cluster. A cluster receives each of its
-sets once and verifies a pair at most once, skipping pairs that links found
-before already connect. Lists and clusters above BLOCK members are split into
-pairs of blocks, so no task holds more than two blocks.
+rarest shingles) to the lists of those shingles. Pairs of a short list that
+survive the length and positional filters are made distinct and put to the
+suffix filter; a long list, where pairs would be too many, applies all filters
+itself and hands on a spanning forest of its candidates. Sets that may be
+linked, directly or through others, so end in one cluster. A cluster receives
+each of its sets once and verifies a pair at most once, skipping pairs that
+links found before already connect. Long lists and large clusters are split
+into pairs of blocks, so no task holds more than two blocks.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,18 +21,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfstream.llm.common import Memo, components, mix, raw_texts, words
+from shelfstream.llm.common import Memo, chunks_of, components, merged, mix, raw_texts, sifted, words
 from shelfstream.scale import cut
 
 SHINGLE = 3
 PERCENT = 90
-# Members of a list or cluster that one task compares with as many others.
-BLOCK = 1_024
+# Members of a list or cluster that one task compares with as many others, and
+# shingles of the members of a cluster's block.
+BLOCK, BLOCK_SHINGLES = 1_024, 1_000_000
 # Counters of the frequency sketch that orders shingles (4 MB, broadcast).
 SKETCH_BITS = 20
-CHUNK_BITS = 14
-# Classes of the suffix filter's counts.
-CLASSES = 8
+# Lists up to this long emit pairs; longer ones are searched in blocks.
+SHORT_LIST = 32
+# The suffix filter counts shingles in hash classes, about one class for this many.
+PER_CLASS = 24
 
 
 def hashed_words() -> Memo:
@@ -66,46 +68,38 @@ def frequency_sketch(docs: DataFrame) -> np.ndarray:
     """Shingle counts by hash, 2^SKETCH_BITS of them: large exactly where frequent shingles are.
 
     Any common order keeps the join whole; this one puts rare shingles first.
-    Tasks send compressed chunks; each chunk is summed as it streams in.
     """
-    chunk = 1 << CHUNK_BITS
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, counts = hashed_words(), np.zeros(1 << SKETCH_BITS, np.int64)
         shift = np.uint64(64 - SKETCH_BITS)
         for batch in batches:
-            sets = [shingle_set(t, memo) >> shift for t in raw_texts(batch.column(0))]
-            if sets:
-                found = np.concatenate(sets).astype(np.int64)
-                counts += np.bincount(found, minlength=len(counts))
-        for k in range(len(counts) // chunk):
-            part = counts[k * chunk : (k + 1) * chunk]
-            if part.any():
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([k], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)])],
-                    ["chunk", "counts"],
-                )
+            for text in raw_texts(batch.column(0)):
+                np.add.at(counts, shingle_set(text, memo) >> shift, 1)
+        yield from chunks_of(counts)
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for k, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                part = np.frombuffer(zlib.decompress(packed), np.int64)
-                sums[k] = sums[k] + part if k in sums else part
-        for k, part in sums.items():
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k], pa.int32()), pa.array([part.astype(np.float32).tobytes()])],
-                ["chunk", "counts"],
-            )
+    rows = docs.select("text").mapInArrow(tally, "chunk int, part binary")
+    return merged(rows, 1 << SKETCH_BITS, np.int64, np.add).astype(np.float32)
+
+
+def class_counts(shingles: np.ndarray) -> np.ndarray:
+    """Shingles per class of their low hash bits; the number of classes is a power of two."""
+    bits = max(0, (len(shingles) // PER_CLASS).bit_length() - 1)
+    low = (shingles & np.uint64((1 << bits) - 1)).astype(np.int64)
+    return np.bincount(low, minlength=1 << bits).astype(np.uint16 if len(shingles) < 65_536 else np.int32)
 
-    rows = (
-        docs.select("text").mapInArrow(tally, "chunk int, counts binary")
-        .repartition("chunk").mapInArrow(add, "chunk int, counts binary").collect()
-    )
-    sketch = np.zeros(1 << SKETCH_BITS, np.float32)
-    for row in rows:
-        sketch[row["chunk"] * chunk : (row["chunk"] + 1) * chunk] = np.frombuffer(row["counts"], np.float32)
-    return sketch
+
+def unpacked(classes: bytes, size: int) -> np.ndarray:
+    return np.frombuffer(classes, np.uint16 if size < 65_536 else np.int32).astype(np.int32)
+
+
+def most_shared(x: np.ndarray, y: np.ndarray) -> int:
+    """An upper bound of two sets' overlap: what each class allows. More classes fold onto fewer."""
+    while len(x) > len(y):
+        x = x[: len(x) // 2] + x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] + y[len(y) // 2 :]
+    return int(np.minimum(x, y).sum())
 
 
 def describe(docs: DataFrame, percent: int) -> DataFrame:
@@ -122,10 +116,7 @@ def describe(docs: DataFrame, percent: int) -> DataFrame:
                 sizes.append(len(s))
                 keys.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 prefixes.append(s[rarest].tobytes())
-                classes.append(
-                    np.bincount((s & np.uint64(CLASSES - 1)).astype(np.int64), minlength=CLASSES)
-                    .astype(np.int32).tobytes()
-                )
+                classes.append(class_counts(s).tobytes())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()),
                  pa.array(prefixes, pa.binary()), pa.array(classes, pa.binary())],
@@ -165,13 +156,13 @@ class Forest:
         return True
 
 
-def spread(sized: DataFrame, member: str, block: int) -> DataFrame:
-    """``sized`` (with ``_n``, the size of a row's group) dealt to (low, high, side): block pairs.
+def spread(sized: DataFrame, member: str) -> DataFrame:
+    """``sized`` (with ``_n``, the number of blocks of a row's group) dealt to (low, high, side): block pairs.
 
-    A group up to ``block`` rows is one part. A larger one is cut into blocks
-    by hash, and a row goes to every pair that its block is in.
+    A group of one block is one part. A larger one is cut into blocks by hash,
+    and a row goes to every pair that its block is in.
     """
-    blocks = F.ceil(F.col("_n") / block).cast("int")
+    blocks = F.col("_n").cast("int")
     own = F.pmod(F.xxhash64(member), blocks).cast("int")
     pairs = F.transform(
         F.sequence(F.lit(0), blocks - 1),
@@ -183,26 +174,30 @@ def spread(sized: DataFrame, member: str, block: int) -> DataFrame:
     )
 
 
+def in_reach(size_x, size_y, place_x, place_y, percent: int):
+    """Length and positional filter of pairs that share a shingle at the given places."""
+    least = needed(size_x + size_y, percent)
+    # Shared shingles lie before both places or behind both.
+    most = np.minimum(place_x, place_y) + np.minimum(size_x - place_x, size_y - place_y)
+    close = 100 * np.minimum(size_x, size_y) >= percent * np.maximum(size_x, size_y)
+    return close & (most >= least)
+
+
 def candidates(node, size, place, side, classes, apart: bool, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs of one list (or block pair) that pass the filters."""
+    """A spanning forest of the pairs of one long list (or block pair) that pass the filters."""
     order = np.lexsort((node, size))
-    node, size, place, side, classes = node[order], size[order], place[order], side[order], classes[order]
+    node, size, place, side = node[order], size[order], place[order], side[order]
+    counts = [unpacked(classes[k], int(size[i])) for i, k in enumerate(order)]
     forest, out = Forest(len(node)), []
     for i in range(len(node) - 1):
-        # Length filter: sizes ascend, so the partners of i are a stretch behind it.
-        last = int(np.searchsorted(size, 100 * size[i] // percent, side="right"))
-        others = np.arange(i + 1, last)
+        others = np.arange(i + 1, int(np.searchsorted(size, 100 * size[i] // percent, side="right")))
+        roots = forest.roots()
+        others = others[roots[others] != roots[i]]
         if apart:
             others = others[side[others] != side[i]]
-        if not len(others):
-            continue
-        least = needed(size[i] + size[others], percent)
-        # Positional filter: shared shingles lie before both places or behind both.
-        most = np.minimum(place[i], place[others]) + np.minimum(size[i] - place[i], size[others] - place[others])
-        # Suffix filter: counts per class of the sets bound the overlap as well.
-        ok = (most >= least) & (np.minimum(classes[i], classes[others]).sum(axis=1) >= least)
-        for j in others[ok]:
-            if forest.join(i, int(j)):
+        others = others[in_reach(size[i], size[others], place[i], place[others], percent)]
+        for j in others:
+            if most_shared(counts[i], counts[j]) >= needed(int(size[i] + size[j]), percent) and forest.join(i, int(j)):
                 out.append((int(node[i]), int(node[j])))
     return out
 
@@ -213,7 +208,8 @@ def verify(ids: np.ndarray, sets: list[np.ndarray], apart: np.ndarray | None, pe
     ids, sets = ids[order], [sets[k] for k in order]
     apart = apart[order] if apart is not None else None
     size = np.array([len(s) for s in sets])
-    codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    codes = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32)
+    del sets
     begin = np.cumsum(size) - size
     mark = np.zeros(int(codes.max()) + 1, np.uint8)
     forest, out = Forest(len(ids)), []
@@ -228,9 +224,7 @@ def verify(ids: np.ndarray, sets: list[np.ndarray], apart: np.ndarray | None, pe
             continue
         own = codes[begin[i] : begin[i] + size[i]]
         mark[own] = 1
-        spans = np.concatenate([codes[begin[j] : begin[j] + size[j]] for j in others])
-        starts = np.cumsum(size[others]) - size[others]
-        shared = np.add.reduceat(mark[spans], starts, dtype=np.int64)
+        shared = np.array([np.count_nonzero(mark[codes[begin[j] : begin[j] + size[j]]]) for j in others])
         mark[own] = 0
         union = size[i] + size[others] - shared
         for j in others[100 * shared >= percent * union]:
@@ -269,43 +263,68 @@ def candidate_edges(sets: DataFrame, percent: int, block: int) -> DataFrame:
     ).withColumns({c: F.col(c).cast("int") for c in ("size", "place")})
     # Most shingles have one owner: only those with more go on, by counts that
     # are pre-aggregated in each task.
-    shared = cut(lists.select("gram").groupBy("gram").agg(F.count("*").alias("_n")).where("_n > 1"))
-    lists = lists.join(shared, "gram").join(sets.select("node", "classes"), "node")
-    key = ["gram", "low", "high"]
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def solve(held: dict, borders: np.ndarray) -> list[tuple[int, int]]:
-            out = []
-            for a, b in zip(borders[:-1], borders[1:], strict=True):
-                if b - a > 1:
-                    out += candidates(
-                        *(held[c][a:b] for c in ("node", "size", "place", "side", "classes")),
-                        bool(held["low"][a] != held["high"][a]), percent,
+    owners = lists.groupBy("gram").agg(F.count("*").alias("_c")).where("_c > 1")
+    lists = cut(lists.join(owners, "gram"))
+
+    def pair_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, held = ("gram", "node", "size", "place"), None
+        for batch in batches:
+            new = {c: batch.column(c).to_numpy().astype(np.int64) for c in names}
+            old = np.zeros(len(new["gram"]), bool)
+            if held is not None:
+                old = np.r_[np.ones(len(held["gram"]), bool), old]
+                new = {c: np.concatenate([held[c], new[c]]) for c in names}
+            for d in range(1, SHORT_LIST):
+                if d >= len(old):
+                    break
+                first, second = slice(None, -d), slice(d, None)
+                # Pairs within what an earlier batch left are done already.
+                same = (new["gram"][first] == new["gram"][second]) & ~old[second]
+                if not same.any():
+                    continue
+                at = np.flatnonzero(same)
+                x, y = ({c: new[c][k] for c in names} for k in (at, at + d))
+                ok = in_reach(x["size"], y["size"], x["place"], y["place"], percent)
+                a, b = x["node"][ok], y["node"][ok]
+                if len(a):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"]
                     )
-            return out
+            held = {c: v[-SHORT_LIST:] for c, v in new.items()}
+
+    short = lists.where(F.col("_c") <= SHORT_LIST).select("gram", "node", "size", "place")
+    pairs = (
+        short.repartition("gram").sortWithinPartitions("gram").mapInArrow(pair_up, "a long, b long").distinct()
+    )
+    one = sets.select(F.col("node").alias("a"), F.col("size").alias("x"), F.col("classes").alias("cx"))
+    two = sets.select(F.col("node").alias("b"), F.col("size").alias("y"), F.col("classes").alias("cy"))
 
-        held: dict = {}
+    def suffix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            new = {c: batch.column(c).to_numpy() for c in (*key, "node", "size", "place", "side")}
-            new["classes"] = np.frombuffer(
-                b"".join(batch.column("classes").to_pylist()), np.int32
-            ).reshape(-1, CLASSES)
-            held = {c: np.concatenate([held[c], new[c]]) for c in new} if held else new
-            changed = np.zeros(len(held["gram"]) - 1, bool) if len(held["gram"]) else np.zeros(0, bool)
-            for c in key:
-                changed |= held[c][1:] != held[c][:-1]
-            borders = np.r_[0, np.flatnonzero(changed) + 1]
-            yield edge_batch(solve(held, borders))
-            # The last list may go on in the next batch.
-            held = {c: v[borders[-1] :] for c, v in held.items()}
-        if held:
-            yield edge_batch(solve(held, np.array([0, len(held["gram"])])))
-
-    return (
-        spread(lists, "node", block).repartition(*key).sortWithinPartitions(*key)
-        .mapInArrow(search, "a long, b long")
+            x, y, cx, cy = (batch.column(c).to_pylist() for c in ("x", "y", "cx", "cy"))
+            keep = [
+                most_shared(unpacked(p, m), unpacked(q, n)) >= needed(m + n, percent)
+                for m, n, p, q in zip(x, y, cx, cy, strict=True)
+            ]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    near = pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y", "cx", "cy").mapInArrow(
+        suffix, "a long, b long"
     )
 
+    def search(table: pa.Table) -> pa.Table:
+        columns = [table.column(c).to_numpy() for c in ("node", "size", "place", "side")]
+        apart = table.column("low")[0].as_py() != table.column("high")[0].as_py()
+        found = candidates(*columns, table.column("classes").to_pylist(), apart, percent)
+        return pa.Table.from_batches([edge_batch(found)])
+
+    long = lists.where(F.col("_c") > SHORT_LIST).withColumn("_n", F.ceil(F.col("_c") / block)).drop("_c")
+    far = (
+        spread(long.join(sets.select("node", "classes"), "node"), "node")
+        .groupBy("gram", "low", "high").applyInArrow(search, "a long, b long")
+    )
+    return near.union(far)
+
 
 def link_components(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id of every document.
@@ -324,12 +343,16 @@ def link_components(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK)
         .select("key", "node", F.col("s.n_shingles").alias("size"), "s.prefix", "s.classes")
     )
     sets = cut(sets)
-    clusters = cut(components(cut(candidate_edges(sets, percent, block))))
+    clusters = components(candidate_edges(sets, percent, block))
 
     # Each candidate's text goes to its cluster once (or to the block pairs of a large one).
-    sizes = clusters.groupBy("component").agg(F.count("*").alias("_n"))
-    dealt = cut(spread(clusters.join(sizes, "component"), "node", block))
-    parts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(dealt, "node")
+    share = F.greatest(F.count("*") / block, F.sum("size") / BLOCK_SHINGLES)
+    sizes = (
+        clusters.join(sets.select("node", "size"), "node").groupBy("component").agg(F.ceil(share).alias("_n"))
+    )
+    dealt = cut(spread(clusters.join(sizes, "component"), "node"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text")
+    parts = sifted(texts, "node", dealt, "node").join(dealt, "node")
 
     def check(table: pa.Table) -> pa.Table:
         ids, first = np.unique(table.column("node").to_numpy(), return_index=True)
@@ -340,7 +363,7 @@ def link_components(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK)
         return pa.Table.from_batches([edge_batch(verify(ids, found, apart, percent))])
 
     links = parts.groupBy("component", "low", "high").applyInArrow(check, "a long, b long")
-    linked = components(cut(links))
+    linked = components(links)
     members = sets.select("key", "node").join(linked, "node", "left").select(
         "key", F.coalesce("component", "node").alias("least")
     )
