@@ -41,6 +41,10 @@ def _counted(df: DataFrame, step: str, seen: dict[str, Observation] | None) -> D
     return df.observe(seen[step], F.count(F.lit(1)).alias("n"))
 
 
+# What decides between copies of an event that differ.
+COPY_ORDER = ("event_ts", "user_id", "event_type", "sku", "consent", "price", "quantity", "order_id", "return_reason")
+
+
 def clean(
     events: DataFrame,
     items: DataFrame,
@@ -55,7 +59,9 @@ def clean(
     events = _counted(events, "input_events", seen)
     if rules.consumer:
         events = _counted(C.consented(events, rules.consumer), "after_consent", seen)
-    events = _counted(C.deduplicated(events, ["event_id"]), "after_dedupe", seen)
+    # Copies may differ: the least in a fixed order stays, whatever the partitioning.
+    order = [c for c in COPY_ORDER if c in events.columns]
+    events = _counted(C.deduplicated(events, ["event_id"], order), "after_dedupe", seen)
     events = _counted(C.without_types(events, rules.drop_types), "after_type_filter", seen)
     events = cut(_counted(C.known_skus(events, items), "after_catalog_join", seen))
     users = C.eligible_users(events, rules.bot_per_day, rules.min_events, rules.max_events)

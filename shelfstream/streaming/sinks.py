@@ -43,7 +43,7 @@ def append_stream(
     df: DataFrame, path: str, checkpoint: str, partition_by: Sequence[str] = (), **trigger
 ):
     """Append to Parquet; the file sink's log makes a retried batch harmless."""
-    _watch(df.sparkSession)
+    watch(df.sparkSession)
     writer = df.writeStream.format("parquet").outputMode("append")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -58,7 +58,7 @@ def append_stream(
 def write_versions(df: DataFrame, path: str, checkpoint: str, mode: str = "update", **trigger):
     """Write each batch's changed rows to its own folder; a retried batch replaces it."""
 
-    _watch(df.sparkSession)
+    watch(df.sparkSession)
 
     def save(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
@@ -136,7 +136,7 @@ _RUNS = _Runs()
 _WATCHED: set[str] = set()
 
 
-def _watch(spark: SparkSession) -> None:
+def watch(spark: SparkSession) -> None:
     """Attach the listener once per application."""
     application = spark.sparkContext.applicationId
     if application not in _WATCHED:

@@ -44,6 +44,14 @@ def test_silver_report_adds_up(warehouse):
     assert counts == sorted(counts, reverse=True) and counts[-1] == warehouse.report["silver_events"] > 0
 
 
+def test_differing_copies_leave_the_same_one(spark):
+    rows = [("e", 2.0, "service,analytics"), ("e", 1.0, "service,analytics"), ("e", 3.0, "analytics")] * 5
+    df = spark.createDataFrame(rows, "event_id string, price double, consent string")
+    for parts in (1, 3, 7):
+        kept = C.deduplicated(df.repartition(parts), ["event_id"], ["consent", "price"]).collect()
+        assert [(r.price, r.consent) for r in kept] == [(3.0, "analytics")]
+
+
 def test_silver_rank_is_dense_per_user(warehouse):
     rows = warehouse.read("silver.interactions").groupBy("user_id").agg(
         F.count("*").alias("n"), F.max("event_rank").alias("m"), F.count_distinct("event_rank").alias("d")

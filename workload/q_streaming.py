@@ -8,7 +8,7 @@ from shelfstream.plans import recommend as REC
 from shelfstream.scale import fresh_dir
 from shelfstream.sources.tables import tables_differ
 from shelfstream.streaming import bootstrap as B
-from shelfstream.streaming import sinks, state, topics
+from shelfstream.streaming import live, sinks, state, topics
 from workload.registry import case, cte
 from workload.views import RULES, r, text_of
 
@@ -257,3 +257,22 @@ def _(v):
     return streamed.agg(F.count("*").alias("users"), F.lit(1).alias("_k")).join(
         diff.agg(F.count("*").alias("differing"), F.lit(1).alias("_k")), "_k"
     ).drop("_k")
+
+
+@case("jn11_live_catalogue", """
+SELECT user_id, string_agg(token, ',' ORDER BY event_ts, event_id) AS tokens FROM (
+  SELECT i.user_id, i.event_id, event_ts, CASE WHEN cast(i.event_id AS BIGINT) % 2 = 0
+    AND cast(i.sku AS BIGINT) % 10 = 9 THEN i.sku ELSE t.token END AS token,
+    row_number() OVER (PARTITION BY user_id ORDER BY event_ts DESC, event_id DESC) AS back
+  FROM interactions i JOIN token_items t ON t.sku = i.sku) WHERE back <= 20 GROUP BY 1""")
+def _(v):
+    # Half of the events meet a catalogue without some SKUs, which are added before the other half.
+    path, items, root = (fresh_dir(v.spark, name) for name in ("topic", "catalog", "live"))
+    out, checkpoint = f"{root}/tails", f"{root}/checkpoint"
+    for turn, catalogue in enumerate((v.catalogue(10), v.catalogue())):
+        catalogue.write.parquet(f"{items}/batch={turn}")
+        topics.replay(v.interactions().filter(F.col("event_id").cast("long") % 2 == turn), path, 2)
+        stream = topics.read_topic(v.spark, "interactions.v1", path)
+        sinks.finish(live.live_tails(stream, items, RULES, out, checkpoint, 20))
+    tails = sinks.current_rows(v.spark, out, ["user_id"])
+    return tails.select("user_id", text_of(F.col("tail.token")).alias("tokens"))
