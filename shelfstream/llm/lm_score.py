@@ -29,13 +29,15 @@ MODULUS, REMAINDER = 7, 2
 # Ratio of the count levels.
 RATIO = 1.6
 # Filter bits for each (n-gram, level); every entry sets PROBES bits of one 64-bit word.
-BITS_PER_ENTRY, PROBES = 12, 4
+BITS_PER_ENTRY, PROBES = 10, 4
 # What one broadcast of the filter may take.
 SEGMENT_BYTES = 128 << 20
 # Tokens for which a reducer counts n-grams and builds its block of the filter.
-BUCKET_TOKENS = 1 << 21
+BUCKET_TOKENS = 1 << 20
+# N-grams a task holds before it hands them on, and bytes of text scored together.
+HELD_GRAMS, STRETCH_BYTES = 2_000_000, 1 << 20
 # Words whose exact counts are broadcast for the base score; the others are joined by a shuffle.
-FREQUENT = 400_000
+FREQUENT = 250_000
 # Interpolation weights of the word-pair model; a document is scored by their even mixture.
 WEIGHTS = (0.02, 0.1, 0.3, 0.6, 0.9)
 # The border of a text: its end, and what stands before its first word.
@@ -102,6 +104,19 @@ class Segment:
         return out
 
 
+def stretches(texts: list[bytes], limit: int) -> Iterator[list[bytes]]:
+    """``texts`` in runs of about ``limit`` bytes, so that their n-grams take bounded memory."""
+    run, held = [], 0
+    for text in texts:
+        run.append(text)
+        held += len(text)
+        if held >= limit:
+            yield run
+            run, held = [], 0
+    if run:
+        yield run
+
+
 def build_filter(train: DataFrame, tokens: int) -> tuple[DataFrame, int]:
     """((bucket, words, block) of the filter, bits): one block per bucket of n-gram hashes.
 
@@ -130,7 +145,7 @@ def build_filter(train: DataFrame, tokens: int) -> tuple[DataFrame, int]:
                 both = hashes(text, memo)
                 parts += both
                 held += 2 * len(both[0])
-                if held > 6_000_000:
+                if held > HELD_GRAMS:
                     yield from emit(parts)
                     parts, held = [], 0
         if parts:
@@ -170,10 +185,13 @@ def segments(blocks: DataFrame, bits: int, limit: int = SEGMENT_BYTES) -> Iterat
             first, held = bucket, 0
         held += own
     for first, last in [*runs, (first, 1 << bits)]:
-        held = blocks.where(f"bucket >= {first} and bucket < {last}").toArrow().sort_by("bucket")
         size = np.array([sizes.get(b, 0) for b in range(first, last)], np.int64)
-        data = b"".join(held.column("block").to_pylist())
-        yield Segment(bits, first, size, np.frombuffer(data, np.uint64))
+        begin, data = np.cumsum(size) - size, np.zeros(int(size.sum()), np.uint64)
+        # Block by block, so that the driver holds a segment once.
+        for row in blocks.where(f"bucket >= {first} and bucket < {last}").toLocalIterator():
+            at = begin[row["bucket"] - first]
+            data[at : at + row["words"]] = np.frombuffer(row["block"], np.uint64)
+        yield Segment(bits, first, size, data)
 
 
 def log_probability(one: np.ndarray, two: np.ndarray, total: int, kinds: int) -> float:
@@ -225,15 +243,12 @@ def score_texts(docs: DataFrame, segment_bytes: int = SEGMENT_BYTES, head: int =
 
     def probe(batch: pa.RecordBatch, segment: Segment, memo: Memo) -> list[np.ndarray]:
         """Levels of all tokens and then all pairs of each document, with what earlier passes found."""
-        both = [hashes(t, memo) for t in raw_texts(batch.column("text"))]
-        if not both:
-            return []
-        grams = np.concatenate([np.concatenate(b) for b in both])
-        unique, inverse = np.unique(grams, return_inverse=True)
-        levels = segment.levels(unique)[inverse]
-        borders = np.cumsum([2 * len(one) for one, _ in both])[:-1]
-        out = np.split(levels, borders)
-        states = batch.column("state").to_pylist()
+        out, states = [], batch.column("state").to_pylist()
+        for texts in stretches(raw_texts(batch.column("text")), STRETCH_BYTES):
+            both = [hashes(t, memo) for t in texts]
+            unique, inverse = np.unique(np.concatenate([np.concatenate(b) for b in both]), return_inverse=True)
+            levels = segment.levels(unique)[inverse]
+            out += np.split(levels, np.cumsum([2 * len(one) for one, _ in both])[:-1])
         return [np.maximum(x, np.frombuffer(s, np.uint8)) if s else x for x, s in zip(out, states, strict=True)]
 
     def collect(held):
