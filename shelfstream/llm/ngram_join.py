@@ -64,7 +64,7 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1 if n else 0
 
 
-def frequency_sketch(docs: DataFrame) -> np.ndarray:
+def frequency_sketch(docs: DataFrame, size: int = SHINGLE) -> np.ndarray:
     """Shingle counts by hash, 2^SKETCH_BITS of them: large exactly where frequent shingles are.
 
     Any common order keeps the join whole; this one puts rare shingles first.
@@ -75,7 +75,7 @@ def frequency_sketch(docs: DataFrame) -> np.ndarray:
         shift = np.uint64(64 - SKETCH_BITS)
         for batch in batches:
             for text in raw_texts(batch.column(0)):
-                np.add.at(counts, shingle_set(text, memo) >> shift, 1)
+                np.add.at(counts, shingle_set(text, memo, size) >> shift, 1)
         yield from chunks_of(counts)
 
     rows = docs.select("text").mapInArrow(tally, "chunk int, part binary")
@@ -102,16 +102,16 @@ def most_shared(x: np.ndarray, y: np.ndarray) -> int:
     return int(np.minimum(x, y).sum())
 
 
-def describe(docs: DataFrame, percent: int) -> DataFrame:
+def describe(docs: DataFrame, percent: int, size: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, key (of the set), prefix (packed), classes (packed) per document."""
-    sketch = docs.sparkSession.sparkContext.broadcast(frequency_sketch(docs))
+    sketch = docs.sparkSession.sparkContext.broadcast(frequency_sketch(docs, size))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, shift = hashed_words(), np.uint64(64 - SKETCH_BITS)
         for batch in batches:
             sizes, keys, prefixes, classes = [], [], [], []
             for text in raw_texts(batch.column("text")):
-                s = shingle_set(text, memo)
+                s = shingle_set(text, memo, size)
                 rarest = np.lexsort((s, sketch.value[s >> shift]))[: prefix_length(len(s), percent)]
                 sizes.append(len(s))
                 keys.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
@@ -326,17 +326,19 @@ def candidate_edges(sets: DataFrame, percent: int, block: int) -> DataFrame:
     return near.union(far)
 
 
-def link_components(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
+def link_components(
+    docs: DataFrame, percent: int = PERCENT, block: int = BLOCK, size: int = SHINGLE
+) -> DataFrame:
     """doc_id, n_shingles, component_id of every document.
 
     Documents link when 100 * shared >= percent * union of their distinct
-    three-word shingles (A-Z lower-cased, ASCII white space). The component is
+    ``size``-word shingles (A-Z lower-cased, ASCII white space). The component is
     the least doc_id reachable. Null, empty and blank texts have no shingles
     and link with nothing; a row without doc_id is described but takes part in
     no link and has a null component. Repeated rows get equal values. An empty
     table gives no rows; other columns are ignored.
     """
-    info = cut(describe(docs, percent))
+    info = cut(describe(docs, percent, size))
     sets = (
         info.where("n_shingles > 0 and doc_id is not null").groupBy("key")
         .agg(F.min("doc_id").alias("node"), F.any_value(F.struct("n_shingles", "prefix", "classes")).alias("s"))
@@ -357,7 +359,7 @@ def link_components(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK)
     def check(table: pa.Table) -> pa.Table:
         ids, first = np.unique(table.column("node").to_numpy(), return_index=True)
         table, memo = table.take(first), hashed_words()
-        found = [shingle_set(t, memo) for t in raw_texts(table.column("text"))]
+        found = [shingle_set(t, memo, size) for t in raw_texts(table.column("text"))]
         low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
         apart = table.column("side").to_numpy() if low != high else None
         return pa.Table.from_batches([edge_batch(verify(ids, found, apart, percent))])
@@ -371,13 +373,15 @@ def link_components(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK)
     return info.join(members, "key", "left").select("doc_id", "n_shingles", mine.alias("component_id"))
 
 
-def keep_one(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
+def keep_one(
+    docs: DataFrame, percent: int = PERCENT, block: int = BLOCK, size: int = SHINGLE
+) -> DataFrame:
     """The rows of ``docs`` with one document of each component, that with the least doc_id.
 
     Rows without doc_id all stay; of repeated rows of a doc_id one stays.
     """
     names = [f"`{c}`" for c in docs.columns]
-    gone = link_components(docs, percent, block).where("doc_id <> component_id").select("doc_id").distinct()
+    gone = link_components(docs, percent, block, size).where("doc_id <> component_id").select("doc_id").distinct()
     rest = docs.join(cut(gone), "doc_id", "left_anti").select(*names)
     twice = cut(docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"))
     if twice.isEmpty():

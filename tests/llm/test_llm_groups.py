@@ -124,6 +124,48 @@ def test_one_of_each_component_stays(spark):
     assert ngram_join.link_components(docs_of(spark, EDGE)).count() == len(EDGE)
 
 
+def brute_links(texts, percent, size):
+    """{id: ids it links with} of the given {id: text}, by comparing all pairs."""
+    sets = {}
+    for i, text in texts.items():
+        w = (text or "").encode().lower().split()
+        k = min(size, len(w))
+        sets[i] = frozenset(tuple(w[n : n + k]) for n in range(len(w) - k + 1)) if w else frozenset()
+    out = {i: set() for i in sets}
+    for a in sets:
+        for b in sets:
+            shared = len(sets[a] & sets[b]) if a < b else 0
+            if shared and 100 * shared >= percent * len(sets[a] | sets[b]):
+                out[a].add(b)
+                out[b].add(a)
+    return out
+
+
+def heads_of(links):
+    """The ids that are the least of their component."""
+    left, out = set(links), []
+    while left:
+        group, new = set(), {min(left)}
+        while new:
+            group |= new
+            new = set().union(*(links[i] for i in new)) - group
+        out.append(min(group))
+        left -= group
+    return sorted(out)
+
+
+def test_one_stays_at_five_words(spark):
+    base = [f"v{k}" for k in range(100)]
+    near = [w if k not in (30, 70) else "other" + w for k, w in enumerate(base)]
+    rows = [*near_rows(random.Random(12), 200), (500, " ".join(base)), (501, " ".join(near))]
+    kept = ngram_join.keep_one(docs_of(spark, rows), percent=80, size=5)
+    got = sorted(r.doc_id for r in kept.select("doc_id").collect())
+    assert got == heads_of(brute_links(dict(rows), 80, 5))
+    assert 500 in got and 501 not in got
+    # Three words at 0.9 leave both.
+    assert 501 in {r.doc_id for r in ngram_join.keep_one(docs_of(spark, rows)).select("doc_id").collect()}
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(k, k + 1) for k in range(100, 140)] + [(7, k) for k in range(200, 260)] + [(260, 259), (3, 3)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
