@@ -9,6 +9,11 @@ linked, directly or through others, so end in one cluster. A cluster receives
 each of its sets once and verifies a pair at most once, skipping pairs that
 links found before already connect. Long lists and large clusters are split
 into pairs of blocks, so no task holds more than two blocks.
+
+Where links are asked for (``link_counts``), a cluster skips no pair: each
+pair of different sets is verified once and counts for both. What leaves a
+task are counts per set and a spanning forest of the links, so the output stays
+linear although the pairs of a large group do not.
 """
 
 from __future__ import annotations
@@ -233,6 +238,51 @@ def verify(ids: np.ndarray, sets: list[np.ndarray], apart: np.ndarray | None, pe
     return out
 
 
+def tally_links(
+    ids: np.ndarray, sets: list[np.ndarray], weight: np.ndarray, apart: np.ndarray | None, percent: int
+) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray]:
+    """(spanning forest of the links, ids, links per id): every pair of ``sets`` is verified once.
+
+    With ``apart`` only pairs of its two sides count. A link counts as often
+    as the other set's ``weight``.
+    """
+    size = np.array([len(s) for s in sets])
+    order = np.lexsort((ids, size))
+    ids, size, weight = ids[order], size[order], weight[order]
+    codes = np.unique(np.concatenate([sets[k] for k in order]), return_inverse=True)[1].astype(np.int32)
+    begin = np.cumsum(size) - size
+    if apart is None:
+        left = right = np.arange(len(ids))
+        held, at = codes, begin
+    else:
+        side = apart[order]
+        left, right = np.flatnonzero(side == side[0]), np.flatnonzero(side != side[0])
+        held = codes[np.repeat(side != side[0], size)]
+        at = np.cumsum(size[right]) - size[right]
+    ends = np.r_[at, len(held)]
+    mark = np.zeros(int(codes.max()) + 1, np.uint8)
+    forest, out, links = Forest(len(ids)), [], np.zeros(len(ids), np.int64)
+    for i in left:
+        last = int(np.searchsorted(size[right], 100 * size[i] // percent, side="right"))
+        first = i + 1 if apart is None else int(np.searchsorted(size[right], -(-percent * size[i] // 100)))
+        if first >= last:
+            continue
+        own = codes[begin[i] : begin[i] + size[i]]
+        mark[own] = 1
+        span = mark[held[ends[first] : ends[last]]]
+        shared = np.add.reduceat(span, ends[first:last] - ends[first], dtype=np.int64)
+        mark[own] = 0
+        others = right[first:last]
+        others = others[100 * shared >= percent * (size[i] + size[others] - shared)]
+        links[i] += weight[others].sum()
+        links[others] += weight[i]
+        roots = forest.roots()
+        for j in others[roots[others] != roots[i]]:
+            if forest.join(int(i), int(j)):
+                out.append((int(ids[i]), int(ids[j])))
+    return out, ids, links
+
+
 def edge_batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array([a for a, _ in edges], pa.int64()), pa.array([b for _, b in edges], pa.int64())],
@@ -326,18 +376,8 @@ def candidate_edges(sets: DataFrame, percent: int, block: int) -> DataFrame:
     return near.union(far)
 
 
-def link_components(
-    docs: DataFrame, percent: int = PERCENT, block: int = BLOCK, size: int = SHINGLE
-) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document.
-
-    Documents link when 100 * shared >= percent * union of their distinct
-    ``size``-word shingles (A-Z lower-cased, ASCII white space). The component is
-    the least doc_id reachable. Null, empty and blank texts have no shingles
-    and link with nothing; a row without doc_id is described but takes part in
-    no link and has a null component. Repeated rows get equal values. An empty
-    table gives no rows; other columns are ignored.
-    """
+def clustered(docs: DataFrame, percent: int, block: int, size: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents described, distinct sets, texts dealt to block pairs of the candidates' clusters)."""
     info = cut(describe(docs, percent, size))
     sets = (
         info.where("n_shingles > 0 and doc_id is not null").groupBy("key")
@@ -355,6 +395,22 @@ def link_components(
     dealt = cut(spread(clusters.join(sizes, "component"), "node"))
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text")
     parts = sifted(texts, "node", dealt, "node").join(dealt, "node")
+    return info, sets, parts
+
+
+def link_components(
+    docs: DataFrame, percent: int = PERCENT, block: int = BLOCK, size: int = SHINGLE
+) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document.
+
+    Documents link when 100 * shared >= percent * union of their distinct
+    ``size``-word shingles (A-Z lower-cased, ASCII white space). The component is
+    the least doc_id reachable. Null, empty and blank texts have no shingles
+    and link with nothing; a row without doc_id is described but takes part in
+    no link and has a null component. Repeated rows get equal values. An empty
+    table gives no rows; other columns are ignored.
+    """
+    info, sets, parts = clustered(docs, percent, block, size)
 
     def check(table: pa.Table) -> pa.Table:
         ids, first = np.unique(table.column("node").to_numpy(), return_index=True)
@@ -373,6 +429,50 @@ def link_components(
     return info.join(members, "key", "left").select("doc_id", "n_shingles", mine.alias("component_id"))
 
 
+def link_counts(
+    docs: DataFrame, percent: int = PERCENT, block: int = BLOCK, size: int = SHINGLE
+) -> DataFrame:
+    """doc_id, n_shingles, component_id as :func:`link_components`, and n_links of every document.
+
+    ``n_links`` is the number of other documents that one links with. Exact
+    copies of a shingle set are counted, not compared; all pairs of different
+    sets that may link are verified, and the components follow from these links.
+    """
+    info, sets, parts = clustered(docs, percent, block, size)
+    owners = info.where("n_shingles > 0 and doc_id is not null").select("key", "doc_id").distinct()
+    sets = cut(sets.select("key", "node").join(owners.groupBy("key").agg(F.count("*").alias("weight")), "key"))
+
+    def check(table: pa.Table) -> pa.Table:
+        ids, first = np.unique(table.column("node").to_numpy(), return_index=True)
+        table, memo = table.take(first), hashed_words()
+        found = [shingle_set(t, memo, size) for t in raw_texts(table.column("text"))]
+        low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
+        apart = table.column("side").to_numpy() if low != high else None
+        edges, ids, links = tally_links(ids, found, table.column("weight").to_numpy(), apart, percent)
+        ids, links = ids[links > 0], links[links > 0]
+        return pa.table({
+            "a": pa.array([*(a for a, _ in edges), *ids.tolist()], pa.int64()),
+            "b": pa.array([*(b for _, b in edges), *[None] * len(ids)], pa.int64()),
+            "n": pa.array([*[0] * len(edges), *links.tolist()], pa.int64()),
+        })
+
+    found = cut(
+        parts.join(sets.select("node", "weight"), "node")
+        .groupBy("component", "low", "high").applyInArrow(check, "a long, b long, n long")
+    )
+    linked = components(found.where("b is not null").select("a", "b"))
+    counts = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
+    members = sets.join(linked, "node", "left").join(counts, "node", "left").select(
+        "key", F.coalesce("component", "node").alias("least"),
+        (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"),
+    )
+    mine = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id"))
+    links = F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(0)
+    return info.join(members, "key", "left").select(
+        "doc_id", "n_shingles", mine.alias("component_id"), links.alias("n_links")
+    )
+
+
 def keep_one(
     docs: DataFrame, percent: int = PERCENT, block: int = BLOCK, size: int = SHINGLE
 ) -> DataFrame:

@@ -25,6 +25,11 @@ def op1_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.link_components(read(spark, folder, "documents"))
 
 
+@query
+def op1_ngram_links(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.link_counts(read(spark, folder, "documents"))
+
+
 @query
 def op2_mixing(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mixing.mix(read(spark, folder, "documents"), read(spark, folder, "labels"))
@@ -108,7 +113,28 @@ SELECT n.doc_id, n.n AS n_shingles, coalesce(m.m, n.doc_id) AS component_id FROM
 """
 
 
+def links_sql(documents: str = "documents") -> str:
+    """Components, and the number of documents that each links with."""
+    return f"""
+WITH w AS (SELECT doc_id, {sql_words('text', PLAIN)} AS w FROM {documents}),
+s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s FROM w),
+n AS (SELECT doc_id, len(s) AS n FROM s),
+g AS (SELECT doc_id, unnest(s) AS g FROM s),
+p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id
+  GROUP BY ALL),
+l AS (
+  SELECT a, count(*) AS k FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+  WHERE 100 * c >= 90 * (x.n + y.n - c) GROUP BY a)
+SELECT j.doc_id, j.n_shingles, j.component_id, coalesce(l.k, 0) AS n_links
+FROM ({jaccard_sql(documents)}) j LEFT JOIN l ON l.a = j.doc_id
+"""
+
+
 ORACLES["op1_ngram_jaccard"] = jaccard_sql()
+ORACLES["op1_ngram_links"] = links_sql()
 
 ORACLES["op3_exact_dedup"] = """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)

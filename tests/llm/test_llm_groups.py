@@ -154,6 +154,43 @@ def heads_of(links):
     return sorted(out)
 
 
+@pytest.mark.parametrize("block, percent, size", [(1024, 90, 3), (8, 90, 3), (16, 80, 5)])
+def test_no_link_is_lost(spark, monkeypatch, block, percent, size):
+    monkeypatch.setattr(ngram_join, "SHORT_LIST", 4)
+    rng = random.Random(13)
+    # A group of near copies that all link, exact copies among them.
+    base = [f"v{k}" for k in range(150)]
+    group = []
+    for i in range(60):
+        text = list(base)
+        if i % 4:
+            text[rng.randrange(150)] = f"x{i % 17}"
+        group.append((2_000 + i, " ".join(text)))
+    rows = [*near_rows(rng, 240), *group, (900, None), (901, " "), (902, "w1 w2"), (903, "W1  w2")]
+    rows = [*rows, rows[0]]
+    df = docs_of(spark, [*rows, (None, "w1 w2")]).repartition(4)
+    got = ngram_join.link_counts(df, percent, block, size).collect()
+    assert len(got) == len(rows) + 1
+    expected = brute_links(dict(rows), percent, size)
+    assert {r.doc_id: r.n_links for r in got if r.doc_id is not None} == {i: len(x) for i, x in expected.items()}
+    assert min(len(expected[2_000 + i]) for i in range(60)) >= 59
+    assert sorted({r.doc_id for r in got if r.doc_id == r.component_id and r.doc_id is not None}) == heads_of(expected)
+    alone = next(r for r in got if r.doc_id is None)
+    assert (alone.component_id, alone.n_links) == (None, 0)
+    assert ngram_join.link_counts(docs_of(spark, [])).count() == 0
+
+
+def test_links_equal_their_sql(spark, folder):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+    df = QUERIES["op1_ngram_links"](spark, folder)
+    cursor = con.execute(ORACLES["op1_ngram_links"])
+    assert df.columns == [d[0] for d in cursor.description]
+    assert Counter(tuple(r) for r in df.collect()) == Counter(cursor.fetchall())
+
+
 def test_one_stays_at_five_words(spark):
     base = [f"v{k}" for k in range(100)]
     near = [w if k not in (30, 70) else "other" + w for k, w in enumerate(base)]
