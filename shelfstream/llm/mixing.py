@@ -2,14 +2,16 @@
 
 A softmax classifier, fitted on a bounded labelled sample, gives every document
 a posterior over domains. Rates r >= 0 are then fitted so that the expected
-tokens per domain, the sum of r * tokens * posterior, meet the targets while r
-stays near 1: least squares by projected gradient, each step one distributed
-sum over the documents.
+tokens per domain, the sum of r * tokens * posterior, meet the targets, and
+among such rates those nearest to 1: ridge least squares by Newton steps on its
+dual, each step one distributed sum over the documents. The ridge shrinks until
+the targets are met; targets that no rates meet are reported.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
@@ -25,12 +27,17 @@ from shelfstream.scale import cut
 # Domains of the labelled table, and their shares of the mixed tokens.
 DOMAINS = ("good", "low", "toxic")
 TARGETS = {"good": 0.88, "low": 0.07, "toxic": 0.05}
+# Behind a filter of toxic documents: the others keep their proportions.
+FILTERED_TARGETS = {d: TARGETS[d] for d in ("good", "low")}
 # Labelled rows the classifier is fitted on at most, and hashed features.
 SAMPLE, FEATURES = 6_000, 1 << 15
 PACE, RIDGE = 1.0, 3e-5
-# Weight of staying near the rate 1 against meeting the targets; a document appears MOST times at most.
-PULL, MOST = 2e-3, 8.0
-STEPS, TOLERANCE = 30, 1e-5
+# Weight of staying near the rate 1 against meeting the targets, at first; a rate has no upper bound.
+PULL, MOST = 1e-6, math.inf
+# Shares count as met within MISS; until then the weight shrinks tenfold, down to LEAST_PULL.
+MISS, LEAST_PULL = 1e-4, 1e-9
+# Passes over the documents at most (more is an error), and the gradient at which a fit has converged.
+STEPS, TOLERANCE = 300, 1e-6
 
 
 SYMBOLS = bytes(b for b in range(0x21, 0x7F) if not chr(b).isalnum())
@@ -71,6 +78,11 @@ class Classifier:
         z = np.exp(z - z.max(axis=1, keepdims=True))
         return z / z.sum(axis=1, keepdims=True)
 
+    def among(self, domains: Mapping[str, float]) -> Classifier:
+        """The posterior given that a document is of one of ``domains``."""
+        rows = [k for k, d in enumerate(DOMAINS) if d in domains]
+        return Classifier(self.weights[rows], self.bias[rows])
+
     def of_texts(self, texts: list[bytes], memo: Memo) -> np.ndarray:
         rows = [features(t, memo) for t in texts]
         sizes = np.array([len(r) for r in rows], np.int64)
@@ -158,82 +170,105 @@ def memberships(docs: DataFrame, model: Classifier) -> DataFrame:
 def rate_column(push: np.ndarray):
     """The rate of a document: 1 less the push on its domains, projected on [0, MOST]."""
     along = F.lit(0.0)
-    for k in range(len(DOMAINS)):
+    for k in range(len(push)):
         along = along + F.col("p")[k] * F.lit(float(push[k]))
     return F.greatest(F.lit(0.0), F.least(F.lit(MOST), 1.0 - along))
 
 
 def fit_rates(members: DataFrame, targets: Mapping[str, float] = TARGETS, steps: int = STEPS):
-    """(push per domain, expected token shares under it, target shares).
-
-    Minimises |s(r) - w|^2 / 2 + PULL |r - 1|^2 / 2 over rates r in [0, MOST],
-    where s are the expected domain tokens and the second norm weighs rows by
-    their tokens. The gradient lies in the span of the posteriors, so every
-    iterate is 1 - p . push, projected, and only ``push`` is kept. A step is the
-    gradient scaled by the Gram matrix of the rows that are not at a bound; a
-    pass sums both. Shares miss the targets by PULL * push.
+    """(push per domain, expected token shares under it, target shares), for the domains in ``targets``.
+
+    Minimises |s(r) - w|^2 / 2 + pull |r - 1|^2 / 2 over rates r >= 0, where s
+    are the expected domain tokens and the second norm weighs rows by their
+    tokens. The optimum is r = max(0, 1 - p . push), where push minimises the
+    dual pull |push|^2 / 2 + w . push + |r|^2 / 2, so only ``push`` is kept and
+    moved: by Newton steps, halved until the dual falls. A pass sums gradient,
+    Gram matrix of the rows with r > 0, and dual. Shares miss the targets by
+    pull * push, so the pull shrinks until they are within MISS. If they are not
+    at the least pull, no rates meet the targets, and these are the closest.
     """
-    n = len(DOMAINS)
+    domains = [d for d in DOMAINS if d in targets]
+    n = len(domains)
     tokens, p = F.col("n_tokens").cast("double"), F.col("p")
     pairs = [(i, j) for i in range(n) for j in range(i, n)]
-    wanted = np.array([targets.get(d, 0.0) for d in DOMAINS], np.float64)
+    wanted = np.array([targets[d] for d in domains], np.float64)
     wanted = wanted / wanted.sum()
     total = float(members.agg(F.sum(tokens)).first()[0] or 0.0)
-    push, shares = np.zeros(n), np.zeros(n)
-    best = (np.inf, push, shares)
-    stride = 1.0
-    for _ in range(steps if total > 0 else 0):
+    if not total > 0:
+        return np.zeros(n), np.zeros(n), wanted
+
+    def measure(push: np.ndarray):
+        """Shares, Gram matrix and |r|^2 at ``push``: one pass."""
         rated = members.select(tokens.alias("t"), "p", rate_column(push).alias("r"))
-        free = F.when((F.col("r") > 0) & (F.col("r") < MOST), F.col("t")).otherwise(0.0)
+        free = F.when(F.col("r") > 0, F.col("t")).otherwise(0.0)
         got = rated.agg(
+            F.sum(F.col("t") * F.col("r") * F.col("r")),
             *[F.sum(F.col("t") * p[k] * F.col("r")) for k in range(n)],
             *[F.sum(free * p[i] * p[j]) for i, j in pairs],
         ).first()
-        shares = np.array(got[:n]) / total
-        gradient = shares - wanted - PULL * push
-        size = float(np.abs(gradient).max())
-        if size < best[0]:
-            best, stride = (size, push, shares), min(1.0, 2 * stride)
-        else:  # overshot: back to the best point with half the stride
-            push, stride = best[1], stride / 2
-            push = push + stride * step
-            continue
-        if size < TOLERANCE:
-            break
         gram = np.zeros((n, n))
-        for (i, j), value in zip(pairs, got[n:], strict=True):
+        for (i, j), value in zip(pairs, got[1 + n :], strict=True):
             gram[i, j] = gram[j, i] = value / total
-        step = np.linalg.solve(gram + PULL * np.eye(n), gradient)
-        push = push + stride * step
-    return best[1], best[2], wanted
+        return np.array(got[1 : 1 + n]) / total, gram, got[0] / total
+
+    push, pull, passes = np.zeros(n), PULL, 1
+    shares, gram, square = measure(push)
+    while True:
+        gradient = shares - wanted - pull * push
+        if np.abs(gradient).max() >= TOLERANCE:
+            dual = pull * push @ push / 2 + wanted @ push + square / 2
+            step, stride = np.linalg.solve(gram + pull * np.eye(n), gradient), 1.0
+            while True:
+                if passes >= steps:
+                    raise RuntimeError(f"rates have not converged in {steps} passes: {shares} for {wanted}")
+                there, passes = push + stride * step, passes + 1
+                found = measure(there)
+                less = dual - (pull * there @ there / 2 + wanted @ there + found[2] / 2)
+                if less >= 1e-4 * stride * (gradient @ step) or np.abs(found[0] - wanted - pull * there).max() < TOLERANCE:
+                    break
+                stride /= 2
+            push, (shares, gram, square) = there, found
+        elif np.abs(shares - wanted).max() > MISS and pull > LEAST_PULL:
+            pull /= 10
+        else:
+            return push, shares, wanted
 
 
 def mix(
     docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGETS, sample: int = SAMPLE
 ) -> DataFrame:
-    """row, doc_id, source, n_tokens, p_<domain>..., rate, copies of every document.
+    """row, doc_id, source, n_tokens, p_<domain>..., rate, copies, miss of every document.
 
     ``copies`` rounds the rate down or up by a hash of the id, so that its
-    expectation is the rate. Null and empty texts have no tokens; their rate
+    expectation is the rate. ``miss`` is the largest difference of an expected
+    share to its target, the same in all rows: above MISS, no rates meet the
+    targets and these come closest. Null and empty texts have no tokens; their rate
     counts for nothing. Without labels all posteriors are equal. Repeated rows
     get equal rates; null ids hash alike; an empty table gives no rows; other
     columns are ignored.
     """
-    members = cut(memberships(docs, fit_classifier(docs, labels, sample)))
-    push, _, _ = fit_rates(members, targets)
+    members = cut(memberships(docs, fit_classifier(docs, labels, sample).among(targets)))
+    push, shares, wanted = fit_rates(members, targets)
+    domains = [d for d in DOMAINS if d in targets]
     rate = rate_column(push)
     coin = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1e6
     return members.withColumn("rate", rate).select(
         "row", "doc_id", "source", "n_tokens",
-        *[F.col("p")[k].alias(f"p_{d}") for k, d in enumerate(DOMAINS)],
+        *[F.col("p")[k].alias(f"p_{d}") for k, d in enumerate(domains)],
         "rate", (F.floor("rate") + (coin < F.col("rate") - F.floor("rate")).cast("long")).cast("int").alias("copies"),
+        F.lit(float(np.abs(shares - wanted).max())).alias("miss"),
     )
 
 
-def apply_mix(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGETS) -> DataFrame:
-    """``docs`` with each row as often as its ``copies`` say: none, once or more."""
-    model = fit_classifier(docs, labels)
-    push, _, _ = fit_rates(cut(memberships(docs, model)), targets)
+def apply_mix(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = FILTERED_TARGETS) -> DataFrame:
+    """``docs`` with each row as often as its ``copies`` say: none, once or more.
+
+    Warns when no rates meet the targets; the closest are used.
+    """
+    model = fit_classifier(docs, labels).among(targets)
+    push, shares, wanted = fit_rates(cut(memberships(docs, model)), targets)
+    if shares.any() and np.abs(shares - wanted).max() > MISS:
+        warnings.warn(f"no rates meet the targets {wanted}; expected shares are {shares}", stacklevel=2)
     held = docs.sparkSession.sparkContext.broadcast((model, push))
     text, doc_id = docs.columns.index("text"), docs.columns.index("doc_id")
 
@@ -244,6 +279,8 @@ def apply_mix(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] =
             rate = np.clip(1.0 - p @ push, 0.0, MOST)
             coin = np.array([xxhash.xxh64_intdigest(str(i).encode()) for i in batch.column(doc_id).to_pylist()])
             copies = np.floor(rate) + (coin % 1_000_000 / 1e6 < rate - np.floor(rate))
-            yield batch.take(pa.array(np.repeat(np.arange(len(p)), copies.astype(int))))
+            rows = np.repeat(np.arange(len(p)), copies.astype(int))
+            for at in range(0, len(rows), 10_000):
+                yield batch.take(pa.array(rows[at : at + 10_000]))
 
     return docs.mapInArrow(repeat, docs.schema)

@@ -285,6 +285,40 @@ def test_rates_meet_the_targets(spark):
     assert not mixing.fit_rates(members.limit(0))[0].any()
 
 
+@pytest.mark.parametrize("few", [9, 2])
+def test_a_rare_domain_reaches_its_target(spark, few):
+    # A share of 0.003 needs a rate of 16.7 for 0.05.
+    members = spark.createDataFrame(
+        [(i, 100, [0.0, 0.0, 1.0] if i < few else [0.0, 1.0, 0.0] if i < 300 else [1.0, 0.0, 0.0]) for i in range(3_000)],
+        "row long, n_tokens long, p array<double>",
+    )
+    push, shares, wanted = mixing.fit_rates(members)
+    assert np.abs(shares - wanted).max() <= mixing.MISS
+    first = members.where("row = 0").select(mixing.rate_column(push).alias("r")).first().r
+    assert abs(first - 0.05 * 3_000 / few) < 0.1 * 3_000 / few * 0.05
+
+
+def test_targets_out_of_reach_are_reported(spark):
+    # Posteriors alike everywhere: no rates change the proportions.
+    docs = docs_of(spark, [(i, f"w{i} w{i + 1} w3") for i in range(50)])
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert {r.miss > 0.5 for r in mixing.mix(docs, none).collect()} == {True}
+    with pytest.warns(UserWarning, match="no rates meet"):
+        mixing.apply_mix(docs, none)
+
+
+def test_mix_meets_targets_of_the_tables(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    rows = mixing.mix(docs, labels).collect()
+    assert {r.miss <= mixing.MISS for r in rows} == {True}
+    total = sum(r.n_tokens for r in rows)
+    for domain, share in mixing.TARGETS.items():
+        assert abs(sum(r.rate * r.n_tokens * r[f"p_{domain}"] for r in rows) / total - share) < 2 * mixing.MISS
+    rows = mixing.mix(docs, labels, mixing.FILTERED_TARGETS).collect()
+    assert "p_toxic" not in rows[0] and {r.miss <= mixing.MISS for r in rows} == {True}
+
+
 def test_mix_of_small_tables(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     labels = spark.read.parquet(f"{folder}/labels.parquet")
