@@ -105,12 +105,30 @@ def parse_phone(text: str, plus: int):
     return ((plus, end) if 9 <= digits <= 15 else None), end
 
 
+# Registered lengths of IBANs.
+IBAN_LENGTHS = {
+    country: length
+    for length, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+        25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV",
+        29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for country in countries.split()
+}
+
+
 def parse_iban(text: str, at: int):
-    """An IBAN at ``at`` (blanks between groups allowed), by its check digits."""
+    """An IBAN at ``at`` (blanks between groups allowed), by its check digits.
+
+    It has 15 to 34 characters, ends where a group ends and passes the check:
+    the one of the country's registered length, or else the longest. Words that
+    follow it are not part of it.
+    """
     head = text[at : at + 4]
     if len(head) < 4 or not (head[:2].isascii() and head[:2].isupper() and head[2:].isascii() and head[2:].isdigit()):
         return None
-    end, kept = at, []
+    end, kept, ends = at, [], []
     while end < len(text) and len(kept) < 34:
         if text[end] in DIGITS or text[end] in string.ascii_uppercase:
             kept.append(text[end])
@@ -118,13 +136,17 @@ def parse_iban(text: str, at: int):
         elif text[end] == " " and end + 1 < len(text) and (
             text[end + 1] in DIGITS or text[end + 1] in string.ascii_uppercase
         ):
+            ends.append((len(kept), end))
             end += 1
         else:
             break
-    if len(kept) < 15:
-        return None
-    number = "".join(kept[4:] + kept[:4])
-    return (at, end) if int("".join(str(int(c, 36)) for c in number)) % 97 == 1 else None
+    ends.append((len(kept), end))
+    ends = sorted((e for e in ends if e[0] >= 15), key=lambda e: (e[0] == IBAN_LENGTHS.get(head[:2]), e[0]))
+    for n, end in reversed(ends):
+        number = "".join(kept[4:n] + kept[:4])
+        if int("".join(str(int(c, 36)) for c in number)) % 97 == 1:
+            return at, end
+    return None
 
 
 def after_cue(text: str, at: int) -> int:

@@ -68,6 +68,26 @@ def test_added_spans_and_masking():
     assert pii.mask("to a@b.c now", [("email", 3, 8)]) == "to [email] now"
 
 
+@pytest.mark.parametrize("behind", ["", ",", " BIC COBADEFF", " TEL 030", " 1234", " A", " GB82 WEST 1234 5698 7654 32", "\nX"])
+@pytest.mark.parametrize("iban", ["DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "NO93 8601 1117 947"])
+def test_iban_ends_before_what_follows(iban, behind):
+    text = f"IBAN: {iban}{behind}"
+    assert [text[a:b] for k, a, b in pii.find_spans(text, pii.automaton()) if k == "account"] == [iban]
+
+
+def test_iban_is_not_lengthened_by_a_lucky_word():
+    # Of 97 words about one passes the check together with the number before it.
+    iban = "DE89 3704 0044 0532 0130 00"
+    for k in range(300):
+        text = f"{iban} {k:03d}"
+        assert pii.parse_iban(text, 0) == (0, len(iban))
+
+
+def test_wrong_check_digits_are_no_iban():
+    for text in ("DE88 3704 0044 0532 0130 00 BIC COBADEFF", "DE89 3704", "DE89 3704 0044 0532 0130 01"):
+        assert pii.parse_iban(text, 0) is None
+
+
 def test_personal_data_of_edge_rows(spark):
     rows = pii.digest(pii.personal_data(docs_of(spark, [*EDGE, (6, "x@y.z")]))).collect()
     assert len(rows) == 8
