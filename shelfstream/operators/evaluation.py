@@ -375,17 +375,20 @@ def consent_cost(points: DataFrame) -> DataFrame:
     )
 
 
-def pooled_over_seeds(runs: DataFrame) -> DataFrame:
+def pooled_over_seeds(runs: DataFrame, mark: bool = False) -> DataFrame:
     """Mean per (arm, user) over seeds; a user missing from a run is an error.
 
     ``runs`` has arm, seed, user_id, value. The check compares each user's runs
-    with the number of seeds of the arm.
+    with the number of seeds of the arm. With ``mark`` such users are no error:
+    all stay, and ``complete`` tells them apart.
     """
     pooled = runs.groupBy("arm", "user_id").agg(
         F.avg("value").alias("value"), F.count("*").alias("_runs")
     )
     seeds = runs.groupBy("arm").agg(F.count_distinct("seed").alias("_seeds"))
     checked = pooled.join(seeds, "arm")
+    if mark:
+        return checked.select("arm", "user_id", "value", (F.col("_runs") == F.col("_seeds")).alias("complete"))
     aligned = F.when(
         F.col("_runs") != F.col("_seeds"),
         F.raise_error(F.lit("test users are not aligned across runs")),

@@ -150,6 +150,29 @@ def test_platt_recovers_a_known_distortion(spark):
     assert abs(a - 0.5) < 0.1 and abs(b - 0.3) < 0.12
 
 
+def test_every_head_is_calibrated_and_every_user_pooled(spark, folder):
+    from workload import load_all
+    from workload.registry import QUERIES
+
+    load_all()
+    folder = folder.replace("sf0.001", "sf0.01")  # some users lack a seed there
+    heads = QUERIES["cal6_isotonic_every_head"](spark, folder)
+    assert heads.agg(F.sum("n")).first()[0] == spark.read.parquet(f"{folder}/lineitem.parquet").count()
+    assert {x.head for x in heads.select("head").distinct().collect()} == {"f", "o"}
+    pooled = QUERIES["ev16_pooled_every_user"](spark, folder)
+    whole = QUERIES["ev16_pooled_over_seeds"](spark, folder)
+    assert pooled.count() > whole.count()
+    assert whole.join(pooled.filter("complete"), ["arm", "user_id", "value"], "left_anti").count() == 0
+
+
+def test_incomplete_users_are_marked(spark):
+    runs = spark.createDataFrame(
+        [("a", 1, "u", 1.0), ("a", 2, "u", 3.0), ("a", 1, "v", 5.0)], "arm string, seed int, user_id string, value double"
+    )
+    got = E.pooled_over_seeds(runs, mark=True).collect()
+    assert {tuple(x) for x in got} == {("a", "u", 2.0, True), ("a", "v", 5.0, False)}
+
+
 def test_isotonic_pools_and_stays_flat_outside(spark):
     df = spark.createDataFrame(
         [("h", y, p) for p, y in [(0.1, 0), (0.2, 1), (0.3, 0), (0.4, 1), (0.4, 1)]], "head string, label int, p double"

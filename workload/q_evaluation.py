@@ -471,6 +471,19 @@ def _(v):
     return pooled.select("arm", "user_id", r("value").alias("value"))
 
 
+@case("ev16_pooled_every_user", """
+SELECT event_type AS arm, user_id, round(avg(v), 6) AS value, count(*) = max(seeds) AS complete FROM (
+  SELECT event_type, user_id, cast(sku AS INTEGER) % 2 AS seed, avg(price) AS v FROM interactions GROUP BY 1, 2, 3)
+JOIN (SELECT event_type, count(DISTINCT cast(sku AS INTEGER) % 2) AS seeds FROM interactions GROUP BY 1)
+  USING (event_type) GROUP BY 1, 2""")
+def _(v):
+    runs = v.interactions().groupBy(
+        F.col("event_type").alias("arm"), "user_id", (F.col("sku").cast("int") % 2).alias("seed")
+    ).agg(F.avg("price").alias("value"))
+    pooled = E.pooled_over_seeds(runs, mark=True)
+    return pooled.select("arm", "user_id", r("value").alias("value"), "complete")
+
+
 # -- calibration --------------------------------------------------------------
 
 cte("cal", """
@@ -595,6 +608,30 @@ def _(v):
     )
 
 
+cte("iso_head_points", """
+SELECT head, p, row_number() OVER h AS i, sum(n) OVER h AS w, sum(pos) OVER h AS s, n, pos FROM (
+  SELECT head, p, count(*) AS n, sum(y) AS pos FROM cal GROUP BY 1, 2) WINDOW h AS (PARTITION BY head ORDER BY p)""")
+cte("iso_head_fit", """
+SELECT head, i, max(low) AS fit FROM (
+  SELECT head, j, k AS i, min(mean) OVER (PARTITION BY head, j ORDER BY k DESC) AS low FROM (
+    SELECT a.head, a.i AS j, b.i AS k, (b.s - a.s + a.pos) / (b.w - a.w + a.n) AS mean
+    FROM iso_head_points a JOIN iso_head_points b ON b.head = a.head AND b.i >= a.i)) GROUP BY 1, 2""")
+
+
+@case("cal6_isotonic_every_head", """
+SELECT i.head, p, round(fit, 6) AS calibrated, n FROM iso_head_points i JOIN iso_head_fit f
+  ON f.head = i.head AND f.i = i.i""")
+def _(v):
+    rows = K.usable(_cal(v))
+    done = None
+    for head in sorted(x.head for x in rows.select("head").distinct().collect()):
+        one = K.apply_isotonic(K.fit_isotonic(rows, head), rows.filter(F.col("head") == head))
+        done = one if done is None else done.unionByName(one)
+    return done.groupBy("head", "p").agg(
+        r(F.max("calibrated")).alias("calibrated"), F.count("*").alias("n")
+    )
+
+
 @case("cal7_fit_or_decline")
 def _(v):
     found = K.fit_or_decline(_cal(v), "unit")
