@@ -478,12 +478,28 @@ def keep_one(
 ) -> DataFrame:
     """The rows of ``docs`` with one document of each component, that with the least doc_id.
 
-    Rows without doc_id all stay; of repeated rows of a doc_id one stays.
+    Rows without doc_id all stay; of repeated rows (doc_id and text) one stays.
+    Where a doc_id has different texts, each of them is a document of its own.
     """
     names = [f"`{c}`" for c in docs.columns]
+    twice = cut(docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"))
+    if not twice.isEmpty():
+        prints = docs.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(
+            (F.min(F.xxhash64("text")) < F.max(F.xxhash64("text"))).alias("differ")
+        )
+        if not prints.where("differ").isEmpty():
+            # Texts are numbered in the order of doc_id, and the numbers take its place.
+            rows = docs.select("doc_id", "text", F.xxhash64("text").alias("print"), F.struct(*names).alias("whole"))
+            numbers = rows.where("doc_id is not null").select("doc_id", "print").distinct()
+            numbers = cut(
+                numbers.orderBy("doc_id", "print").withColumn("number", F.monotonically_increasing_id())
+            )
+            rows = rows.join(numbers, ["doc_id", "print"], "left").select(
+                F.col("number").alias("doc_id"), "text", "whole"
+            )
+            return keep_one(rows, percent, block, size).select("whole.*")
     gone = link_components(docs, percent, block, size).where("doc_id <> component_id").select("doc_id").distinct()
     rest = docs.join(cut(gone), "doc_id", "left_anti").select(*names)
-    twice = cut(docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"))
     if twice.isEmpty():
         return rest
     once = rest.join(twice, "doc_id", "left_anti").select(*names)

@@ -203,6 +203,19 @@ def test_one_stays_at_five_words(spark):
     assert 501 in {r.doc_id for r in ngram_join.keep_one(docs_of(spark, rows)).select("doc_id").collect()}
 
 
+def test_texts_that_share_an_id_are_judged_alone(spark):
+    rows = [
+        (1, "a b c d e f"), (2, "g h i j k l"), (2, "A B C d e f"), (2, "m n o p q r"), (2, "m n o p q r"),
+        (3, None), (3, "s t u v w x"), (3, "g h i  j k l"), (4, " "), (4, ""), (4, ""), (None, "a b c d e f"),
+    ]
+    df = docs_of(spark, rows).repartition(3)
+    kept = ngram_join.keep_one(df)
+    assert kept.columns == df.columns
+    # Text 2 of id 2 copies id 1, text 3 of id 3 copies id 2, equal rows count once.
+    expected = [r for k, r in enumerate(rows) if k not in (2, 4, 7, 10)]
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter(expected)
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(k, k + 1) for k in range(100, 140)] + [(7, k) for k in range(200, 260)] + [(260, 259), (3, 3)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
