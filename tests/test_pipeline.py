@@ -187,6 +187,18 @@ def test_erasure_is_complete_and_the_receipt_is_anonymous(spark, view, tmp_path)
     assert G.verify_erased(w, ids, [raw]).filter("matches > 0").count() == 0
 
 
+def test_receipt_tells_of_a_layer_left_out(spark, folder):
+    from workload import load_all
+    from workload.registry import QUERIES
+
+    load_all()
+    rows = QUERIES["prv9_receipt_of_all_layers"](spark, folder).collect()
+    assert {r.complete for r in rows if r.erased == "all"} == {True}
+    assert {r.complete for r in rows if r.erased != "all"} == {False}
+    assert [(r.erased, r.store) for r in rows if r.kind == "survived"] == [("not tails", "online.tails")]
+    assert {r.store for r in rows if r.erased == "all" and r.kind == "step" and r.n} >= {"gold.sequences_sku", "online.tails"}
+
+
 def test_verification_sees_an_embedded_id(spark, view, tmp_path):
     w = Warehouse(spark, str(tmp_path))
     w.write("bronze.interactions", view.interactions().select(F.lit("x").alias("user_id"), F.concat(F.lit("id-77-"), "session_id").alias("note")))

@@ -15,7 +15,7 @@ from shelfstream.sources.schemas import INTERACTION_COLUMNS, INTERACTIONS
 from shelfstream.sources.tables import Warehouse
 from workload.q_cleaning import _INNER, _OUTER, KEY
 from workload.q_policy import LIMIT, POLICY, _candidates
-from workload.registry import case
+from workload.registry import case, cte
 from workload.views import r
 
 SUBJECT = "7"
@@ -150,6 +150,12 @@ def _(v):
     return G.verify_erased(_warehouse(v), ["42"])
 
 
+cte("per_store", f"""
+SELECT s, CASE WHEN s LIKE 'gold%' OR s LIKE 'online%' THEN least(count(*), 1) ELSE count(*) END AS m
+FROM interactions, (SELECT unnest(['raw', 'bronze.interactions', 'silver.interactions', 'gold.sequences_sku',
+  'online.tails']) AS s) WHERE user_id = '{SUBJECT}' GROUP BY s""")
+
+
 @case("prv9_receipt", f"""
 SELECT kind, store_kind, n, substr(sha256(unhex('{_OUTER}') || unhex(sha256(unhex('{_INNER}') ||
   encode('{SUBJECT}')))), 1, 16) AS subject_digest FROM (
@@ -162,6 +168,43 @@ def _(v):
     ).select("kind", "store_kind", "n", "subject_digest")
 
 
+ERASED = ("bronze.interactions", "silver.interactions", "gold.sequences_sku", "online.tails")
+
+
+def _layers_erased(v, tables):
+    """All layers written, the subject erased from ``tables`` and the raw files."""
+    # Ids that no other column holds by chance.
+    named = v.interactions().withColumn("user_id", F.format_string("user-%s-x", "user_id")).withColumn(
+        "session_id", F.concat_ws("#", "user_id", "event_date"))
+    w = Warehouse(v.spark, fresh_dir(v.spark, "warehouse"))
+    w.write("bronze.interactions", named)
+    events = named.drop("session_id")
+    w.write("silver.interactions", C.pseudonymised(events, KEY))
+    w.write("gold.sequences_sku", C.pseudonymised(
+        events.groupBy("user_id").agg(F.sort_array(F.collect_list("sku")).alias("tokens")), KEY), partition_by=[])
+    w.write("online.tails", events.groupBy("user_id").agg(F.max("event_ts").alias("last_ts")), partition_by=[])
+    raw = f"{fresh_dir(v.spark, 'raw')}/interactions"
+    named.select(*INTERACTION_COLUMNS).write.option("header", True).csv(raw)
+    return G.erase(w, f"user-{SUBJECT}-x", tables, {raw: INTERACTIONS.replace("event_ts timestamp", "event_ts string")}, key=KEY)
+
+
+@case("prv9_receipt_of_all_layers", f"""
+SELECT erased, kind, complete, CASE WHEN store LIKE '%.%' THEN store ELSE 'raw or outside' END AS store, cast(sum(n) AS BIGINT) AS n
+FROM (
+  SELECT 'all' AS erased, 'step' AS kind, true AS complete, s AS store, m AS n FROM per_store
+  UNION ALL SELECT 'not tails', 'step', false, s, m FROM per_store WHERE s <> 'online.tails'
+  UNION ALL SELECT 'not tails', 'survived', false, s, m FROM per_store WHERE s = 'online.tails'
+  UNION ALL SELECT e, 'unerasable', e = 'all', 'x', NULL FROM (SELECT unnest(['all', 'not tails']) AS e))
+GROUP BY ALL""")
+def _(v):
+    done = _layers_erased(v, ERASED).withColumn("erased", F.lit("all"))
+    part = _layers_erased(v, ERASED[:-1]).withColumn("erased", F.lit("not tails"))
+    store = F.when(F.col("store").isin(*ERASED), F.col("store")).otherwise("raw or outside")
+    return done.unionByName(part).groupBy("erased", "kind", "complete", store.alias("store")).agg(
+        F.sum("rows").alias("n")
+    )
+
+
 # -- monitoring ---------------------------------------------------------------
 
 
