@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from shelfstream.llm import (
-    decontaminate, exact_dedup, lm_score, mixing, ngram_join, pii, sharding, token_count, toxicity, url_filter,
+    decontaminate, exact_dedup, lm_score, mixing, ngram_join, packing, pii, ranked_search, resampling, sharding,
+    token_count, toxicity, url_filter,
 )
 from shelfstream.llm.common import read
 
@@ -79,6 +80,21 @@ def op10_token_count(spark: SparkSession, folder: str) -> DataFrame:
     return token_count.count_tokens(read(spark, folder, "documents"))
 
 
+@query
+def op11_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return ranked_search.search(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+
+
+@query
+def op12_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.list_pieces(packing.pack(read(spark, folder, "documents")))
+
+
+@query
+def op13_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    return resampling.score(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -216,3 +232,63 @@ SELECT d.*, CAST(s.turn % {shards} AS INTEGER) AS shard FROM d JOIN s ON s.slot
 
 
 ORACLES["op7_sharding"] = sharding_sql()
+
+
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+ORACLES["op11_ranked_search"] = f"""
+WITH d AS (SELECT doc_id, {sql_words('text', TERM)} AS w FROM documents),
+z AS (SELECT count(*) FILTER (WHERE len(w) > 0) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_terms FROM d),
+q AS (SELECT item_id, unnest(list_distinct({sql_words('text', TERM)})) AS t FROM benchmark),
+p AS (
+  SELECT doc_id, n, t, count(*) AS tf FROM (SELECT doc_id, len(w) AS n, unnest(w) AS t FROM d)
+  WHERE t IN (SELECT t FROM q) GROUP BY ALL),
+f AS (SELECT t, count(*) AS df FROM p GROUP BY t),
+w AS (SELECT t, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1))) AS BIGINT) AS w FROM f, z),
+c AS (
+  SELECT doc_id, t, w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_terms))) AS c
+  FROM p JOIN w USING (t), z),
+s AS (SELECT item_id, doc_id, CAST(sum(c) AS BIGINT) AS score FROM q JOIN c USING (t) GROUP BY ALL HAVING sum(c) > 0),
+r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank,
+  doc_id, score FROM s)
+SELECT * FROM r WHERE rank <= {ranked_search.BEST}
+"""
+
+
+def sql_crc32(text: str) -> str:
+    """zlib's crc32 of the UTF-8 bytes, two hex digits at a time."""
+    byte = f"list_transform(range(0, length(hex(encode({text}))) // 2), lambda i: CAST('0x' || substr(hex(encode({text})), 2 * i + 1, 2) AS BIGINT))"
+    step = "xor(x >> 8, k[CAST(xor(x, y) & 255 AS INTEGER) + 1])"
+    return f"xor(list_reduce(list_prepend(4294967295, {byte}), lambda x, y: {step}), 4294967295)"
+
+
+# The table of crc32 by its rule: eight shifts of each byte.
+CRC_TABLE = "WITH RECURSIVE e AS (SELECT i AS i, i AS c, 0 AS n FROM range(0, 256) t(i) UNION ALL SELECT i, " \
+    "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n + 1 FROM e WHERE n < 8), " \
+    "k AS (SELECT list(c ORDER BY i) AS k FROM e WHERE n = 8)"
+
+ORACLES["op13_resampling"] = f"""
+{CRC_TABLE},
+d AS (SELECT row_number() OVER () AS r, doc_id, {sql_words('text', ALNUM)} AS w FROM documents),
+v AS (SELECT r, unnest(w) AS t FROM d),
+o AS (SELECT unnest({sql_words('text', ALNUM)}) AS t FROM benchmark),
+h AS MATERIALIZED (SELECT t, {sql_crc32('t')} % {resampling.BUCKETS} AS b FROM (SELECT t FROM v UNION SELECT t FROM o), k),
+s AS (SELECT b, count(*) AS s FROM v JOIN h USING (t) GROUP BY b),
+a AS (SELECT b, count(*) AS a FROM o JOIN h USING (t) GROUP BY b),
+z AS (SELECT (SELECT count(*) FROM v) AS zs, (SELECT count(*) FROM o) AS za),
+g AS (
+  SELECT b, CAST(floor(1000 * ln((coalesce(a, 0) + 1.0::DOUBLE) * (zs + {resampling.BUCKETS}.0::DOUBLE)
+    / ((coalesce(s, 0) + 1.0::DOUBLE) * (za + {resampling.BUCKETS}.0::DOUBLE)))) AS BIGINT) AS g
+  FROM s FULL JOIN a USING (b), z),
+m AS (SELECT r, CAST(floor(sum(g) / count(*)) AS BIGINT) AS weight FROM v JOIN h USING (t) JOIN g USING (b) GROUP BY r),
+x AS (
+  SELECT r, doc_id, len(w) AS n_features, coalesce(weight, 0) AS weight,
+    CAST('0x' || substr(sha256('{resampling.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h
+  FROM d LEFT JOIN m USING (r)),
+y AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM x),
+n AS (
+  SELECT r, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n FROM y
+  WHERE n_features >= {resampling.LEAST_WORDS})
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= {resampling.PERCENT} * n // 100 THEN place END AS rank
+FROM y LEFT JOIN n USING (r)
+"""
