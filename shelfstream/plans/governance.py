@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Mapping, Sequence
-from datetime import datetime, timedelta, timezone
+from datetime import date, datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,11 +15,12 @@ from shelfstream.functions.privacy import (
     has_identifier_shape,
     pseudonym_of,
 )
+from shelfstream.sources import scoped
 from shelfstream.sources.tables import Warehouse
 
 REPORT = (
     "table string, status string, cutoff string, rows_before long, rows_removed long, "
-    "rows_after long, delete_share double"
+    "rows_after long, delete_share double, partitions_dropped long, files_rewritten long"
 )
 
 
@@ -116,13 +117,10 @@ class RetentionRefused(RuntimeError):
     """The window covers more of a table than the configured share."""
 
 
-def cutoff(
-    events: DataFrame | None, days: int, clock: str = "wall", column: str = "event_ts"
-) -> datetime:
-    """Instant before which rows are past their window.
+def instant(events: DataFrame | None, clock: str = "wall", column: str = "event_ts") -> datetime:
+    """What a window is measured back from: now, or with ``data`` the newest event.
 
-    ``data`` measures from the newest event and has to be asked for: in
-    production it would keep everything for ever.
+    ``data`` has to be asked for: in production it would keep everything for ever.
     """
     if clock not in ("wall", "data"):
         raise ValueError(f"clock must be 'wall' or 'data', not {clock!r}")
@@ -130,7 +128,14 @@ def cutoff(
     if clock == "data" and events is not None:
         seconds = events.agg(F.max(F.unix_timestamp(column))).first()[0]
         newest = None if seconds is None else datetime.fromtimestamp(seconds, timezone.utc)
-    return (newest or datetime.now(timezone.utc)) - timedelta(days=days)
+    return newest or datetime.now(timezone.utc)
+
+
+def cutoff(
+    events: DataFrame | None, days: int, clock: str = "wall", column: str = "event_ts"
+) -> datetime:
+    """Instant before which rows are past their window."""
+    return instant(events, clock, column) - timedelta(days=days)
 
 
 def recent_rows(df: DataFrame, column: str, at: datetime) -> DataFrame:
@@ -151,7 +156,12 @@ def prune(
     dry_run: bool = False,
     column: str | None = None,
 ) -> dict:
-    """Drop rows that fail ``keep``, unless that is too large a share of the table."""
+    """Drop rows that fail ``keep``, unless that is too large a share of the table.
+
+    Where ``column`` is the table's first partition column, partitions past the
+    window go as folders and nothing is read or written. Elsewhere only files
+    that hold a row to drop are written again.
+    """
     step = {"table": table, "cutoff": at.date().isoformat()}
     if not warehouse.exists(table):
         return {**step, "status": "absent"}
@@ -174,8 +184,13 @@ def prune(
         return {**step, "status": "would prune"}
     if removed == 0:
         return {**step, "status": "nothing to prune"}
-    warehouse.rewrite(table, df.filter(keep))
-    return {**step, "status": "pruned"}
+    folders = warehouse.partition_folders(table, column) if column else []
+    if folders:
+        past = [name for name, value in folders if value is None or date.fromisoformat(value) < at.date()]
+        warehouse.drop_partitions(table, past)
+        return {**step, "status": "pruned", "partitions_dropped": len(past), "files_rewritten": 0}
+    touched = warehouse.delete_where(table, ~F.coalesce(keep, F.lit(False)))
+    return {**step, "status": "pruned", "partitions_dropped": 0, "files_rewritten": len(touched.files)}
 
 
 def retention(
@@ -185,14 +200,17 @@ def retention(
     clock: str = "wall",
     max_share: float = 0.5,
     dry_run: bool = False,
+    newest: DataFrame | None = None,
 ) -> DataFrame:
     """Apply windows in days to dated tables (``event_date``) and sequence tables.
 
-    One report row per table; a refusal stops the run and is its last row.
+    One report row per table; a refusal stops the run and is its last row. The
+    ``data`` clock reads ``newest``, by default the bronze interactions.
     """
-    newest = None
-    if clock == "data" and warehouse.exists("bronze.interactions"):
+    if newest is None and clock == "data" and warehouse.exists("bronze.interactions"):
         newest = warehouse.read("bronze.interactions", ["event_ts"])
+    # Asked for once: the table that tells the time may itself be pruned on the way.
+    now = instant(newest, clock)
     steps: list[dict] = []
     plan = [(t, d, "event_date") for t, d in dated.items()]
     plan += [(t, d, "input_ts") for t, d in (sequences or {}).items()]
@@ -200,7 +218,7 @@ def retention(
         if days <= 0:
             steps.append({"table": table, "status": "no window configured"})
             continue
-        at = cutoff(newest, days, clock)
+        at = now - timedelta(days=days)
         keep = (
             F.array_max("input_ts") >= int(at.timestamp())
             if column == "input_ts"
@@ -257,11 +275,12 @@ def erase_table(
     df = warehouse.read(table)
     if column not in df.columns:
         return {**step, "status": f"no {column} column", "rows_removed": 0}
-    hits = df.filter(F.col(column).isin(*identifiers)).count()
-    if dry_run or hits == 0:
+    theirs = F.col(column).isin(*identifiers)
+    if dry_run:
+        hits = df.filter(theirs).count()
         return {**step, "status": "would erase" if hits else "nothing to erase", "rows_removed": hits}
-    warehouse.rewrite(table, without_subject(df, identifiers, column))
-    return {**step, "status": "rewritten", "rows_removed": hits}
+    hits = warehouse.delete_where(table, theirs).rows
+    return {**step, "status": "rewritten" if hits else "nothing to erase", "rows_removed": hits}
 
 
 def erase_raw_csv(
@@ -270,8 +289,10 @@ def erase_raw_csv(
 ) -> dict:
     """Rewrite raw CSV files without the subject's rows; all other lines stay as they are.
 
+    Only files with a row of theirs are written again, in their own folder.
     Lines are kept as text, with columns the schema doesn't know and numbers as
-    written. The files must share a header and have one record per line.
+    written. The files must share a header and have one record per line. Where
+    no line of any file is left, one file with the header stays.
     """
     spark = warehouse.spark
     header = spark.read.option("header", True).option("inferSchema", False).csv(path).columns
@@ -282,20 +303,36 @@ def erase_raw_csv(
     fields = ", ".join(f"_c{i} string" for i in range(len(header)))
     owner = F.from_csv("value", fields)[f"_c{header.index(column)}"]
     theirs = F.coalesce(owner.isin(*identifiers), F.lit(False))
-    hits = lines.filter(theirs).count()
-    if dry_run or hits == 0:
-        status = "would erase" if hits else "nothing to erase"
-        return {"store": path, "status": status, "rows_removed": hits}
-    staging = path.rstrip("/") + "__staging"
-    # One column whose name is the header line: each file starts with it, and
-    # with quoting and trimming off the lines pass unchanged.
-    kept = lines.filter(~theirs & (F.col("value") != titles["value"]))
-    kept.select(F.col("value").alias(titles["value"])).write.mode("overwrite").options(
-        header=True, quote="", sep="\u0001", emptyValue="",
-        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
-    ).csv(staging)
-    warehouse.swap(path, staging)
-    return {"store": path, "status": "rewritten", "rows_removed": hits}
+    if dry_run:
+        hits = lines.filter(theirs).count()
+        return {"store": path, "status": "would erase" if hits else "nothing to erase", "rows_removed": hits}
+    scoped.finish(spark, path)
+    touched = scoped.touched_by(lines, theirs)
+    if not touched.rows:
+        return {"store": path, "status": "nothing to erase", "rows_removed": 0}
+
+    def write(rows: DataFrame, where: str) -> None:
+        # One column whose name is the header line: each file starts with it, and
+        # with quoting and trimming off the lines pass unchanged.
+        named = rows.withColumnRenamed("value", titles["value"])
+        parts = [c for c in rows.columns if c != "value"]
+        named.write.partitionBy(*parts).mode("overwrite").options(
+            header=True, quote="", sep="\u0001", emptyValue="",
+            ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
+        ).csv(where)
+
+    kept = ~theirs & (F.col("value") != titles["value"])
+    if lines.filter(kept).isEmpty():
+        staging = path.rstrip("/") + "__staging"
+        write(lines.filter(kept).coalesce(1), staging)
+        warehouse.swap(path, staging)
+    else:
+        scoped.replace_files(
+            spark, path, touched.files,
+            lambda files: spark.read.text(files).filter(kept).withColumn(scoped.FILE, F.col("_metadata.file_path")),
+            write,
+        )
+    return {"store": path, "status": "rewritten", "rows_removed": touched.rows}
 
 
 def verify_erased(

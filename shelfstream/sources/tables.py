@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfstream.sources import scoped
 
 # Table name prefix -> partition columns.
 PARTITIONS = {
@@ -36,9 +38,7 @@ class Warehouse:
         return f"{self.catalog}.{table}" if self.catalog else table
 
     def _path(self, where: str):
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(where)
-        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
+        return scoped.fs_path(self.spark, where)
 
     def exists(self, table: str) -> bool:
         if self.fmt == "iceberg":
@@ -99,6 +99,52 @@ class Warehouse:
             path = keyed[0].getPath()
         return names
 
+    def partition_folders(self, table: str, column: str) -> list[tuple[str, str | None]]:
+        """(folder, value as text) of a table partitioned by ``column`` first; a null value is None."""
+        if self.fmt == "iceberg" or self.observed_partitions(table)[:1] != [column]:
+            return []
+        fs, path = self._path(self.location(table))
+        names = [s.getPath().getName() for s in fs.listStatus(path) if s.isDirectory()]
+        values = [(n, unquote(n.split("=", 1)[1])) for n in names if n.startswith(column + "=")]
+        return [(n, None if v == "__HIVE_DEFAULT_PARTITION__" else v) for n, v in values]
+
+    def drop_partitions(self, table: str, folders: Sequence[str]) -> None:
+        scoped.drop_folders(self.spark, self.location(table), folders)
+
+    def files(self, table: str) -> DataFrame:
+        """path, modificationTime, length of the table's files."""
+        return scoped.stored_files(self.spark, self.location(table))
+
+    def delete_where(self, table: str, hit: Column) -> scoped.Touched:
+        """Remove the rows that ``hit`` is true for; files without such a row keep their name and time.
+
+        Only touched files are read and written again, in their partition
+        folder and without a shuffle. The condition is pushed into the search
+        for them, so row groups without a match are skipped.
+        """
+        hit = F.coalesce(hit, F.lit(False))
+        if self.fmt == "iceberg":
+            df = self.read(table)
+            removed = df.filter(hit).count()
+            if removed:
+                self.write(table, df.filter(~hit))
+            return scoped.Touched((), removed)
+        root = self.location(table)
+        scoped.finish(self.spark, root)
+        df = self.read(table)
+        touched = scoped.touched_by(df, hit)
+        parts = self.observed_partitions(table)
+
+        def survivors(paths: list[str]) -> DataFrame:
+            rows = self.spark.read.schema(df.schema).format(self.fmt).option("basePath", root).load(paths)
+            return rows.filter(~hit).withColumn(scoped.FILE, F.col("_metadata.file_path")).drop(*parts)
+
+        def write(rows: DataFrame, where: str) -> None:
+            rows.write.format(self.fmt).partitionBy(scoped.DIRECTORY).mode("overwrite").save(where)
+
+        scoped.replace_files(self.spark, root, touched.files, survivors, write)
+        return touched
+
     def swap(self, target: str, staging: str) -> None:
         """Put the folder ``staging`` in the place of ``target``.
 

@@ -1,5 +1,7 @@
 """End to end on the driver's small tables: layers, leakage, governance, policy, streams."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,8 +13,9 @@ from shelfstream.operators import sequences as Q
 from shelfstream.operators import training as T
 from shelfstream.plans import bronze, gold, silver
 from shelfstream.plans import governance as G
+from shelfstream.sources import scoped
 from shelfstream.sources.schemas import INTERACTION_COLUMNS, INTERACTIONS
-from shelfstream.sources.tables import Warehouse
+from shelfstream.sources.tables import Warehouse, tables_differ
 from shelfstream.streaming import sinks, state, topics
 from workload.registry import QUERIES
 from workload.views import GOLD, RULES, Retail
@@ -247,6 +250,109 @@ def test_messages_keep_microseconds(spark, tmp_path):
     assert back.first().event_ts.microsecond == 123456
 
 
+# -- rewrites that leave other files alone ------------------------------------
+
+
+def listing(w, table):
+    return {r.path: (r.modificationTime, r.length) for r in w.files(table).collect()}
+
+
+def test_only_touched_files_are_written_again(spark, tmp_path):
+    w = Warehouse(spark, str(tmp_path))
+    rows = spark.range(4000).select(
+        F.col("id"), F.concat(F.lit("u"), (F.col("id") % 40).cast("string")).alias("user_id"),
+        F.concat(F.lit("part 1/x:"), (F.col("id") % 3).cast("string")).alias("shelf"),
+    )
+    rows.repartitionByRange(5, "user_id").write.partitionBy("shelf").parquet(w.location("bronze.things"))
+    before, held = listing(w, "bronze.things"), {
+        r[0] for r in w.read("bronze.things").filter("user_id = 'u7'").select("_metadata.file_path").distinct().collect()
+    }
+    touched = w.delete_where("bronze.things", F.col("user_id") == "u7")
+    after = listing(w, "bronze.things")
+    assert touched.rows == 100 and set(touched.files) == held and 0 < len(held) < len(before)
+    assert {p: v for p, v in before.items() if p not in held} == {p: v for p, v in after.items() if p in before}
+    left = w.read("bronze.things")
+    assert tables_differ(rows.filter("user_id <> 'u7'"), left).count() == 0
+    assert w.delete_where("bronze.things", F.col("user_id") == "u7").rows == 0 and listing(w, "bronze.things") == after
+    # A condition on the partition itself, and one that leaves nothing of a folder.
+    w.delete_where("bronze.things", F.col("shelf").endswith("2") & (F.col("id") > 0))
+    assert sorted(r[0] for r in w.read("bronze.things").select("shelf").distinct().collect()) == ["part 1/x:0", "part 1/x:1"]
+    # Null is neither true nor false: such rows stay.
+    w.delete_where("bronze.things", F.lit(None).cast("boolean"))
+    assert w.read("bronze.things").filter("shelf = 'part 1/x:1'").count() == rows.filter("id % 3 = 1 and user_id <> 'u7'").count()
+
+
+@pytest.mark.parametrize("stop", ["before the plan", "first move", "before the deletes"])
+def test_an_interrupted_rewrite_is_finished_or_undone(spark, tmp_path, monkeypatch, stop):
+    w = Warehouse(spark, str(tmp_path))
+    rows = spark.range(300).withColumn("user_id", (F.col("id") % 3).cast("string"))
+    rows.repartition(3).write.parquet(w.location("bronze.things"))
+
+    class Stop(Exception):
+        pass
+
+    def refuse(*_):
+        raise Stop
+
+    with monkeypatch.context() as patch:
+        if stop == "before the plan":
+            patch.setattr(scoped, "_store_plan", refuse)
+        else:
+            whole = scoped.finish
+            calls = []
+
+            def finish(session, root):
+                calls.append(root)
+                if len(calls) < 3:
+                    return whole(session, root)
+                plan = json.loads((tmp_path / "bronze" / "things__rewrite" / "plan.json").read_text())
+                for staged, final in plan["moves"][: 1 if stop == "first move" else None]:
+                    fs, source = scoped.fs_path(session, staged)
+                    fs.rename(source, scoped.fs_path(session, final)[1])
+                raise Stop
+
+            patch.setattr(scoped, "finish", finish)
+        with pytest.raises(Stop):
+            w.delete_where("bronze.things", F.col("user_id") == "1")
+    assert (tmp_path / "bronze" / "things__rewrite").exists()
+    scoped.finish(spark, w.location("bronze.things"))
+    scoped.finish(spark, w.location("bronze.things"))
+    left = {r.id for r in spark.read.parquet(w.location("bronze.things")).collect()}
+    assert left == {i for i in range(300) if stop == "before the plan" or i % 3 != 1}
+    assert not (tmp_path / "bronze" / "things__rewrite").exists()
+    w.delete_where("bronze.things", F.col("user_id") == "1")
+    assert spark.read.parquet(w.location("bronze.things")).count() == 200
+
+
+def test_retention_drops_folders_and_null_dates(spark, tmp_path):
+    w = Warehouse(spark, str(tmp_path))
+    days = [("a", "2024-01-01"), ("b", "2024-01-09"), ("c", "2024-01-10"), ("d", None)]
+    rows = spark.createDataFrame(days, "event_id string, day string").select(
+        "event_id", F.to_timestamp("day").alias("event_ts"), F.to_date("day").alias("event_date"))
+    w.write("bronze.interactions", rows)
+    before = listing(w, "bronze.interactions")
+    report = G.retention(w, {"bronze.interactions": 1}, clock="data", max_share=0.6).first()
+    assert (report.status, report.rows_removed, report.partitions_dropped, report.files_rewritten) == ("pruned", 2, 2, 0)
+    assert {r.event_id for r in w.read("bronze.interactions").collect()} == {"b", "c"}
+    after = listing(w, "bronze.interactions")
+    assert after == {p: v for p, v in before.items() if p in after} and len(after) == 2
+
+
+def test_raw_erasure_touches_one_file_in_its_folder(spark, tmp_path):
+    w, raw = Warehouse(spark, str(tmp_path / "w")), tmp_path / "raw"
+    for day, lines in {"d=1": ["u1,1", "u2,2"], "d=2": ["u2,3", "u3,4"]}.items():
+        (raw / day).mkdir(parents=True)
+        (raw / day / "x.csv").write_text("\n".join(["user_id,price", *lines]) + "\n")
+    other = (raw / "d=2" / "x.csv").stat().st_mtime_ns
+    assert G.erase_raw_csv(w, str(raw), "", ["u1"], False)["rows_removed"] == 1
+    assert (raw / "d=2" / "x.csv").stat().st_mtime_ns == other
+    assert [p.read_text().split() for p in (raw / "d=1").glob("[!._]*")] == [["user_id,price", "u2,2"]]
+    for subject in ("u2", "u3"):
+        G.erase_raw_csv(w, str(raw), "", [subject], False)
+    left = [p.read_text().split() for p in raw.rglob("*.csv")]
+    assert left and all(lines == ["user_id,price"] for lines in left)
+
+
 def test_scrub_leaves_no_identifier(spark):
     df = spark.createDataFrame(
         [("u1", ["o1", "o2"], "a@b.c", 3)], "user_id string, order_ids array<string>, contact string, n int"

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timezone
-
 from pyspark.sql import functions as F
 
 from shelfstream.operators import cleaning as C
 from shelfstream.operators import monitoring as M
 from shelfstream.operators import policy as POL
 from shelfstream.plans import governance as G
-from shelfstream.scale import fresh_dir
+from shelfstream.scale import cut, fresh_dir
+from shelfstream.sources import scoped
 from shelfstream.sources.schemas import INTERACTION_COLUMNS, INTERACTIONS
 from shelfstream.sources.tables import Warehouse
 from workload.q_cleaning import _INNER, _OUTER, KEY
@@ -66,13 +65,31 @@ def _(v):
     )
 
 
+def _unchanged(w, table, before):
+    """Whether each file that was there and still is kept its length and time: (path, same)."""
+    old = before.select("path", F.struct("modificationTime", "length").alias("old"))
+    now = w.files(table).select("path", F.struct("modificationTime", "length").alias("now"))
+    return old.join(now, "path").select("path", (F.col("old") == F.col("now")).alias("same"))
+
+
+def _listing(w, table):
+    """The table's files as they are now, kept while the table changes."""
+    return cut(w.files(table))
+
+
 @case("prv4_dated_retention", """
-SELECT event_date, count(*) AS n FROM interactions WHERE event_date >= cast((SELECT max(event_ts) FROM
-  interactions) - INTERVAL 20 DAY AS DATE) GROUP BY 1""")
+SELECT event_date, count(*) AS n, true AS same_files FROM interactions WHERE event_date >= cast((SELECT
+  max(event_ts) FROM interactions) - INTERVAL 20 DAY AS DATE) GROUP BY 1""")
 def _(v):
-    w = _warehouse(v)
-    G.retention(w, {"bronze.interactions": 20}, clock="data")
-    return w.read("bronze.interactions").groupBy("event_date").agg(F.count("*").alias("n"))
+    # Partitions past the window go as folders; every file of the others keeps name, length and time.
+    w, table = _warehouse(v), "bronze.interactions"
+    before = _listing(w, table)
+    G.retention(w, {table: 20}, clock="data")
+    day = F.to_date(F.regexp_extract("path", "event_date=([0-9-]+)", 1))
+    added = w.files(table).join(before, "path", "left_anti").select(day.alias("event_date"), F.lit(False).alias("same"))
+    files = _unchanged(w, table, before).select(day.alias("event_date"), "same").unionByName(added)
+    same = files.groupBy("event_date").agg(F.bool_and("same").alias("same_files"))
+    return w.read(table).groupBy("event_date").agg(F.count("*").alias("n")).join(same, "event_date")
 
 
 @case("prv4_refuses_large_share", """
@@ -86,59 +103,127 @@ def _(v):
     )
 
 
+@case("prv4_retention_by_files", """
+SELECT event_type, count(*) FILTER (event_date >= cut) AS n, true AS others_kept FROM interactions,
+  (SELECT cast(max(event_ts) - INTERVAL 20 DAY AS DATE) AS cut FROM interactions) GROUP BY 1
+HAVING count(*) FILTER (event_date >= cut) > 0""")
+def _(v):
+    # Not partitioned by date, but written in its order: only files that reach past the window are replaced.
+    w, table = Warehouse(v.spark, fresh_dir(v.spark, "warehouse")), "archive.interactions"
+    v.interactions().repartitionByRange(8, "event_ts").write.partitionBy("event_type").parquet(w.location(table))
+    before = _listing(w, table)
+    cut_at = v.interactions().agg(F.date_sub(F.to_date(F.max("event_ts")), 20)).first()[0]
+    old = w.read(table).filter(F.col("event_date") < cut_at).select(F.col("_metadata.file_path").alias("path"))
+    old = cut(old.distinct())
+    G.retention(w, {table: 20}, clock="data", newest=v.interactions())
+    kept = _unchanged(w, table, before).join(old, "path", "left_anti")
+    want = before.join(old, "path", "left_anti").count()
+    fine = kept.filter("same").count() == want and want > 0 and _unchanged(w, table, before).count() == want
+    return w.read(table).groupBy("event_type").agg(F.count("*").alias("n")).withColumn("others_kept", F.lit(fine))
+
+
 @case("prv5_sequence_retention", """
-SELECT user_id, newest FROM (SELECT user_id, max(event_ts_unix) AS newest FROM h_train GROUP BY 1)
-WHERE newest >= 1705968000""")
+SELECT split, user_id, newest, true AS whole FROM (
+  SELECT 'train' AS split, user_id, max(event_ts_unix) AS newest FROM h_train GROUP BY 2 UNION ALL
+  SELECT 'val', user_id, max(event_ts_unix) FROM h_val GROUP BY 2 UNION ALL
+  SELECT 'test', user_id, max(event_ts_unix) FROM h_test GROUP BY 2)
+WHERE newest >= (SELECT newest FROM cutoffs) - 8 * 86400""")
 def _(v):
-    at = datetime.fromtimestamp(1705968000, timezone.utc)
-    kept = G.recent_users(v.split("train"), at)
-    return kept.select("user_id", F.array_max("input_ts").alias("newest"))
+    # The stored sequences of every split are rewritten; a user stays with the whole history or goes.
+    w, table = Warehouse(v.spark, fresh_dir(v.spark, "warehouse")), "gold.sequences_config"
+    w.write(table, v.sequences)
+    events, _, _ = v.labelled
+    report = G.retention(w, {}, {table: 8}, clock="data", max_share=0.9, newest=events)
+    if report.first()["status"] != "pruned":
+        raise AssertionError(report.first())
+    before = v.sequences.select("split", "user_id", F.col("input_ts").alias("was"))
+    return w.read(table).join(before, ["split", "user_id"]).select(
+        "split", "user_id", F.array_max("input_ts").alias("newest"), (F.col("input_ts") == F.col("was")).alias("whole")
+    )
 
 
 @case("prv6_retention_report", """
 SELECT 'bronze.interactions' AS "table", 'would prune' AS status, count(*) AS rows_before,
-  count(*) FILTER (event_date < cut) AS rows_removed FROM interactions, (SELECT cast(max(event_ts)
-  - INTERVAL 25 DAY AS DATE) AS cut FROM interactions) UNION ALL
-SELECT 'silver.interactions', 'nothing to prune', count(*), 0 FROM silver UNION ALL
-SELECT 'silver.absent', 'absent', NULL, NULL UNION ALL
-SELECT 'gold.sequences_config', 'no window configured', NULL, NULL""")
+  count(*) FILTER (event_date < cut) AS rows_removed, NULL AS partitions_dropped FROM interactions,
+  (SELECT cast(max(event_ts) - INTERVAL 25 DAY AS DATE) AS cut FROM interactions) UNION ALL
+SELECT 'bronze.interactions', 'pruned', count(*), count(*) FILTER (event_date < cut),
+  count(DISTINCT event_date) FILTER (event_date < cut) FROM interactions,
+  (SELECT cast(max(event_ts) - INTERVAL 25 DAY AS DATE) AS cut FROM interactions) UNION ALL
+SELECT 'silver.interactions', 'nothing to prune', count(*), 0, NULL FROM silver UNION ALL
+SELECT 'silver.absent', 'absent', NULL, NULL, NULL UNION ALL
+SELECT 'gold.sequences_config', 'pruned', count(*), count(*) FILTER (newest < (SELECT max(event_ts_unix) FROM
+  interactions) - 7 * 86400), 0 FROM (
+  SELECT user_id, max(event_ts_unix) AS newest FROM h_train GROUP BY 1 UNION ALL
+  SELECT user_id, max(event_ts_unix) FROM h_val GROUP BY 1 UNION ALL
+  SELECT user_id, max(event_ts_unix) FROM h_test GROUP BY 1) UNION ALL
+SELECT 'gold.sequences_sku', 'no window configured', NULL, NULL, NULL""")
 def _(v):
     w = _warehouse(v)
     w.write("silver.interactions", v.silver)
-    windows = {"bronze.interactions": 25, "silver.interactions": 400, "silver.absent": 30}
+    w.write("gold.sequences_config", v.sequences)
     first = G.retention(w, {"bronze.interactions": 25}, clock="data", dry_run=True)
     rest = G.retention(
-        w, {k: d for k, d in windows.items() if k.startswith("silver")}, {"gold.sequences_config": 0},
-        clock="data",
+        w, {"bronze.interactions": 25, "silver.interactions": 400, "silver.absent": 30},
+        {"gold.sequences_config": 7, "gold.sequences_sku": 0}, clock="data", max_share=0.9,
     )
-    return first.unionByName(rest).select("table", "status", "rows_before", "rows_removed")
+    return first.unionByName(rest).select("table", "status", "rows_before", "rows_removed", "partitions_dropped")
 
 
-def _erasure(v):
-    w = _warehouse(v)
-    w.write("silver.interactions", C.pseudonymised(v.interactions().drop("session_id"), KEY))
+ERASED = ("bronze.interactions", "silver.interactions", "gold.sequences_sku", "online.tails")
+RAW = INTERACTIONS.replace("event_ts timestamp", "event_ts string")
+
+
+def _layers(v):
+    """Raw files and all tables with ids that no other column holds by chance: (warehouse, raw path)."""
+    named = v.interactions().withColumn("user_id", F.format_string("user-%s-x", "user_id")).withColumn(
+        "session_id", F.concat_ws("#", "user_id", "event_date"))
+    w = Warehouse(v.spark, fresh_dir(v.spark, "warehouse"))
+    w.write("bronze.interactions", named)
+    events = named.drop("session_id")
+    w.write("silver.interactions", C.pseudonymised(events, KEY))
+    w.write("gold.sequences_sku", C.pseudonymised(
+        events.groupBy("user_id").agg(F.sort_array(F.collect_list("sku")).alias("tokens")), KEY), partition_by=[])
+    w.write("online.tails", events.groupBy("user_id").agg(F.max("event_ts").alias("last_ts")), partition_by=[])
     raw = f"{fresh_dir(v.spark, 'raw')}/interactions"
-    v.interactions().select(*INTERACTION_COLUMNS).write.option("header", True).csv(raw)
-    receipt = G.erase(
-        w, SUBJECT, ["bronze.interactions", "silver.interactions", "online.tails"],
-        {raw: INTERACTIONS.replace("event_ts timestamp", "event_ts string")}, key=KEY,
-    )
-    return w, raw, receipt
+    named.select(*INTERACTION_COLUMNS).repartitionByRange(8, "user_id").write.option("header", True).csv(raw)
+    return w, raw
+
+
+def _layers_erased(v, tables):
+    """The receipt for the subject, erased from ``tables`` and the raw files."""
+    w, raw = _layers(v)
+    return G.erase(w, f"user-{SUBJECT}-x", tables, {raw: RAW}, key=KEY)
 
 
 @case("prv7_erase_subject", f"""
-SELECT layer, n FROM (SELECT 'bronze' AS layer, count(*) AS n FROM interactions WHERE user_id <> '{SUBJECT}'
-UNION ALL SELECT 'silver', count(*) FROM interactions WHERE user_id <> '{SUBJECT}'
-UNION ALL SELECT 'raw', count(*) FROM interactions WHERE user_id <> '{SUBJECT}')""")
+SELECT layer, n, true AS others_kept FROM (
+  SELECT 'bronze.interactions' AS layer, count(*) AS n FROM interactions WHERE user_id <> '{SUBJECT}'
+  UNION ALL SELECT 'silver.interactions', count(*) FROM interactions WHERE user_id <> '{SUBJECT}'
+  UNION ALL SELECT 'gold.sequences_sku', count(DISTINCT user_id) FROM interactions WHERE user_id <> '{SUBJECT}'
+  UNION ALL SELECT 'online.tails', count(DISTINCT user_id) FROM interactions WHERE user_id <> '{SUBJECT}'
+  UNION ALL SELECT 'raw', count(*) FROM interactions WHERE user_id <> '{SUBJECT}')""")
 def _(v):
-    w, raw, _ = _erasure(v)
-    left = v.spark.read.option("header", True).csv(raw)
-    parts = [
-        df.agg(F.count("*").alias("n")).select(F.lit(name).alias("layer"), "n")
-        for name, df in (("bronze", w.read("bronze.interactions")),
-                         ("silver", w.read("silver.interactions")), ("raw", left))
-    ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    # Files without a row of the subject keep name, length and time in every layer.
+    w, raw = _layers(v)
+    subject, spark = f"user-{SUBJECT}-x", v.spark
+    owners = G.subject_identifiers(subject, KEY)
+    read = {t: (lambda t=t: w.read(t)) for t in ERASED} | {"raw": lambda: spark.read.option("header", True).csv(raw)}
+    files = {t: (lambda t=t: w.files(t)) for t in ERASED} | {"raw": lambda: scoped.stored_files(spark, raw)}
+    before, held = {}, {}
+    for layer in read:
+        before[layer] = cut(files[layer]().filter("path not like '%/\\_%'"))
+        held[layer] = cut(
+            read[layer]().filter(F.col("user_id").isin(*owners)).select(F.col("_metadata.file_path").alias("path")).distinct())
+    G.erase(w, subject, ERASED, {raw: RAW}, key=KEY)
+    out = None
+    for layer in read:
+        now = files[layer]().select("path", F.struct("modificationTime", "length").alias("now"))
+        others = before[layer].join(held[layer], "path", "left_anti").join(now, "path", "left")
+        same = F.coalesce(F.struct("modificationTime", "length") == F.col("now"), F.lit(False))
+        kept = others.agg(F.coalesce(F.bool_and(same), F.lit(True)).alias("others_kept"))
+        part = read[layer]().agg(F.count("*").alias("n")).crossJoin(kept).select(F.lit(layer).alias("layer"), "n", "others_kept")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @case("prv8_verify_finds_derived_columns", """
@@ -157,35 +242,15 @@ FROM interactions, (SELECT unnest(['raw', 'bronze.interactions', 'silver.interac
 
 
 @case("prv9_receipt", f"""
-SELECT kind, store_kind, n, substr(sha256(unhex('{_OUTER}') || unhex(sha256(unhex('{_INNER}') ||
-  encode('{SUBJECT}')))), 1, 16) AS subject_digest FROM (
-  SELECT 'step' AS kind, 'data' AS store_kind, 3 * count(*) AS n FROM interactions
-  WHERE user_id = '{SUBJECT}' UNION ALL SELECT 'unerasable', 'data', NULL)""")
+SELECT kind, store_kind, complete, n, substr(sha256(unhex('{_OUTER}') || unhex(sha256(unhex('{_INNER}') ||
+  encode('user-{SUBJECT}-x')))), 1, 16) AS subject_digest FROM (
+  SELECT 'step' AS kind, s AS store_kind, true AS complete, m AS n FROM per_store
+  UNION ALL SELECT 'unerasable', 'outside', true, NULL)""")
 def _(v):
-    _, _, receipt = _erasure(v)
-    return receipt.filter("kind <> 'survived'").groupBy("kind", "subject_digest").agg(
-        F.lit("data").alias("store_kind"), F.sum("rows").alias("n")
-    ).select("kind", "store_kind", "n", "subject_digest")
-
-
-ERASED = ("bronze.interactions", "silver.interactions", "gold.sequences_sku", "online.tails")
-
-
-def _layers_erased(v, tables):
-    """All layers written, the subject erased from ``tables`` and the raw files."""
-    # Ids that no other column holds by chance.
-    named = v.interactions().withColumn("user_id", F.format_string("user-%s-x", "user_id")).withColumn(
-        "session_id", F.concat_ws("#", "user_id", "event_date"))
-    w = Warehouse(v.spark, fresh_dir(v.spark, "warehouse"))
-    w.write("bronze.interactions", named)
-    events = named.drop("session_id")
-    w.write("silver.interactions", C.pseudonymised(events, KEY))
-    w.write("gold.sequences_sku", C.pseudonymised(
-        events.groupBy("user_id").agg(F.sort_array(F.collect_list("sku")).alias("tokens")), KEY), partition_by=[])
-    w.write("online.tails", events.groupBy("user_id").agg(F.max("event_ts").alias("last_ts")), partition_by=[])
-    raw = f"{fresh_dir(v.spark, 'raw')}/interactions"
-    named.select(*INTERACTION_COLUMNS).write.option("header", True).csv(raw)
-    return G.erase(w, f"user-{SUBJECT}-x", tables, {raw: INTERACTIONS.replace("event_ts timestamp", "event_ts string")}, key=KEY)
+    # With all stores named nothing survives, so there is no row of that kind.
+    store = F.when(F.col("store").isin(*ERASED), F.col("store")).when(F.col("kind") == "step", "raw").otherwise("outside")
+    return _layers_erased(v, ERASED).groupBy("kind", store.alias("store_kind"), "complete", "subject_digest").agg(
+        F.sum("rows").alias("n"))
 
 
 @case("prv9_receipt_of_all_layers", f"""
