@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+import types
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
@@ -57,6 +59,17 @@ class Memo(dict):
         return value
 
 
+def per_worker(name: str, make: Callable):
+    """An object that lives as long as the Python worker, which Spark reuses for many tasks.
+
+    For caches of bounded size whose content never changes a result.
+    """
+    store = vars(sys.modules.setdefault("worker_objects", types.ModuleType("worker_objects")))
+    if name not in store:
+        store[name] = make()
+    return store[name]
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: spreads every input bit over the whole word."""
     h = h ^ (h >> np.uint64(30))

@@ -8,27 +8,40 @@ from __future__ import annotations
 
 import os
 import re
-from collections import defaultdict
-from collections.abc import Iterator
+from array import array
+from bisect import bisect_left, bisect_right, insort
+from collections import Counter, defaultdict
+from collections.abc import Iterable, Iterator, Mapping
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfstream.llm.common import LOCAL_ENTRIES
+from shelfstream.llm.common import per_worker
 
 TOKENIZER = "byte_bpe_50k.json"
 CAPACITY = 2048
 END = 1
 # Remainders a task holds before it packs them (each below one window: 32 MB at most).
 HELD = 4_096
+# Parts a worker remembers the ids of, twice over (some 150 bytes each).
+ENTRIES = 500_000
 
 # A run of white space leaves its last blank to the word behind it, as the
 # tokenizer's own pattern does; its merges never cross the borders between these parts.
 PART = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 OTHER_SPACE = re.compile(r"[^\S \n]")
 
+# Texts of printable ASCII, blanks, newlines, and Latin and Cyrillic letters split
+# further by these classes; for other characters the library's own classes decide.
+LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0400-\u0481"
+PLAIN = re.compile(f"[ \n!-~{LETTERS}]*")
+PIECE = re.compile(
+    f"'(?:[stmd]|re|ve|ll)| ?[{LETTERS}]+| ?[0-9]+| ?[^ \n{LETTERS}0-9]+|[ \n]+(?![^ \n])|[ \n]+"
+)
+
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
@@ -36,8 +49,34 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def byte_letters() -> dict[int, int]:
+    """The letter that stands for each byte in the vocabulary: itself if it can be seen, else one from U+0100 on."""
+    seen = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = [b for b in range(256) if b not in seen]
+    return {b: 256 + n for n, b in enumerate(hidden)}
+
+
+class Remembered(dict):
+    """A dict that forgets what was not asked for lately: at most twice ``limit`` entries."""
+
+    def __init__(self, limit: int):
+        super().__init__()
+        self.limit, self.older = limit, {}
+
+    def missing(self, keys: list[str]) -> list[str]:
+        """The distinct ``keys`` that are not known; all others are ready to be read."""
+        if len(self) > self.limit:
+            self.older = dict(self)
+            self.clear()
+        new = list({k for k in keys if k not in self})
+        if self.older:
+            self.update((k, self.older[k]) for k in new if k in self.older)
+            new = [k for k in new if k not in self]
+        return new
+
+
 class Encoder:
-    """Ids of whole texts; each distinct part between blanks is given to the library once.
+    """Ids of whole texts; each distinct part is given to the library once.
 
     Texts with other white space than blanks and newlines, or with a string
     of an added token, go to the library whole.
@@ -50,30 +89,47 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.model, self.letters = self.library.model, byte_letters()
+        self.blank = chr(self.letters[0x20])
         added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
-        self.known: dict[str, bytes] = {}
+        self.known = Remembered(ENTRIES)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, np.uint32).tobytes() for e in found]
 
+    def piece(self, piece: str) -> bytes:
+        """Ids of what the library's pattern does not split, straight from its merges."""
+        if piece.isascii() and piece[-1] > " ":  # only a blank in front looks different
+            shown = self.blank + piece[1:] if piece[0] == " " else piece
+        else:
+            shown = piece.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+
+    def split(self, text: str) -> list[str]:
+        """Parts that are encoded independently of each other."""
+        if PLAIN.fullmatch(text):
+            return PIECE.findall(text)
+        return [q for p in PART.findall(text) for q in (PIECE.findall(p) if PLAIN.fullmatch(p) else (p,))]
+
     def ids(self, text: str) -> np.ndarray:
         if OTHER_SPACE.search(text) or self.added and self.added.search(text):
-            packed = self.encode([text])[0]
-        else:
-            parts, known = PART.findall(text), self.known
-            if len(known) > LOCAL_ENTRIES:
-                known.clear()
-            new = list({p for p in parts if p not in known})
-            for at in range(0, len(new), 10_000):
-                some = new[at : at + 10_000]
-                known.update(zip(some, self.encode(some), strict=True))
-            packed = b"".join(map(known.__getitem__, parts))
-        return np.frombuffer(packed, np.uint32)
-
-
-def fullest(counts: dict[int, int], room: int) -> list[tuple[int, int]]:
+            return np.frombuffer(self.encode([text])[0], np.uint32)
+        parts, known = self.split(text), self.known
+        new, odd = known.missing(parts), []
+        for part in new:
+            if PLAIN.fullmatch(part):
+                known[part] = self.piece(part)
+            else:
+                odd.append(part)
+        for at in range(0, len(odd), 10_000):
+            some = odd[at : at + 10_000]
+            known.update(zip(some, self.encode(some), strict=True))
+        return np.frombuffer(b"".join(map(known.__getitem__, parts)), np.uint32)
+
+
+def fullest(counts: Mapping[int, int], room: int, order: Iterable[int] | None = None) -> list[tuple[int, int]]:
     """[(length, how often)]: a multiset of the lengths left whose sum comes closest to ``room``.
 
     Bit s of ``reach`` says that some multiset sums to s. A length that is
@@ -82,7 +138,9 @@ def fullest(counts: dict[int, int], room: int) -> list[tuple[int, int]]:
     The sets before each portion tell, backwards, which portions were taken.
     """
     reach, every, steps = 1, (1 << room + 1) - 1, []
-    for length in sorted(counts, reverse=True):
+    for length in sorted(counts, reverse=True) if order is None else order:
+        if reach >> room & 1:
+            break
         left, portion = min(counts[length], room // length), 1
         while left > 0 and not reach >> room & 1:
             take = min(portion, left)
@@ -101,13 +159,15 @@ class Packer:
     """Windows of ``capacity`` ids from documents that arrive one by one.
 
     A piece is (doc_id, start, ids, doc_tokens). Whole windows are cut off a
-    document as it arrives; its remainder waits with others.
+    document as it arrives; its remainder waits with others of its length.
     """
 
     def __init__(self, capacity: int, held: int):
         self.capacity, self.held = capacity, held
-        self.waiting: dict[int, list[tuple]] = defaultdict(list)
-        self.pieces = 0
+        self.waiting: dict[int, list[tuple]] = {}
+        self.counts: dict[int, int] = {}
+        self.lengths: list[int] = []  # ascending, as in ``waiting``
+        self.pieces = self.tokens = 0
 
     def add(self, doc_id, ids: np.ndarray) -> Iterator[list[tuple]]:
         whole = len(ids) - len(ids) % self.capacity
@@ -120,15 +180,24 @@ class Packer:
                 yield from self.window()
 
     def wait(self, piece: tuple) -> None:
-        self.waiting[len(piece[2])].append(piece)
+        length = len(piece[2])
+        if length not in self.waiting:
+            self.waiting[length] = []
+            self.counts[length] = 0
+            insort(self.lengths, length)
+        self.waiting[length].append(piece)
+        self.counts[length] += 1
         self.pieces += 1
+        self.tokens += length
 
     def take(self, length: int) -> tuple:
-        own = self.waiting[length]
-        piece = own.pop()
-        if not own:
-            del self.waiting[length]
+        piece = self.waiting[length].pop()
+        self.counts[length] -= 1
+        if not self.counts[length]:
+            del self.waiting[length], self.counts[length]
+            del self.lengths[bisect_left(self.lengths, length)]
         self.pieces -= 1
+        self.tokens -= length
         return piece
 
     def window(self) -> Iterator[list[tuple]]:
@@ -136,31 +205,28 @@ class Packer:
 
         Where they leave a gap, all others are longer than it: one is cut.
         """
-        longest = max(self.waiting)
-        counts = {n: len(p) for n, p in self.waiting.items()}
-        counts[longest] -= 1
-        chosen = defaultdict(int, {longest: 1})
-        for length, n in fullest({n: c for n, c in counts.items() if c}, self.capacity - longest):
-            chosen[length] += n
-        gap = self.capacity - sum(length * n for length, n in chosen.items())
-        if not gap:
-            for _ in range(min(len(self.waiting[n]) // c for n, c in chosen.items())):
-                yield [self.take(n) for n, c in chosen.items() for _ in range(c)]
-            return
-        out = [self.take(n) for n, c in chosen.items() for _ in range(c)]
-        if self.waiting:
-            doc_id, start, ids, total = self.take(min(self.waiting))
+        head = self.take(self.lengths[-1])
+        longest = len(head[2])
+        room = self.capacity - longest
+        order = islice(reversed(self.lengths), len(self.lengths) - bisect_right(self.lengths, room), None)
+        chosen = fullest(self.counts, room, order)
+        out = [head, *(self.take(n) for n, c in chosen for _ in range(c))]
+        gap = self.capacity - sum(len(p[2]) for p in out)
+        if gap and self.lengths:
+            doc_id, start, ids, total = self.take(self.lengths[0])
             out.append((doc_id, start, ids[:gap], total))
             self.wait((doc_id, start + gap, ids[gap:], total))
         yield out
+        needed = Counter(dict(chosen))
+        needed[longest] += 1
+        while not gap and all(self.counts.get(n, 0) >= c for n, c in needed.items()):
+            yield [self.take(n) for n, c in needed.items() for _ in range(c)]
 
     def rest(self) -> Iterator[list[tuple]]:
         """All that waits. The last ids, less than a window, go into lengths of powers of two, which need no padding."""
-        while sum(n * len(p) for n, p in self.waiting.items()) >= self.capacity:
+        while self.tokens >= self.capacity:
             yield from self.window()
-        pieces = [p for own in self.waiting.values() for p in own]
-        self.waiting.clear()
-        self.pieces = 0
+        pieces = [self.take(self.lengths[-1]) for _ in range(self.pieces)]
         left = sum(len(p[2]) for p in pieces)
         while left:
             size, out = 1 << left.bit_length() - 1, []
@@ -216,7 +282,7 @@ def pack(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, packer, first, ready, part = None, Packer(capacity, held), 0, [], 0
         for batch in batches:
-            encoder = encoder or Encoder(path or tokenizer_path())
+            encoder = encoder or per_worker(f"packing {path}", lambda: Encoder(path or tokenizer_path()))
             if batch.num_rows:
                 part = batch.column("part")[0].as_py()
             for doc_id, text in zip(batch.column("doc_id"), batch.column("text"), strict=True):
