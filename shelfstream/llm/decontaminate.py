@@ -208,19 +208,25 @@ def drop_contaminated(
     """The rows of ``docs`` that are not contaminated, with all their columns.
 
     A row is judged by its text alone, so it is filtered where it lies: no
-    shuffle, no join on an id that may be null or repeated.
+    shuffle, no join on an id that may be null or repeated. Only where the
+    benchmark takes several passes are rows joined, by the digest of their
+    text. Null and empty texts stay, as do all rows where the benchmark is
+    empty; repeated rows are judged each; an empty table stays empty.
     """
     blocks = benchmark_blocks(benchmark, items_per_pass, BYTES_PER_PASS)
     block = next(blocks)
     if next(blocks, None) is not None:
         # The share of hit words needs all blocks together; equal ids of unequal
         # texts are told apart by the text's digest.
+        name = "_key"
+        while name in docs.columns:
+            name += "_"
         key = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
-        keyed = docs.select(F.monotonically_increasing_id().alias("doc_id"), "text", key.alias("_key"))
+        keyed = docs.select(F.monotonically_increasing_id().alias("doc_id"), "text", key.alias(name))
         keyed = cut(keyed)
         judged = digest(find_overlap(keyed, benchmark, window, items_per_pass)).where("contaminated")
-        bad = keyed.join(judged.select("doc_id"), "doc_id", "left_semi").select("_key").distinct()
-        return docs.withColumn("_key", key).join(bad, "_key", "left_anti").select(
+        bad = keyed.join(judged.select("doc_id"), "doc_id", "left_semi").select(name).distinct()
+        return docs.withColumn(name, key).join(bad, name, "left_anti").select(
             *[f"`{c}`" for c in docs.columns]
         )
     held = docs.sparkSession.sparkContext.broadcast(block)

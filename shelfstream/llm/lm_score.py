@@ -253,9 +253,9 @@ def score_texts(docs: DataFrame, segment_bytes: int = SEGMENT_BYTES, head: int =
 
     def collect(held):
         def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            memo = Memo(xxhash.xxh64_intdigest)
+            memo, segment = Memo(xxhash.xxh64_intdigest), Segment(*held.value)
             for batch in batches:
-                levels = [x.tobytes() for x in probe(batch, held.value, memo)]
+                levels = [x.tobytes() for x in probe(batch, segment, memo)]
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(c) for c in ("row", "doc_id", "text")), pa.array(levels, pa.binary())],
                     ["row", "doc_id", "text", "state"],
@@ -265,11 +265,11 @@ def score_texts(docs: DataFrame, segment_bytes: int = SEGMENT_BYTES, head: int =
 
     def finish(held):
         def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            memo, known = Memo(xxhash.xxh64_intdigest), exact.value
+            memo, known, segment = Memo(xxhash.xxh64_intdigest), exact.value, Segment(*held.value)
             for batch in batches:
                 scores = [
                     log_probability(x[: len(x) // 2], x[len(x) // 2 :], total, kinds)
-                    for x in probe(batch, held.value, memo)
+                    for x in probe(batch, segment, memo)
                 ]
                 sizes, found, logs, rare, out = [], [], [], [], []
                 for text, doc_id in zip(raw_texts(batch.column("text")), batch.column("doc_id").to_pylist(), strict=True):
@@ -294,7 +294,8 @@ def score_texts(docs: DataFrame, segment_bytes: int = SEGMENT_BYTES, head: int =
     parts = segments(blocks, bits, segment_bytes)
     segment = next(parts)
     while True:
-        held = spark.sparkContext.broadcast(segment)
+        # Plain values: workers can't import this package, and need not.
+        held = spark.sparkContext.broadcast((segment.bits, segment.first, segment.size, segment.data))
         segment = next(parts, None)
         if segment is None:
             break

@@ -147,13 +147,14 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
 
 def memberships(docs: DataFrame, model: Classifier) -> DataFrame:
     """row, doc_id, source, n_tokens, p (posterior per domain) of every document."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    # Plain values: workers can't import this package, and need not.
+    held = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))
 
     def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = stems()
+        memo, model = stems(), Classifier(*held.value)
         for batch in batches:
             texts = raw_texts(batch.column("text"))
-            p = held.value.of_texts(texts, memo)
+            p = model.of_texts(texts, memo)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("row"), batch.column("doc_id"), batch.column("source"),
                  pa.array([len(words(t)) for t in texts], pa.int64()),
@@ -269,11 +270,12 @@ def apply_mix(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] =
     push, shares, wanted = fit_rates(cut(memberships(docs, model)), targets)
     if shares.any() and np.abs(shares - wanted).max() > MISS:
         warnings.warn(f"no rates meet the targets {wanted}; expected shares are {shares}", stacklevel=2)
-    held = docs.sparkSession.sparkContext.broadcast((model, push))
+    held = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias, push))
     text, doc_id = docs.columns.index("text"), docs.columns.index("doc_id")
 
     def repeat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, (model, push) = stems(), held.value
+        memo, (weights, bias, push) = stems(), held.value
+        model = Classifier(weights, bias)
         for batch in batches:
             p = model.of_texts(raw_texts(batch.column(text)), memo)
             rate = np.clip(1.0 - p @ push, 0.0, MOST)

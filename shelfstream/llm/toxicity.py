@@ -288,14 +288,16 @@ def score_texts(docs: DataFrame, grammar: Grammar, threshold: float = THRESHOLD)
     equal scores, an empty table gives no rows. Only the text is an input;
     other columns are ignored. Row-local, no shuffle.
     """
-    held = docs.sparkSession.sparkContext.broadcast(grammar)
+    # Plain values: workers can't import this package, and need not.
+    held = docs.sparkSession.sparkContext.broadcast((grammar.weights, grammar.layer))
     clause_type = pa.list_(pa.struct([("number", pa.int64()), ("label", pa.string())]))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight = held.value.weigher()
+        grammar = Grammar(*held.value)
+        weight = grammar.weigher()
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
-            out = [held.value.score(t, weight) for t in raw_texts(batch.column("text"))]
+            out = [grammar.score(t, weight) for t in raw_texts(batch.column("text"))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"),
                  pa.array([i is not None and crc_of_id(i) % MODULUS == REMAINDER for i in ids], pa.bool_()),
@@ -314,13 +316,14 @@ def score_texts(docs: DataFrame, grammar: Grammar, threshold: float = THRESHOLD)
 
 def drop_toxic(docs: DataFrame, grammar: Grammar, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that score below ``threshold``, with all their columns."""
-    held = docs.sparkSession.sparkContext.broadcast(grammar)
+    held = docs.sparkSession.sparkContext.broadcast((grammar.weights, grammar.layer))
     place = docs.columns.index("text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight = held.value.weigher()
+        grammar = Grammar(*held.value)
+        weight = grammar.weigher()
         for batch in batches:
-            clean = [held.value.score(t, weight)[0] < threshold for t in raw_texts(batch.column(place))]
+            clean = [grammar.score(t, weight)[0] < threshold for t in raw_texts(batch.column(place))]
             yield batch.filter(pa.array(clean, pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)

@@ -60,13 +60,13 @@ def test_misra_gries_keeps_every_heavy_digest():
 # -- near copies --------------------------------------------------------------
 
 
-def brute_components(rows, percent=90):
+def brute_components(rows, percent=90, size=3):
     sets = {}
     for i, text in rows:
         if i is None:
             continue
         w = (text or "").encode().lower().split()
-        sets[i] = frozenset(tuple(w[k : k + 3]) for k in range(max(1, len(w) - 2))) if w else frozenset()
+        sets[i] = frozenset(tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1))) if w else frozenset()
     up = {i: i for i in sets}
 
     def root(x):
@@ -386,7 +386,7 @@ def test_pipeline_equals_its_parts(spark, folder):
     judged = toxicity.score_texts(docs, toxicity.fit(docs, labels))
     left = {r.doc_id for r in judged.collect() if r.predicted == 0}
     texts = {r.doc_id: r.text for r in docs.collect()}
-    left = {i for i, (_, c) in brute_components([(i, texts[i]) for i in left]).items() if i == c}
+    left = {i for i, (_, c) in brute_components([(i, texts[i]) for i in left], 80, 5).items() if i == c}
     rest = docs.where(F.col("doc_id").isin(*left))
     overlap = decontaminate.digest(decontaminate.find_overlap(rest, bench)).collect()
     left = {r.doc_id for r in overlap if not r.contaminated}

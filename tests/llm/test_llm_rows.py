@@ -202,6 +202,16 @@ def test_overlap_equals_brute_force(spark, per_pass):
     assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == clean
 
 
+@pytest.mark.parametrize("per_pass", [1000, 1])
+def test_columns_named_like_the_join_key_are_kept(spark, per_pass):
+    docs = docs_of(spark, [(1, "a b c d e"), (2, "all clean"), (None, None)])
+    docs = docs.withColumn("_key", F.lit("yours")).withColumn("_key_", F.lit("also"))
+    bench = spark.createDataFrame([(1, "b c d"), (2, "x y z")], "item_id long, text string")
+    kept = decontaminate.drop_contaminated(docs, bench, 3, per_pass)
+    assert kept.columns == docs.columns
+    assert {(r.doc_id, r["_key"], r["_key_"]) for r in kept.collect()} == {(2, "yours", "also"), (None, "yours", "also")}
+
+
 def test_overlap_with_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     rows = decontaminate.digest(decontaminate.find_overlap(docs_of(spark, EDGE), none)).collect()
