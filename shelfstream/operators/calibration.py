@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfstream.functions import scalars as S
+from shelfstream.operators import isotonic
 from shelfstream.scale import bin_index, cut, exact_quantiles, hash_unit
 
 
@@ -237,35 +238,32 @@ def fit_platt(
     return best
 
 
-def fit_isotonic(df: DataFrame, head: str):
-    """Monotone step fit of one head with interpolation between the steps (MLlib)."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import IsotonicRegression
+def fit_isotonic_heads(df: DataFrame) -> DataFrame:
+    """Block lists (head, lo, hi, n, positives, value) of all heads in one plan (see :mod:`.isotonic`)."""
+    return isotonic.fit_blocks(merged(df))
 
-    rows = merged(df).filter(F.col("head") == head)
-    vectors = VectorAssembler(inputCols=["p"], outputCol="features").transform(
-        rows.select("p", (F.col("positives") / F.col("n")).alias("rate"), F.col("n").cast("double"))
-    )
-    return IsotonicRegression(
-        featuresCol="features", labelCol="rate", weightCol="n", predictionCol="calibrated"
-    ).fit(vectors)
 
+def fit_isotonic(df: DataFrame, head: str) -> DataFrame:
+    """The block list of one head."""
+    return fit_isotonic_heads(df.filter(F.col("head") == head))
 
-def apply_isotonic(model, df: DataFrame, p: str = "p", out: str = "calibrated") -> DataFrame:
-    from pyspark.ml.feature import VectorAssembler
 
-    vectors = VectorAssembler(inputCols=[p], outputCol="features").transform(df)
-    return model.setPredictionCol(out).transform(vectors).drop("features")
+def apply_isotonic(blocks: DataFrame, df: DataFrame, p: str = "p", out: str = "calibrated") -> DataFrame:
+    """``df`` with its head's monotone fit at ``p``; without a column ``head``, that of the only head."""
+    if "head" in df.columns:
+        return isotonic.interpolated(blocks, df, p, out)
+    alone = blocks.withColumn("head", F.lit(""))
+    return isotonic.interpolated(alone, df.withColumn("head", F.lit("")), p, out).drop("head")
 
 
 @dataclass(frozen=True)
 class Calibrator:
-    """What was decided for one head: identity, platt (a, b) or isotonic (model)."""
+    """What was decided for one head: identity, platt (a, b) or isotonic (its block list)."""
 
     kind: str = "identity"
     a: float = 1.0
     b: float = 0.0
-    model: object | None = None
+    model: DataFrame | None = None
     source: str = "none"
 
     def column(self, p: Column) -> Column:
@@ -281,11 +279,10 @@ def calibrated(df: DataFrame, calibrators: Mapping[str, Calibrator], p: str = "p
         if c.kind == "platt":
             value = F.when(F.col("head") == head, c.column(F.col(p))).otherwise(value)
     out = df.withColumn(p, value)
-    for head, c in calibrators.items():
-        if c.kind == "isotonic":
-            mine = apply_isotonic(c.model, out.filter(F.col("head") == head), p)
-            rest = out.filter(F.col("head") != head)
-            out = rest.unionByName(mine.withColumn(p, F.col("calibrated")).drop("calibrated"))
+    models = [c.model.filter(F.col("head") == h) for h, c in calibrators.items() if c.kind == "isotonic"]
+    if models:
+        fitted = apply_isotonic(isotonic.union(models), out, p, "_fitted")
+        out = fitted.withColumn(p, F.coalesce("_fitted", F.col(p))).drop("_fitted")
     return out
 
 
@@ -371,7 +368,10 @@ def fit_or_decline(
             h for h in heads if kind == "isotonic" and counts[h][positives] >= 10 * min_positives
         }
         plain = heads - flexible
-        made = {h: Calibrator("isotonic", model=fit_isotonic(part, h)) for h in flexible}
+        made = {}
+        if flexible:
+            blocks = fit_isotonic_heads(part.filter(F.col("head").isin(*sorted(flexible))))
+            made = {h: Calibrator("isotonic", model=blocks) for h in flexible}
         if plain:
             params = fit_platt(part.filter(F.col("head").isin(*sorted(plain))))
             made.update({h: Calibrator("platt", *params[h]) for h in plain})

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from shelfstream.operators import calibration as K
 from shelfstream.operators import evaluation as E
+from shelfstream.operators import isotonic
 from shelfstream.operators import lists as L
 from shelfstream.operators import stats as ST
 
@@ -183,6 +184,73 @@ def test_isotonic_pools_and_stays_flat_outside(spark):
     assert got == [0.0, 0.5, 0.5, 1.0, 1.0]
 
 
+def isotonic_rows(spark, n=3000, seed=7):
+    rng = np.random.default_rng(seed)
+    rows = []
+    for head, shape in (("rising", lambda x: x * x), ("falling", lambda x: 1 - x), ("flat", lambda x: 0.3 + 0 * x), ("stairs", np.round)):
+        p = np.round(rng.random(n), 3)
+        rows += zip([head] * n, (rng.random(n) < shape(p)).astype(int).tolist(), p.tolist(), strict=True)
+    return spark.createDataFrame(rows, "head string, label int, p double")
+
+
+def test_block_lists_merge_to_the_whole_fit(spark, monkeypatch):
+    df = isotonic_rows(spark)
+    table = K.merged(df).toPandas().sort_values(["head", "p"])
+    want = {}
+    for head, own in table.groupby("head"):
+        # Max-min formula: the fit at i is the largest, over starts, of the least mean up to an end behind i.
+        n, s = np.r_[0, own["n"].cumsum()], np.r_[0, own["positives"].cumsum()]
+        size = len(own)
+        fit = np.full(size, -1.0)
+        for j in range(size):
+            mean = (s[j + 1 :] - s[j]) / (n[j + 1 :] - n[j])
+            low = np.minimum.accumulate(mean[::-1])[::-1]
+            fit[j:] = np.maximum(fit[j:], low)
+        want[head] = dict(zip(own["p"], fit, strict=True))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    monkeypatch.setattr(isotonic, "FAN", 2)
+    try:
+        blocks = K.fit_isotonic_heads(df)
+        for most in (isotonic.KNOTS, 0):
+            monkeypatch.setattr(isotonic.interpolated, "__defaults__", (most,))
+            got = K.apply_isotonic(blocks, df).select("head", "p", "calibrated").distinct().collect()
+            assert len(got) == len(table)
+            assert all(abs(r.calibrated - want[r["head"]][r.p]) < 1e-9 for r in got)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    by_head = blocks.toPandas().sort_values(["head", "lo"]).groupby("head")
+    assert all((np.diff(own["value"]) > 0).all() and (own["lo"].to_numpy()[1:] > own["hi"].to_numpy()[:-1]).all() for _, own in by_head)
+    assert len(by_head.get_group("falling")) < 5 < len(by_head.get_group("rising"))
+
+
+@pytest.mark.parametrize("most", [isotonic.KNOTS, 0])
+def test_curves_between_and_outside_their_blocks(spark, monkeypatch, most):
+    monkeypatch.setattr(isotonic.interpolated, "__defaults__", (most,))
+    df = spark.createDataFrame(
+        [("h", 0, 0.1), ("h", 0, 0.2), ("h", 1, 0.4), ("h", 1, 0.6), ("g", 1, 0.5)], "head string, label int, p double")
+    grid = spark.createDataFrame(
+        [("h", 0.0), ("h", 0.3), ("h", 0.35), ("h", 0.9), ("h", None), ("g", 0.1), ("x", 0.1), ("h", 0.3)], "head string, p double")
+    got = K.apply_isotonic(K.fit_isotonic_heads(df), grid).collect()
+    key = lambda t: str(t)
+    assert sorted([(r["head"], r.p, None if r.calibrated is None else round(r.calibrated, 6)) for r in got], key=key) == sorted(
+        [("h", 0.0, 0.0), ("h", 0.3, 0.5), ("h", 0.3, 0.5), ("h", 0.35, 0.75), ("h", 0.9, 1.0), ("h", None, None), ("g", 0.1, 1.0), ("x", 0.1, None)], key=key)
+    none = K.fit_isotonic_heads(df.filter("false"))
+    assert none.count() == 0 and K.apply_isotonic(none, grid).filter("calibrated is not null").count() == 0
+
+
+def test_scarce_positives_choose_the_stiffer_fit(spark):
+    # Isotonic wants ten times the positives that Platt needs; both are asked for at once.
+    rich = labelled(spark, scale=0.2).withColumn("head", F.lit("rich"))
+    poor = labelled(spark, 700, scale=0.2).withColumn("head", F.lit("poor")).withColumn("unit", F.concat(F.lit("p"), "unit"))
+    both = rich.unionByName(poor)
+    fitted = K.fit_or_decline(both, "unit", kind="isotonic", min_positives=20)
+    assert {h: c.kind for h, c in fitted.items()} == {"rich": "isotonic", "poor": "platt"}
+    after = {r["head"]: r for r in K.calibration_report(K.calibrated(both, fitted)).collect()}
+    assert all(0.9 < r.bias_ratio < 1.1 for r in after.values()) and after["rich"].ece < 0.02
+
+
 def test_fit_or_decline(spark):
     declined = K.fit_or_decline(labelled(spark), "unit")["h"]
     assert declined.kind == "identity"

@@ -588,26 +588,6 @@ def _(v):
     )
 
 
-cte("iso_points", """
-SELECT p, row_number() OVER (ORDER BY p) AS i, sum(n) OVER (ORDER BY p) AS w, sum(pos) OVER (ORDER BY p) AS s,
-  n, pos FROM (SELECT p, count(*) AS n, sum(y) AS pos FROM cal WHERE head = 'f' GROUP BY 1)""")
-cte("iso_fit", """
-SELECT i, max(low) AS fit FROM (SELECT j, k AS i, min(mean) OVER (PARTITION BY j ORDER BY k DESC) AS low
-  FROM (SELECT a.i AS j, b.i AS k, (b.s - a.s + a.pos) / (b.w - a.w + a.n) AS mean
-    FROM iso_points a JOIN iso_points b ON b.i >= a.i)) GROUP BY 1""")
-
-
-@case("cal6_isotonic", """
-SELECT p, round(fit, 6) AS calibrated, n FROM iso_points i JOIN iso_fit f ON f.i = i.i""")
-def _(v):
-    rows = K.usable(_cal(v))
-    model = K.fit_isotonic(rows, "f")
-    table = K.apply_isotonic(model, rows.filter("head = 'f'"))
-    return table.groupBy("p").agg(
-        r(F.max("calibrated")).alias("calibrated"), F.count("*").alias("n")
-    )
-
-
 cte("iso_head_points", """
 SELECT head, p, row_number() OVER h AS i, sum(n) OVER h AS w, sum(pos) OVER h AS s, n, pos FROM (
   SELECT head, p, count(*) AS n, sum(y) AS pos FROM cal GROUP BY 1, 2) WINDOW h AS (PARTITION BY head ORDER BY p)""")
@@ -618,15 +598,24 @@ SELECT head, i, max(low) AS fit FROM (
     FROM iso_head_points a JOIN iso_head_points b ON b.head = a.head AND b.i >= a.i)) GROUP BY 1, 2""")
 
 
+@case("cal6_isotonic", """
+SELECT head, min(p) AS lo, max(p) AS hi, cast(sum(n) AS BIGINT) AS n, cast(sum(pos) AS BIGINT) AS positives,
+  round(fit, 9) AS value FROM (SELECT i.head, p, n, pos, fit FROM iso_head_points i JOIN iso_head_fit f
+  ON f.head = i.head AND f.i = i.i) GROUP BY head, fit""")
+def _(v):
+    blocks = K.fit_isotonic_heads(_cal(v))
+    return blocks.select(
+        "head", "lo", "hi", F.col("n").cast("long").alias("n"), F.col("positives").cast("long").alias("positives"),
+        r("value", 9).alias("value"),
+    )
+
+
 @case("cal6_isotonic_every_head", """
 SELECT i.head, p, round(fit, 6) AS calibrated, n FROM iso_head_points i JOIN iso_head_fit f
   ON f.head = i.head AND f.i = i.i""")
 def _(v):
     rows = K.usable(_cal(v))
-    done = None
-    for head in sorted(x.head for x in rows.select("head").distinct().collect()):
-        one = K.apply_isotonic(K.fit_isotonic(rows, head), rows.filter(F.col("head") == head))
-        done = one if done is None else done.unionByName(one)
+    done = K.apply_isotonic(K.fit_isotonic_heads(rows), rows)
     return done.groupBy("head", "p").agg(
         r(F.max("calibrated")).alias("calibrated"), F.count("*").alias("n")
     )
