@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from shelfstream.operators import alerts as AL
 from shelfstream.operators import cleaning as C
 from shelfstream.operators import monitoring as M
 from shelfstream.operators import policy as POL
@@ -12,6 +13,8 @@ from shelfstream.scale import cut, fresh_dir
 from shelfstream.sources import scoped
 from shelfstream.sources.schemas import INTERACTION_COLUMNS, INTERACTIONS
 from shelfstream.sources.tables import Warehouse
+from shelfstream.streaming import sinks
+from shelfstream.streaming.alerting import alert_stream
 from workload.q_cleaning import _INNER, _OUTER, KEY
 from workload.q_policy import LIMIT, POLICY, _candidates
 from workload.registry import case, cte
@@ -304,6 +307,89 @@ def _(v):
     )
 
 
+EVERY = 60
+
+
+def _sum_sql(name, seconds):
+    return f"sum({name}) OVER (ORDER BY tick ROWS BETWEEN {seconds // EVERY - 1} PRECEDING AND CURRENT ROW)"
+
+
+def _holds_sql(c):
+    own = _sum_sql(c.counter, c.seconds)
+    if c.none:
+        return f"{own} = 0"
+    if c.total is None:
+        return f"{own} > {c.limit!r}"
+    whole = _sum_sql(c.total, c.seconds)
+    return f"coalesce({own} / nullif(cast({whole} AS DOUBLE), 0) > cast({c.limit!r} AS DOUBLE), false)"
+
+
+cte("alert_ticks", f"""
+SELECT tick, count(request_id) AS requests, count(*) FILTER (latency_ms > 100) AS slow,
+  count(*) FILTER (served_from <> 'model') AS fallbacks,
+  count(*) FILTER (served_from = 'retrieval_error') AS retrieval_errors, count(*) FILTER (n_items = 0) AS empty,
+  count(exposure_outcome) AS exposures, count(*) FILTER (exposure_outcome = 'failed') AS exposures_failed
+FROM (SELECT unnest(range((SELECT min(at_s) // {EVERY} FROM request_log),
+  (SELECT max(at_s) // {EVERY} + 1 FROM request_log))) AS tick) t
+LEFT JOIN request_log l ON l.at_s // {EVERY} = t.tick GROUP BY 1""")
+cte("alert_holds", " UNION ALL ".join(
+    f"SELECT '{rule.name}' AS rule, {rule.wait} AS wait, (tick + 1) * {EVERY} AS at_unix, "
+    f"{' AND '.join(map(_holds_sql, rule.conditions))} AS holds FROM alert_ticks" for rule in AL.RULES))
+cte("alert_episodes", f"""
+SELECT rule, wait, min(at_unix) AS pending_at, max(at_unix) AS last_at FROM (SELECT *, at_unix // {EVERY} -
+  row_number() OVER (PARTITION BY rule ORDER BY at_unix) AS run FROM alert_holds WHERE holds) GROUP BY rule, wait, run""")
+cte("alert_states", f"""
+SELECT rule, pending_at, CASE WHEN last_at >= pending_at + wait THEN pending_at + wait END AS firing_at,
+  CASE WHEN last_at < (SELECT max(at_unix) FROM alert_holds) THEN last_at + {EVERY} END AS ended_at
+FROM alert_episodes""")
+
+
+@case("mon3_firing", """
+SELECT *, CASE WHEN firing_at IS NULL THEN CASE WHEN ended_at IS NULL THEN 'pending' ELSE 'cleared' END
+  WHEN ended_at IS NULL THEN 'firing' ELSE 'resolved' END AS state FROM alert_states""")
+def _(v):
+    ticks = cut(AL.tick_counts(v.request_log(), EVERY))
+    return AL.episodes(AL.evaluations(ticks, every=EVERY), every=EVERY)
+
+
+@case("mon3_firing_on_a_stream", """
+SELECT rule, pending_at AS at_unix, 'pending' AS state FROM alert_states UNION ALL
+SELECT rule, firing_at, 'firing' FROM alert_states WHERE firing_at IS NOT NULL UNION ALL
+SELECT rule, ended_at, CASE WHEN firing_at IS NULL THEN 'cleared' ELSE 'resolved' END FROM alert_states
+WHERE ended_at IS NOT NULL""")
+def _(v):
+    # The log arrives in four batches; a heartbeat closes the last tick.
+    log, root = v.request_log(), fresh_dir(v.spark, "alerts")
+    low, high = log.agg(F.min(F.unix_timestamp("served_ts")), F.max(F.unix_timestamp("served_ts"))).first()
+    part = F.least(F.floor((F.unix_timestamp("served_ts") - low) * 4 / max(1, high - low)), F.lit(3))
+    for k in range(4):
+        log.filter(part == k).coalesce(1).write.mode("append").parquet(f"{root}/log")
+    # Lateness and the heartbeat cancel out: all ticks of the log are evaluated and none behind it.
+    beat = F.timestamp_seconds(F.lit((high // EVERY + 1) * EVERY + 600))
+    empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in log.schema.fields if f.name != "served_ts"]
+    v.spark.range(1).select(*empty, beat.alias("served_ts")).select(*log.columns).coalesce(1).write.mode("append").parquet(f"{root}/log")
+    stream = v.spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/log")
+    alerts = alert_stream(stream, every=EVERY, lateness="10 minutes")
+    sinks.finish(sinks.append_stream(alerts, f"{root}/out", f"{root}/checkpoint"))
+    return v.spark.read.schema(alerts.schema).parquet(f"{root}/out")
+
+
+@case("mon6_stale_firing", """
+SELECT 'stale' AS rule, min(at_unix) AS pending_at, CASE WHEN max(at_unix) - min(at_unix) >= 1800 THEN
+  min(at_unix) + 1800 END AS firing_at, CASE WHEN max(at_unix) < (SELECT max(at_s) // 600 + 1 FROM request_log) * 600
+  THEN max(at_unix) + 600 END AS ended_at
+FROM (SELECT at_unix, at_unix // 600 - row_number() OVER (ORDER BY at_unix) AS run FROM (
+  SELECT tick * 600 + 600 AS at_unix, max(mark) OVER (ORDER BY tick) AS mark FROM (
+    SELECT tick, max(at_s) AS mark FROM (SELECT unnest(range((SELECT min(at_s) // 600 FROM request_log),
+      (SELECT max(at_s) // 600 + 1 FROM request_log))) AS tick) LEFT JOIN request_log ON at_s // 600 = tick GROUP BY 1))
+  WHERE at_unix - mark > 1200) GROUP BY run""")
+def _(v):
+    # The newest request is the mark that has to be renewed; 20 minutes are its limit, 30 the wait.
+    marks = v.request_log().select(F.col("served_ts").alias("created_ts"))
+    rule = AL.Rule("stale", (), 1800, "ticket")
+    return AL.episodes(AL.overdue(marks, 600, 1200), [rule], 600).drop("state")
+
+
 @case("mon3_sliding_windows", """
 SELECT e * 900 AS at_unix, round(count(*) FILTER (latency_ms > 100) / cast(count(*) AS DOUBLE), 9) AS ratio,
   count(*) AS n FROM (SELECT latency_ms, unnest(range(at_s // 900 + 1, at_s // 900 + 5)) AS e FROM request_log)
