@@ -285,8 +285,8 @@ def _(v):
     )
 
 
-cte("item_vectors", "SELECT vec_id AS token_id, embedding AS v FROM embeddings WHERE vec_id % 10 <> 0")
-cte("user_vectors", "SELECT vec_id AS user_id, embedding AS v FROM embeddings WHERE vec_id % 10 = 0")
+cte("item_vectors", "SELECT vec_id AS token_id, embedding AS v FROM embeddings")
+cte("user_vectors", "SELECT vec_id AS user_id, embedding AS v FROM embeddings WHERE vec_id % 20 = 0")
 cte("exact_neighbours", """
 SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, token_id) AS position
 FROM (SELECT user_id, token_id, list_dot_product(cast(u.v AS DOUBLE[]), cast(i.v AS DOUBLE[])) AS score

@@ -9,7 +9,7 @@ from shelfstream.operators import lists as L
 from shelfstream.operators import policy as P
 from shelfstream.operators import retrieval as R
 from shelfstream.plans import recommend as REC
-from shelfstream.scale import cut
+from shelfstream.scale import cut, fresh_dir
 from workload.registry import case, cte
 from workload.views import r, text_of
 
@@ -30,7 +30,7 @@ def _(v):
     hidden = users.select("user_id", (F.col("user_id") % 7).alias("m")).join(
         items.select("token_id", same.alias("m")), "m"
     ).select("user_id", "token_id")
-    top = R.exact_top_k(users, items, 10, hidden, block=256)
+    top = R.exact_top_k(users, items, 10, hidden, block=100)
     return top.select("user_id", "token_id", "position", r("score", 5).alias("score"))
 
 
@@ -47,15 +47,15 @@ def _(v):
 cte("cell_centers", """
 SELECT v, list_inner_product(v, v) / 2 AS half, row_number() OVER (ORDER BY h, vec_id) - 1 AS cell FROM (
   SELECT vec_id, cast(embedding AS DOUBLE[]) AS v, md5(cast(vec_id AS VARCHAR)) AS h FROM embeddings
-  WHERE vec_id % 10 <> 0 ORDER BY h, vec_id LIMIT 16)""")
+  ORDER BY h, vec_id LIMIT 16)""")
 cte("near_cells", """
 SELECT vec_id, cell, e, row_number() OVER (PARTITION BY vec_id ORDER BY half - list_inner_product(e, v), cell) AS r
 FROM (SELECT vec_id, cast(embedding AS DOUBLE[]) AS e FROM embeddings), cell_centers""")
 cte("probed", """
 SELECT n.probes, u.vec_id AS user_id, i.vec_id AS token_id, list_inner_product(u.e, i.e) AS score, row_number()
   OVER (PARTITION BY n.probes, u.vec_id ORDER BY list_inner_product(u.e, i.e) DESC, i.vec_id) AS position
-FROM (SELECT unnest([2, 4, 8]) AS probes) n JOIN near_cells u ON u.r <= n.probes AND u.vec_id % 10 = 0
-JOIN near_cells i ON i.cell = u.cell AND i.r = 1 AND i.vec_id % 10 <> 0""")
+FROM (SELECT unnest([2, 4, 8, 13, 16]) AS probes) n JOIN near_cells u ON u.r <= n.probes AND u.vec_id % 20 = 0
+JOIN near_cells i ON i.cell = u.cell AND i.r = 1""")
 
 
 def _centers(items):
@@ -68,18 +68,59 @@ def _probed(users, items, probes):
     return R.approximate_top_k(users, items, 10, probes=probes, centers=_centers(items))
 
 
+cte("recalls", """
+SELECT probes, user_id, count(p_token) / cast(count(*) AS DOUBLE) AS recall FROM (
+  SELECT n.probes, t.user_id, p.token_id AS p_token
+  FROM (SELECT unnest([2, 4, 8, 13, 16]) AS probes) n CROSS JOIN (SELECT * FROM exact_neighbours WHERE position <= 10) t
+  LEFT JOIN probed p ON p.probes = n.probes AND p.user_id = t.user_id AND p.token_id = t.token_id AND p.position <= 10)
+GROUP BY 1, 2""")
+
+
+def _with_recall(found, truth):
+    """The answer with its measured recall beside it."""
+    recall = R.measured_recall(truth, found).select(r("recall").alias("recall"))
+    return found.crossJoin(F.broadcast(recall)).select(
+        "user_id", "token_id", "position", r("score", 5).alias("score"), "recall"
+    )
+
+
 @case("top6_approximate_neighbours", """
-SELECT user_id, token_id, position, round(score, 5) AS score FROM probed WHERE probes = 4 AND position <= 10""")
+SELECT user_id, token_id, position, round(score, 5) AS score,
+  (SELECT round(avg(recall), 6) FROM recalls WHERE probes = 13) AS recall
+FROM probed WHERE probes = 13 AND position <= 10""")
 def _(v):
-    found = _probed(*v.users_and_items(), 4)
-    return found.select("user_id", "token_id", "position", r("score", 5).alias("score"))
+    users, items = v.users_and_items()
+    found = cut(_probed(users, items, 13))
+    return _with_recall(found, cut(R.exact_top_k(users, items, 10)))
 
 
 @case("top6_fitted_cells")
 def _(v):
     users, items = v.users_and_items()
-    found = R.approximate_top_k(users, items, 10, cells=16, probes=4)
-    return found.select("user_id", "token_id", "position", r("score", 5).alias("score"))
+    found = cut(R.approximate_top_k(users, items, 10, cells=16, probes=13))
+    return _with_recall(found, cut(R.exact_top_k(users, items, 10)))
+
+
+@case("top6_stored_index", """
+SELECT probes, count(*) AS queries, round(avg(recall), 6) AS recall, round(min(recall), 6) AS worst_query_recall,
+  probes < 16 AS pruned FROM recalls WHERE probes IN (4, 13, 16) GROUP BY 1""")
+def _(v):
+    # Two thirds of the items build the index, the others are appended without a new fit.
+    users, items = v.users_and_items()
+    late = F.col("token_id") % 3 == 2
+    index = R.CellIndex(v.spark, fresh_dir(v.spark, "cells"))
+    index.build(items.filter(~late), centers=_centers(items))
+    index.append(items.filter(late))
+    truth, table = cut(R.exact_top_k(users, items, 10)), None
+    for probes in (4, 13, 16):
+        one = R.measured_recall(truth, index.top_k(users, 10, probes))
+        # One user looks into so many cells; their folders are all that is read.
+        _, read = index.probed(users.orderBy("user_id").limit(1), probes)
+        folders = read.select(F.col("_metadata.file_path").alias("f")).distinct().filter(
+            F.regexp_extract("f", "cell=([0-9]+)", 1) != "").select(F.regexp_extract("f", "cell=([0-9]+)", 1)).distinct().count()
+        one = one.withColumn("probes", F.lit(probes)).withColumn("pruned", F.lit(folders == probes and probes < 16))
+        table = one if table is None else table.unionByName(one)
+    return table.select("probes", "queries", r("recall").alias("recall"), r("worst_query_recall").alias("worst_query_recall"), "pruned")
 
 
 @case("top7_measured_recall", """
@@ -94,15 +135,12 @@ def _(v):
 
 @case("top7_recall_by_probes", """
 SELECT probes, count(*) AS queries, round(avg(recall), 6) AS recall, round(min(recall), 6) AS worst_query_recall
-FROM (SELECT n.probes, t.user_id, count(p.token_id) / cast(count(*) AS DOUBLE) AS recall
-  FROM (SELECT unnest([2, 8]) AS probes) n CROSS JOIN (SELECT * FROM exact_neighbours WHERE position <= 10) t
-  LEFT JOIN probed p ON p.probes = n.probes AND p.user_id = t.user_id AND p.token_id = t.token_id AND p.position <= 10
-  GROUP BY 1, 2) GROUP BY 1""")
+FROM recalls WHERE probes IN (2, 8, 13) GROUP BY 1""")
 def _(v):
     users, items = v.users_and_items()
     truth = cut(R.exact_top_k(users, items, 10))
     table = None
-    for probes in (2, 8):
+    for probes in (2, 8, 13):
         one = R.measured_recall(truth, _probed(users, items, probes)).withColumn("probes", F.lit(probes))
         table = one if table is None else table.unionByName(one)
     return table.select("probes", "queries", r("recall").alias("recall"), r("worst_query_recall").alias("worst_query_recall"))

@@ -189,11 +189,12 @@ class Retail:
         )
 
     def users_and_items(self) -> tuple[DataFrame, DataFrame]:
+        """Queries are the vectors whose id 20 divides; all vectors are items."""
         vectors = self.table("embeddings").select(
             F.col("vec_id"), F.col("embedding").alias("vector")
         )
-        users = vectors.filter("vec_id % 10 = 0").withColumnRenamed("vec_id", "user_id")
-        return users, vectors.filter("vec_id % 10 <> 0").withColumnRenamed("vec_id", "token_id")
+        users = vectors.filter("vec_id % 20 = 0").withColumnRenamed("vec_id", "user_id")
+        return users, vectors.withColumnRenamed("vec_id", "token_id")
 
     # -- the pipeline, shared by later queries --------------------------------
     # Each layer is written once and read back, as the plans do between tables.
