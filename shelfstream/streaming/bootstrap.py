@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 
 from shelfstream.functions.tokens import TokenRules
 from shelfstream.operators.cleaning import split_valid
-from shelfstream.streaming import sinks, state
+from shelfstream.streaming import merged, sinks, state
 from shelfstream.streaming.topics import read_topic
 
 
@@ -22,7 +22,7 @@ def bootstrap(
 ) -> dict[str, int]:
     """Run catalogue, price and stock to completion, then the interactions.
 
-    ``topics`` maps topic names to paths. Results are version tables below
+    ``topics`` maps topic names to paths. Results are merged tables (one row per key) below
     ``out``: catalog, prices, stock, tails; messages that break the topic
     rules go to ``rejected`` with their reasons. Returns what was observed.
     """
@@ -34,14 +34,15 @@ def bootstrap(
     )
     for name, topic, shape in dimensions:
         stream = shape(read_topic(spark, topic, topics[topic], fmt))
-        query = sinks.write_versions(stream, f"{out}/{name}", f"{out}/_checkpoints/{name}")
+        keys = ["sku", "location"] if name == "stock" else ["sku"]
+        query = merged.write_merged(stream, f"{out}/{name}", f"{out}/_checkpoints/{name}", keys)
         totals.update(sinks.finish(query))
-    catalog = sinks.current_rows(spark, f"{out}/catalog", ["sku"])
+    catalog = merged.current(spark, f"{out}/catalog")
     events = read_topic(spark, "interactions.v1", topics["interactions.v1"], fmt)
     events, rejected = split_valid(events)
     query = sinks.append_stream(rejected, f"{out}/rejected", f"{out}/_checkpoints/rejected")
     totals.update(sinks.finish(query))
     tails = state.user_tails(state.resolved(events, catalog, rules), tail_length)
-    query = sinks.write_versions(tails, f"{out}/tails", f"{out}/_checkpoints/tails")
+    query = merged.write_merged(tails, f"{out}/tails", f"{out}/_checkpoints/tails", ["user_id"])
     totals.update(sinks.finish(query))
     return totals

@@ -8,7 +8,7 @@ from shelfstream.plans import recommend as REC
 from shelfstream.scale import fresh_dir
 from shelfstream.sources.tables import tables_differ
 from shelfstream.streaming import bootstrap as B
-from shelfstream.streaming import live, sinks, state, topics
+from shelfstream.streaming import live, merged, sinks, state, topics
 from workload.registry import case, cte
 from workload.views import RULES, r, text_of
 
@@ -42,8 +42,8 @@ def _tails(v, n=20, ttl_ms=None):
     stream = topics.read_topic(v.spark, "interactions.v1", _replayed(v), files_per_trigger=pace)
     resolved = state.resolved(stream, v.catalogue(), RULES)
     tails = state.user_tails(resolved, n, ttl_ms)
-    sinks.finish(sinks.write_versions(tails, f"{root}/table", f"{root}/checkpoint"))
-    return sinks.current_rows(v.spark, f"{root}/table", ["user_id"])
+    sinks.finish(merged.write_merged(tails, f"{root}/table", f"{root}/checkpoint", ["user_id"], buckets=8))
+    return merged.current(v.spark, f"{root}/table")
 
 
 cte("tail_rows", """
@@ -100,8 +100,8 @@ def _stock_columns():
 def _stream_table(v, topic, path, shape, keys):
     root = fresh_dir(v.spark, "state")
     stream = shape(topics.read_topic(v.spark, topic, path, files_per_trigger=4))
-    sinks.finish(sinks.write_versions(stream, f"{root}/t", f"{root}/checkpoint"))
-    return sinks.current_rows(v.spark, f"{root}/t", keys)
+    sinks.finish(merged.write_merged(stream, f"{root}/t", f"{root}/checkpoint", keys, buckets=8))
+    return merged.current(v.spark, f"{root}/t")
 
 
 cte("last_price", """
@@ -203,11 +203,11 @@ def _(v):
         "interactions.v1": _replayed(v),
     }
     B.bootstrap(v.spark, paths, out, RULES, 20)
-    tails = sinks.current_rows(v.spark, f"{out}/tails", ["user_id"])
+    tails = merged.current(v.spark, f"{out}/tails")
     counts = [
         tails.agg(F.count("*").alias("users"), F.sum(F.size("tail")).alias("entries")),
-        sinks.current_rows(v.spark, f"{out}/prices", ["sku"]).agg(F.count("*").alias("prices")),
-        sinks.current_rows(v.spark, f"{out}/stock", ["sku", "location"]).agg(
+        merged.current(v.spark, f"{out}/prices").agg(F.count("*").alias("prices")),
+        merged.current(v.spark, f"{out}/stock").agg(
             F.count("*").alias("stock_rows")
         ),
     ]
@@ -266,13 +266,20 @@ SELECT user_id, string_agg(token, ',' ORDER BY event_ts, event_id) AS tokens FRO
     row_number() OVER (PARTITION BY user_id ORDER BY event_ts DESC, event_id DESC) AS back
   FROM interactions i JOIN token_items t ON t.sku = i.sku) WHERE back <= 20 GROUP BY 1""")
 def _(v):
-    # Half of the events meet a catalogue without some SKUs, which are added before the other half.
+    # One run of four batches. Half of the events meet a catalogue without some
+    # SKUs; these are merged into it between the second batch and the third.
     path, items, root = (fresh_dir(v.spark, name) for name in ("topic", "catalog", "live"))
-    out, checkpoint = f"{root}/tails", f"{root}/checkpoint"
-    for turn, catalogue in enumerate((v.catalogue(10), v.catalogue())):
-        catalogue.write.parquet(f"{items}/batch={turn}")
-        topics.replay(v.interactions().filter(F.col("event_id").cast("long") % 2 == turn), path, 2)
-        stream = topics.read_topic(v.spark, "interactions.v1", path)
-        sinks.finish(live.live_tails(stream, items, RULES, out, checkpoint, 20))
-    tails = sinks.current_rows(v.spark, out, ["user_id"])
+    merged.merge_batch(v.catalogue(10), items, ["sku"], 0)
+    events = v.interactions().withColumn("turn", F.col("event_id").cast("long") % 2)
+    for turn in (0, 1):
+        topics.replay(events.filter(F.col("turn") == turn).drop("turn"), path, 2)
+    stream = topics.read_topic(v.spark, "interactions.v1", path, files_per_trigger=1)
+
+    def add_items(batch, number):
+        if number == 2:
+            merged.merge_batch(v.catalogue(), items, ["sku"], 1)
+        return batch
+
+    sinks.finish(live.live_tails(stream, items, RULES, f"{root}/tails", f"{root}/checkpoint", 20, first=add_items))
+    tails = merged.current(v.spark, f"{root}/tails")
     return tails.select("user_id", text_of(F.col("tail.token")).alias("tokens"))
