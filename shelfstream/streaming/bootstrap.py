@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from shelfstream.functions.tokens import TokenRules
 from shelfstream.operators.cleaning import split_valid
+from shelfstream.scale import cut
 from shelfstream.streaming import merged, sinks, state
 from shelfstream.streaming.topics import read_topic
 
@@ -46,3 +47,20 @@ def bootstrap(
     query = merged.write_merged(tails, f"{out}/tails", f"{out}/_checkpoints/tails", ["user_id"])
     totals.update(sinks.finish(query))
     return totals
+
+
+def seeded_tails(
+    history: DataFrame, messages: DataFrame, out: str, checkpoint: str, n: int = 50, buckets: int = merged.BUCKETS, **trigger
+):
+    """Tails of a stream that starts from a table: both hold resolved messages.
+
+    The history becomes the stream's initial state and batch -1 of the merged
+    table ``out``, by one batch query; only what came since is streamed. A
+    restart goes on from the checkpoint and needs no history.
+    """
+    initial = cut(state.initial_tails(history, n))
+    if not merged.exists(history.sparkSession, out):
+        merged.merge_batch(state.tail_rows(initial), out, ["user_id"], -1, buckets)
+    return merged.write_merged(
+        state.user_tails(messages, n, initial=initial), out, checkpoint, ["user_id"], buckets=buckets, **trigger
+    )

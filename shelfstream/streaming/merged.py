@@ -31,7 +31,7 @@ def _manifests(spark: SparkSession, path: str) -> dict[int, str]:
     if not fs.exists(folder):
         return {}
     names = [s.getPath().getName() for s in fs.listStatus(folder)]
-    return {int(n[:-5]): f"{path}/_manifests/{n}" for n in names if n.endswith(".json") and n[:-5].isdigit()}
+    return {int(n[:-5]): f"{path}/_manifests/{n}" for n in names if n.endswith(".json") and n[:-5].removeprefix("-").isdigit()}
 
 
 def _load(spark: SparkSession, where: str) -> dict:
@@ -104,7 +104,8 @@ def merge_batch(
     """Put ``rows`` in the place of those with their keys; of rows with one key the last in ``order`` counts.
 
     Without ``order`` a key must occur once in a batch, as Update mode ensures.
-    Only buckets with a changed key are read and written.
+    Only buckets with a changed key are read and written. Streams number their
+    batches from 0; what was there before them is batch -1.
     """
     spark, path, keys = rows.sparkSession, path.rstrip("/"), list(keys)
     known = _latest(spark, path, number)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
@@ -14,6 +14,7 @@ from shelfstream.operators.sessions import last_per_key
 
 EVENT = "user_id string, event_us long, event_id string, sku string, token string, action string, session_id string"
 ENTRY = "event_us long, event_id string, sku string, token string, action string, session_id string"
+FIELDS = [f.split()[0] for f in ENTRY.split(", ")]
 TAIL = (
     "user_id string, tail array<struct<sku:string,token:string,action:string,"
     "event_ts:long,session_id:string>>"
@@ -64,6 +65,13 @@ class Tails(StatefulProcessor):
         self.entries.put(newest)
         yield self._row(key[0], newest)
 
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        # Structs inside an array arrive as dicts.
+        entries = [tuple(e[f] for f in FIELDS) for e in initialState.entries]
+        self.entries.put(sorted(entries)[-self.n :])
+        if self.ttl_ms and entries:
+            self.handle.registerTimer(max(entries)[0] // 1000 + self.ttl_ms)
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         self.entries.clear()
         yield self._row(key[0], [])
@@ -91,8 +99,46 @@ def _newest_of_batch(n: int):
     return run
 
 
+def _entries(events: DataFrame) -> DataFrame:
+    return events.where("user_id is not null and event_ts is not null").select(
+        "user_id",
+        F.unix_micros(F.col("event_ts").cast("timestamp")).alias("event_us"),
+        "event_id",
+        "sku",
+        "token",
+        F.col("event_type").alias("action"),
+        F.coalesce("session_id", F.lit("")).alias("session_id"),
+    )
+
+
+def initial_tails(history: DataFrame, n: int = 50) -> DataFrame:
+    """(user_id, entries): the tails of a table of resolved messages, for a stream to start from.
+
+    One window, which Spark cuts to ``n`` rows per user before the shuffle; no
+    message is replayed.
+    """
+    order = Window.partitionBy("user_id").orderBy(F.desc("event_us"), F.desc("event_id"))
+    newest = _entries(history).dropDuplicates(["user_id", "event_us", "event_id"]).withColumn(
+        "_n", F.row_number().over(order)
+    ).where(F.col("_n") <= n)
+    return newest.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct(*FIELDS))).alias("entries"))
+
+
+def tail_rows(initial: DataFrame) -> DataFrame:
+    """:func:`initial_tails` in the shape in which the stream writes tails."""
+    tail = F.transform("entries", lambda e: F.struct(
+        e["sku"].alias("sku"), e["token"].alias("token"), e["action"].alias("action"),
+        F.floor(e["event_us"] / 1_000_000).alias("event_ts"), e["session_id"].alias("session_id"),
+    ))
+    return initial.select("user_id", tail.alias("tail"))
+
+
 def user_tails(
-    events: DataFrame, n: int = 50, ttl_ms: int | None = None, lateness: str = "1 day"
+    events: DataFrame,
+    n: int = 50,
+    ttl_ms: int | None = None,
+    lateness: str = "1 day",
+    initial: DataFrame | None = None,
 ) -> DataFrame:
     """Stream of changed tails from resolved messages.
 
@@ -101,24 +147,19 @@ def user_tails(
     tail is in event order, whatever the arrival order. Expiry follows event
     time: the watermark has to pass the last event by ``ttl_ms``. Rows without
     a user or a readable time have no place in a tail and are left out; the
-    bootstrap sends them to its dead letter table.
+    bootstrap sends them to its dead letter table. A first run may start from
+    ``initial`` (see :func:`initial_tails`) instead of a replay; tails of users
+    without a new message are not emitted again.
     """
-    shaped = events.where("user_id is not null and event_ts is not null").select(
-        "user_id",
-        F.unix_micros(F.col("event_ts").cast("timestamp")).alias("event_us"),
-        "event_id",
-        "sku",
-        "token",
-        F.col("event_type").alias("action"),
-        F.coalesce("session_id", F.lit("")).alias("session_id"),
-    ).mapInPandas(_newest_of_batch(n), EVENT)
+    shaped = _entries(events).mapInPandas(_newest_of_batch(n), EVENT)
     mode = "None"
     if ttl_ms:
         shaped = shaped.withColumn(
             "event_ts", F.timestamp_micros("event_us")
         ).withWatermark("event_ts", lateness)
         mode = "EventTime"
-    return shaped.groupBy("user_id").transformWithState(Tails(n, ttl_ms), TAIL, "Update", mode)
+    start = None if initial is None else initial.groupBy("user_id")
+    return shaped.groupBy("user_id").transformWithState(Tails(n, ttl_ms), TAIL, "Update", mode, start)
 
 
 def latest(changes: DataFrame, keys: list[str]) -> DataFrame:

@@ -259,6 +259,23 @@ def _(v):
     ).drop("_k")
 
 
+@case("str9_initial_state", """
+SELECT user_id, string_agg(token, ',' ORDER BY event_ts_unix, event_id) AS tokens,
+  max(event_ts_unix) AS newest FROM tail_rows GROUP BY 1""")
+def _(v):
+    # Four fifths of the time are a table, only the rest is streamed; together they equal the full replay.
+    rows, root = v.interactions(), fresh_dir(v.spark, "seeded")
+    low, high = rows.agg(F.min("event_ts_unix"), F.max("event_ts_unix")).first()
+    old = F.col("event_ts_unix") < low + (high - low) * 4 // 5
+    history = state.resolved(rows.filter(old), v.catalogue(), RULES)
+    stream = topics.read_topic(v.spark, "interactions.v1", _replayed(v, rows.filter(~old)), files_per_trigger=2)
+    messages = state.resolved(stream, v.catalogue(), RULES)
+    sinks.finish(B.seeded_tails(history, messages, f"{root}/tails", f"{root}/checkpoint", 20, buckets=8))
+    return merged.current(v.spark, f"{root}/tails").select(
+        "user_id", text_of(F.col("tail.token")).alias("tokens"), F.array_max("tail.event_ts").alias("newest")
+    )
+
+
 @case("jn11_live_catalogue", """
 SELECT user_id, string_agg(token, ',' ORDER BY event_ts, event_id) AS tokens FROM (
   SELECT i.user_id, i.event_id, event_ts, CASE WHEN cast(i.event_id AS BIGINT) % 2 = 0
