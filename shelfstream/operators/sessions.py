@@ -53,6 +53,26 @@ def sessionise(events: DataFrame, gap_seconds: int = 1800) -> DataFrame:
     )
 
 
+def session_table(events: DataFrame, gap_seconds: int = 1800, lateness: str | None = None) -> DataFrame:
+    """(user_id, started, ended, events) per session; an event exactly at the gap still belongs to it.
+
+    The same on a table and on a stream. On a stream ``lateness`` sets the
+    watermark on event_ts: a session is emitted once the watermark has passed
+    its last event by the gap, and later rows of that session are dropped.
+    Rows are merged into sessions before the shuffle as well as after it, so a
+    busy user sends few.
+    """
+    if lateness is not None:
+        events = events.withWatermark("event_ts", lateness)
+    window = F.session_window("event_ts", f"{gap_seconds} seconds")
+    return events.groupBy("user_id", window.alias("w")).agg(F.count("*").alias("events")).select(
+        "user_id",
+        F.col("w.start").alias("started"),
+        (F.col("w.end") - F.expr(f"INTERVAL {gap_seconds} SECONDS")).alias("ended"),
+        "events",
+    )
+
+
 def last_per_key(changes: DataFrame, keys: list[str], order: str = "change_ts") -> DataFrame:
     """Newest row per key, as one map-side combined aggregate."""
     rest = [c for c in changes.columns if c not in keys]

@@ -79,6 +79,28 @@ def test_gap_exactly_at_the_limit_stays_in_the_session(spark):
     assert got == {"a": "u#1", "b": "u#1", "c": "u#2"}
 
 
+def test_session_table_of_a_stream_equals_the_batch(spark, tmp_path):
+    rows = [("a", 0.0), ("a", 1800.0), ("a", 3600.000001), ("b", 5.0), ("a", 9000.0), ("b", 9000.0), (None, 7.0)]
+    def frame(part):
+        return spark.createDataFrame(part, "user_id string, s double").select("user_id", F.timestamp_micros((F.col("s") * 1e6).cast("long")).alias("event_ts"))
+    whole = frame(rows)
+    # The event exactly at the gap stays, one a microsecond later does not.
+    expected = {("a", 0, 1800, 2), ("a", 3600, 3600, 1), ("b", 5, 5, 1), ("a", 9000, 9000, 1), ("b", 9000, 9000, 1), (None, 7, 7, 1)}
+
+    def found(table):
+        return {(r.user_id, int(r.started.timestamp()), int(r.ended.timestamp()), r.events) for r in table.collect()}
+
+    assert found(SE.session_table(whole)) == expected
+    for part in (rows[:4], rows[4:], [("beat", 1e6)]):
+        frame(part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(whole.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    sessions = SE.session_table(stream, lateness="2 hours")
+    query = sessions.writeStream.format("parquet").option("path", str(tmp_path / "out")).option(
+        "checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert found(spark.read.schema(sessions.schema).parquet(str(tmp_path / "out"))) == expected
+
+
 def test_global_row_number(spark):
     df = skewed(spark, 900).select("event_id", "event_ts_unix")
     order = [F.desc("event_ts_unix"), F.asc("event_id")]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from shelfstream.operators import sessions as SE
 from shelfstream.plans import recommend as REC
 from shelfstream.scale import fresh_dir
 from shelfstream.sources.tables import tables_differ
@@ -276,6 +277,32 @@ def _(v):
     )
 
 
+cte("session_rows", """
+SELECT user_id, event_ts_unix, event_ts, sum(s) OVER (PARTITION BY user_id ORDER BY event_ts, event_id
+  ROWS UNBOUNDED PRECEDING) AS session FROM (SELECT *, CASE WHEN event_ts - lag(event_ts) OVER
+  (PARTITION BY user_id ORDER BY event_ts, event_id) <= INTERVAL 12 HOUR THEN 0 ELSE 1 END AS s FROM interactions)""")
+
+
+@case("win3_sessions_on_a_stream", """
+SELECT user_id, min(event_ts_unix) AS started, max(event_ts_unix) AS ended, count(*) AS events
+FROM session_rows GROUP BY user_id, session""")
+def _(v):
+    # The events arrive in four batches; a heartbeat a day later closes the last sessions.
+    rows, root = v.interactions().select("user_id", "event_ts"), fresh_dir(v.spark, "sessions")
+    low, high = v.interactions().agg(F.min("event_ts_unix"), F.max("event_ts_unix")).first()
+    part = F.least(F.floor((F.unix_timestamp("event_ts") - low) * 4 / max(1, high - low)), F.lit(3))
+    for k in range(4):
+        rows.filter(part == k).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    beat = v.spark.range(1).select(F.lit("").alias("user_id"), F.timestamp_seconds(F.lit(high + 2 * 86400)).alias("event_ts"))
+    beat.coalesce(1).write.mode("append").parquet(f"{root}/in")
+    stream = v.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    sessions = SE.session_table(stream, 43200, "1 hour")
+    sinks.finish(sinks.append_stream(sessions, f"{root}/out", f"{root}/checkpoint"))
+    return v.spark.read.schema(sessions.schema).parquet(f"{root}/out").select(
+        "user_id", F.unix_timestamp("started").alias("started"), F.unix_timestamp("ended").alias("ended"), "events"
+    )
+
+
 @case("jn11_live_catalogue", """
 SELECT user_id, string_agg(token, ',' ORDER BY event_ts, event_id) AS tokens FROM (
   SELECT i.user_id, i.event_id, event_ts, CASE WHEN cast(i.event_id AS BIGINT) % 2 = 0
