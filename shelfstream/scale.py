@@ -161,6 +161,30 @@ def global_row_number(df: DataFrame, order: Sequence[Column], out: str) -> DataF
     )
 
 
+# Bits of a value's key that one counting pass settles.
+DIGIT = 16
+# Rows of a bin that are looked at one by one instead of counted once more.
+FEW = 1_000
+
+
+def _order_keys(batches):
+    """(group, double) to (group, long): keys that sort as the values do, with one key for both zeros."""
+    import numpy as np
+    import pyarrow as pa
+
+    for batch in batches:
+        values = batch.column(1).to_numpy(zero_copy_only=False) + 0.0
+        bits = values.view(np.int64)
+        keys = np.where(bits < 0, bits ^ np.int64(0x7FFF_FFFF_FFFF_FFFF), bits)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys)], ["_g", "_k"])
+
+
+def _value_of(key: int) -> float:
+    import struct
+
+    return struct.unpack("<d", struct.pack("<q", key if key >= 0 else key ^ 0x7FFF_FFFF_FFFF_FFFF))[0]
+
+
 def order_statistics(
     df: DataFrame,
     column: str,
@@ -169,32 +193,73 @@ def order_statistics(
 ) -> dict:
     """Exact values at 0-based ranks of ``column``; ``ranks`` maps a group's row count to them.
 
-    ``F.percentile`` keeps every distinct value of a group in one task. Here
-    all values are numbered once in (group, value) order and the wanted
-    positions are looked up. Rows get a number as last sort key, so a value
-    that many rows share is no obstacle either. What reaches the driver is a
-    row per group and per wanted rank, of every group. Null and NaN are left
-    out, infinities are values. Returns ``{group: (n, {rank: value})}``; the
-    group is ``None`` without ``by``.
+    ``F.percentile`` keeps every distinct value of a group in one task, and a
+    sort moves every row. Here values are stored once as 64-bit keys of the
+    same order, and each pass counts the next 16 bits of those rows that share
+    a wanted rank's bits so far: four passes at most, fewer where a bin gets
+    small, whatever the values are. Counts combine before the shuffle, so
+    neither a hot group nor a value that many rows share gathers anywhere. What
+    reaches the driver is a row per group and wanted rank, and at the end
+    FEW rows for each. Null and NaN are left out, infinities are values.
+    Returns ``{group: (n, {rank: value})}``; the group is ``None`` without ``by``.
     """
+    spark = df.sparkSession
     data = cut(
         df.select(
-            (F.col(by).cast("string") if by else F.lit("")).alias("_g"),
-            F.col(column).cast("double").alias("_v"),
-            F.monotonically_increasing_id().alias("_tie"),
-        ).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
+            (F.col(by).cast("string") if by else F.lit("")).alias("_g"), F.col(column).cast("double").alias("_v")
+        ).filter(F.col("_v").isNotNull() & ~F.isnan("_v")).mapInArrow(_order_keys, "_g string, _k long")
     )
-    numbered = global_row_number(data, [F.col(c) for c in ("_g", "_v", "_tie")], "_n")
-    heads = numbered.groupBy("_g").agg(F.count("*").alias("n"), F.min("_n").alias("first")).collect()
-    wanted = [(h["first"] + rank, h["_g"], rank) for h in heads for rank in set(ranks(h["n"]))]
-    found: dict = {h["_g"]: (h["n"], {}) for h in heads}
-    if wanted:
-        places = df.sparkSession.createDataFrame(wanted, "_n long, _group string, _rank long")
-        for row in numbered.join(places, "_n").select("_group", "_rank", "_v").collect():
-            found[row["_group"]][1][row["_rank"]] = row["_v"]
+    found: dict = {}
+    # (group, rank): the bits known so far, the rank among rows with these bits, and the number of these.
+    wanted: dict[tuple, tuple[int, int, int]] = {}
+    for r in data.groupBy("_g").agg(F.count("*").alias("n")).collect():
+        found[r["_g"]] = (r["n"], {})
+        wanted.update({(r["_g"], rank): (0, rank, r["n"]) for rank in set(ranks(r["n"]))})
+    settled = 0
+    while wanted and settled < 64 and any(n > FEW for _, _, n in wanted.values()):
+        bins = _bins(data, wanted, settled)
+        rows = spark.createDataFrame(
+            [(g, rank, bits, rest) for (g, rank), (bits, rest, _) in wanted.items()],
+            "_w string, _rank long, _b long, _rest long",
+        )
+        same = bins["_g"].eqNullSafe(rows["_w"]) & (bins["_bits"] == rows["_b"])
+        inside = (F.col("_rest") >= F.col("_before")) & (F.col("_rest") < F.col("_before") + F.col("_n"))
+        hits = rows.join(bins, same & inside).select("_w", "_rank", "_next", "_n", (F.col("_rest") - F.col("_before")).alias("_rest"))
+        wanted = {(h["_w"], h["_rank"]): (h["_next"], h["_rest"], h["_n"]) for h in hits.collect()}
+        settled += DIGIT
+    values: dict[tuple, list[tuple[int, int]]] = {}
+    if wanted and settled < 64:
+        for r in _matching(data, wanted, settled).groupBy("_g", "_bits", "_k").count().orderBy("_k").collect():
+            values.setdefault((r["_g"], r["_bits"]), []).append((r["_k"], r["count"]))
+    for (group, rank), (bits, rest, _) in wanted.items():
+        key = bits
+        for key, n in values.get((group, bits), []):
+            if rest < n:
+                break
+            rest -= n
+        found[group][1][rank] = _value_of(key)
     return {(group if by else None): value for group, value in found.items()}
 
 
+def _matching(data: DataFrame, wanted: dict, settled: int) -> DataFrame:
+    """Rows whose first ``settled`` bits a wanted rank shares, with these bits."""
+    if not settled:
+        return data.withColumn("_bits", F.lit(0).cast("long"))
+    pairs = sorted({(g, bits) for (g, _), (bits, _, _) in wanted.items()}, key=str)
+    chosen = data.sparkSession.createDataFrame(pairs, "_h string, _bits long")
+    own = F.shiftright(data["_k"], 64 - settled) == chosen["_bits"]
+    return data.join(chosen, data["_g"].eqNullSafe(chosen["_h"]) & own).select("_g", "_k", "_bits")
+
+
+def _bins(data: DataFrame, wanted: dict, settled: int) -> DataFrame:
+    """(_g, _bits, _next, _n, _before): rows per value of the next digit, and those in the bins below it."""
+    digit = F.shiftright("_k", 64 - settled - DIGIT)
+    counts = _matching(data, wanted, settled).groupBy("_g", "_bits", digit.alias("_next")).agg(F.count("*").alias("_n"))
+    # At most 65,536 bins for each group and prefix, whatever the number of rows.
+    below = Window.partitionBy("_g", "_bits").orderBy("_next").rowsBetween(Window.unboundedPreceding, -1)
+    return counts.withColumn("_before", F.coalesce(F.sum("_n").over(below), F.lit(0)))
+
+
 def exact_quantiles(
     df: DataFrame, column: str, probabilities: Sequence[float], by: str | None = None
 ) -> dict:

@@ -1,6 +1,7 @@
 """Helpers that must be exact on skewed data."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from shelfstream import scale as SC
@@ -101,6 +102,41 @@ def test_session_table_of_a_stream_equals_the_batch(spark, tmp_path):
     assert found(spark.read.schema(sessions.schema).parquet(str(tmp_path / "out"))) == expected
 
 
+@pytest.mark.parametrize("few", [1_000, 0])
+def test_order_statistics_by_counting(spark, monkeypatch, few):
+    monkeypatch.setattr(SC, "FEW", few)
+    rng = np.random.default_rng(2)
+    groups = {
+        "normal": rng.normal(size=3000) * 10.0 ** rng.integers(-200, 200, 3000),
+        "ties": np.where(rng.random(3000) < 0.6, 1.5, rng.normal(size=3000)),  # most rows are one value
+        "close": 1.0 + np.arange(2000) * 2.0**-52,  # neighbours in the last bit
+        "odd": np.array([np.inf, -np.inf, -0.0, 0.0, 5e-324, -5e-324, 1e308]),
+        "one": np.array([-7.25]),
+    }
+    rows = [(g, float(x)) for g, xs in groups.items() for x in xs] + [(None, 3.0), (None, 1.0), ("odd", None), ("odd", float("nan"))]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(3)
+    got = SC.order_statistics(df, "v", lambda n: range(0, n, max(1, n // 7)), "g")
+    assert set(got) == {*groups, None} and got[None] == (2, {0: 1.0, 1: 3.0})
+    for g, xs in groups.items():
+        n, found = got[g]
+        assert n == len(xs) and found == {k: float(np.sort(xs)[k]) for k in range(0, n, max(1, n // 7))}
+    assert SC.order_statistics(df.filter("false"), "v", lambda n: [0]) == {}
+
+
+def test_ranks_are_found_without_a_range_exchange(spark, monkeypatch):
+    plans, whole = [], SC._bins
+
+    def seen(*args):
+        out = whole(*args)
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(SC, "_bins", seen)
+    df = spark.range(20_000).select((F.col("id") % 7).cast("double").alias("v"))
+    assert SC.exact_quantiles(df, "v", [0.5]) == {None: [3.0]}
+    assert plans and not any("rangepartitioning" in p for p in plans)
+
+
 def test_global_row_number(spark):
     df = skewed(spark, 900).select("event_id", "event_ts_unix")
     order = [F.desc("event_ts_unix"), F.asc("event_id")]
