@@ -353,6 +353,32 @@ def test_raw_erasure_touches_one_file_in_its_folder(spark, tmp_path):
     assert left and all(lines == ["user_id,price"] for lines in left)
 
 
+def test_a_thousand_subjects_in_one_scan_equal_single_runs(spark, tmp_path):
+    w = Warehouse(spark, str(tmp_path / "w"))
+    rows = spark.range(3000).select(
+        F.concat(F.lit("user-"), F.col("id") % 700, F.lit("-x")).alias("user_id"),
+        F.array(F.struct(F.concat(F.lit("to user-"), F.col("id") % 11, F.lit("-x")).alias("note"))).alias("notes"),
+        F.create_map(F.concat(F.lit("k"), "id"), F.when(F.col("id") % 3 == 0, "user-5-x")).alias("tags"),
+        (F.col("id") % 2).alias("n"),
+    )
+    rows.repartition(4).write.parquet(w.location("bronze.rows"))
+    rows.filter("user_id < 'user-2'").coalesce(1).write.partitionBy("user_id").parquet(w.location("silver.by_user"))
+    (tmp_path / "w" / "online" / "log").mkdir(parents=True)
+    (tmp_path / "w" / "online" / "log" / "a.jsonl").write_text('{"u": "user-5-x user-5-x"}\n{"u": "user-6-x"}\n')
+    raw = tmp_path / "raw"
+    raw.mkdir()
+    (raw / "r.csv").write_text("user_id\nuser-5-x\nuser-50-x\n")
+    subjects = {f"user-{i}-x": G.subject_identifiers(f"user-{i}-x", KEY) for i in range(1000)}
+    found = {(r.subject, r["where"]): r.matches for r in G.verify_subjects(w, subjects, [str(raw)]).collect()}
+    assert {k[1] for k in found} == {"bronze.rows", "silver.by_user", "online.log", str(raw)}
+    assert found["user-5-x", "online.log"] == 1 and found["user-5-x", str(raw)] == 1
+    assert not any(s == "user-999-x" for s, _ in found)
+    for subject in ("user-5-x", "user-10-x", "user-300-x"):
+        single = {r["where"]: r.matches for r in G.verify_erased(w, subjects[subject], [str(raw)], ("bronze", "silver")).collect() if r.matches}
+        assert single == {k[1]: n for k, n in found.items() if k[0] == subject and k[1] != "online.log"}
+    assert G.verify_subjects(w, {}).count() == 0
+
+
 def test_scrub_leaves_no_identifier(spark):
     df = spark.createDataFrame(
         [("u1", ["o1", "o2"], "a@b.c", 3)], "user_id string, order_ids array<string>, contact string, n int"

@@ -238,6 +238,23 @@ def _(v):
     return G.verify_erased(_warehouse(v), ["42"])
 
 
+@case("prv8_many_subjects", """
+SELECT u.user_id AS subject, w AS "where", count(*) AS matches
+FROM (SELECT DISTINCT user_id FROM interactions) u, (SELECT unnest(['bronze.interactions', 'online.notes']) AS w), interactions i
+WHERE CASE WHEN w = 'bronze.interactions' THEN
+  contains(i.event_id, u.user_id) OR contains(i.user_id, u.user_id) OR contains(i.session_id, u.user_id) OR
+  contains(i.sku, u.user_id) OR contains(i.event_type, u.user_id) OR coalesce(contains(i.consent, u.user_id), false) OR
+  contains('/event_date=' || strftime(i.event_date, '%Y-%m-%d'), u.user_id)
+  ELSE contains(i.session_id || ' ' || i.sku, u.user_id) END GROUP BY ALL""")
+def _(v):
+    # Every user in one scan per file set; the notes are text files, packed.
+    w = _warehouse(v)
+    notes = v.interactions().select(F.concat_ws(" ", "session_id", "sku").alias("value"))
+    notes.write.option("compression", "gzip").text(w.location("online.notes"))
+    users = [x["user_id"] for x in v.interactions().select("user_id").distinct().collect()]
+    return G.verify_subjects(w, {u: [u] for u in users})
+
+
 cte("per_store", f"""
 SELECT s, CASE WHEN s LIKE 'gold%' OR s LIKE 'online%' THEN least(count(*), 1) ELSE count(*) END AS m
 FROM interactions, (SELECT unnest(['raw', 'bronze.interactions', 'silver.interactions', 'gold.sequences_sku',
