@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfstream.operators import alerts as A
+from shelfstream.operators import monitoring as M
 from shelfstream.streaming import sinks
 from shelfstream.streaming.alerting import alert_stream
 
@@ -116,3 +117,21 @@ def test_stream_equals_brute_force_with_late_rows_and_silence(spark, tmp_path):
 def test_every_rule_waits():
     assert all(r.wait > 0 and r.severity in ("page", "ticket") for r in A.RULES)
     assert len({r.name for r in A.RULES}) == len(A.RULES)
+
+
+def test_sketches_unite_without_counting_twice(spark):
+    log = spark.range(60_000).select(
+        F.timestamp_seconds(F.floor(F.col("id") / 6000) * 86400).alias("served_ts"),
+        # 20,000 users, each seen on three days; a third of all rows are one user's.
+        F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id") % 20_000).alias("user_id"),
+    )
+    days = M.distinct_sketches(log, "user_id")
+    exact = log.agg(F.count_distinct("user_id")).first()[0]
+    assert days.count() == 10
+    one = M.distinct_over(days, 864_000).first()
+    assert one.rows == 60_000 and abs(one.distinct - exact) <= 5 * 1.04 / 2**6 * exact
+    per_day = M.distinct_over(days, 86_400).agg(F.sum("distinct")).first()[0]
+    assert per_day > 1.3 * one.distinct
+    assert M.distinct_sketches(log.filter("false"), "user_id").count() == 0
+    nulls = log.withColumn("user_id", F.lit(None).cast("long"))
+    assert M.distinct_over(M.distinct_sketches(nulls, "user_id"), 864_000).first().distinct == 0

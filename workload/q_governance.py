@@ -466,6 +466,21 @@ def _(v):
     return M.version_skew(v.request_log())
 
 
+@case("mon8_distinct_users_by_sketch", """
+SELECT at_s // 604800 * 604800 AS start_unix, served_from, count(*) AS rows, count(DISTINCT user_id) AS exact,
+  true AS within FROM request_log GROUP BY 1, 2""")
+def _(v):
+    # Sketches per day, united per week; the estimate lies within five standard errors of the exact count.
+    by, log = ["served_from"], v.request_log()
+    weeks = M.distinct_over(cut(M.distinct_sketches(log, "user_id", by=by)), 604800, by)
+    start = F.floor(F.unix_timestamp("served_ts") / 604800) * 604800
+    exact = log.groupBy(start.alias("start_unix"), *by).agg(F.count_distinct("user_id").alias("exact"))
+    error = 5 * 1.04 / 2 ** (M.SKETCH_BITS / 2)
+    return weeks.join(exact, ["start_unix", *by]).select(
+        "start_unix", "served_from", "rows", "exact", (F.abs(F.col("distinct") - F.col("exact")) <= error * F.col("exact") + 1).alias("within")
+    )
+
+
 @case("mon8_silent_windows", """
 SELECT s * 60 AS start_unix FROM range((SELECT min(at_s) // 60 FROM request_log),
   (SELECT max(at_s) // 60 FROM request_log)) t(s) WHERE s NOT IN (SELECT at_s // 60 FROM request_log)""")
