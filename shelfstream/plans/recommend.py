@@ -47,17 +47,19 @@ def tail_histories(tails: DataFrame, vocab: DataFrame) -> DataFrame:
 def candidates(
     ranked: DataFrame, vocab: DataFrame, units: DataFrame, rank_k: int
 ) -> DataFrame:
-    """Ranked lists (user_id, ranked, scores by token) to policy candidates."""
-    shown = ranked.filter(F.col("rank") <= rank_k)
-    return (
-        shown.join(vocab.select("token_id", "token", "category"), "token_id")
-        .join(units, "token", "left")
+    """Ranked lists (user_id, token_id, rank, model_score) to policy candidates.
+
+    Tokens meet their units before they meet the candidates: a row per token, then one join per candidate.
+    """
+    tokens = (
+        vocab.select("token_id", "token", "category").join(units, "token", "left")
         .withColumn("product_id", F.coalesce("product_id", "token"))
         .withColumn(
             "units",
             F.coalesce("units", F.array(F.struct(F.col("token").alias("sku"), *_no_state())).cast(P.UNIT)),
         )
     )
+    return ranked.filter(F.col("rank") <= rank_k).join(tokens, "token_id")
 
 
 def _no_state() -> list[Column]:
@@ -82,7 +84,10 @@ def popular_candidates(
     """
     top = L.most_popular(scores, retrieval_k + max_history).collect()
     ranking = [r["token_id"] for r in top]
-    value = F.create_map(*[x for r in top for x in (F.lit(r["token_id"]), F.lit(r["score"]))])
+    # A short list of known size, hashed once instead of searched for every candidate.
+    values = histories.sparkSession.createDataFrame(
+        [(r["token_id"], float(r["score"])) for r in top], "token_id int, model_score double"
+    )
     seen = F.col("input_tokens")
     if "hide_seen" in histories.columns:
         seen = F.when(F.col("hide_seen"), seen).otherwise(F.array().cast("array<int>"))
@@ -90,9 +95,7 @@ def popular_candidates(
     return rows.select(
         *[c for c in rows.columns if c not in ("input_tokens", "ranked")],
         F.posexplode("ranked").alias("_p", "token_id"),
-    ).select("*", (F.col("_p") + 1).alias("rank"), value[F.col("token_id")].alias("model_score")).drop(
-        "_p"
-    )
+    ).withColumn("rank", F.col("_p") + 1).drop("_p").join(values, "token_id")
 
 
 def recommend(

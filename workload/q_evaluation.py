@@ -413,38 +413,44 @@ def _(v):
 
 
 SHARES = (1.0, 0.5, 0.25)
-_KEEP = SQL_HASH.format("'4|' || user_id")
+SEEDS = (4, 5, 6)
+_KEEP = SQL_HASH.format("seed || '|' || user_id")
 cte("kept_users", f"""
-SELECT share, user_id FROM (SELECT share, user_id, n, row_number() OVER (PARTITION BY share
-  ORDER BY h, user_id) AS rn FROM (SELECT user_id, {_KEEP} AS h FROM h_train GROUP BY 1),
+SELECT share, seed, user_id FROM (SELECT share, seed, user_id, n, row_number() OVER (PARTITION BY share, seed
+  ORDER BY h, user_id) AS rn FROM (SELECT seed, user_id, {_KEEP} AS h FROM h_train, (SELECT unnest({list(SEEDS)}) AS seed)
+    GROUP BY 1, 2),
   (SELECT unnest([cast(1 AS DOUBLE), 0.5, 0.25]) AS share), (SELECT count(DISTINCT user_id) AS n FROM h_train))
 WHERE rn <= greatest(1, round_even(n * share, 0))""")
 
 
 @case("ev15_consent_cost", f"""
-SELECT rate, round(m, 6) AS mean, round(m / max(CASE WHEN rate = 1 THEN m END) OVER (), 6) AS relative FROM (
-  SELECT share AS rate, avg(hits / cast(least(m, 10) AS DOUBLE)) AS m FROM (
-    SELECT s.share, n.user_id, n.m, count(t.token_id) AS hits FROM n_targets n
-    CROSS JOIN (SELECT DISTINCT share FROM kept_users) s
-    LEFT JOIN (SELECT share, user_id, token_id, row_number() OVER (PARTITION BY share, user_id
+SELECT rate, round(avg(m), 6) AS mean, round(coalesce(stddev_samp(m), 0), 6) AS std,
+  round(avg(m) / max(CASE WHEN rate = 1 THEN avg(m) END) OVER (), 6) AS relative FROM (
+  SELECT share AS rate, seed, avg(hits / cast(least(m, 10) AS DOUBLE)) AS m FROM (
+    SELECT s.share, s.seed, n.user_id, n.m, count(t.token_id) AS hits FROM n_targets n
+    CROSS JOIN (SELECT DISTINCT share, seed FROM kept_users) s
+    LEFT JOIN (SELECT share, seed, user_id, token_id, row_number() OVER (PARTITION BY share, seed, user_id
         ORDER BY score DESC, token_id) AS position FROM (SELECT DISTINCT user_id FROM h_test),
-        (SELECT share, token_id, count(*) AS score FROM kept_users k JOIN h_train h
-          ON h.user_id = k.user_id GROUP BY 1, 2)
+        (SELECT share, seed, token_id, count(*) AS score FROM kept_users k JOIN h_train h
+          ON h.user_id = k.user_id GROUP BY 1, 2, 3)
         WHERE (user_id, token_id) NOT IN (SELECT (user_id, token_id) FROM h_test)) l
-      ON l.user_id = n.user_id AND l.share = s.share AND position <= 10
+      ON l.user_id = n.user_id AND l.share = s.share AND l.seed = s.seed AND position <= 10
     LEFT JOIN t_test t ON t.user_id = l.user_id AND t.token_id = l.token_id
-    GROUP BY 1, 2, 3) GROUP BY 1)""")
+    GROUP BY 1, 2, 3, 4) GROUP BY 1, 2) GROUP BY 1""")
 def _(v):
-    train, test = v.split("train"), v.split("test")
-    points = None
+    # Everyone stays at rate 1 whatever the seed, so that run counts for each of them.
+    train, test, points = v.split("train"), v.split("test"), None
     for share in SHARES:
-        scores = L.popularity(E.keep_users(train, share, seed=4))
-        rows = E.with_metrics(L.popular_lists(test, scores, 10, MAX_LEN), [10])
-        one = rows.agg(
-            F.lit(share).alias("rate"), F.lit(4).alias("seed"), F.avg("recall_10").alias("value")
-        )
-        points = one if points is None else points.unionByName(one)
-    return E.consent_cost(points).select("rate", r("mean").alias("mean"), r("relative").alias("relative"))
+        for seed in SEEDS if share < 1 else SEEDS[:1]:
+            scores = L.popularity(E.keep_users(train, share, seed=seed))
+            rows = E.with_metrics(L.popular_lists(test, scores, 10, MAX_LEN), [10])
+            one = rows.agg(F.avg("recall_10").alias("value")).select(
+                F.lit(share).alias("rate"), F.explode(F.lit(list(SEEDS if share == 1 else [seed]))).alias("seed"), "value"
+            )
+            points = one if points is None else points.unionByName(one)
+    return E.consent_cost(points).select(
+        "rate", r("mean").alias("mean"), r("std").alias("std"), r("relative").alias("relative")
+    )
 
 
 @case("ev15_least_active_leave_last", """
