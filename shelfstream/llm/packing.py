@@ -176,7 +176,8 @@ class Packer:
         if whole < len(ids):
             self.wait((doc_id, whole, ids[whole:].copy(), len(ids)))
         if self.pieces >= self.held:
-            while self.pieces > self.held // 2:
+            # Less than a window could not be filled; it waits.
+            while self.pieces > self.held // 2 and self.tokens >= self.capacity:
                 yield from self.window()
 
     def wait(self, piece: tuple) -> None:
