@@ -391,25 +391,61 @@ def _(v):
     )
 
 
+cte("gate_bias", """
+SELECT kind, head, avg(CASE kind WHEN 'raw' THEN p ELSE p / ratio END) / avg(label) AS ratio FROM (
+  SELECT head, label, p, avg(p) OVER (PARTITION BY head) / avg(label) OVER (PARTITION BY head) AS ratio
+  FROM (SELECT head, label, score / (SELECT max(score) FROM pop) AS p FROM slate_heads WHERE head <> 'any')),
+  (SELECT unnest(['raw', 'scaled']) AS kind) GROUP BY 1, 2""")
+cte("gate_pairs", """
+SELECT 1 / cast(a.rank AS DOUBLE) AS recency, 1 / cast(b.rank AS DOUBLE) AS popularity FROM signal_ranks a
+JOIN signal_ranks b ON b.user_id = a.user_id WHERE a.signal = 'recency' AND b.signal = 'popularity'""")
+cte("gate_order", """
+SELECT ranker, avg(x) AS a, avg(y) AS b, avg(x - y) - 1.96e0 * stddev_samp(x - y) / sqrt(cast(count(*) AS DOUBLE)) AS lo,
+  avg(x - y) + 1.96e0 * stddev_samp(x - y) / sqrt(cast(count(*) AS DOUBLE)) AS hi FROM (
+  SELECT 'recency' AS ranker, recency AS x, popularity AS y FROM gate_pairs UNION ALL
+  SELECT 'popularity', popularity, recency FROM gate_pairs UNION ALL
+  SELECT 'worse', recency / 2, recency FROM gate_pairs) GROUP BY 1""")
+
+
 @case("ev14_release_gate", """
-SELECT round(a.mrr, 6) AS ranker_mrr, round(b.mrr, 6) AS retrieval_mrr, round(a.mrr / b.mrr, 4)
-  AS relative_mrr, a.mrr / b.mrr >= 1 AS ordering_passed, false AS calibration_passed, false AS passed
-FROM (SELECT avg(1 / cast(rank AS DOUBLE)) AS mrr FROM signal_ranks WHERE signal = 'recency') a,
-  (SELECT avg(1 / cast(rank AS DOUBLE)) AS mrr FROM signal_ranks WHERE signal = 'popularity') b""")
-def _(v):
-    mrr = E.discrimination_summary(_ranks(v), NEG + 1).groupBy().pivot(
-        "signal", ["recency", "popularity"]
-    ).agg(F.first("mrr"))
-    one = mrr.select(
-        F.col("recency").alias("ranker_mrr"), F.col("popularity").alias("retrieval_mrr"),
-        F.lit(None).cast("double").alias("ci_low"), F.lit(None).cast("double").alias("ci_high"),
-    )
-    # No head is measured on slates here, so the gate must stay closed.
-    bias = v.spark.createDataFrame([], "head string, bias_ratio double")
-    return E.release_gate(one, bias).select(
-        r("ranker_mrr").alias("ranker_mrr"), r("retrieval_mrr").alias("retrieval_mrr"), "relative_mrr",
-        "ordering_passed", "calibration_passed", "passed",
-    )
+SELECT *, ordering_passed AND calibration_passed AS passed FROM (
+  SELECT ranker, kind, return_too, round(a / b, 4) AS relative_mrr, round(lo, 6) AS ci_low, round(hi, 6) AS ci_high,
+    a / b >= 1 AND NOT hi < 0 AS ordering_passed, n AS measured_heads, round(worst, 4) AS worst_bias_ratio,
+    NOT return_too AND n = 3 AND worst <= 4 AS calibration_passed
+  FROM gate_order, (SELECT kind, count(*) AS n, max(greatest(ratio, 1 / ratio)) AS worst FROM gate_bias GROUP BY 1),
+    (SELECT unnest([false, true]) AS return_too))""")
+def _(v):
+    # Three orderings (one of them clearly worse), raw and rescaled heads, and a head that no slate measures.
+    ranks = _ranks(v).groupBy("user_id").pivot("signal", ["recency", "popularity"]).agg(F.first("reciprocal_rank"))
+    def pair(name, x, y):
+        return F.struct(F.lit(name).alias("ranker"), x.alias("x"), y.alias("y"))
+
+    recent, popular = F.col("recency"), F.col("popularity")
+    pairs = cut(ranks).select("user_id", F.inline(F.array(
+        pair("recency", recent, popular), pair("popularity", popular, recent), pair("worse", recent / 2, recent))))
+    half = 1.96 * F.stddev_samp(F.col("x") - F.col("y")) / F.sqrt(F.count("*"))
+    orders = cut(pairs.groupBy("ranker").agg(
+        F.avg("x").alias("ranker_mrr"), F.avg("y").alias("retrieval_mrr"),
+        (F.avg(F.col("x") - F.col("y")) - half).alias("ci_low"), (F.avg(F.col("x") - F.col("y")) + half).alias("ci_high"),
+    ))
+    shown = _slate_labels(v).join(v.scores, "token_id").filter("head <> 'any'")
+    top = v.scores.agg(F.max("score")).first()[0]
+    raw = cut(shown.select("head", "label", (F.col("score") / top).alias("p")))
+    ratio = K.calibration_report(raw).select("head", "bias_ratio")
+    scaled = raw.join(ratio, "head").select("head", "label", (F.col("p") / F.col("bias_ratio")).alias("p"))
+    measured = {"raw": cut(ratio), "scaled": cut(K.calibration_report(scaled).select("head", "bias_ratio"))}
+    out = None
+    for kind, bias in measured.items():
+        for more in (False, True):
+            heads = ("click", "cart", "purchase", *(["return"] if more else []))
+            # The gate judges each row of orderings.
+            one = E.release_gate(orders, bias, heads=heads).select(
+                "ranker", F.lit(kind).alias("kind"), F.lit(more).alias("return_too"), "relative_mrr",
+                r("ci_low").alias("ci_low"), r("ci_high").alias("ci_high"), "ordering_passed", "measured_heads",
+                r("worst_bias_ratio", 4).alias("worst_bias_ratio"), "calibration_passed", "passed",
+            )
+            out = one if out is None else out.unionByName(one)
+    return out
 
 
 SHARES = (1.0, 0.5, 0.25)

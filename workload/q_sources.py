@@ -218,16 +218,18 @@ def _(v):
 
 
 @case("src10_aligned_variant", """
-SELECT user_id, 'train' AS split, len AS n_tokens,
+SELECT user_id, split, len AS n_tokens,
   string_agg(CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 2 WHEN 'purchase' THEN 5 ELSE 7 END,
     ',' ORDER BY pos) AS actions,
   string_agg(pos, ',' ORDER BY pos) AS times, string_agg(-1, ',' ORDER BY pos) AS returned
-FROM h_train GROUP BY user_id, len""")
+FROM (SELECT 'train' AS split, user_id, len, event_type, pos FROM h_train UNION ALL
+  SELECT 'val', user_id, len, event_type, pos FROM h_val UNION ALL
+  SELECT 'test', user_id, len, event_type, pos FROM h_test) GROUP BY user_id, split, len""")
 def _(v):
     w = _warehouse(v)
     w.write("gold.vocab_sku", v.vocab)
     # Times are one short and the return labels are missing: both get repaired.
-    broken = v.split("train").drop("input_returned").withColumn(
+    broken = v.sequences.drop("input_returned").withColumn(
         "input_ts", F.slice("input_ts", F.lit(1), F.size("input_ts") - 1)
     )
     w.write("gold.sequences_sku", broken)
