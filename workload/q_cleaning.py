@@ -297,7 +297,7 @@ FROM (SELECT user_id, token_id, list_dot_product(cast(u.v AS DOUBLE[]), cast(i.v
 SELECT user_id, token_id, round(score, 5) AS score FROM exact_neighbours WHERE position <= 10""")
 def _(v):
     users, items = v.users_and_items()
-    pairs = R.exact_top_k(users, items, 10, block=512).select("user_id", "token_id")
+    pairs = R.exact_top_k(users, items, 10).select("user_id", "token_id")
     return R.pair_scores(pairs, users, items).select("user_id", "token_id", r("score", 5).alias("score"))
 
 

@@ -30,7 +30,7 @@ def _(v):
     hidden = users.select("user_id", (F.col("user_id") % 7).alias("m")).join(
         items.select("token_id", same.alias("m")), "m"
     ).select("user_id", "token_id")
-    top = R.exact_top_k(users, items, 10, hidden, block=100)
+    top = R.exact_top_k(users, items, 10, hidden)
     return top.select("user_id", "token_id", "position", r("score", 5).alias("score"))
 
 
