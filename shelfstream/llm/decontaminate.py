@@ -3,21 +3,24 @@
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
-from collections.abc import Iterable, Iterator
+import uuid
+from collections import Counter
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfstream.llm.common import raw_texts
+from shelfstream.llm.common import per_worker, raw_texts
 from shelfstream.scale import cut
 
 WINDOW = 13
 # Benchmark items searched in one pass over the documents; more items take more
 # passes. With item texts of some KB this bounds what a pass broadcasts.
 ITEMS_PER_PASS = 20_000
-# ... and so does this on their text; an item above it is a pass of its own.
+# ... and so does this on their text (UTF-8); an item above it is a pass of its own. A
+# worker's searchers take some 14 bytes for each while they are built (0.9 GB).
 BYTES_PER_PASS = 64 << 20
 
 # Every byte outside 0-9, a-z (after lower-casing) and non-ASCII separates words.
@@ -33,48 +36,118 @@ def search_words(text: bytes) -> list[bytes]:
 class WuManber:
     """Windows of one length, searched by blocks of two words (one for one-word windows).
 
-    ``shift`` says for the block that ends at a position how far the window
-    may move before any pattern can end there; a block no pattern holds lets
-    it move a whole window. At shift 0 the bucket of the block (the windows
-    that end in it) is compared word for word.
+    ``shift`` says for the slot of the block that ends at a position how far
+    the window may move before any pattern can end there; a slot no pattern
+    fills lets it move a whole window. At shift 0 the window is looked up in
+    the bucket of that slot, and the text of what is found there is compared.
+    Hashes choose slots and buckets only: two that collide cost time, never a
+    result. All parts are flat arrays, about 14 bytes for a byte of text at the
+    peak of building. Python's hash differs between processes, so an object
+    must be searched where it was built.
     """
 
-    def __init__(self, length: int, windows: dict[tuple, set]):
+    def __init__(self, length: int, windows: int):
         self.length, self.block = length, min(2, length)
-        self.most = length - self.block + 1
-        self.shift: dict[tuple, int] = {}
-        self.bucket: dict[tuple, dict] = defaultdict(dict)
-        for window, items in windows.items():
-            for end in range(self.block, length + 1):
-                block = window[end - self.block : end]
-                self.shift[block] = min(self.shift.get(block, self.most), length - end)
-            self.bucket[window[length - self.block :]][window] = items
-
-    def find(self, words: list[bytes]) -> Iterator[tuple[int, set]]:
+        self.most = min(255, length - self.block + 1)
+        self.bits = max(8, (2 * windows).bit_length())
+        self.mask, self.low = (1 << self.bits) - 1, (1 << (64 - self.bits)) - 1
+        self.shift = bytearray([self.most]) * (1 << self.bits)
+        self.parts: list[tuple] = []
+        self.end = 0
+
+    def add(self, item_id: int, words: list[bytes]) -> None:
+        """The windows of one item, which has ``length`` words or more."""
+        length, block, shift, mask = self.length, self.block, self.shift, self.mask
+        slots = [hash(tuple(words[i : i + block])) & mask for i in range(len(words) - block + 1)]
+        for i, slot in enumerate(slots):
+            shift[slot] = min(shift[slot], max(0, length - block - i))
+        n = len(words) - length + 1
+        keys = np.fromiter(
+            (self.key(slots[i + length - block], words[i : i + length]) for i in range(n)), np.uint64, n
+        )
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        first = np.cumsum(sizes + 1) - sizes - 1
+        size = first[length - 1 :] + sizes[length - 1 :] - first[:n]
+        text = b" ".join(words)
+        self.parts.append((keys, first[:n] + self.end, size.astype(np.int32), np.full(n, item_id, np.int64), text))
+        self.end += len(text)
+
+    def key(self, slot: int, window: list[bytes]) -> int:
+        return (slot << (64 - self.bits)) | (hash(tuple(window)) & self.low)
+
+    def close(self) -> WuManber:
+        """Sort the windows by bucket; equal ones become one with the list of their items."""
+        self.text = b"".join(p[4] for p in self.parts)
+        keys = np.concatenate([p[0] for p in self.parts])
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        self.at, self.size, self.items = (np.concatenate([p[k] for p in self.parts])[order] for k in (1, 2, 3))
+        self.parts = []
+        new = np.r_[True, keys[1:] != keys[:-1]]
+        starts = np.flatnonzero(new)
+        ends = np.r_[starts[1:], len(keys)]
+        for a, b in zip(*(x[ends - starts > 1].tolist() for x in (starts, ends)), strict=True):
+            head = self.window(a)
+            if any(self.window(k) != head for k in range(a + 1, b)):  # different windows under one key
+                run = np.array(sorted(range(a, b), key=self.window))
+                for column in (self.at, self.size, self.items):
+                    column[a:b] = column[run]
+                new[a + 1 : b] = [self.window(k) != self.window(k - 1) for k in range(a + 1, b)]
+        self.first = np.append(np.flatnonzero(new), len(keys))
+        self.keys = keys[self.first[:-1]]
+        return self
+
+    def window(self, k: int) -> bytes:
+        return self.text[self.at[k] : self.at[k] + self.size[k]]
+
+    def find(self, words: list[bytes]) -> Iterator[tuple[int, list[int]]]:
         """(end position, items) of every occurrence."""
-        shift, most, length, block = self.shift, self.most, self.length, self.block
-        end, total = length, len(words)
+        shift, mask, length, block = self.shift, self.mask, self.length, self.block
+        end, total, ends, keys = length, len(words), [], []
         while end <= total:
-            step = shift.get(tuple(words[end - block : end]), most)
+            slot = hash(tuple(words[end - block : end])) & mask
+            step = shift[slot]
             if step:
                 end += step
                 continue
-            bucket = self.bucket[tuple(words[end - block : end])]
-            items = bucket.get(tuple(words[end - length : end]))
-            if items is not None:
-                yield end, items
+            ends.append(end)
+            keys.append(self.key(slot, words[end - length : end]))
             end += 1
-
-
-def compile_items(items: Iterable[tuple], window: int) -> list[WuManber]:
+        if not ends:
+            return
+        keys = np.array(keys, np.uint64)
+        place = np.searchsorted(self.keys, keys)
+        for i in np.flatnonzero(self.keys[np.minimum(place, len(self.keys) - 1)] == keys):
+            end, k = ends[i], place[i]
+            text = b" ".join(words[end - length : end])
+            while k < len(self.keys) and self.keys[k] == keys[i]:
+                if self.window(self.first[k]) == text:
+                    yield end, self.items[self.first[k] : self.first[k + 1]].tolist()
+                k += 1
+
+
+def compile_items(items: Sequence[tuple], window: int) -> list[WuManber]:
     """One searcher per window length: ``window``, and those of shorter items."""
-    by_length: dict[int, dict[tuple, set]] = defaultdict(lambda: defaultdict(set))
+    windows: Counter = Counter()
+    for _, text in items:
+        total = len(search_words((text or "").encode()))
+        if total:
+            windows[min(window, total)] += max(1, total - window + 1)
+    made = {length: WuManber(length, n) for length, n in sorted(windows.items())}
     for item_id, text in items:
         found = search_words((text or "").encode())
-        length = min(window, len(found))
-        for at in range(len(found) - length + 1 if found else 0):
-            by_length[length][tuple(found[at : at + length])].add(item_id)
-    return [WuManber(length, dict(w)) for length, w in sorted(by_length.items())]
+        if found:
+            made[min(window, len(found))].add(item_id, found)
+    return [searcher.close() for searcher in made.values()]
+
+
+def compiled(name: str, items: Sequence[tuple], window: int) -> list[WuManber]:
+    """The searchers of a block, built once per Python worker; a worker keeps those of one block."""
+    held = per_worker("decontaminate", dict)
+    if name not in held:
+        held.clear()
+        held[name] = compile_items(items, window)
+    return held[name]
 
 
 def scan(searchers: list[WuManber], text: bytes) -> tuple[int, list[tuple[int, int]], set]:
@@ -83,7 +156,7 @@ def scan(searchers: list[WuManber], text: bytes) -> tuple[int, list[tuple[int, i
     ranges, items = [], set()
     for searcher in searchers:
         for end, found in searcher.find(words):
-            items |= found
+            items.update(found)
             ranges.append((end - searcher.length, end))
     return len(words), merge(ranges), items
 
@@ -103,11 +176,12 @@ def benchmark_blocks(benchmark: DataFrame, per_pass: int, size: int) -> Iterator
     usable = benchmark.select("item_id", "text").where("item_id is not null and text is not null")
     block, held = [], 0
     for row in usable.toLocalIterator():
-        if block and (len(block) >= per_pass or held + len(row["text"]) > size):
+        own = len(row["text"].encode())
+        if block and (len(block) >= per_pass or held + own > size):
             yield block
             block, held = [], 0
         block.append((row["item_id"], row["text"]))
-        held += len(row["text"])
+        held += own
     yield block
 
 
@@ -144,10 +218,10 @@ def find_overlap(
     )
 
     def searched(block: list[tuple]) -> DataFrame:
-        held = docs.sparkSession.sparkContext.broadcast(block)
+        held, name = docs.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
 
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            searchers = compile_items(held.value, window)
+            searchers = compiled(name, held.value, window)
             for batch in batches:
                 found = [scan(searchers, t) for t in raw_texts(batch.column("text"))]
                 yield pa.RecordBatch.from_arrays(
@@ -229,11 +303,11 @@ def drop_contaminated(
         return docs.withColumn(name, key).join(bad, name, "left_anti").select(
             *[f"`{c}`" for c in docs.columns]
         )
-    held = docs.sparkSession.sparkContext.broadcast(block)
+    held, name = docs.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
     place = docs.columns.index("text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        searchers = compile_items(held.value, window)
+        searchers = compiled(name, held.value, window)
         for batch in batches:
             clean = [not report(*scan(searchers, t))[4] for t in raw_texts(batch.column(place))]
             yield batch.filter(pa.array(clean, pa.bool_()))
