@@ -50,13 +50,11 @@ def level(count: np.ndarray) -> np.ndarray:
     return 1 + np.floor(np.log(count) / math.log(RATIO) + 1e-9).astype(np.int64)
 
 
-def representatives() -> np.ndarray:
-    """The count that stands for each level: the middle of the counts it covers; 0 for level 0."""
-    out = [0.0]
-    for k in range(MOST_LEVELS):
-        low, high = math.ceil(RATIO**k - 1e-9), math.ceil(RATIO ** (k + 1) - 1e-9) - 1
-        out.append((low + max(low, high)) / 2)
-    return np.array(out)
+def bounds() -> tuple[np.ndarray, np.ndarray]:
+    """The least and the largest count of each level; 0 for level 0."""
+    edges = np.ceil(RATIO ** np.arange(MOST_LEVELS + 1, dtype=np.float64) - 1e-9)
+    low, high = edges[:-1], np.maximum(edges[:-1], edges[1:] - 1)
+    return np.append(0.0, low), np.append(0.0, high)
 
 
 def hashes(text: bytes, memo: Memo) -> tuple[np.ndarray, np.ndarray]:
@@ -194,13 +192,27 @@ def segments(blocks: DataFrame, bits: int, limit: int = SEGMENT_BYTES) -> Iterat
         yield Segment(bits, first, size, data)
 
 
-def log_probability(one: np.ndarray, two: np.ndarray, total: int, kinds: int) -> float:
-    """log10 of the text's probability from the levels of its tokens and pairs."""
-    rep = representatives()
-    count = rep[one]
-    before = np.concatenate([count[-1:], count[:-1]])
-    single = (count + 1) / (total + kinds + 1)
-    pair = np.divide(np.minimum(rep[two], np.minimum(before, count)), before,
+def level_total(counts: DataFrame, ends: int) -> float:
+    """Sum over all tokens of the least count of their level, the end included; a row per level is read."""
+    of_level = F.floor(F.log(F.col("n").cast("double")) / math.log(RATIO) + 1e-9) + 1
+    low, _ = bounds()
+    rows = counts.groupBy(of_level.alias("level")).agg(F.count("*").alias("tokens")).collect()
+    own = low[level(np.array([ends]))[0]] if ends else 0.0
+    return float(own + sum(low[r["level"]] * r["tokens"] for r in rows))
+
+
+def log_probability(one: np.ndarray, two: np.ndarray, singles: float, kinds: int) -> float:
+    """log10 of the text's probability from the levels of its tokens and pairs.
+
+    ``singles`` is :func:`level_total`, so that the token model adds up to 1
+    with one unit left for a token never seen. A pair takes the least count of
+    its level and its context the largest one, so the pairs of a context add
+    up to 1 at most, and an even mixture of such models to 1 at most.
+    """
+    low, high = bounds()
+    before = np.concatenate([high[one][-1:], high[one][:-1]])
+    single = (low[one] + 1) / (singles + kinds + 1)
+    pair = np.divide(np.minimum(low[two], np.minimum(before, high[one])), before,
                      out=np.zeros_like(before), where=before > 0)
     sums = []
     for weight in WEIGHTS:
@@ -220,9 +232,11 @@ def score_texts(docs: DataFrame, segment_bytes: int = SEGMENT_BYTES, head: int =
     table gives no rows; other columns are ignored.
 
     Base counts are exact: frequent words by a bounded broadcast, the others
-    by a join. The model's counts come from the filter alone; false positives
-    can raise a count by one level. The score is an even mixture over WEIGHTS
-    of interpolated word-pair models, so it adapts to each document.
+    by a join. The model's counts come from the filter alone. The score is an
+    even mixture over WEIGHTS of interpolated word-pair models, so it adapts to
+    each document. What follows a context adds up to 1 at most over the n-grams
+    that were counted; the filter's false positives, which raise a count by a
+    level, come on top.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), "text")
@@ -235,6 +249,7 @@ def score_texts(docs: DataFrame, segment_bytes: int = SEGMENT_BYTES, head: int =
     exact = spark.sparkContext.broadcast(
         dict(zip(common["token"].to_pylist(), common["n"].to_pylist(), strict=True))
     )
+    singles = level_total(counts, ends)
     blocks, bits = build_filter(train, total)
 
     source = docs.select(
@@ -268,7 +283,7 @@ def score_texts(docs: DataFrame, segment_bytes: int = SEGMENT_BYTES, head: int =
             memo, known, segment = Memo(xxhash.xxh64_intdigest), exact.value, Segment(*held.value)
             for batch in batches:
                 scores = [
-                    log_probability(x[: len(x) // 2], x[len(x) // 2 :], total, kinds)
+                    log_probability(x[: len(x) // 2], x[len(x) // 2 :], singles, kinds)
                     for x in probe(batch, segment, memo)
                 ]
                 sizes, found, logs, rare, out = [], [], [], [], []

@@ -1,5 +1,6 @@
 """Row-local corpus operators: brute force, edge cases, clashing columns."""
 
+import functools
 import hashlib
 import math
 import pathlib
@@ -313,6 +314,66 @@ def test_base_scores_and_filter_segments(spark, folder):
         assert parts[i].base_score == pytest.approx(r.base_score, rel=1e-9) and parts[i].n_known == r.n_known
 
 
+@functools.cache
+def quantised(count):
+    """(least, largest) count of the level of a count, by walking the powers."""
+    if not count:
+        return 0, 0
+    k = 0
+    while lm_score.RATIO ** (k + 1) <= count:
+        k += 1
+    held = [c for c in range(1, int(lm_score.RATIO ** (k + 1)) + 2)
+            if lm_score.RATIO**k <= c < lm_score.RATIO ** (k + 1)]
+    return min(held), max(held)
+
+
+def brute_model(rows):
+    """(single, pair) probabilities as functions, from exact counts of the training rows."""
+    one, two = Counter(), Counter()
+    for r in rows:
+        if crc_of_id(r.doc_id) % 7 != 2:
+            tokens = [*(r.text or "").encode().lower().split(), "end"]
+            one.update(tokens)
+            two.update(zip(["end", *tokens[:-1]], tokens, strict=True))
+    total = sum(quantised(n)[0] for n in one.values()) + len(one) + 1
+    single = lambda t: (quantised(one[t])[0] + 1) / total
+    pair = lambda h, t: min(quantised(two[h, t])[0], quantised(one[h])[1], quantised(one[t])[1]) / quantised(one[h])[1]
+    return one, two, single, pair
+
+
+def test_score_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "BITS_PER_ENTRY", 640)  # next to no false positives
+    monkeypatch.setattr(lm_score, "PROBES", 9)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = docs.collect()
+    one, _, single, pair = brute_model(rows)
+    got = {r.doc_id: r.score for r in lm_score.score_texts(docs).collect()}
+    near = 0
+    for r in rows:
+        tokens = [*(r.text or "").encode().lower().split(), "end"]
+        sums = []
+        for weight in lm_score.WEIGHTS:
+            logs = 0.0
+            for h, t in zip(["end", *tokens[:-1]], tokens, strict=True):
+                share = weight if one[h] else 0.0
+                logs += math.log10((share * pair(h, t) if share else 0.0) + (1 - share) * single(t))
+            sums.append(logs)
+        most = max(sums)
+        score = most + math.log10(sum(10 ** (s - most) for s in sums) / len(sums))
+        near += got[r.doc_id] == pytest.approx(score, rel=1e-9)
+    assert near >= 0.98 * len(rows)
+
+
+def test_probabilities_add_up_to_one_at_most(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()
+    one, two, single, pair = brute_model(rows)
+    assert sum(map(single, one)) + single("never seen") == pytest.approx(1)
+    sums = Counter()
+    for h, t in two:
+        sums[h] += pair(h, t)
+    assert len(sums) == len(one) and max(sums.values()) <= 1 + 1e-12
+
+
 def test_filter_never_misses_and_rarely_invents():
     import numpy as np
 
