@@ -251,3 +251,38 @@ def compare_models(
     for other in tables[1:]:
         table = table.unionByName(other)
     return holm(table, ["model"], "metric")
+
+
+def pooled_comparison(
+    pooled: DataFrame,
+    tests: Sequence[tuple[str, str, str]],
+    resamples: int = 2000,
+    confidence: float = 0.95,
+    seed: int = 0,
+    alpha: float = 0.05,
+) -> DataFrame:
+    """Paired tests between arms on values pooled per user, Holm-adjusted as one family.
+
+    ``pooled`` has arm, user_id, value (one row per arm and user, see
+    ``evaluation.pooled_over_seeds``), ``tests`` the (test, arm, arm compared
+    with) triples of a report. The user is the unit: pooling over seeds first
+    keeps repeated runs from passing as more users. All tests share one
+    shuffle on (test, user); a user who is missing on a side, or there twice,
+    is an error, users with an undefined value on a side are left out.
+    """
+    sides = [F.struct(F.lit(t).alias("test"), F.lit(arm).alias("of"), F.lit(side).alias("side"))
+             for t, a, b in tests for side, arm in (("a", a), ("b", b))]
+    roles = F.filter(F.array(*sides), lambda s: s["of"] == F.col("arm"))
+    rows = pooled.select("user_id", "value", F.explode(roles).alias("_r"))
+    value = {side: F.when(F.col("_r.side") == side, F.col("value")) for side in ("a", "b")}
+    both = rows.groupBy(F.col("_r.test").alias("test"), "user_id").agg(
+        F.max(value["a"]).alias("a"), F.max(value["b"]).alias("b"),
+        F.count_if(F.col("_r.side") == "a").alias("_a"), F.count_if(F.col("_r.side") == "b").alias("_b"),
+    )
+    aligned = F.when(
+        (F.col("_a") != 1) | (F.col("_b") != 1), F.raise_error(F.lit("evaluation users are not aligned"))
+    ).otherwise(F.lit(True))
+    pairs = both.filter(aligned).select("test", "user_id", "a", "b")
+    table = paired_comparison(pairs, group="test", resamples=resamples, confidence=confidence, seed=seed)
+    family = table.withColumn("_family", F.lit(0))
+    return holm(family, ["_family"], "test", alpha).drop("_family")

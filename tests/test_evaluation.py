@@ -262,3 +262,30 @@ def test_fit_or_decline(spark):
     backwards = wrong.withColumn("p", 0.6 - F.col("p"))
     assert K.fit_or_decline(backwards, "unit")["h"].kind == "identity"
     assert K.fit_or_decline(labelled(spark, 60), "unit", min_positives=30)["h"].kind == "identity"
+
+
+def test_pooled_comparison_is_paired_per_user(spark):
+    rows = [(arm, seed, user, base + 0.01 * user + 0.1 * seed)
+            for arm, base in (("x", 0.5), ("y", 0.4), ("z", 0.5)) for seed in (0, 1) for user in range(40)]
+    runs = spark.createDataFrame(rows, "arm string, seed int, user_id int, value double")
+    pooled = E.pooled_over_seeds(runs)
+    tests = [("x-y", "x", "y"), ("x-z", "x", "z")]
+    got = {r.test: r for r in ST.pooled_comparison(pooled, tests, resamples=200).collect()}
+    single = ST.paired_comparison(
+        ST.paired(pooled.filter("arm = 'x'"), pooled.filter("arm = 'y'"), ["user_id"]).withColumn("metric", F.lit("m")),
+        resamples=200,
+    ).first()
+    assert got["x-y"].n == got["x-z"].n == 40  # users, not runs
+    assert got["x-y"].mean_difference == pytest.approx(0.1)
+    assert (got["x-y"].p_value, got["x-y"].ci_low) == (single.p_value, pytest.approx(single.ci_low))
+    assert got["x-y"].significant and got["x-y"].p_adjusted == pytest.approx(2 * got["x-y"].p_value)
+    assert got["x-y"].verdict.endswith("better") and got["x-z"].verdict == "no difference detected"
+
+
+@pytest.mark.parametrize("change", ["missing", "twice"])
+def test_pooled_comparison_refuses_users_that_are_not_aligned(spark, change):
+    pooled = spark.createDataFrame([("x", 1, 0.5), ("x", 2, 0.5), ("y", 1, 0.4)], "arm string, user_id int, value double")
+    if change == "twice":
+        pooled = pooled.unionByName(spark.createDataFrame([("y", 2, 0.1), ("y", 2, 0.2)], pooled.schema))
+    with pytest.raises(Exception, match="not aligned"):
+        ST.pooled_comparison(pooled, [("t", "x", "y")], resamples=20).collect()

@@ -526,6 +526,55 @@ def _(v):
     return pooled.select("arm", "user_id", r("value").alias("value"), "complete")
 
 
+ARMS = {1.0: "all", 0.5: "half", 0.25: "quarter"}
+POOLED_TESTS = [("half of the users", "half", "all"), ("quarter of the users", "quarter", "all")]
+
+cte("consent_runs", """
+SELECT CASE share WHEN 1 THEN 'all' WHEN 0.5 THEN 'half' ELSE 'quarter' END AS arm, seed, user_id,
+  hits / cast(least(m, 10) AS DOUBLE) AS recall FROM (
+  SELECT s.share, s.seed, n.user_id, n.m, count(t.token_id) AS hits FROM n_targets n
+  CROSS JOIN (SELECT DISTINCT share, seed FROM kept_users) s
+  LEFT JOIN (SELECT share, seed, user_id, token_id, row_number() OVER (PARTITION BY share, seed, user_id
+      ORDER BY score DESC, token_id) AS position FROM (SELECT DISTINCT user_id FROM h_test),
+      (SELECT share, seed, token_id, count(*) AS score FROM kept_users k JOIN h_train h
+        ON h.user_id = k.user_id GROUP BY 1, 2, 3)
+      WHERE (user_id, token_id) NOT IN (SELECT (user_id, token_id) FROM h_test)) l
+    ON l.user_id = n.user_id AND l.share = s.share AND l.seed = s.seed AND position <= 10
+  LEFT JOIN t_test t ON t.user_id = l.user_id AND t.token_id = l.token_id GROUP BY 1, 2, 3, 4)""")
+cte("pooled_runs", "SELECT arm, user_id, avg(recall) AS value FROM consent_runs GROUP BY 1, 2")
+cte("pooled_pairs", """
+SELECT p.arm || ' of the users' AS metric, p.user_id, p.value AS a, q.value AS b, p.value - q.value AS x
+FROM pooled_runs p JOIN pooled_runs q ON q.user_id = p.user_id AND q.arm = 'all' WHERE p.arm <> 'all'""")
+cte("pooled_result", f"""
+SELECT v.metric, mean_a, mean_b, d AS mean_difference, ci_low, ci_high, p_value, n FROM (
+  SELECT metric, avg(a) AS mean_a, avg(b) AS mean_b, avg(x) AS d, count(*) AS n FROM pooled_pairs GROUP BY 1) v
+JOIN (SELECT r.metric, quantile_cont(wx / w, 0.025) AS ci_low, quantile_cont(wx / w, 0.975) AS ci_high,
+    (count(*) FILTER (abs(sx / o.n) >= abs(o.d) - 1e-12) + 1) / cast({R + 1} AS DOUBLE) AS p_value
+  FROM ({_resample_sql("pooled_pairs")}) r JOIN (SELECT metric, avg(x) AS d, count(*) AS n
+    FROM pooled_pairs GROUP BY 1) o ON o.metric = r.metric GROUP BY 1) q ON q.metric = v.metric""")
+
+
+@case("ev16_pooled_paired_tests", f"""
+SELECT metric AS test, round(mean_a, 6) AS mean_a, round(mean_b, 6) AS mean_b, round(mean_difference, 6)
+  AS mean_difference, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high, round(p_value, 6)
+  AS p_value, n, {_VERDICT} AS verdict, round(p_adjusted, 6) AS p_adjusted, p_adjusted <= 0.05 AS significant
+FROM (SELECT *, max(s) OVER (ORDER BY p_value, metric) AS p_adjusted FROM (SELECT *, least(1.0,
+  (count(*) OVER () - row_number() OVER (ORDER BY p_value, metric) + 1) * p_value) AS s FROM pooled_result))""")
+def _(v):
+    train, test, runs = v.split("train"), v.split("test"), None
+    for share in SHARES:
+        for seed in SEEDS if share < 1 else SEEDS[:1]:
+            scores = L.popularity(E.keep_users(train, share, seed=seed))
+            one = E.with_metrics(L.popular_lists(test, scores, 10, MAX_LEN), [10]).select(
+                F.lit(ARMS[share]).alias("arm"), "user_id", F.col("recall_10").alias("value"),
+                F.explode(F.lit(list(SEEDS if share == 1 else [seed]))).alias("seed"),
+            )
+            runs = one if runs is None else runs.unionByName(one)
+    table = ST.pooled_comparison(cut(E.pooled_over_seeds(cut(runs))), POOLED_TESTS, resamples=R)
+    numbers = ("mean_a", "mean_b", "mean_difference", "ci_low", "ci_high", "p_value", "p_adjusted")
+    return table.select("test", *[r(c).alias(c) for c in numbers], "n", "verdict", "significant")
+
+
 # -- calibration --------------------------------------------------------------
 
 cte("cal", """
