@@ -1,8 +1,10 @@
 """Business rules over scored candidates, for all users at once.
 
 Candidates carry user_id, rank (retrieval order), token_id, product_id,
-category, model_score and ``units``: an array of the token's SKUs with their
-item state. A user has at most ``rank_k`` candidates, which bounds every
+category and model_score. The SKUs behind a candidate are either its own
+column ``units`` (an array, for lists of few), or the rows of a table keyed by
+``token``: then a candidate carries the one SKU it suggests, however many its
+token has. A user has at most ``rank_k`` candidates, which bounds every
 per-user window here.
 """
 
@@ -14,6 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfstream.scale import cut, ranked_rows
+
 DROP_REASONS = ("excluded", "no_sku", "out_of_stock", "purchased", "capped_by_category")
 
 
@@ -99,6 +103,17 @@ def token_units(catalog: DataFrame, states: DataFrame) -> DataFrame:
     return one.groupBy("token", "product_id").agg(units.cast(UNIT).alias("units"))
 
 
+STATE = ("price", "list_price", "promo_id", "stock", "available")
+
+
+def token_skus(hierarchy: DataFrame, token: Column, states: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((token, product_id), (token, sku, state columns)): what :func:`token_units` gathers, as rows."""
+    tokens = hierarchy.withColumn("token", token)
+    products = tokens.groupBy("token").agg(F.coalesce(F.min("product_id"), F.first("token")).alias("product_id"))
+    skus = tokens.select("token", "sku").filter("sku is not null").distinct()
+    return products, skus.join(states.select("sku", *STATE), "sku", "left")
+
+
 def filtered(candidates: DataFrame, policy: Policy) -> DataFrame:
     """Add ``drop_reason`` (null = kept), ``available_skus`` and the ``suggested`` unit.
 
@@ -131,6 +146,58 @@ def filtered(candidates: DataFrame, policy: Policy) -> DataFrame:
     )
 
 
+def filtered_by_rows(candidates: DataFrame, skus: DataFrame, owned: DataFrame, policy: Policy) -> DataFrame:
+    """:func:`filtered` with the SKUs as rows: ``skus`` has token, sku and state, ``owned`` user_id and sku.
+
+    A token's SKUs in stock are numbered once per store that asks for them.
+    Most users own none of them and get the first; for the others the first
+    number that is missing among those they own is looked up. So no row holds a
+    token's SKUs, and the work grows with candidates, SKUs and purchases. A
+    token without rows stands for itself. Optional context column: store_id.
+    """
+    store = _context(candidates, "store_id", "string")
+    # A key without nulls: no store is a group of its own.
+    rows = candidates.withColumn("_at", F.coalesce(F.concat(F.lit("="), store), F.lit("")))
+    asked = rows.select("token", "_at").distinct()
+    here = F.when(F.col("_at") != "", F.expr("substring(_at, 2)"))
+    units = asked.join(skus, "token", "left").withColumn("sku", F.coalesce("sku", "token"))
+    if policy.require_in_stock:
+        units = units.filter(in_stock(F.col("available"), F.col("stock"), here))
+    unit = F.struct("sku", *STATE).alias("_unit")
+    numbered = cut(ranked_rows(units.select("token", "_at", "sku", unit), ["token", "_at"], ["sku"], "_no"))
+    first = numbered.filter("_no = 1").select("token", "_at", F.col("_unit").alias("_first"))
+    checked = rows.join(first, ["token", "_at"], "left")
+    suggested = F.col("_first")
+    if policy.exclude_purchased:
+        later = _first_not_owned(rows, numbered, owned)
+        checked = checked.join(later, ["user_id", "token", "_at"], "left")
+        suggested = F.when(F.col("_owns"), F.col("_later")).otherwise(suggested)
+    excluded = F.lit(False)
+    if policy.excluded_products:
+        excluded = F.coalesce(F.col("product_id").isin(*policy.excluded_products), F.lit(False))
+    reason = (
+        F.when(excluded, "excluded")
+        .when(F.col("_first").isNull(), "out_of_stock")
+        .when(F.col("suggested").isNull(), "purchased")
+    )
+    return checked.withColumn("suggested", suggested).withColumn("drop_reason", reason).drop(
+        "_at", "_first", "_later", "_owns"
+    )
+
+
+def _first_not_owned(rows: DataFrame, numbered: DataFrame, owned: DataFrame) -> DataFrame:
+    """(user_id, token, _at, _later, _owns) of users who own a numbered SKU; ``_later`` is null if they own all."""
+    mine = owned.select("user_id", "sku").distinct().join(rows.select("user_id", "_at").distinct(), "user_id")
+    held = mine.join(numbered.select("token", "_at", "sku", "_no"), ["sku", "_at"])
+    keys = ["user_id", "token", "_at"]
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy("_no"))
+    gaps = held.withColumn("_nth", nth).groupBy(*keys).agg(
+        F.coalesce(F.min(F.when(F.col("_no") != F.col("_nth"), F.col("_nth"))), F.count("*") + 1).alias("_no")
+    )
+    units = numbered.select("token", "_at", "_no", F.col("_unit").alias("_later"))
+    return gaps.join(units, ["token", "_at", "_no"], "left").drop("_no").withColumn("_owns", F.lit(True))
+
+
 def _context(df: DataFrame, name: str, kind: str) -> Column:
     return F.col(name) if name in df.columns else F.lit(None).cast(kind)
 
@@ -214,9 +281,18 @@ def finalised(scored: DataFrame, policy: Policy, limit: int) -> DataFrame:
     ).drop("_shelf", "_over", "_slot", "_pin", "_shown")
 
 
-def applied(candidates: DataFrame, policy: Policy, limit: int) -> DataFrame:
-    """All stages. Dropped candidates stay, with their reason and no position."""
-    checked = filtered(candidates, policy)
+def applied(
+    candidates: DataFrame, policy: Policy, limit: int, skus: DataFrame | None = None, owned: DataFrame | None = None
+) -> DataFrame:
+    """All stages. Dropped candidates stay, with their reason and no position.
+
+    With ``skus`` and ``owned`` see :func:`filtered_by_rows`, else :func:`filtered`.
+    """
+    if skus is None:
+        checked = filtered(candidates, policy)
+    else:
+        # Read by the kept and by the dropped rows.
+        checked = cut(filtered_by_rows(candidates, skus, owned, policy))
     kept = finalised(adjusted(checked.filter("drop_reason is null"), policy), policy, limit)
     return kept.unionByName(checked.filter("drop_reason is not null"), allowMissingColumns=True)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfstream.operators import lists as L
 from shelfstream.operators import policy as P
+from shelfstream.scale import cut
 
 
 def user_tails(events: DataFrame, n: int = 50) -> DataFrame:
@@ -45,34 +46,19 @@ def tail_histories(tails: DataFrame, vocab: DataFrame) -> DataFrame:
 
 
 def candidates(
-    ranked: DataFrame, vocab: DataFrame, units: DataFrame, rank_k: int
+    ranked: DataFrame, vocab: DataFrame, products: DataFrame, rank_k: int
 ) -> DataFrame:
     """Ranked lists (user_id, token_id, rank, model_score) to policy candidates.
 
-    Tokens meet their units before they meet the candidates: a row per token, then one join per candidate.
+    ``products`` has (token, product_id). A candidate names its token; the token's SKUs stay in a
+    table of their own (see :func:`shelfstream.operators.policy.filtered_by_rows`).
     """
-    tokens = (
-        vocab.select("token_id", "token", "category").join(units, "token", "left")
-        .withColumn("product_id", F.coalesce("product_id", "token"))
-        .withColumn(
-            "units",
-            F.coalesce("units", F.array(F.struct(F.col("token").alias("sku"), *_no_state())).cast(P.UNIT)),
-        )
-    )
+    tokens = vocab.select("token_id", "token", "category").join(
+        products.select("token", "product_id"), "token", "left"
+    ).withColumn("product_id", F.coalesce("product_id", "token"))
     return ranked.filter(F.col("rank") <= rank_k).join(tokens, "token_id")
 
 
-def _no_state() -> list[Column]:
-    kinds = {
-        "price": "double",
-        "list_price": "double",
-        "promo_id": "string",
-        "stock": "map<string,int>",
-        "available": "boolean",
-    }
-    return [F.lit(None).cast(t).alias(n) for n, t in kinds.items()]
-
-
 def popular_candidates(
     histories: DataFrame, scores: DataFrame, retrieval_k: int, max_history: int
 ) -> DataFrame:
@@ -103,7 +89,9 @@ def recommend(
     histories: DataFrame,
     scored: DataFrame,
     vocab: DataFrame,
-    units: DataFrame,
+    products: DataFrame,
+    skus: DataFrame,
+    owned: DataFrame,
     fallback: list[str],
     policy: P.Policy = P.Policy(),
     rank_k: int = 300,
@@ -113,11 +101,14 @@ def recommend(
     """(shown items, decided candidates) for ``users``.
 
     ``scored`` holds (user_id, token_id, rank, model_score) from any retrieval
-    step, plus user context columns. A user without an encodable history gets
+    step, plus user context columns; ``products`` and ``skus`` are the catalogue
+    by token (:func:`shelfstream.operators.policy.token_skus`), ``owned`` the
+    (user_id, sku) bought before. A user without an encodable history gets
     the fallback list with reason ``cold_start``; one whose list the policy
     emptied gets it with ``policy_emptied``.
     """
-    decided = P.applied(candidates(scored, vocab, units, rank_k), policy, limit)
+    # The served users and the shown rows both read it.
+    decided = cut(P.applied(candidates(scored, vocab, products, rank_k), policy, limit, skus, owned))
     shown = decided.filter("position is not null").select(
         "user_id",
         "position",

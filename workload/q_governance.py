@@ -16,7 +16,7 @@ from shelfstream.sources.tables import Warehouse
 from shelfstream.streaming import sinks
 from shelfstream.streaming.alerting import alert_stream
 from workload.q_cleaning import _INNER, _OUTER, KEY
-from workload.q_policy import LIMIT, POLICY, _candidates
+from workload.q_policy import LIMIT, _applied
 from workload.registry import case, cte
 from workload.views import r
 
@@ -434,7 +434,7 @@ SELECT reason, n, round(n / greatest(sum(n) OVER (), 1), 9) AS share, n / greate
   GROUP BY 1 UNION ALL SELECT 'capped_by_category', count(*) FROM capped_rows WHERE is_over
   AND placed < {LIMIT})""")
 def _(v):
-    decided = POL.applied(_candidates(v), POLICY, LIMIT)
+    decided = _applied(v)
     reason = F.when(F.col("capped"), "capped_by_category").otherwise(F.col("drop_reason"))
     drops = decided.select(reason.alias("reason"), F.lit(1).alias("n")).filter("reason is not null")
     return M.drop_dominance(drops).select("reason", "n", r("share", 9).alias("share"), "alert")
