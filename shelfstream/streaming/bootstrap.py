@@ -20,12 +20,15 @@ def bootstrap(
     rules: TokenRules,
     tail_length: int = 50,
     fmt: str = "json",
+    any_type: bool = False,
 ) -> dict[str, int]:
     """Run catalogue, price and stock to completion, then the interactions.
 
     ``topics`` maps topic names to paths. Results are merged tables (one row per key) below
     ``out``: catalog, prices, stock, tails; messages that break the topic
-    rules go to ``rejected`` with their reasons. Returns what was observed.
+    rules go to ``rejected`` with their reasons. With ``any_type`` tails take
+    event types outside the vocabulary of actions too, as :func:`state.user_tails`
+    does by itself. Returns what was observed.
     """
     totals: dict[str, int] = {}
     dimensions = (
@@ -40,7 +43,7 @@ def bootstrap(
         totals.update(sinks.finish(query))
     catalog = merged.current(spark, f"{out}/catalog")
     events = read_topic(spark, "interactions.v1", topics["interactions.v1"], fmt)
-    events, rejected = split_valid(events)
+    events, rejected = split_valid(events, any_type=any_type)
     query = sinks.append_stream(rejected, f"{out}/rejected", f"{out}/_checkpoints/rejected")
     totals.update(sinks.finish(query))
     tails = state.user_tails(state.resolved(events, catalog, rules), tail_length)
