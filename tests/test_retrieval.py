@@ -121,3 +121,19 @@ def test_queries_reach_their_recall(spark, folder):
     load_all()
     for name in ("top6_approximate_neighbours", "top6_fitted_cells"):
         assert QUERIES[name](spark, folder).first().recall >= 0.9
+
+
+def test_small_blocks_grow_with_their_cell(spark, data, monkeypatch):
+    # A row is copied once per block of the other side: 300 blocks of one row each made 300 copies.
+    import pandas as pd
+
+    def sizes(fetch):
+        return lambda u, i: pd.DataFrame({"user_id": [len(u)], "token_id": [len(i)], "score": [0.0]})
+
+    monkeypatch.setattr(R, "_local_top", sizes)
+    users, items = (
+        spark.range(300).select(F.col("id").alias(name), F.array(F.lit(1.0)).alias("vector"), F.lit(0).alias("cell"))
+        for name in ("user_id", "token_id")
+    )
+    found = R._blocked_top(users, items, 2, 1)
+    assert 16 <= found.count() <= R.AT_LEAST**2
