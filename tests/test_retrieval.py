@@ -137,3 +137,8 @@ def test_small_blocks_grow_with_their_cell(spark, data, monkeypatch):
     )
     found = R._blocked_top(users, items, 2, 1)
     assert 16 <= found.count() <= R.AT_LEAST**2
+
+
+def test_a_worker_holds_little(spark):
+    # Four workers of an executor: two copies of a block while it loads, three of the scores.
+    assert 4 * (2 * R.BLOCK_BYTES + 3 * R.SCORES_BYTES) <= 512 << 20
