@@ -149,27 +149,32 @@ def filtered(candidates: DataFrame, policy: Policy) -> DataFrame:
 def filtered_by_rows(candidates: DataFrame, skus: DataFrame, owned: DataFrame, policy: Policy) -> DataFrame:
     """:func:`filtered` with the SKUs as rows: ``skus`` has token, sku and state, ``owned`` user_id and sku.
 
-    A token's SKUs in stock are numbered once per store that asks for them.
-    Most users own none of them and get the first; for the others the first
-    number that is missing among those they own is looked up. So no row holds a
+    A token's SKUs in stock are numbered once per store that asks for them, as
+    far as anyone needs them: who owns m SKUs gets one of the first m + 1. Most
+    users own none of them and get the first; for the others the first number
+    that is missing among those they own is looked up. So no row holds a
     token's SKUs, and the work grows with candidates, SKUs and purchases. A
     token without rows stands for itself. Optional context column: store_id.
     """
     store = _context(candidates, "store_id", "string")
-    # A key without nulls: no store is a group of its own.
-    rows = candidates.withColumn("_at", F.coalesce(F.concat(F.lit("="), store), F.lit("")))
+    # A key without nulls: no store is a group of its own. The joins below read the candidates four times.
+    rows = cut(candidates.withColumn("_at", F.coalesce(F.concat(F.lit("="), store), F.lit(""))))
     asked = rows.select("token", "_at").distinct()
     here = F.when(F.col("_at") != "", F.expr("substring(_at, 2)"))
     units = asked.join(skus, "token", "left").withColumn("sku", F.coalesce("sku", "token"))
     if policy.require_in_stock:
         units = units.filter(in_stock(F.col("available"), F.col("stock"), here))
     unit = F.struct("sku", *STATE).alias("_unit")
-    numbered = cut(ranked_rows(units.select("token", "_at", "sku", unit), ["token", "_at"], ["sku"], "_no"))
+    most, mine = 0, None
+    if policy.exclude_purchased:
+        mine = cut(owned.select("user_id", "sku").distinct().join(rows.select("user_id", "_at").distinct(), "user_id"))
+        most = mine.groupBy("user_id", "_at").count().agg(F.max("count")).first()[0] or 0
+    numbered = cut(_numbered(units.select("token", "_at", "sku", unit), most + 1))
     first = numbered.filter("_no = 1").select("token", "_at", F.col("_unit").alias("_first"))
     checked = rows.join(first, ["token", "_at"], "left")
     suggested = F.col("_first")
     if policy.exclude_purchased:
-        later = _first_not_owned(rows, numbered, owned)
+        later = _first_not_owned(mine, numbered)
         checked = checked.join(later, ["user_id", "token", "_at"], "left")
         suggested = F.when(F.col("_owns"), F.col("_later")).otherwise(suggested)
     excluded = F.lit(False)
@@ -185,9 +190,25 @@ def filtered_by_rows(candidates: DataFrame, skus: DataFrame, owned: DataFrame, p
     )
 
 
-def _first_not_owned(rows: DataFrame, numbered: DataFrame, owned: DataFrame) -> DataFrame:
-    """(user_id, token, _at, _later, _owns) of users who own a numbered SKU; ``_later`` is null if they own all."""
-    mine = owned.select("user_id", "sku").distinct().join(rows.select("user_id", "_at").distinct(), "user_id")
+# Up to so many SKUs of a token every input partition keeps its first ones for itself.
+FEW = 1_000
+
+
+def _numbered(units: DataFrame, least: int) -> DataFrame:
+    """``units`` with ``_no``, their number by SKU per token and store; at least the first ``least`` of each."""
+    keys = ["token", "_at"]
+    if least > FEW:
+        return ranked_rows(units, keys, ["sku"], "_no")
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy("sku"))
+    # The limit holds before the shuffle, so a token with very many SKUs brings few to its task.
+    return units.withColumn("_no", number.cast("long")).filter(F.col("_no") <= least)
+
+
+def _first_not_owned(mine: DataFrame, numbered: DataFrame) -> DataFrame:
+    """(user_id, token, _at, _later, _owns) of users who own a numbered SKU; ``_later`` is null if they own all.
+
+    ``mine`` has (user_id, _at, sku), what each user owns.
+    """
     held = mine.join(numbered.select("token", "_at", "sku", "_no"), ["sku", "_at"])
     keys = ["user_id", "token", "_at"]
     nth = F.row_number().over(Window.partitionBy(*keys).orderBy("_no"))

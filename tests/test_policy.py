@@ -46,3 +46,22 @@ def test_a_candidate_does_not_hold_the_skus_of_its_token(spark, folder):
     v = view_for(spark, folder)
     for df in (Q._candidates(v), Q._filtered(v, Q.POLICY), Q._applied(v)):
         assert not [c for c, kind in df.dtypes if kind.startswith("array") and c != "session_categories"]
+
+
+def test_only_the_skus_that_someone_needs_are_numbered(spark):
+    # All were: a token of very many SKUs was sorted as a whole, and stored with its numbers.
+    units = spark.range(900).select(
+        F.lit("hot").alias("token"), F.lit("").alias("_at"), F.format_string("%04d", F.col("id")).alias("sku")
+    )
+    for least, kept in ((3, 3), (P.FEW + 1, 900)):
+        found = sorted((r["_no"], r["sku"]) for r in P._numbered(units.repartition(5), least).collect())
+        assert found == [(i + 1, f"{i:04d}") for i in range(kept)]
+
+
+def test_a_user_who_owns_more_than_few_skus(spark, monkeypatch):
+    monkeypatch.setattr(P, "FEW", 3)
+    skus = spark.createDataFrame([("t", f"s{i}", 1.0, 1.0, None, None, True) for i in range(9)], SKU)
+    owned = spark.createDataFrame([("u", f"s{i}") for i in range(7)] + [("w", "s1")], "user_id string, sku string")
+    candidates = spark.createDataFrame([("u", "t", "p"), ("w", "t", "p")], "user_id string, token string, product_id string")
+    found = P.filtered_by_rows(candidates, skus, owned, P.Policy()).select("user_id", "suggested.sku").collect()
+    assert sorted(map(tuple, found)) == [("u", "s7"), ("w", "s0")]
