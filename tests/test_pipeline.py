@@ -508,3 +508,15 @@ def test_every_query_has_a_stable_schema(spark, folder):
     assert df.columns == ["user_id", "recall_10", "ndcg_10"]
 
 
+
+
+def test_labelled_events_are_read_from_one_stored_table(spark, folder):
+    # The cutoffs joined and filtered all events anew, and so did whoever read the labels without storing them.
+    from shelfstream.plans.gold import labelled_events
+    from workload import views
+
+    v = views.view_for(spark, folder)
+    events, t1, t2 = labelled_events(v.silver, v.items, views.RULES, views.GOLD)
+    plan = events._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "/cut-" in str(events.inputFiles())
+    assert t1 < t2 and events.filter("returned is null").count() == 0

@@ -136,3 +136,14 @@ def test_stable_functions_at_the_extremes(spark):
         S.sigmoid(F.lit(800.0)), S.sigmoid(F.lit(-800.0)), S.softplus(F.lit(800.0)), S.logit(F.lit(0.0))
     ).first()
     assert row[0] == 1.0 and 0 <= row[1] < 1e-300 and row[2] == 800.0 and -17 < row[3] < -16
+
+
+def test_consent_names_whole_entries(spark):
+    texts = ["analytics", " analytics ", "service , analytics", "service,\tanalytics\t,x", "\tanalytics", "analytics\n",
+             "analytics2", "xanalytics,service", "analytics;service", "", None, "service,analytics ", ",analytics,", "ANALYTICS"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, consent string")
+    # One search for a purpose: the text was split and its parts compared one by one.
+    plan = df.filter(P.permits("analytics"))._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "split" not in plan and "exists" not in plan
+    found = {r["id"] for r in df.filter(P.permits("analytics")).collect()}
+    assert {texts[i] for i in found} == {"analytics", " analytics ", "service , analytics", "service,\tanalytics\t,x", "service,analytics ", ",analytics,"}

@@ -176,3 +176,24 @@ def test_shared_folder_comes_from_the_session():
     session.sparkContext.getCheckpointDir.return_value = None
     assert SC.fresh_dir(session, "x").startswith("hdfs:///shared/x-")
     session.sparkContext.setCheckpointDir.assert_called_once_with("hdfs:///shared")
+
+
+def test_shared_leading_bits_take_no_pass(spark, monkeypatch):
+    # Times of a month took three passes over all rows, most of them for bits that all times share.
+    passes, bins = [], SC._bins
+    monkeypatch.setattr(SC, "_bins", lambda *a: passes.append(1) or bins(*a))
+    times = spark.range(50_000).select((F.lit(1_704_067_200) + F.col("id") * 53 % 2_678_400).alias("v"))
+    n, found = SC.order_statistics(times, "v", lambda n: {0, n // 2, n - 1})[None]
+    values = sorted(1_704_067_200 + i * 53 % 2_678_400 for i in range(50_000))
+    assert n == 50_000 and found == {r: values[r] for r in (0, n // 2, n - 1)} and len(passes) == 1
+
+
+def test_order_statistics_where_few_or_all_bits_are_shared(spark):
+    for values in ([7.5] * 2_000, [-1.0] * 1_500 + [2.0] * 1_500, [-(2.0**40) - i for i in range(3_000)], [0.0, -0.0] * 800):
+        df = spark.createDataFrame([(float(v),) for v in values], "v double")
+        n, found = SC.order_statistics(df, "v", lambda n: range(0, n, 97))[None]
+        assert n == len(values) and found == {r: sorted(values)[r] for r in range(0, n, 97)}
+    # Numbers that differ in their last bits only: less than a digit is left.
+    close = [1.0 + i * 2.0**-52 for i in range(3_000)]
+    df = spark.createDataFrame([(v,) for v in close], "v double").repartition(3)
+    assert SC.order_statistics(df, "v", lambda n: {0, 1_234, n - 1})[None][1] == {r: close[r] for r in (0, 1_234, 2_999)}
