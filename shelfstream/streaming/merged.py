@@ -22,6 +22,8 @@ from shelfstream.sources.scoped import fs_path
 from shelfstream.streaming.sinks import watch
 
 BUCKETS = 64
+# Tasks that write one bucket, each a file.
+PARTS = 4
 # Manifests, and the folders they name, that stay for readers that have started and for a batch that runs again.
 KEPT = 2
 
@@ -128,7 +130,9 @@ def merge_batch(
             # A batch is small beside the table: its keys are broadcast where their stored size allows it.
             kept = old.join(delta.select(*keys), keys, "left_anti").select(*names, "_bucket")
             merged = kept.unionByName(delta)
-        merged.write.mode("overwrite").partitionBy("_bucket").parquet(f"{path}/version={number}")
+        # Else every task writes a file into every bucket.
+        part = F.pmod(F.xxhash64(F.lit(1), *keys), F.lit(PARTS))
+        merged.repartition("_bucket", part).write.mode("overwrite").partitionBy("_bucket").parquet(f"{path}/version={number}")
         manifest["buckets"].update({str(b): number for b in touched})
     _store(spark, path, number, manifest)
     _clear(spark, path, number)

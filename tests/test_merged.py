@@ -88,3 +88,16 @@ def test_a_stream_restarts_on_its_table(spark, tmp_path):
             sinks.finish(merged.write_merged(newest, path, checkpoint, ["sku"], buckets=2))
     rows = {r.sku: r.made for r in merged.current(spark, path).collect()}
     assert rows == {f"k {k}/{k % 3}": min(k, 3) for k in range(9)}
+
+
+def test_a_batch_writes_few_files_whatever_its_partitions(spark, tmp_path):
+    # Every partition wrote a file into every bucket.
+    path = f"{tmp_path}/t"
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        merged.merge_batch(spark.range(4_000).repartition(16), path, ["id"], 0, buckets=4)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    table = merged.current(spark, path)
+    assert table.count() == table.distinct().count() == 4_000
+    assert len(table.inputFiles()) <= 4 * merged.PARTS
