@@ -180,6 +180,8 @@ def _layers(v):
     """Raw files and all tables with ids that no other column holds by chance: (warehouse, raw path)."""
     named = v.interactions().withColumn("user_id", F.format_string("user-%s-x", "user_id")).withColumn(
         "session_id", F.concat_ws("#", "user_id", "event_date"))
+    # Every layer reads it.
+    named = cut(named)
     w = Warehouse(v.spark, fresh_dir(v.spark, "warehouse"))
     w.write("bronze.interactions", named)
     events = named.drop("session_id")
