@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +29,33 @@ def raw_texts(column) -> list[bytes]:
     return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
 
 
+# Bytes of text that are described at a time, and the rows of a batch between Spark and a worker.
+SLICE_BYTES, BATCH_ROWS = 1 << 20, 1_000
+
+
+def slices(batch: pa.RecordBatch, place: int | str) -> Iterator[pa.RecordBatch]:
+    """``batch`` in stretches of about SLICE_BYTES of the string column ``place`` (one row at least).
+
+    What is held per text besides the batch (bytes, words, features) is then
+    bounded by the longest text, not by the rows of a batch.
+    """
+    sizes = pc.fill_null(pc.binary_length(batch.column(place)), 0).to_numpy(zero_copy_only=False)
+    number = np.cumsum(sizes, dtype=np.int64) // SLICE_BYTES
+    ends = [*(np.flatnonzero(np.diff(number)) + 1).tolist(), batch.num_rows]
+    for begin, end in zip([0, *ends], ends):
+        if end > begin:
+            yield batch.slice(begin, end - begin)
+
+
+def small_batches(docs: DataFrame) -> DataFrame:
+    """``docs``, with its session handing texts to workers BATCH_ROWS at a time at most."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(docs.sparkSession.conf.get(key))
+    if not 0 < now <= BATCH_ROWS:
+        docs.sparkSession.conf.set(key, str(BATCH_ROWS))
+    return docs
+
+
 def words(text: bytes) -> list[bytes]:
     """Lower-cased (A-Z) words between ASCII white space (0x20, 0x09-0x0D)."""
     return text.lower().split()

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfstream.llm.common import per_worker, raw_texts
+from shelfstream.llm.common import per_worker, raw_texts, slices
 from shelfstream.scale import cut
 
 WINDOW = 13
@@ -308,7 +308,7 @@ def drop_contaminated(
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         searchers = compiled(name, held.value, window)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, place)):
             clean = [not report(*scan(searchers, t))[4] for t in raw_texts(batch.column(place))]
             yield batch.filter(pa.array(clean, pa.bool_()))
 

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfstream.llm.common import Memo, raw_texts, words
+from shelfstream.llm.common import Memo, raw_texts, slices, words
 from shelfstream.scale import cut
 
 # Domains of the labelled table, and their shares of the mixed tokens.
@@ -128,7 +128,7 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = stems()
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "text")):
             rows = [features(t, memo).astype(np.int32) for t in raw_texts(batch.column("text"))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("domain"), pa.array(rows, pa.list_(pa.int32()))], ["domain", "x"]
@@ -152,7 +152,7 @@ def memberships(docs: DataFrame, model: Classifier) -> DataFrame:
 
     def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, model = stems(), Classifier(*held.value)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "text")):
             texts = raw_texts(batch.column("text"))
             p = model.of_texts(texts, memo)
             yield pa.RecordBatch.from_arrays(
@@ -276,13 +276,14 @@ def apply_mix(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] =
     def repeat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, (weights, bias, push) = stems(), held.value
         model = Classifier(weights, bias)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, text)):
             p = model.of_texts(raw_texts(batch.column(text)), memo)
             rate = np.clip(1.0 - p @ push, 0.0, MOST)
             coin = np.array([xxhash.xxh64_intdigest(str(i).encode()) for i in batch.column(doc_id).to_pylist()])
             copies = np.floor(rate) + (coin % 1_000_000 / 1e6 < rate - np.floor(rate))
             rows = np.repeat(np.arange(len(p)), copies.astype(int))
-            for at in range(0, len(rows), 10_000):
-                yield batch.take(pa.array(rows[at : at + 10_000]))
+            # A text that is repeated often goes on in batches of few rows, too.
+            for at in range(0, len(rows), 1_000):
+                yield batch.take(pa.array(rows[at : at + 1_000]))
 
     return docs.mapInArrow(repeat, docs.schema)

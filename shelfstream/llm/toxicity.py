@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfstream.llm.common import Memo, crc_of_id, held_out, raw_texts
+from shelfstream.llm.common import Memo, crc_of_id, held_out, raw_texts, slices
 from shelfstream.llm.decontaminate import search_words
 from shelfstream.scale import cut
 
@@ -322,7 +322,7 @@ def drop_toxic(docs: DataFrame, grammar: Grammar, threshold: float = THRESHOLD)
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grammar = Grammar(*held.value)
         weight = grammar.weigher()
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, place)):
             clean = [grammar.score(t, weight)[0] < threshold for t in raw_texts(batch.column(place))]
             yield batch.filter(pa.array(clean, pa.bool_()))
 

@@ -396,3 +396,34 @@ def test_pipeline_equals_its_parts(spark, folder):
     assert Counter(r.doc_id for r in rows) == counts
     owner = sharding.fill()
     assert all(r.shard == owner[r.slot] and r.text == texts[r.doc_id] for r in rows)
+
+
+def test_pipeline_stages_hold_few_texts_at_a_time(spark, folder):
+    # They held batches of 10,000 whole texts, with their words and features, and workers kept that memory.
+    import pyarrow as pa
+
+    from shelfstream.llm import common
+
+    texts = ["x" * 400_000, None, "", "y" * 900_000, "é" * 2_000_000, *["z" * 1_000] * 3_000]
+    batch = pa.RecordBatch.from_pydict({"n": list(range(len(texts))), "text": texts})
+    parts = list(common.slices(batch, "text"))
+    assert pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch]))
+    assert all(p.num_rows == 1 or sum(map(len, common.raw_texts(p.column("text")))) < 2 * common.SLICE_BYTES + 4_000_000 for p in parts)
+    assert max(p.num_rows for p in parts[3:]) <= common.SLICE_BYTES // 1_000 + 1
+    assert not list(common.slices(batch.slice(0, 0), "text"))
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        docs = spark.range(5_000).select(F.col("id").alias("doc_id"), F.format_string("text %s", "id").alias("text"))
+        docs = docs.coalesce(1)
+        mixed = corpus_pipeline.mix_domains(spark, docs, folder)
+
+        def sizes(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_pydict({"n": [b.num_rows]})
+
+        found = [r.n for r in mixed.mapInArrow(sizes, "n long").collect()]
+        assert sum(found) > 1_000 and max(found) <= common.BATCH_ROWS
+    finally:
+        spark.conf.set(key, before)
