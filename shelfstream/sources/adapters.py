@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,8 +21,8 @@ def with_consent(interactions: DataFrame) -> DataFrame:
     return interactions.withColumn("consent", value.cast("string"))
 
 
-def _canonical(events: DataFrame, **overrides: Column) -> DataFrame:
-    """Fill the fields a source does not have and put columns in canonical order."""
+def _canonical(events: DataFrame, more: Sequence[str] = (), **overrides: Column) -> DataFrame:
+    """Fill the fields a source does not have and put columns in canonical order, ``more`` behind them."""
     blank = {
         "price": F.lit(None),
         "quantity": F.lit(1),
@@ -37,7 +37,8 @@ def _canonical(events: DataFrame, **overrides: Column) -> DataFrame:
             .cast(types[name])
             .alias(name)
             for name in schemas.INTERACTION_COLUMNS
-        ]
+        ],
+        *more,
     )
 
 
@@ -106,17 +107,30 @@ def shop_events(raw: DataFrame) -> Frames:
     return _canonical(shaped.withColumn("event_id", key)), catalog
 
 
-def read_fashion(spark: SparkSession, transactions: str, articles: str) -> Frames:
-    """Fashion purchases: an article is one colour, a product code all colours."""
+def read_fashion(
+    spark: SparkSession, transactions: str, articles: str, with_items: Mapping[str, Column] | None = None
+) -> Frames:
+    """Fashion purchases: an article is one colour, a product code all colours. ``with_items``: see :func:`fashion`."""
     sales = (
         spark.read.schema(schemas.FASHION_TRANSACTIONS_CSV).option("header", True).csv(transactions)
     )
     # Only the used columns are typed; the file has more, so names come from its header.
     items = spark.read.option("header", True).csv(articles)
-    return fashion(sales, items.select(*schemas.FASHION_ARTICLES_COLUMNS))
+    return fashion(sales, items.select(*schemas.FASHION_ARTICLES_COLUMNS), with_items)
 
 
-def fashion(sales: DataFrame, articles: DataFrame) -> Frames:
+def fashion(sales: DataFrame, articles: DataFrame, with_items: Mapping[str, Column] | None = None) -> Frames:
+    """Sales and articles to the canonical frames.
+
+    ``with_items`` adds columns of the catalogue to the events; sales of unlisted
+    articles then drop out. They are joined to the sale as it was read: the
+    id, session and order derived from it are several times its size.
+    """
+    catalog = _fashion_catalog(articles)
+    more = with_items or {}
+    if more:
+        named = [value.alias(name) for name, value in more.items()]
+        sales = sales.join(catalog.select(F.col("sku").alias("article_id"), *named), "article_id")
     day = F.concat_ws("#", "customer_id", "t_dat")
     events = sales.select(
         S.natural_key("customer_id", "article_id", "t_dat", "sales_channel_id").alias("event_id"),
@@ -127,8 +141,13 @@ def fashion(sales: DataFrame, articles: DataFrame) -> Frames:
         F.to_timestamp("t_dat").alias("event_ts"),
         "price",
         day.alias("order_id"),
+        *more,
     )
-    catalog = articles.select(
+    return _canonical(events, tuple(more)), catalog
+
+
+def _fashion_catalog(articles: DataFrame) -> DataFrame:
+    return articles.select(
         F.col("article_id").cast("string").alias("sku"),
         F.col("article_id").cast("string").alias("style_color_id"),
         F.col("product_code").cast("string").alias("product_id"),
@@ -141,7 +160,6 @@ def fashion(sales: DataFrame, articles: DataFrame) -> Frames:
         ).alias("attributes"),
         F.lit(None).cast("double").alias("list_price"),
     )
-    return _canonical(events), catalog
 
 
 def rating_action(rating: Column) -> Column:
@@ -225,9 +243,9 @@ ADAPTERS: dict[str, Callable[..., Frames]] = {
 }
 
 
-def load_dataset(spark: SparkSession, name: str, **paths) -> Frames:
-    """Interactions (with consent column) and catalogue of a named dataset."""
+def load_dataset(spark: SparkSession, name: str, **options) -> Frames:
+    """Interactions (with consent column) and catalogue of a named dataset; ``options`` go to its reader."""
     if name not in ADAPTERS:
         raise ValueError(f"unknown dataset {name!r}; expected one of {sorted(ADAPTERS)}")
-    interactions, catalog = ADAPTERS[name](spark, **paths)
+    interactions, catalog = ADAPTERS[name](spark, **options)
     return with_consent(interactions), catalog

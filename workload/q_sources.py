@@ -98,7 +98,7 @@ def _(v):
         F.col("l_partkey").alias("article_id"),
         F.col("l_extendedprice").alias("price"),
         F.col("l_linenumber").alias("sales_channel_id"),
-    ).write.option("header", True).csv(f"{root}/t")
+    ).write.options(header=True, compression="lz4").csv(f"{root}/t")
     v.table("part").select(
         F.col("p_partkey").alias("article_id"),
         F.split("p_name", " ").getItem(1).alias("product_code"),
@@ -106,11 +106,11 @@ def _(v):
         F.col("p_brand").alias("colour_group_name"),
         F.lit("").alias("department_name"),
     ).write.option("header", True).csv(f"{root}/a")
-    events, items = A.load_dataset(
-        v.spark, "hm", transactions=f"{root}/t", articles=f"{root}/a"
+    events, _ = A.load_dataset(
+        v.spark, "hm", transactions=f"{root}/t", articles=f"{root}/a",
+        with_items={"product_id": F.col("product_id"), "color": F.col("attributes")["color"]},
     )
-    colours = items.select("sku", "product_id", F.col("attributes")["color"].alias("color"))
-    return events.join(colours, "sku").select(
+    return events.select(
         *EVENT_COLUMNS, F.unix_timestamp("event_ts").alias("event_ts_unix"), "price", "product_id",
         "color",
     )
