@@ -142,3 +142,23 @@ def test_small_blocks_grow_with_their_cell(spark, data, monkeypatch):
 def test_a_worker_holds_little(spark):
     # Four workers of an executor: two copies of a block while it loads, three of the scores.
     assert 4 * (2 * R.BLOCK_BYTES + 3 * R.SCORES_BYTES) <= 512 << 20
+
+
+def test_the_best_of_a_block_need_one_copy_of_its_scores():
+    # It took two besides a negated one, in each of an executor's workers.
+    import tracemalloc
+
+    scores = np.random.default_rng(1).integers(0, 50, (64, 32_768)).astype(np.float64)
+    scores[3, 5:] = -np.inf
+    scores[4] = -np.inf
+    ids = np.arange(scores.shape[1])
+    tracemalloc.start()
+    rows, columns = R.best_columns(scores, ids, 10)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1.5 * scores.nbytes
+    for r in range(len(scores)):
+        wanted = [c for c in sorted(ids, key=lambda c: (-scores[r, c], c))[:10] if scores[r, c] > -np.inf]
+        assert columns[rows == r].tolist() == wanted
+    assert R.best_columns(scores[:, :3], ids[:3], 10)[1].size == 3 * 63
+    assert R.best_columns(scores[:, :0], ids[:0], 10)[1].size == 0
