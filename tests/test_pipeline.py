@@ -520,3 +520,15 @@ def test_labelled_events_are_read_from_one_stored_table(spark, folder):
     plan = events._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "/cut-" in str(events.inputFiles())
     assert t1 < t2 and events.filter("returned is null").count() == 0
+
+
+def test_events_meet_the_vocabulary_once_for_all_splits(spark, folder):
+    # They did in each of the five windows, so every event was shuffled by token five times.
+    from shelfstream.operators import sequences as Q
+    from workload.views import GOLD, MAX_LEN, Retail
+
+    v = Retail(spark, folder)
+    events, t1, t2 = v.labelled
+    rows = Q.sequence_rows(events, v.vocab, t1, t2, MAX_LEN, GOLD.min_input)
+    assert {r.split for r in rows.select("split").distinct().collect()} == {"train", "val", "test"}
+    assert not set(rows.inputFiles()) & set(v.vocab.inputFiles())

@@ -197,3 +197,15 @@ def test_order_statistics_where_few_or_all_bits_are_shared(spark):
     close = [1.0 + i * 2.0**-52 for i in range(3_000)]
     df = spark.createDataFrame([(v,) for v in close], "v double").repartition(3)
     assert SC.order_statistics(df, "v", lambda n: {0, 1_234, n - 1})[None][1] == {r: close[r] for r in (0, 1_234, 2_999)}
+
+
+def test_whole_numbers_are_ranked_without_python(spark, monkeypatch):
+    # Times went through a Python worker to become keys.
+    monkeypatch.setattr(SC, "_order_keys", None)
+    values = [None, 0, -5, 2**60, -(2**60), 7, 7, *range(1_700_000_000, 1_700_003_000)]
+    for kind, own in (("long", values), ("int", [v for v in values if v is None or abs(v) < 2**31])):
+        df = spark.createDataFrame([(v,) for v in own], f"v {kind}")
+        wanted = sorted(float(v) for v in own if v is not None)
+        n, found = SC.order_statistics(df, "v", lambda n: range(0, n, 7))[None]
+        assert n == len(wanted) and found == {r: wanted[r] for r in range(0, n, 7)}
+    assert SC.order_statistics(df.filter("v is null"), "v", lambda n: [0]) == {}
