@@ -65,3 +65,14 @@ def test_a_user_who_owns_more_than_few_skus(spark, monkeypatch):
     candidates = spark.createDataFrame([("u", "t", "p"), ("w", "t", "p")], "user_id string, token string, product_id string")
     found = P.filtered_by_rows(candidates, skus, owned, P.Policy()).select("user_id", "suggested.sku").collect()
     assert sorted(map(tuple, found)) == [("u", "s7"), ("w", "s0")]
+
+
+def test_filters_do_not_build_what_only_scores_read(spark, folder, monkeypatch):
+    # The clicks were joined with the catalogue and a list of categories was stored with every candidate.
+    from workload.registry import QUERIES
+
+    stored, store = [], P.cut
+    monkeypatch.setattr(P, "cut", lambda df: stored.append(df.columns) or store(df))
+    rows = QUERIES["pol3_filters"](spark, folder)
+    assert stored and not any({"session_categories", "price_affinity"} & set(columns) for columns in stored)
+    assert any("store_id" in columns for columns in stored) and rows.count() > 0
