@@ -33,14 +33,14 @@ def raw_texts(column) -> list[bytes]:
 SLICE_BYTES, BATCH_ROWS = 1 << 20, 1_000
 
 
-def slices(batch: pa.RecordBatch, place: int | str) -> Iterator[pa.RecordBatch]:
-    """``batch`` in stretches of about SLICE_BYTES of the string column ``place`` (one row at least).
+def slices(batch: pa.RecordBatch, place: int | str, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """``batch`` in stretches of about ``size`` bytes of the string column ``place`` (one row at least).
 
     What is held per text besides the batch (bytes, words, features) is then
     bounded by the longest text, not by the rows of a batch.
     """
     sizes = pc.fill_null(pc.binary_length(batch.column(place)), 0).to_numpy(zero_copy_only=False)
-    number = np.cumsum(sizes, dtype=np.int64) // SLICE_BYTES
+    number = np.cumsum(sizes, dtype=np.int64) // size
     ends = [*(np.flatnonzero(np.diff(number)) + 1).tolist(), batch.num_rows]
     for begin, end in zip([0, *ends], ends):
         if end > begin:

@@ -139,6 +139,43 @@ def test_ids_equal_the_library():
         assert encoder.ids(text).tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_plain_texts_are_split_as_by_the_pattern():
+    rng = random.Random(5)
+    bits = [*"asrvetlmd", "re", "ll", "'", "'", " ", " ", "\n", "1", "!", '"', "é", "ж", "\u024f"]
+    texts = ["".join(rng.choices(bits, k=rng.randint(0, 14))) for _ in range(20_000)] + ["", "'", "x'", "'r", "'re", " '"]
+    assert all(packing.PLAIN.fullmatch(t) for t in texts)
+    joined = "".join(t + "\0" for t in texts).encode()
+    starts = packing.piece_starts(joined).tolist()
+    found = [joined[a:b].decode() for a, b in itertools.pairwise([*starts, len(joined)])]
+    assert found == [p for t in texts for p in [*packing.PIECE.findall(t), "\0"]]
+
+
+def test_a_batch_looks_up_its_distinct_pieces_once():
+    encoder, asked = packing.Encoder(packing.tokenizer_path()), []
+
+    class Counted(type(encoder.known)):
+        def __getitem__(self, key):
+            asked.append(key)
+            return super().__getitem__(key)
+
+    encoder.known.__class__ = Counted
+    text = "the same words again, the same " * 500
+    assert encoder.ids(text).tolist() == library().encode(text, add_special_tokens=False).ids
+    assert len(asked) == len(set(packing.PIECE.findall(text)))
+    texts = [text, "日本 the same", "", "a\tb", "the\0same", "again 'll"]
+    assert [i.tolist() for i in encoder.all_ids(texts)] == [
+        library().encode(t, add_special_tokens=False).ids for t in texts
+    ]
+
+
+def test_pieces_that_were_forgotten_are_encoded_anew():
+    encoder = packing.Encoder(packing.tokenizer_path())
+    encoder.known.limit = 3
+    text = " ".join(random.Random(2).choices("abcdefghijkl", k=200))
+    assert encoder.ids(text).tolist() == library().encode(text, add_special_tokens=False).ids
+    assert len(encoder.known) <= 3 and len(encoder.known.older) <= 3
+
+
 def check_packing(sequences, docs, capacity, end=packing.END):
     """Every id in exactly one piece, sequences gapless, pieces equal to the ids they name."""
     whole, rows = library(), sequences.collect()
