@@ -86,7 +86,10 @@ def byte_letters() -> dict[int, int]:
 
 
 class Remembered(dict):
-    """A dict that fills itself by ``make`` and forgets what was long not asked for: at most twice ``limit`` entries."""
+    """A dict that fills itself by ``make`` and forgets what was long not asked for.
+
+    It has at most twice ``limit`` entries, and those that are set for one text.
+    """
 
     def __init__(self, make: Callable, limit: int):
         super().__init__()
@@ -96,11 +99,15 @@ class Remembered(dict):
         value = self.older.get(key)
         if value is None:
             value = self.make(key)
+        self.turn()
+        self[key] = value
+        return value
+
+    def turn(self) -> None:
+        """Makes room once ``limit`` is reached."""
         if len(self) >= self.limit:
             self.older = dict(self)
             self.clear()
-        self[key] = value
-        return value
 
 
 class Encoder:
@@ -158,9 +165,13 @@ class Encoder:
     def other_ids(self, text: str) -> np.ndarray:
         if OTHER_SPACE.search(text) or self.added and self.added.search(text):
             return np.frombuffer(self.encode([text])[0], np.uint32)
-        parts, known = self.split(text), self.known
-        new = {p for p in parts if p not in known and p not in known.older}
-        odd = [p for p in new if not PLAIN.fullmatch(p)]
+        parts, known, odd = self.split(text), self.known, []
+        known.turn()
+        for part in {p for p in parts if p not in known and p not in known.older}:
+            if PLAIN.fullmatch(part):
+                known[part] = self.piece(part)
+            else:
+                odd.append(part)
         for at in range(0, len(odd), 10_000):
             some = odd[at : at + 10_000]
             known.update(zip(some, self.encode(some), strict=True))

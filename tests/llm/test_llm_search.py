@@ -169,11 +169,15 @@ def test_a_batch_looks_up_its_distinct_pieces_once():
 
 
 def test_pieces_that_were_forgotten_are_encoded_anew():
-    encoder = packing.Encoder(packing.tokenizer_path())
+    encoder, whole = packing.Encoder(packing.tokenizer_path()), library()
     encoder.known.limit = 3
     text = " ".join(random.Random(2).choices("abcdefghijkl", k=200))
-    assert encoder.ids(text).tolist() == library().encode(text, add_special_tokens=False).ids
+    assert encoder.ids(text).tolist() == whole.encode(text, add_special_tokens=False).ids
     assert len(encoder.known) <= 3 and len(encoder.known.older) <= 3
+    for n in range(200):  # other characters, in texts of two parts
+        text = f"日{n} 本{n}"
+        assert encoder.ids(text).tolist() == whole.encode(text, add_special_tokens=False).ids
+        assert len(encoder.known) <= 5 and len(encoder.known.older) <= 5
 
 
 def check_packing(sequences, docs, capacity, end=packing.END):
