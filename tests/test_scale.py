@@ -137,6 +137,22 @@ def test_ranks_are_found_without_a_range_exchange(spark, monkeypatch):
     assert plans and not any("rangepartitioning" in p for p in plans)
 
 
+def test_rows_to_rank_are_never_broadcast(spark, monkeypatch):
+    # 200,000 rows of seven values are a small file; all of them went to the driver and to every executor.
+    plans, whole = [], SC._matching
+
+    def seen(*args):
+        out = whole(*args)
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(SC, "_matching", seen)
+    df = spark.range(200_000).select((F.col("id") % 7).cast("double").alias("v"), (F.col("id") % 2).cast("string").alias("g"))
+    assert SC.exact_quantiles(df, "v", [0.5], by="g") == {"0": [3.0], "1": [3.0]}
+    joins = [line for p in plans for line in p.splitlines() if "Join" in line]
+    assert len(joins) == len(plans) > 1 and all("BroadcastHashJoin" in j and "BuildRight" in j for j in joins)
+
+
 def test_global_row_number(spark):
     df = skewed(spark, 900).select("event_id", "event_ts_unix")
     order = [F.desc("event_ts_unix"), F.asc("event_id")]
