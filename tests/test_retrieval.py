@@ -123,7 +123,7 @@ def test_queries_reach_their_recall(spark, folder):
         assert QUERIES[name](spark, folder).first().recall >= 0.9
 
 
-@pytest.mark.parametrize("name", ["jn9_pair_scores", "top5_exact_neighbours"])
+@pytest.mark.parametrize("name", ["jn9_pair_scores", "top5_exact_neighbours", "top6_probe_every_cell"])
 def test_a_tenth_of_the_vectors_are_queries(spark, folder, name):
     # Half of them were left out: only ids that 20 divides were searched for.
     from workload import load_all
