@@ -141,6 +141,18 @@ def test_a_tenth_of_the_vectors_are_queries(spark, folder, name):
     assert {(r.user_id, r.token_id) for r in found.collect()} == wanted
 
 
+def test_recall_is_measured_on_a_tenth_of_the_vectors(spark, folder):
+    # It was on half of them, those whose id 20 divides.
+    from workload import load_all
+    from workload.registry import QUERIES, oracles
+
+    load_all()
+    table = spark.read.parquet(f"{folder}/embeddings.parquet")
+    measured = QUERIES["top7_measured_recall"](spark, folder).first()
+    assert measured.queries == table.filter("vec_id % 10 = 0").count() > table.filter("vec_id % 20 = 0").count()
+    assert measured.recall == 1 and "vec_id % 20" not in oracles()["top7_measured_recall"]
+
+
 def test_small_blocks_grow_with_their_cell(spark, data, monkeypatch):
     # A row is copied once per block of the other side: 300 blocks of one row each made 300 copies.
     import pandas as pd
