@@ -49,6 +49,20 @@ def test_exact_top_k_equals_brute_force(spark, data, monkeypatch, block):
     assert R.exact_top_k(u.limit(0), i, 3, block=block).count() == 0
 
 
+@pytest.mark.parametrize("block", [None, 7])
+def test_items_of_the_users_own_kind_need_no_list(spark, data, block):
+    # A list of pairs was made for them, which grows with the square of the table.
+    users, items = data
+    kind = lambda key: F.when(F.col(key) % 5 < 4, F.col(key) % 5)
+    u = vectors(spark, "user_id", users).withColumn("m", kind("user_id"))
+    i = vectors(spark, "token_id", items).withColumn("m", kind("token_id"))
+    barred = {(u, t) for u in range(23) for t in range(90) if u % 5 == t % 5 < 4}
+    assert positions(R.exact_top_k(u, i, 8, block=block, apart="m")) == brute(users, items, 8, barred)
+    hidden = spark.createDataFrame([(u, t) for u in range(23) for t in range(0, 90, 4)], "user_id long, token_id long")
+    both = barred | {(u, t) for u in range(23) for t in range(0, 90, 4)}
+    assert positions(R.exact_top_k(u, i, 8, hidden, block, "m")) == brute(users, items, 8, both)
+
+
 def test_only_lists_are_shuffled(spark, data):
     users, items = data
     found = R.exact_top_k(vectors(spark, "user_id", users), vectors(spark, "token_id", items), 5)
